@@ -15,6 +15,7 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int
     for batch in batches:
         if not batch.num_rows:
             continue
-        n = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, size = 0, 0
         for i in range(batch.num_rows):
             if i > start and (size + n[i] > most_bytes or i - start >= most_rows):

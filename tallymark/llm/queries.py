@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from tallymark.llm import mixing, quality_rules
+from tallymark.llm import mixing, packing, quality_classifier, quality_rules, token_files, toxicity, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_packing": packing.op8_packing,
+    "op9_warc": warc.op9_warc,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op9_warc": warc.SQL,
 }
