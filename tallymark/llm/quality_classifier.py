@@ -200,10 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -
     return fit(x, rows.column("y").to_numpy().astype(np.float64)[order])
 
 
-def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """``docs`` with ``score``: null and empty texts get the score of a text without words; extra columns stay."""
+def score(docs: DataFrame, model: AdditiveModel, name: str = "score") -> DataFrame:
+    """``docs`` with a score named ``name``: null and empty texts get the score of a text without words; extra columns stay, but for one of that name."""
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("score", "text")]
+    rest = [c for c in docs.columns if c not in (name, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -212,8 +212,8 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    out_names = [*rest, "text", "score"]
-    schema = T.StructType([*(docs.schema[c] for c in rest), docs.schema["text"], T.StructField("score", T.DoubleType())])
+    out_names = [*rest, "text", name]
+    schema = T.StructType([*(docs.schema[c] for c in rest), docs.schema["text"], T.StructField(name, T.DoubleType())])
     return docs.select(*rest, "text").mapInArrow(run, schema)
 
 

@@ -105,6 +105,14 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the rules keep, with all their columns; rows are told apart by id and text."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("t"))
+    named = docs.withColumn("__key", key)
+    stay = quality_rules(named.select(F.col("__key").alias("doc_id"), "text", "source"), **options).where("kept").select(F.col("doc_id").alias("__stay"))
+    return named.join(stay, F.col("__key").eqNullSafe(F.col("__stay")), "left_semi").select(*docs.columns)
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
