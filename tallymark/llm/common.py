@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; texts can be long, and a batch is held in memory.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch, which a worker holds in memory, and rows of a slice of it.
+BATCH_BYTES = 16 << 20
+SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,11 +64,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Holds Arrow batches down to ``rows`` rows, so that long texts fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches down to ``BATCH_BYTES``, so that long texts and whole files fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,7 +124,7 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds at most ``most_rows`` rows and, beyond one row, ``most_bytes`` of text."""
     for batch in batches:
         if not batch.num_rows:

@@ -46,7 +46,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SHARD_IDS = 2_000_000
 SHARD_DOCS = 8192
-KEYS_A_BUCKET = 4
+KEYS_A_BUCKET = 2
 _DIRECT = np.uint32(1 << 31)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,7 +96,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(b, order, sizes, starts, free, disp, slot_of, n) -> bool:
-        tries = np.arange(1 << 8, dtype=np.uint64)
+        tries = np.arange(1 << 6, dtype=np.uint64)
         single = []
         for k in np.argsort(-sizes, kind="stable").tolist():
             if sizes[k] == 0:
@@ -215,7 +215,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     Ids are fetched through each shard's index; the rows that it leaves out
     (null and repeated ids) are read by their place.
     """
-    small_batches(spark, 4)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
