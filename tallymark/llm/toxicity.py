@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tallymark.llm.common import crc_mod, ragged, small_batches, table, text_sli
 from tallymark.llm.quality_classifier import labelled_sample
 
 #: Learning uses at most so many labelled documents, those with the smallest hashes of their ids ...
-MAX_ROWS = 20_000
+MAX_ROWS = 8_000
 #: ... and at most so many chains of them, half with labelled words and half without.
 MAX_CHAINS = 4_000
 CHAIN = 64
@@ -50,10 +51,7 @@ def _starts(w: str) -> list[str]:
 
 
 def _hash(s: str) -> int:
-    h = 0xCBF29CE484222325
-    for x in s.encode():
-        h = ((h ^ x) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 29)) % DIM
+    return xxhash.xxh32_intdigest(s.encode()) % DIM
 
 
 def _own_features(w: str) -> list[int]:
@@ -88,20 +86,24 @@ class _Texts:
         self.sizes = np.bincount(self.chain, minlength=chains) if chains else np.zeros(0, np.int64)
 
 
-def marks(words_of: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Words and word starts that stand almost only in toxic documents."""
-    from collections import Counter
-
-    yes, no = Counter(), Counter()
-    for words, y in zip(words_of, toxic.tolist(), strict=True):
-        (yes if y else no).update({s for w in words for s in _starts(w)})
+def marked_words(names: list[str], t: _Texts, toxic: np.ndarray) -> np.ndarray:
+    """Which words have themselves or a start of them almost only in toxic documents; names are by code."""
+    starts = [[xxhash.xxh3_64_intdigest(s.encode()) for s in _starts(w)] for w in names]
+    counts = np.fromiter(map(len, starts), np.int64, len(starts))
+    _, start_no = np.unique(np.fromiter((x for s in starts for x in s), np.uint64, int(counts.sum())), return_inverse=True)
+    first = np.cumsum(counts) - counts
+    ends = np.searchsorted(t.doc, np.arange(len(toxic) + 1))
+    seen = np.zeros((2, start_no.max(initial=-1) + 1), np.int64)
+    for y, a, b in zip(toxic.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        own = np.unique(t.codes[a:b])
+        seen[y, np.unique(start_no[ragged(first[own], counts[own])])] += 1
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-    by_chance = np.log(20 * max(1, len(yes))) / -np.log(share)
-    for least in (max(MIN_TOXIC, by_chance), MIN_TOXIC):  # few labels: what they can show
-        found = {s for s, n in yes.items() if n >= least and n >= MIN_SHARE * (n + no[s])}
-        if found:
-            return found
-    return set()
+    by_chance = np.log(20 * max(1, int((seen[1] > 0).sum()))) / -np.log(share)
+    for least in (max(MIN_TOXIC, by_chance), MIN_TOXIC):  # the second for few labels
+        found = (seen[1] >= least) & (seen[1] >= MIN_SHARE * seen.sum(0))
+        if found.any():
+            break
+    return np.add.reduceat(found[start_no], first) > 0 if len(names) else np.zeros(0, bool)
 
 
 class ChainField:
@@ -253,7 +255,7 @@ def _fit_field(chains: list[list[str]], tags: list[list[int]]) -> tuple[np.ndarr
 
 
 def _sums(t: _Texts, p: np.ndarray, n_docs: int) -> np.ndarray:
-    """By document: log odds of any toxic word, highest marginal, log of the expected number of toxic words."""
+    """By document: log odds of any toxic word, whether a word is toxic, log of the expected number of toxic words."""
     clean = np.zeros(n_docs)
     np.add.at(clean, t.doc, np.log1p(-np.minimum(p, 1 - 1e-9)))
     any_ = -np.expm1(clean)
@@ -261,7 +263,7 @@ def _sums(t: _Texts, p: np.ndarray, n_docs: int) -> np.ndarray:
     np.maximum.at(high, t.doc, p)
     expected = np.bincount(t.doc, p, n_docs) if len(p) else np.zeros(n_docs)
     odds = np.log(np.maximum(any_, 1e-9)) - np.minimum(clean, 0)
-    return np.stack([np.clip(odds, -12, 12), high, np.log1p(expected)], 1)
+    return np.stack([np.clip(odds, -12, 12), high >= SPAN_AT, np.log1p(expected)], 1)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -280,13 +282,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> ChainField:
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     t = _Texts(texts)
     names = [_normal(w) for w in t.words]
-    ends = np.searchsorted(t.doc, np.arange(len(texts) + 1))
-    words_of = [{names[c] for c in np.unique(t.codes[a:b]).tolist()} for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    found = marks(words_of, toxic)
-    if not found or len(set(toxic.tolist())) < 2:
+    marked = marked_words(names, t, toxic)
+    if not marked.any() or len(set(toxic.tolist())) < 2:
         own, near, trans = _fit_field([], [])
         return ChainField(own, near, trans, np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    marked = np.array([any(s in found for s in _starts(w)) for w in names])
     tag = marked[t.codes] & (toxic[t.doc] == 1)
     with_tag = np.bincount(t.chain, tag, t.n_chains) > 0
     half = MAX_CHAINS // 2
