@@ -1,9 +1,11 @@
 """Token ids of whole texts, by the public tokenizers, with a store of ids by chunk.
 
-A text is cut where white space begins; both vocabularies treat every chunk by
-itself, so the ids of a text are those of its chunks one after the other. A
-batch then encodes each distinct chunk once. Texts with white space outside
-ASCII, where the two notions of white space differ, are encoded as a whole.
+A text is cut at white space; both vocabularies treat every chunk by itself,
+so the ids of a text are those of its chunks one after the other, and a batch
+encodes each distinct chunk once. Where spaces are part of ids, texts are cut
+at single spaces only, and each chunk but the first begins with its space.
+Texts in which white space runs over a cut, or lies outside ASCII, are encoded
+as a whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ import numpy as np
 
 from tallymark.llm.common import ragged, tokenizer_path
 
-_CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: A space beside other white space, or at an end: such texts are not cut at spaces.
+_RUNS = ["  ", *(x for c in "\t\n\x0b\x0c\r" for x in (c + " ", " " + c))]
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 
 
@@ -31,7 +34,7 @@ class _Codes(dict):
 class ChunkEncoder:
     """Ids by ``name``'s tokenizer; special strings in a text are ordinary text."""
 
-    def __init__(self, name: str, leading_space: bool, most_chunks: int = 1_000_000):
+    def __init__(self, name: str, leading_space: bool, most_chunks: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -48,7 +51,10 @@ class ChunkEncoder:
         self.lengths = np.zeros(0, np.int64)
 
     def _learn(self, chunks: list) -> None:
-        texts = chunks if self.leading_space else [c.decode() for c in chunks]
+        if self.leading_space:  # a tuple marks the first chunk of a text
+            texts = [c[0] if type(c) is tuple else " " + c for c in chunks]
+        else:
+            texts = [c.decode() for c in chunks]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
@@ -65,10 +71,12 @@ class ChunkEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD_SPACE.search(text):
+            if _ODD_SPACE.search(text) or self.leading_space and (text[0] == " " or text[-1] == " " or any(x in text for x in _RUNS)):
                 whole.append(k)
                 continue
-            chunks = _CHUNK.findall(text) if self.leading_space else text.encode().split()
+            chunks = text.split(" ") if self.leading_space else text.encode().split()
+            if self.leading_space:
+                chunks[0] = (chunks[0],)
             each.append(np.fromiter(map(codes.__getitem__, chunks), np.int64, len(chunks)))
             sizes[k] = len(chunks)
         if len(codes) > known:
