@@ -1 +1 @@
-
+"""Analysis specs: their grammar and their validation."""
