@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ALL = W.partitionBy()
+def _all():
+    return W.partitionBy()
 
 
 def basic(agg: DataFrame) -> DataFrame:
@@ -15,18 +16,18 @@ def basic(agg: DataFrame) -> DataFrame:
 
 def marked_edges(agg: DataFrame) -> DataFrame:
     """Adds place, n and partial: a first or last period with under half of the inner median, by value or rows, of at least four."""
-    order = ALL.orderBy("dim0")
-    d = agg.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(ALL))
+    order = _all().orderBy("dim0")
+    d = agg.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(_all()))
     inner = (F.col("place") > 1) & (F.col("place") < F.col("n"))
-    d = d.withColumn("mid_value", F.median(F.when(inner, F.col("value"))).over(ALL)).withColumn("mid_rows", F.median(F.when(inner, F.col("n_rows"))).over(ALL))
+    d = d.withColumn("mid_value", F.median(F.when(inner, F.col("value"))).over(_all())).withColumn("mid_rows", F.median(F.when(inner, F.col("n_rows"))).over(_all()))
     low = (F.col("value") < 0.5 * F.col("mid_value")) | (F.col("n_rows") < 0.5 * F.col("mid_rows"))
     return d.withColumn("partial", (F.col("n") >= 4) & ~inner & low)
 
 
 def trend(agg: DataFrame) -> DataFrame:
     """first, last, change, slope, r2, volatility and direction over whole periods, or all if under two are left."""
-    d = marked_edges(agg).withColumn("whole", F.count_if(~F.col("partial")).over(ALL)).where(~F.col("partial") | (F.col("whole") < 2))
-    d = d.withColumn("x", (F.row_number().over(ALL.orderBy("dim0")) - 1).cast("double"))
+    d = marked_edges(agg).withColumn("whole", F.count_if(~F.col("partial")).over(_all())).where(~F.col("partial") | (F.col("whole") < 2))
+    d = d.withColumn("x", (F.row_number().over(_all().orderBy("dim0")) - 1).cast("double"))
     out = d.agg(
         F.count(F.lit(1)).alias("n"), F.min_by("value", "x").alias("first_value"), F.max_by("value", "x").alias("last_value"),
         F.regr_slope("value", "x").alias("slope"), F.when(F.var_pop("value") == 0, 0.0).otherwise(F.regr_r2("value", "x")).alias("r2"),
@@ -44,8 +45,8 @@ def direction(size: Column) -> Column:
 
 def pareto(agg: DataFrame) -> DataFrame:
     """Shares of the largest fifth and of the largest group, and how many groups hold 80 %."""
-    order = ALL.orderBy(F.desc("value"), "dim0")
-    d = agg.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(ALL)).withColumn("share", F.col("value") / F.sum("value").over(ALL))
+    order = _all().orderBy(F.desc("value"), "dim0")
+    d = agg.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(_all())).withColumn("share", F.col("value") / F.sum("value").over(_all()))
     d = d.withColumn("cum", F.sum("share").over(order.rowsBetween(W.unboundedPreceding, 0)))
     top = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
     return d.agg(F.max("n").alias("n_groups"), (F.sum(F.when(F.col("place") <= top, F.col("share"))) * 100).alias("top20_share_pct"), (F.max("share") * 100).alias("top1_share_pct"), (F.count_if(F.col("cum") <= 0.8) + 1).alias("n_for_80pct"))
@@ -53,8 +54,8 @@ def pareto(agg: DataFrame) -> DataFrame:
 
 def with_robust_z(df: DataFrame, c: str = "value") -> DataFrame:
     """Adds med, mad and z; z is null where half of all values are equal."""
-    d = df.withColumn("med", F.median(c).over(ALL))
-    d = d.withColumn("mad", F.median(F.abs(F.col(c) - F.col("med"))).over(ALL))
+    d = df.withColumn("med", F.median(c).over(_all()))
+    d = d.withColumn("mad", F.median(F.abs(F.col(c) - F.col("med"))).over(_all()))
     return d.withColumn("z", F.lit(0.6745) * F.abs(F.col(c) - F.col("med")) / F.nullif("mad", F.lit(0.0)))
 
 
@@ -64,7 +65,7 @@ def spikes(agg: DataFrame) -> DataFrame:
 
 def long_tail(agg: DataFrame) -> DataFrame:
     """Groups, and those with under 1 % of the total; found if these are three or more and 30 %."""
-    d = agg.withColumn("share", F.col("value") / F.sum("value").over(ALL))
+    d = agg.withColumn("share", F.col("value") / F.sum("value").over(_all()))
     d = d.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("share") < 0.01).alias("n_small"))
     return d.withColumn("found", (F.col("n_groups") >= 4) & (F.col("n_small") >= F.greatest(F.lit(3.0), 0.3 * F.col("n_groups"))))
 
@@ -72,7 +73,7 @@ def long_tail(agg: DataFrame) -> DataFrame:
 def peaks(agg: DataFrame, factor: float, of: str, least: int) -> DataFrame:
     """Groups at ``factor`` times the mean or median of at least ``least`` groups."""
     mid = F.avg("value") if of == "mean" else F.median("value")
-    d = agg.withColumn("mid", mid.over(ALL)).withColumn("n", F.count(F.lit(1)).over(ALL))
+    d = agg.withColumn("mid", mid.over(_all())).withColumn("n", F.count(F.lit(1)).over(_all()))
     return d.where((F.col("n") >= least) & (F.col("value") >= factor * F.col("mid"))).select("dim0", "value")
 
 
