@@ -25,7 +25,7 @@ from tallymark.llm.common import crc_mod, ragged, small_batches, table, text_sli
 from tallymark.llm.quality_classifier import labelled_sample
 
 #: Learning uses at most so many labelled documents, those with the smallest hashes of their ids ...
-MAX_ROWS = 8_000
+MAX_ROWS = 7_000
 #: ... and at most so many chains of them, half with labelled words and half without.
 MAX_CHAINS = 4_000
 CHAIN = 64
@@ -54,10 +54,14 @@ def _hash(s: str) -> int:
     return xxhash.xxh32_intdigest(s.encode()) % DIM
 
 
+_LENGTH = [_hash(f"#{k}") for k in range(13)]
+_SHAPE = {k: _hash("&" + k) for k in "adm"}
+
+
 def _own_features(w: str) -> list[int]:
-    """Feature numbers of a word; ten at most."""
-    names = _starts(w) + [f"${w[-k:]}" for k in (3, 4) if len(w) > k] + [f"#{min(len(w), 12)}", "&" + ("a" if w.isalpha() else "d" if w.isdigit() else "m")]
-    return [_hash(x) for x in names]
+    """Feature numbers of a word, its identity first; ten at most."""
+    n = len(w)
+    return [_hash(x) for x in _starts(w)] + [_hash("$" + w[-k:]) for k in (3, 4) if n > k] + [_LENGTH[min(n, 12)], _SHAPE["a" if w.isalpha() else "d" if w.isdigit() else "m"]]
 
 
 class _Texts:
@@ -111,22 +115,26 @@ class ChainField:
 
     def __init__(self, own: np.ndarray, near: np.ndarray, trans: np.ndarray, calibration: np.ndarray):
         self.own, self.near, self.trans, self.calibration = own, near, trans, calibration
-        self.known: dict[bytes, tuple[float, float, float]] = {}
-
-    def _word_weights(self, w: bytes) -> tuple[float, float, float]:
-        """(own, as the word before, as the word after); kept between batches."""
-        got = self.known.get(w)
-        if got is None:
-            n = _normal(w)
-            f = _own_features(n)
-            got = (float(self.own[f].sum()), float(self.near[0, f[0]]), float(self.near[1, f[0]]))
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[w] = got
-        return got
+        self.known: dict[bytes, int] = {}
+        self.weights = np.zeros((0, 3))
+
+    def _word_weights(self, words: list[bytes]) -> np.ndarray:
+        """(own, as the word before, as the word after) of each word."""
+        feats = [_own_features(_normal(w)) for w in words]
+        counts = np.fromiter(map(len, feats), np.int64, len(feats))
+        flat = np.fromiter((x for f in feats for x in f), np.int64, int(counts.sum()))
+        first = np.cumsum(counts) - counts
+        return np.stack([np.add.reduceat(self.own[flat], first), self.near[0][flat[first]], self.near[1][flat[first]]], 1)
 
     def potentials(self, t: _Texts) -> np.ndarray:
-        each = np.array([self._word_weights(w) for w in t.words], np.float64).reshape(-1, 3)
+        """Of each word, kept by word between batches."""
+        if len(self.known) > 400_000:
+            self.known, self.weights = {}, np.zeros((0, 3))
+        rows = np.fromiter((self.known.setdefault(w, len(self.known)) for w in t.words), np.int64, len(t.words))
+        new = [w for w, k in zip(t.words, rows.tolist(), strict=True) if k >= len(self.weights)]
+        if new:
+            self.weights = np.concatenate([self.weights, self._word_weights(new)])
+        each = self.weights[rows]
         e = each[t.codes, 0].copy()
         same = t.chain[1:] == t.chain[:-1]
         e[1:] += np.where(same, each[t.codes[:-1], 1], 0)
@@ -250,7 +258,7 @@ def _fit_field(chains: list[list[str]], tags: list[list[int]]) -> tuple[np.ndarr
     own = w[:DIM].copy()
     # Every word has one feature of its length class, so the bias is spread over these.
     for k in range(13):
-        own[_hash(f"#{k}")] += bias[0]
+        own[_LENGTH[k]] += bias[0]
     return own, nr, tr
 
 
@@ -296,7 +304,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> ChainField:
     tags = [tag[starts[k] : starts[k] + t.sizes[k]].astype(int).tolist() for k in order.tolist()]
     field = ChainField(*_fit_field(chains, tags), np.zeros(4))
     field.calibration = _calibrate(_sums(t, field.marginals(t), len(texts)), toxic.astype(np.float64))
-    field.known = {}
+    field.known, field.weights = {}, np.zeros((0, 3))
     return field
 
 
