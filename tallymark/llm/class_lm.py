@@ -31,7 +31,7 @@ CLASSES = 64
 SWEEPS = 8
 TRANSITION_PRIOR = 0.1
 WORD_PRIOR = 0.5
-BATCH_TEXT = 8 << 20
+BATCH_TEXT = 5 << 20
 BUCKET_WORDS = 500_000
 LEAST_BUCKETS = 64
 
