@@ -52,6 +52,10 @@ def is_cancelled(c: Column) -> Column:
     return F.coalesce(s.isin(*CANCELLED) | s.rlike(r"\b(" + "|".join(t for t in CANCELLED if len(t) >= 6) + ")"), F.lit(False))
 
 
+def is_cancelled_exactly(c: Column) -> Column:
+    return F.coalesce(strip_accents(F.lower(trimmed(c))).isin(*CANCELLED), F.lit(False))
+
+
 def has_test_word(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike(r"(^|[^\p{L}\p{N}_])(" + "|".join(TEST_TOKENS) + r")([^\p{L}\p{N}_]|$)"), F.lit(False))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import is_null_token
+from tallymark.functions.text import is_null_token, trimmed
 
 
 def numeric(df: DataFrame, c: str) -> DataFrame:
@@ -67,3 +67,39 @@ def roles(df: DataFrame) -> dict[str, str]:
         r = df.agg(F.count(F.lit(1)), F.count(f.name), F.count_distinct(f.name), decimals).first()
         out[f.name] = role(f.name, kind, r[0], r[1], r[2], bool(r[3]))
     return out
+
+
+# Words of yes and no.
+BOOLEAN_WORDS = ("oui", "non", "yes", "no", "true", "false", "vrai", "faux", "1", "0", "y", "n", "o")
+DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yy", "yyyy/M/d", "d.M.yyyy", "yyyy-M-d H:m:s")
+
+
+def text_types(df: DataFrame, names: list[str], share: float = 0.9) -> DataFrame:
+    """column, n (present values), and the type that ``share`` of them read as, from one pass over all rows."""
+    sums = []
+    for c in names:
+        v = F.when(~is_null_token(F.col(c)), trimmed(F.col(c)))
+        dates = [F.count(F.try_to_timestamp(v, F.lit(f))) for f in DATE_FORMATS]
+        sums.append(F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("n"), F.count_if(F.lower(v).isin(*BOOLEAN_WORDS)).alias("n_boolean"),
+            F.count(F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v.try_cast("double"))).alias("n_numeric"), F.greatest(*dates).alias("n_date"),
+        ))
+    d = df.agg(F.array(*sums).alias("x")).select(F.inline("x"))
+    least = F.col("n") * share
+    kind = F.when(F.col("n") == 0, "text").when(F.col("n_boolean") == F.col("n"), "boolean").when(F.col("n_numeric") >= least, "numeric").when(F.col("n_date") >= least, "datetime").otherwise("text")
+    return d.select("column", "n", kind.alias("type"))
+
+
+def simple_role(n: int, n_unique: int) -> str:
+    """The role that the number of distinct values alone gives."""
+    return "identifier" if n and n_unique / n > 0.9 else "categorical" if n_unique <= 200 else "high_cardinality"
+
+
+def sampling_error(df: DataFrame, names: list[str], fraction: float, seed: int = 0) -> DataFrame:
+    """column, distinct share over all rows and over a sample of them, and their distance: what sampling would do to roles."""
+    def shares(d: DataFrame, what: str) -> DataFrame:
+        one = d.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(c) for c in names])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.try_divide(F.col(c), F.col("rows")).alias(what)) for c in names])))
+
+    d = shares(df, "exact").join(shares(df.sample(fraction, seed), "sampled"), "column")
+    return d.withColumn("error", F.abs(F.col("exact") - F.col("sampled")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallymark.functions.text import has_test_word, is_cancelled, is_null_token, is_total, strip_accents, trimmed
+from tallymark.functions.text import has_test_word, is_cancelled, is_cancelled_exactly, is_null_token, is_total, strip_accents, trimmed
 from tallymark.operators.stats import with_robust_z
 
 # What an issue takes from the score, by policy and severity.
@@ -115,6 +115,42 @@ def order_totals(df: DataFrame, order: str, total: str, line: str) -> DataFrame:
     return d.where(F.abs(F.col("total") - F.col("lines")) / F.nullif(F.abs("lines"), F.lit(0.0)) > 0.02).select(order, "n")
 
 
+def without_empty(df: DataFrame) -> DataFrame:
+    """Without columns that hold no value or a single one in all rows; an empty table keeps all."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count(c).alias("k"), (F.min(c).eqNullSafe(F.max(c))).alias("one")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    n = r[0]
+    return df.drop(*[c for c, x in zip(df.columns, r[1:], strict=True) if n and (not x["k"] or (x["one"] and x["k"] == n))])
+
+
+def status_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns with values that are words for a cancelled order, and how many such values."""
+    is_word = [F.when(is_cancelled_exactly(F.col(c)), F.col(c)) for c in names]
+    one = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_distinct(w).alias("n_status_values")) for c, w in zip(names, is_word, strict=True)]).alias("x"))
+    return one.select(F.inline("x")).where("n_status_values > 0")
+
+
+def dominant_value(df: DataFrame, c: str, share: float = 0.05) -> DataFrame:
+    """The most frequent value and its rows, if it holds ``share`` of all rows with one."""
+    d = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = d.agg(F.sum("n").alias("total"))  # one row
+    return d.orderBy(F.desc("n"), "value").limit(1).crossJoin(total).where(F.col("n") >= share * F.col("total")).select("value", "n")
+
+
+def implied_price_outliers(df: DataFrame, revenue: str, quantity: str) -> DataFrame:
+    """Rows with a price, and those whose revenue by quantity lies far from the median, by deviation and by a factor of 50."""
+    d = with_robust_z(df.select((F.col(revenue) / F.nullif(F.col(quantity), F.lit(0))).alias("value")).where("value > 0"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("z") > 15) & ~F.col("value").between(F.col("med") / 50, F.col("med") * 50)).alias("n_off"))
+
+
+def table_score(df: DataFrame, issues: list[Issue]) -> float:
+    """``score`` of a table: completeness from its null words, the other shares from the rows that issues touch."""
+    r = df.agg(F.count(F.lit(1)), *[F.count_if(is_null_token(F.col(c).cast("string"))) for c in df.columns]).first()
+    n = max(1, r[0])
+    filled = [x / n for x in r[1:] if x < n]
+    touched = lambda *kinds: 1 - min(1.0, sum(i.n_affected for i in issues if i.id[0] in kinds) / n)
+    return score(1 - sum(filled) / max(1, len(filled)), touched("C"), touched("T", "M"), touched("D"), issues)
+
+
 def score(completeness: float, consistency: float, validity: float, uniqueness: float, issues: list[Issue]) -> float:
     """Mean of the four shares in per cent less the issues' penalties, from 0 to 100."""
     mean = 100 * (completeness + consistency + validity + uniqueness) / 4

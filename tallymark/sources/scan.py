@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,6 +104,14 @@ def scan(spark: SparkSession, path: str) -> tuple[DataFrame, ReadReport]:
     return df, report
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under the one all machines share; a local one is made only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tallymark-")
+    return f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 

@@ -5,11 +5,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallymark import quality_queries, queries
+from tallymark import quality_queries, queries, report_queries
 
 SF = "/root/testdata/sf0.001"
-ALL = queries.QUERIES | quality_queries.QUERIES
-SQL = queries.ORACLE_SQL | quality_queries.ORACLE_SQL
+ALL = queries.QUERIES | quality_queries.QUERIES | report_queries.QUERIES
+SQL = queries.ORACLE_SQL | quality_queries.ORACLE_SQL | report_queries.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
