@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tallymark.plans.spec import Dimension, Filter, Spec
 
@@ -127,8 +126,8 @@ def execute(df: DataFrame, spec: Spec) -> DataFrame:
 
 def with_totals(df: DataFrame, spec: Spec) -> DataFrame:
     """The shown groups with the number and the total of all groups before the limit."""
-    everything = W.partitionBy()
-    out = grouped(df, spec).withColumn("n_groups", F.count(F.lit(1)).over(everything)).withColumn("total", F.sum("value").over(everything))
+    out = grouped(df, spec)
+    out = out.withColumn("n_groups", out.agg(F.count(F.lit(1))).scalar()).withColumn("total", out.agg(F.sum("value")).scalar())
     return out.orderBy(F.desc("value") if spec.descending else F.asc("value"), "dim0").limit(spec.limit or 1000)
 
 

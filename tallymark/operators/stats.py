@@ -1,4 +1,8 @@
-"""Statistics and business patterns of an aggregate (dim0, value, n_rows): few rows, so one task's windows."""
+"""Statistics and business patterns of an aggregate (dim0, value, n_rows).
+
+Series over time are few rows and use one task's windows; what may run over as
+many groups or rows as there are customers or orders does not.
+"""
 
 from __future__ import annotations
 
@@ -43,19 +47,51 @@ def direction(size: Column) -> Column:
     return F.when(flat, "stable").when(F.col("slope") > 0, "hausse").otherwise("baisse")
 
 
+def magnitude(c: Column, steps: int) -> Column:
+    """A whole number that never falls as ``c`` rises, ``steps`` to a doubling: at most some hundred thousand of them."""
+    return (F.signum(c) * F.floor(F.log2(F.abs(c) + 1) * steps)).cast("long")
+
+
 def pareto(agg: DataFrame) -> DataFrame:
-    """Shares of the largest fifth and of the largest group, and how many groups hold 80 %."""
-    order = _all().orderBy(F.desc("value"), "dim0")
-    d = agg.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(_all())).withColumn("share", F.col("value") / F.sum("value").over(_all()))
-    d = d.withColumn("cum", F.sum("share").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """Shares of the largest fifth and of the largest group, and how many groups hold 80 %.
+
+    Groups may be as many as customers: places and running sums are taken within
+    a class of magnitude, on top of those of the classes above it.
+    """
+    d = agg.withColumn("class", magnitude(F.col("value"), 32))
+    # One row a class of magnitude.
+    above = _all().orderBy(F.desc("class")).rowsBetween(W.unboundedPreceding, -1)
+    sums = d.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.sum("value").alias("s"))
+    sums = sums.select("class", F.coalesce(F.sum("k").over(above), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("s0"), F.sum("k").over(_all()).alias("n"), F.sum("s").over(_all()).alias("total"))
+    within = W.partitionBy("class").orderBy(F.desc("value"), "dim0")
+    d = d.join(sums, "class").withColumn("place", F.col("k0") + F.row_number().over(within))
+    d = d.withColumn("cum", (F.col("s0") + F.sum("value").over(within.rowsBetween(W.unboundedPreceding, 0))) / F.col("total")).withColumn("share", F.col("value") / F.col("total"))
     top = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
     return d.agg(F.max("n").alias("n_groups"), (F.sum(F.when(F.col("place") <= top, F.col("share"))) * 100).alias("top20_share_pct"), (F.max("share") * 100).alias("top1_share_pct"), (F.count_if(F.col("cum") <= 0.8) + 1).alias("n_for_80pct"))
 
 
+def exact_median(df: DataFrame, c: str) -> DataFrame:
+    """One row with the median m, null for no values; nulls and NaN don't count.
+
+    Values are counted by magnitude, and only those of the classes that hold
+    the middle are ordered: no task sees more than such a class.
+    """
+    d = df.select(F.col(c).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").withColumn("class", magnitude(F.col("v"), 1024))
+    sizes = d.groupBy("class").agg(F.count(F.lit(1)).alias("k"))
+    below = _all().orderBy("class").rowsBetween(W.unboundedPreceding, -1)  # one row a class of magnitude
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("k").over(below), F.lit(0))).withColumn("n", F.sum("k").over(_all()))
+    sizes = sizes.withColumn("lo", F.floor((F.col("n") - 1) / 2)).withColumn("hi", F.floor(F.col("n") / 2)).where("base <= hi AND base + k > lo")
+    held = d.join(F.broadcast(sizes.select("class", "base", "lo", "hi")), "class")  # two classes at most
+    held = held.groupBy("base", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("k"))
+    at = F.col("base") + F.coalesce(F.sum("k").over(W.partitionBy("base").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("at", at).where("at <= hi AND at + k > lo").agg(((F.min("v") + F.max("v")) / 2).alias("m"))
+
+
 def with_robust_z(df: DataFrame, c: str = "value") -> DataFrame:
     """Adds med, mad and z; z is null where half of all values are equal."""
-    d = df.withColumn("med", F.median(c).over(_all()))
-    d = d.withColumn("mad", F.median(F.abs(F.col(c) - F.col("med"))).over(_all()))
+    d = df.withColumn("med", exact_median(df, c).scalar())
+    off = d.select(F.abs(F.col(c) - F.col("med")).alias("off"))
+    d = d.withColumn("mad", exact_median(off, "off").scalar())
     return d.withColumn("z", F.lit(0.6745) * F.abs(F.col(c) - F.col("med")) / F.nullif("mad", F.lit(0.0)))
 
 
@@ -65,7 +101,7 @@ def spikes(agg: DataFrame) -> DataFrame:
 
 def long_tail(agg: DataFrame) -> DataFrame:
     """Groups, and those with under 1 % of the total; found if these are three or more and 30 %."""
-    d = agg.withColumn("share", F.col("value") / F.sum("value").over(_all()))
+    d = agg.withColumn("share", F.col("value") / agg.agg(F.sum("value")).scalar())
     d = d.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("share") < 0.01).alias("n_small"))
     return d.withColumn("found", (F.col("n_groups") >= 4) & (F.col("n_small") >= F.greatest(F.lit(3.0), 0.3 * F.col("n_groups"))))
 

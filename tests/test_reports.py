@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import facts, patterns, profile, sector, verify
+from tallymark.operators import facts, patterns, profile, sector, stats, verify
 from tallymark.plans import mapping
 from tallymark.plans.mapping import ColumnFacts
 from tallymark.plans.spec import Dimension, Spec
@@ -157,3 +157,19 @@ def test_rollup_ignores_the_session_zone(spark):
             assert sorted(r.day for r in daily_rollup(d).collect()) == ["2024-01-01", "2024-01-02"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", was)
+
+
+@pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], [1.0] * 9 + [7.0], [-3.0, -2.5, 0.0, 0.001, 1e12, -1e12, None, float("nan")], [k * 0.37 - 40 for k in range(301)], [2.0] * 50 + [3.0] * 50])
+def test_exact_median(spark, values):
+    d = spark.createDataFrame([(v,) for v in values], "x double")
+    known = sorted(v for v in values if v is not None and v == v)
+    want = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2 if known else None
+    assert stats.exact_median(d, "x").first().m == want
+
+
+def test_pareto_with_ties_and_negatives(spark):
+    values = [50.0, 50.0, 20.0, 20.0, 20.0, 1.0, 0.0, -2.0, 7.0, 7.0]
+    r = stats.pareto(_agg(spark, values, list("abcdefghij"))).first()
+    total, down = sum(values), sorted(values, reverse=True)
+    assert (r.n_groups, r.n_for_80pct) == (10, sum(sum(down[: k + 1]) / total <= 0.8 for k in range(10)) + 1)
+    assert abs(r.top20_share_pct - 100 * sum(down[:2]) / total) < 1e-9
