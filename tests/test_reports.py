@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import facts, patterns, profile, sector, stats, verify
+from tallymark.operators import facts, patterns, profile, quality, sector, stats, verify
 from tallymark.plans import mapping
 from tallymark.plans.mapping import ColumnFacts
 from tallymark.plans.spec import Dimension, Spec
@@ -173,3 +173,15 @@ def test_pareto_with_ties_and_negatives(spark):
     total, down = sum(values), sorted(values, reverse=True)
     assert (r.n_groups, r.n_for_80pct) == (10, sum(sum(down[: k + 1]) / total <= 0.8 for k in range(10)) + 1)
     assert abs(r.top20_share_pct - 100 * sum(down[:2]) / total) < 1e-9
+
+
+def test_sampling_error_of_all_rows_is_zero(spark):
+    d = spark.createDataFrame([(k, k % 3) for k in range(30)], "a int, b int")
+    assert {r.column: (r.exact, r.error) for r in profile.sampling_error(d, ["a", "b"], 1.0).collect()} == {"a": (1.0, 0.0), "b": (0.1, 0.0)}
+
+
+def test_table_score(spark):
+    d = spark.createDataFrame([("x",), ("N/A",), ("y",), ("z",)], "a string")
+    assert quality.table_score(d, []) == 93.75
+    issue = quality.Issue("D01_exact_duplicates", "high", "ASK", (), 2)
+    assert quality.table_score(d, [issue]) == 93.75 - 12.5 - 9 and quality.label(72.25) == "fair"
