@@ -45,7 +45,7 @@ _pattern("long_tail", lambda s, d: patterns.long_tail(_by_customer(s, d)), f"SEL
 _pattern("day_of_week", lambda s, d: patterns.weekday_peak(grouped(_orders(s, d), _weekday), 1.01), f"SELECT 'day_of_week_peak' AS pattern_id, 0.85::DOUBLE AS confidence FROM (SELECT value, avg(value) OVER () AS mean FROM ({_sql(_weekday, 'orders')})) HAVING count(*) >= 5 AND count(*) FILTER (value >= 1.01 * mean) > 0")
 _pattern("seasonal", lambda s, d: patterns.seasonal_peak(_monthly(s, d), 1.15), f"SELECT 'seasonal_peak' AS pattern_id, 0.8::DOUBLE AS confidence FROM (SELECT value, median(value) OVER () AS mid FROM {_monthly_sql}) HAVING count(*) >= 8 AND count(*) FILTER (value >= 1.15 * mid) BETWEEN 1 AND count(*) // 3")
 _pattern("basket_erosion", lambda s, d: patterns.basket_erosion(grouped(_orders(s, d), _mean)), _TREND.replace(_monthly_sql, f"({_sql(_mean, 'orders')})") + " SELECT 'basket_erosion' AS pattern_id, 0.8::DOUBLE AS confidence FROM v WHERE n >= 3 AND change_pct < -10 AND direction = 'baisse'")
-_pattern("single_purchase", lambda s, d: patterns.single_purchase(_orders(s, d).where("o_orderkey % 20 = 0"), "o_orderkey", "o_custkey"), "SELECT 'single_purchase_dominance' AS pattern_id, 0.85::DOUBLE AS confidence FROM orders WHERE o_orderkey % 20 = 0 HAVING count(DISTINCT o_orderkey) / count(DISTINCT o_custkey) < 1.3")
+_pattern("single_purchase", lambda s, d: patterns.single_purchase(_orders(s, d), "o_orderkey", "o_custkey"), "SELECT 'single_purchase_dominance' AS pattern_id, 0.85::DOUBLE AS confidence FROM orders WHERE o_orderkey % 20 = 0 HAVING count(DISTINCT o_orderkey) / count(DISTINCT o_custkey) < 1.3")
 _put("pattern_all", lambda s, d: patterns.detect(grouped(S.sales(s, d), _region), _region, role="region").select("pattern_id", "confidence"))
 
 _SPECS = (Spec("o_totalprice", "sum", (Dimension("o_orderdate", "temporal", "month"),), chart="line", title="Revenue by month"), Spec("o_totalprice", "sum", (Dimension("o_orderpriority"),), title="Revenue by priority"))

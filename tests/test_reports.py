@@ -132,6 +132,19 @@ def test_patterns(spark):
     assert found(_agg(spark, [10, 10, 10, 10, 30], ["lundi", "mardi", "jeudi", "vendredi", "samedi"]), week) == {"day_of_week_peak"}
 
 
+def test_single_purchase_reads_all_orders(spark, tmp_path):
+    from tallymark.report_queries import QUERIES
+
+    def found(name, rows):
+        spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        return [(r.pattern_id, r.confidence) for r in QUERIES["pattern_single_purchase"](spark, f"{tmp_path}/{name}").collect()]
+
+    assert found("ten_each", [(k, k % 41) for k in range(410)]) == []
+    assert found("one_each", [(k, k % 33) for k in range(1, 40)]) == [("single_purchase_dominance", 0.85)]
+    d = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 3), (5, 4)], "o long, c long")
+    assert json.loads(patterns.single_purchase(d, "o", "c").first().evidence) == {"orders": 5, "customers": 4, "orders_per_customer": 1.25}
+
+
 def test_facts(spark):
     d = spark.createDataFrame([(m, float(k + 1)) for k, m in enumerate("abcab")], "k string, x double")
     row = facts.facts(d, Spec("x", "sum", (Dimension("k"),), title="t")).first()
