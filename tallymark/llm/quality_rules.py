@@ -70,9 +70,38 @@ def base_columns(text: Column) -> Column:
 
 
 def _normal_lines(text: Column) -> Column:
-    """(h, words) of the lines that hold a word: lower case, white space runs as one space."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " ")))
-    return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("words")))
+    """(at, h, words) of the lines that hold a word: place from 1 among all lines; lower case, white space runs as one space."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("at"), F.trim(F.regexp_replace(F.lower(x), SPACE, " ")).alias("t")))
+    return F.transform(F.filter(lines, lambda x: x["t"] != ""), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["t"]).alias("h"), F.size(F.split(x["t"], " ")).cast("long").alias("words")))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text less the lines at ``places`` (sorted, from 1), which may be null; other lines stay as they are."""
+
+    def rest(lines: Column) -> Column:
+        cuts = F.concat(F.array(F.lit(0)), places, F.array(F.size(lines) + 1))
+        return let(cuts, lambda c: F.flatten(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.slice(lines, a + 1, b - a - 1))))
+
+    return F.when(places.isNull(), text).otherwise(F.array_join(let(F.split(text, "\n"), rest), "\n"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_texts: int, min_left: float) -> DataFrame:
+    """The rows of ``quality_rules``, and in ``removed_lines`` the sorted places of the lines above the limit, null if none."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    d = d.select("doc_id", "host", base_columns(F.col("text")).alias("b"), _normal_lines(F.col("text")).alias("lines"), F.xxhash64("text").alias("sig"), F.xxhash64(F.lit("2"), "text").alias("sig2"))
+    d = stored(d.select("doc_id", "host", "b.*", "lines", "sig", "sig2"), "rules-lines")
+    texts = d.where("n_words > 0").groupBy("host", "sig", "sig2").agg(F.min("doc_id").alias("first_id"), F.min_by("lines", "doc_id").alias("lines"))
+    per_line = texts.select("host", "sig", "sig2", "first_id", F.explode("lines").alias("x")).select("host", "sig", "sig2", "first_id", "x.*")
+    distinct = texts.select("host", "first_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    common = distinct.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts"), F.min("first_id").alias("keeper")).where(F.col("texts") > max_texts)
+    on = F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.h") == F.col("c.h"))
+    hit = per_line.alias("l").join(common.alias("c"), on).where("l.first_id <> c.keeper").select("l.host", "l.sig", "l.sig2", "l.at", "l.words")
+    removed = hit.groupBy("host", "sig", "sig2").agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_list("at")).alias("removed_lines"))
+    on = F.col("d.host").eqNullSafe(F.col("r.host")) & (F.col("d.sig") == F.col("r.sig")) & (F.col("d.sig2") == F.col("r.sig2"))
+    out = d.alias("d").join(removed.alias("r"), on, "left").select("d.*", F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"), "removed_lines")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words"))
+    depleted = F.col("n_words") - F.col("n_removed_words") < F.lit(min_left) * F.col("n_words")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
@@ -85,32 +114,24 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     above the limit stays in the text with the smallest id that holds it. Null
     and empty texts have no words and fail the base rules. A null host is a
     host of its own. Rows with equal ids are counted and returned as they are;
-    they share the removals of their texts. Other columns are not read.
+    they share the removals of their texts. Other columns are not read. The
+    texts themselves without these lines come from ``kept_documents``.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    d = d.select("doc_id", "host", base_columns(F.col("text")).alias("b"), _normal_lines(F.col("text")).alias("lines"), F.xxhash64("text").alias("sig"), F.xxhash64(F.lit("2"), "text").alias("sig2"))
-    d = stored(d.select("doc_id", "host", "b.*", "lines", "sig", "sig2"), "rules-lines")
-    texts = d.where("n_words > 0").groupBy("host", "sig", "sig2").agg(F.min("doc_id").alias("first_id"), F.min_by("lines", "doc_id").alias("lines"))
-    per_line = texts.select("host", "sig", "first_id", F.explode("lines").alias("x")).select("host", "sig", "first_id", F.col("x.h").alias("h"), F.col("x.words").alias("words"))
-    distinct = texts.select("host", "first_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    common = distinct.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts"), F.min("first_id").alias("keeper")).where(F.col("texts") > max_texts)
-    on = F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.h") == F.col("c.h"))
-    hit = per_line.alias("l").join(common.alias("c"), on).where("l.first_id <> c.keeper").select("l.host", "l.sig", "l.first_id", "l.words")
-    removed = hit.groupBy("host", "sig").agg(F.sum("words").alias("n_removed_words"))
-    on = F.col("d.host").eqNullSafe(F.col("r.host")) & (F.col("d.sig") == F.col("r.sig"))
-    out = d.alias("d").join(removed.alias("r"), on, "left").select("d.*", F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words"))
-    depleted = F.col("n_words") - F.col("n_removed_words") < F.lit(min_left) * F.col("n_words")
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    out = _judged(docs, id_col, text_col, host_col, max_texts, min_left)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns; rows are told apart by id and text."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("t"))
+def kept_documents(docs: DataFrame, *, max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
+    """The documents that the rules keep, with all their columns, their texts without the lines above the limit.
+
+    Rows are told apart by id, host and text.
+    """
+    key = F.struct("doc_id", F.col("source").cast("string").alias("host"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit("2"), "text").alias("t2"))
     named = docs.withColumn("__key", key)
-    stay = quality_rules(named.select(F.col("__key").alias("doc_id"), "text", "source"), **options).where("kept").select(F.col("doc_id").alias("__stay"))
-    return named.join(stay, F.col("__key").eqNullSafe(F.col("__stay")), "left_semi").select(*docs.columns)
+    stay = _judged(named.select("__key", "text", "source"), "__key", "text", "source", max_texts, min_left).where("kept")
+    stay = stay.select(F.col("doc_id").alias("__stay"), F.col("removed_lines").alias("__removed")).dropDuplicates(["__stay"])
+    both = named.join(stay, F.col("__key").eqNullSafe(F.col("__stay")))
+    return both.withColumn("text", without_lines(F.col("text"), F.col("__removed"))).select(*docs.columns)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

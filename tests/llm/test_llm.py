@@ -109,6 +109,22 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert [k for k in range(60) if got[k]] == [0] and all(got[100 + k] for k in range(60))
 
 
+def test_shared_lines_leave_the_kept_texts(spark):
+    line = "Home | About   us | Contact"
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    texts = {k: f"{line if k % 2 else line.upper()}\n\n{body(k)}\n{line}\n  tail {k}  \n" for k in range(60)} | {100: f"{line}\n{body(100)}", 101: body(101), 102: None}
+    rows = [(k, t, "other" if k == 100 else "h", k) for k, t in texts.items()] + [(5, texts[5], "h", 5), (5, texts[5], "other", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    got = quality_rules.kept_documents(df)
+    assert got.columns == df.columns
+    clean = lambda k: f"\n{body(k)}\n  tail {k}  \n"
+    want = [(0, texts[0], "h", 0), (100, texts[100], "other", 100), (101, texts[101], "h", 101), (5, clean(5), "h", 5), (5, texts[5], "other", 6)]
+    assert sorted(map(tuple, got.collect())) == sorted(want + [(k, clean(k), "h", k) for k in range(1, 60)])
+    removed = {r.doc_id: r.n_removed_words for r in quality_rules.quality_rules(df.where("source = 'h'")).collect()}
+    left = {r.doc_id: len(r.text.split()) for r in got.where("source = 'h'").collect()}
+    assert all(removed[k] == len(texts[k].split()) - n for k, n in left.items()) and removed[1] == 12
+
+
 def test_classifier_held_out(spark, odd, labels):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
