@@ -1,13 +1,17 @@
 """Near-duplicate vectors by a PCA-ordered, tiled comparison.
 
 Vectors are scaled to length one and turned so that the leading dimensions
-hold most of the variance. Two vectors with cosine c lie sqrt(2 - 2c) apart,
-so a grid over the first dimensions brings all pairs that can be linked into
-one cell: a vector is at home in its cell and a guest in later cells that its
-ball of that radius touches. Cells are cut into tiles; a pair of tiles is
-compared by adding up leading dimensions first, and the rest of a product is
-bounded by the norms of the suffixes. Pairs that reach the threshold by the
-bound are checked in double precision on the given components.
+hold most of the variance. Two vectors with cosine c lie sqrt(2 - 2c) apart.
+Within a label, blocks that are too large for one task are halved at the mean
+of their widest leading dimension, again and again; every block has a box of
+its leading dimensions. Pairs of blocks are found from the top of this tree
+down, and a pair goes on only while its boxes are near enough. A task takes
+one pair of blocks, so a vector is sent once for each block it may have links
+in. There the blocks are cut into tiles, pairs of tiles are left out by their
+boxes, and the rest are compared by adding up leading dimensions first, where
+the norms of the suffixes bound what is left of a product. Pairs that reach
+the threshold by the bound are checked in double precision on the given
+components.
 
 Equal vectors are one row with a count. Tasks return sums and spanning links
 for each vector, never the pairs themselves.
@@ -16,6 +20,7 @@ for each vector, never the pairs themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,12 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import components, dropped, small_batches, sorted_groups, stored, table
 
 THRESHOLD = 0.98
-#: Leading dimensions of the grid, and its cells' width in radii.
-GRID_DIMS = 3
-CELL_RADII = 1.5
+#: Leading dimensions of the boxes of blocks.
+LEAD = 16
+#: Bytes of vectors of a block, which one task holds twice.
+BLOCK_BYTES = 16 << 20
+#: Halvings at most; a block that is still too large, or has no width, is cut by hash.
+ROUNDS = 48
 TILE = 2048
 STAGES = (8, 24)
 SLACK = 1e-9
@@ -61,28 +69,6 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return axes[:, np.argsort(-values)]
 
 
-def _cells(y: np.ndarray, radius: float, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, is guest) for rotated unit vectors: the home cell, and later cells within the radius."""
-    lead = y[:, :GRID_DIMS]
-    dims = lead.shape[1]
-    home = np.floor(lead / width).astype(np.int64)
-    code = lambda c: ((c + (1 << 15)) << (16 * np.arange(dims)[::-1])).sum(1)
-    own = code(home)
-    rows, cells, guest = [np.arange(len(y))], [own], [np.zeros(len(y), bool)]
-    reach = int(np.ceil(radius / width))
-    for step in np.ndindex(*(2 * reach + 1,) * dims):
-        step = np.array(step) - reach
-        if not step.any():
-            continue
-        at = home + step
-        gap = np.maximum(0, np.maximum(at * width - lead, lead - (at + 1) * width))
-        near = np.flatnonzero(((gap * gap).sum(1) <= radius * radius) & (code(at) > own))
-        rows.append(near)
-        cells.append(code(at[near]))
-        guest.append(np.ones(len(near), bool))
-    return np.concatenate(rows), np.concatenate(cells), np.concatenate(guest)
-
-
 def compare(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of linked pairs of two tiles, with i < j if the tiles are one."""
     dim = a.shape[1]
@@ -113,6 +99,30 @@ def compare(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.nda
     return i[good], j[good]
 
 
+def compare_blocks(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, threshold: float, same: bool, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of linked pairs of two blocks, tile by tile; pairs of one block come once."""
+    far = max(0.0, 2 - 2 * threshold) + SLACK
+
+    def tiles(turned: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        order = np.argsort(turned[:, 0], kind="stable")
+        cuts = [order[k : k + tile] for k in range(0, len(order), tile)]
+        lead = [turned[c, : STAGES[0]] for c in cuts]
+        return cuts, np.array([x.min(0) for x in lead]), np.array([x.max(0) for x in lead])
+
+    ta, lo_a, hi_a = tiles(turned_a)
+    tb, lo_b, hi_b = (ta, lo_a, hi_a) if same else tiles(turned_b)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k, x in enumerate(ta):
+        gap = np.maximum(0, np.maximum(lo_a[k] - hi_b, lo_b - hi_a[k]))
+        for q in np.flatnonzero((gap * gap).sum(1) <= far).tolist():
+            if same and q < k:
+                continue
+            y = tb[q]
+            i, j = compare(a[x], b[y], turned_a[x], turned_b[y], threshold, same and q == k)
+            found.append((x[i], y[j]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node it is linked with, over any number of links."""
     root = np.arange(n)
@@ -133,8 +143,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     Vectors are linked within a label by cosine >= ``threshold``. A null label,
     a null, empty or zero vector, and one with null or non-finite components
     link with nothing. Vectors of different lengths are never linked. Repeated
-    rows count as vectors of their own and link with each other. Other columns
-    are not read.
+    rows count as vectors of their own and link with each other. A null vec_id
+    links with nothing. An empty table gives no rows. Other columns are not
+    read. Sets the session's Arrow batch size.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -143,80 +154,120 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     d = d.withColumn("v", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & plain, F.transform("v", lambda x: x + F.lit(0.0))))
     d = d.withColumn("h", F.xxhash64("v", F.lit(1)))
     usable = d.where("v IS NOT NULL")
-    classes = stored(usable.groupBy("label", "h", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
+    classes = usable.groupBy("label", "h", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # A repeated vec_id may stand for several vectors, so classes have numbers of their own.
+    classes = stored(classes.withColumn("no", F.monotonically_increasing_id()), "vectors")
     dims = [r.k for r in classes.select(F.size("v").alias("k")).distinct().collect()]
-    found = None
-    for dim in dims:  # one, unless vectors of several lengths are mixed
-        part = _links(classes.where(F.size("v") == dim), dim, threshold)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not dims:
         return d.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = stored(found, "vector-links")
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(spark, found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
-    known = classes.join(sums, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "h", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    # One length, unless vectors of several lengths are mixed.
+    found = stored(reduce(DataFrame.unionByName, [_links(classes.where(F.size("v") == dim), dim, threshold) for dim in dims]), "vector-links")
+    sums = found.groupBy("no").agg(F.sum("links").alias("links"))
+    comps = components(spark, found.where("root <> no").select(F.col("no").alias("a"), F.col("root").alias("b")), "vectors").withColumnRenamed("node", "no")
+    least = comps.join(classes.select("no", "rep"), "no").groupBy("component").agg(F.min("rep").alias("first"))
+    known = classes.join(sums, "no", "left").join(comps.join(least, "component").select("no", "first"), "no", "left")
+    known = known.select("label", "h", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("first", "rep").alias("component"))
     # h is a hash of the components: equal vectors have equal h, and v tells others apart.
     out = d.join(known, ["label", "h", "v"], "left")
     comp = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(rep, links, root): parts of each vector's links, and local spanning links."""
+def _boxes(rows: DataFrame, lead: int, most: int) -> DataFrame:
+    """(label, node, n, lo, hi, axis, cut, split) of the nodes of ``rows``: their boxes, and where those of over ``most`` vectors are halved."""
+    of = lambda how: F.array(*[how(F.get("lead", F.lit(k))) for k in range(lead)])
+    d = rows.groupBy("label", "node").agg(F.count(F.lit(1)).alias("n"), of(F.min).alias("lo"), of(F.max).alias("hi"), of(F.avg).alias("mean"))
+    d = d.withColumn("width", F.zip_with("hi", "lo", lambda x, y: x - y))
+    d = d.withColumn("axis", (F.array_position("width", F.array_max("width")) - 1).cast("int"))
+    return d.select("label", "node", "n", "lo", "hi", "axis", F.get("mean", "axis").alias("cut"), ((F.col("n") > most) & (F.array_max("width") > 1e-9)).alias("split"))
+
+
+def _tree(rows: DataFrame, lead: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(no, label, node) of all vectors in their last nodes, and the boxes of each level; node k has the halves 2k and 2k + 1."""
+    done, levels = [], []
+    for depth in range(ROUNDS + 1):
+        boxes = _boxes(rows, lead, most)
+        boxes = stored(boxes if depth < ROUNDS else boxes.withColumn("split", F.lit(False)), "vector-boxes")
+        levels.append(boxes)
+        big = boxes.where("split").select("label", "node", "axis", "cut")
+        if big.isEmpty():
+            done.append(rows.select("no", "label", "node"))
+            break
+        d = rows.join(big, ["label", "node"], "left")
+        done.append(d.where("axis IS NULL").select("no", "label", "node"))
+        half = (F.get("lead", "axis") > F.col("cut")).cast("long")
+        rows = stored(d.where("axis IS NOT NULL").select("no", "label", (F.col("node") * 2 + half).alias("node"), "lead"), "vector-nodes")
+    return reduce(DataFrame.unionByName, done), levels
+
+
+def _near_pairs(levels: list[DataFrame], far: float) -> DataFrame:
+    """(label, a, b) with a <= b: pairs of last nodes whose boxes are within the distance, from the top down."""
+    pairs = levels[0].where("n > 1").select("label", F.col("node").alias("a"), F.col("node").alias("b"))
+    for k in range(len(levels) - 1):
+        halved = levels[k].where("split").select("label", "node", F.lit(True).alias("split"))
+        boxes = reduce(DataFrame.unionByName, [x.select("label", "node", "lo", "hi") for x in levels[: k + 2]])
+        side = lambda d, c: d.withColumnsRenamed({x: f"{x}_{c}" for x in d.columns if x != "label"})
+        d = pairs
+        for c in "ab":
+            d = d.join(side(halved, c).withColumnRenamed(f"node_{c}", c), ["label", c], "left")
+            d = d.withColumn(f"k{c}", F.explode(F.when(F.col(f"split_{c}"), F.array(F.col(c) * 2, F.col(c) * 2 + 1)).otherwise(F.array(c))))
+        d = d.where("a <> b OR ka <= kb").select("label", F.col("ka").alias("a"), F.col("kb").alias("b"))
+        for c in "ab":
+            d = d.join(side(boxes, c).withColumnRenamed(f"node_{c}", c), ["label", c])
+        gaps = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+        d = d.where(F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x * x) <= far).select("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stored(d, "vector-pairs")
+    return pairs
+
+
+def _links(classes: DataFrame, dim: int, threshold: float, block: int | None = None) -> DataFrame:
+    """(no, links, root): parts of each vector's links, and local spanning links."""
     axes = rotation(classes, dim)
-    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    width = CELL_RADII * radius
+    lead = min(LEAD, dim)
+    most = block or max(TILE, BLOCK_BYTES // (8 * dim))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("v"), dim)
-            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
-            rows, cells, guest = _cells(y, radius, width)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(cells), pa.array(guest), batch.column("rep").take(take)], ["label", "cell", "guest", "rep"])
-
-    kind = {c: classes.schema[c].dataType.simpleString() for c in ("label", "rep")}
-    dealt = stored(classes.select("label", "rep", "v").mapInArrow(deal, f"label {kind['label']}, cell long, guest boolean, rep {kind['rep']}"), "vector-cells")
-    cells = dealt.groupBy("label", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests")).where("homes + guests > 1 AND homes > 0")
-    d = dealt.join(cells, ["label", "cell"])
-    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    d = d.withColumn("tiles", tiles("homes")).withColumn("guest_tiles", tiles("guests"))
-    place = F.pmod(F.xxhash64("rep", F.lit(7)), F.when(F.col("guest"), F.col("guest_tiles")).otherwise(F.col("tiles"))).cast("int")
-    d = d.withColumn("tile", place)
-    others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    # A home tile meets itself, the other home tiles, and each guest tile; a guest tile meets the home tiles.
-    homes = F.concat(
-        F.transform(others, lambda t: F.struct(F.least(t, F.col("tile")).alias("p"), F.greatest(t, F.col("tile")).alias("q"), F.lit(False).alias("g"), (t < F.col("tile")).alias("second"))),
-        F.when(F.col("guest_tiles") > 0, F.transform(F.sequence(F.lit(0), F.col("guest_tiles") - 1), lambda t: F.struct(F.col("tile").alias("p"), t.alias("q"), F.lit(True).alias("g"), F.lit(False).alias("second")))).otherwise(F.array().cast("array<struct<p:int,q:int,g:boolean,second:boolean>>")),
-    )
-    guests = F.transform(others, lambda t: F.struct(t.alias("p"), F.col("tile").alias("q"), F.lit(True).alias("g"), F.lit(True).alias("second")))
-    d = d.select("rep", "label", "cell", F.explode(F.when(F.col("guest"), guests).otherwise(homes)).alias("x"))
-    d = d.select("rep", F.xxhash64("label", "cell", "x.p", "x.q", "x.g").alias("task"), F.xxhash64("cell", "label", "x.q", "x.p", "x.g").alias("task2"), "x.second")
-    vectors = classes.select("rep", "n", "v")
-    d = d.join(vectors, "rep")
+            if batch.num_rows:
+                x = _matrix(batch.column("v"), dim)
+                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[:, :lead]
+                yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("label"), pa.array(np.ones(len(y), np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), lead).cast(pa.list_(pa.float64()))], ["no", "label", "node", "lead"])
+
+    kind = classes.schema["label"].dataType.simpleString()
+    rows = stored(classes.select("no", "label", "v").mapInArrow(turn, f"no long, label {kind}, node long, lead array<double>"), "vector-nodes")
+    members, levels = _tree(rows, lead, most)
+    pairs = _near_pairs(levels, max(0.0, 2 - 2 * threshold) + SLACK)
+    parts = reduce(DataFrame.unionByName, levels).where("NOT split").select("label", "node", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    # A block that couldn't be halved is cut by hash, and its parts meet each other.
+    for c in "ab":
+        pairs = pairs.join(parts.select("label", F.col("node").alias(c), F.col("parts").alias(f"parts_{c}")), ["label", c])
+        pairs = pairs.withColumn(f"part_{c}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{c}") - 1)))
+    pairs = pairs.where("a <> b OR part_a <= part_b")
+    names = ("label", "a", "b", "part_a", "part_b")
+    pairs = pairs.withColumn("task", F.xxhash64(*names)).withColumn("task2", F.xxhash64(F.lit(2), *names))
+    side = lambda c, d: d.select("label", F.col(c).alias("node"), F.col(f"part_{c}").alias("part"), "task", "task2", F.lit(c == "b").alias("second"))
+    sides = side("a", pairs).unionByName(side("b", pairs.where("a <> b OR part_a <> part_b")))
+    own = members.join(parts, ["label", "node"]).select("no", "label", "node", F.pmod(F.xxhash64("no", F.lit(7)), "parts").cast("int").alias("part"))
+    d = own.join(classes.select("no", "n", "v"), "no").join(sides, ["label", "node", "part"]).select("no", "n", "v", "task", "task2", "second")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["task", "task2"]):
-            rep, n, second = (group.column(c).to_numpy() for c in ("rep", "n", "second"))
+            no, n, second = (group.column(c).to_numpy() for c in ("no", "n", "second"))
             x = _matrix(group.column("v"), dim)
-            order = np.argsort(rep, kind="stable")
-            rep, n, second, x = rep[order], n[order], second[order].astype(bool), x[order]
+            second = second.astype(bool)
             turned = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
             a, b = np.flatnonzero(~second), np.flatnonzero(second)
             if len(b):
-                i, j = compare(x[a], x[b], turned[a], turned[b], threshold, False)
+                i, j = compare_blocks(x[a], x[b], turned[a], turned[b], threshold, False)
                 i, j = a[i], b[j]
             else:
-                i, j = compare(x, x, turned, turned, threshold, True)
-            links = np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
-            root = rep[local_roots(len(rep), i, j)]
+                i, j = compare_blocks(x, x, turned, turned, threshold, True)
+            links = np.bincount(i, n[j], len(no)) + np.bincount(j, n[i], len(no))
+            root = no[local_roots(len(no), i, j)]
             some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(no[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["no", "links", "root"])
 
-    return d.repartition("task").sortWithinPartitions("task", "task2").mapInArrow(run, f"rep {kind['rep']}, links long, root {kind['rep']}")
+    return d.repartition("task").sortWithinPartitions("task", "task2").mapInArrow(run, "no long, links long, root long")
 
 
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
