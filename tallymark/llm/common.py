@@ -7,6 +7,7 @@ not a recomputation.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,14 +26,19 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch, which a worker holds in memory, and rows of a slice of it.
 BATCH_BYTES = 16 << 20
 SLICE_ROWS = 512
+#: Folders of local sessions without a shared one, and working tables that are left when the program ends.
+_LOCAL: dict[str, str] = {}
+_LEFT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Only where none is set (tests) is a local one made."""
+    """The folder all machines share. Only a local session that has none (tests) gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallymark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        found = _LOCAL.get(app) or _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tallymark-"))
     return found.rstrip("/")
 
 
@@ -41,8 +47,12 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, keeps true sizes."""
+    """``df`` written to the shared folder and read again: cuts lineage, keeps true sizes.
+
+    The files go when ``dropped`` is called or the program ends, while the session still runs then.
+    """
     path = new_path(df.sparkSession, what)
+    _LEFT[path] = df.sparkSession
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tallymark_path = path
@@ -58,7 +68,18 @@ def dropped(*frames: DataFrame) -> None:
                 remove_path(df.sparkSession, path)
 
 
+@atexit.register
+def _remove_left() -> None:
+    """Results are read after the operators return, so what they read can only go at the end."""
+    for path, spark in list(_LEFT.items()):
+        with suppress(Exception):  # the session may have been stopped
+            if spark.sparkContext._jsc is None:
+                return
+            remove_path(spark, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
+    _LEFT.pop(path, None)
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -148,6 +169,38 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def opened(path: str):
+    """A file of the shared folder for range reads, ``read_at(n, offset)``, or None where Python doesn't know its store."""
+    from pyarrow import fs
+
+    try:
+        store, name = fs.FileSystem.from_uri(path)
+        return store.open_input_file(name)
+    except Exception:  # any failure of a store that only Spark reads
+        return None
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files under a folder that aren't empty; their content isn't read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the files under a folder that aren't empty."""
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+
+
+def all_open(files: DataFrame) -> bool:
+    """Whether Python opens the files of a folder, by its first one; true where there is none."""
+    first = files.select("path").limit(1).collect()
+    if not first:
+        return True
+    f = opened(first[0].path)
+    if f is not None:
+        f.close()
+    return f is not None
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start+1, ... of every piece, one after the other."""
     total = int(lengths.sum())
