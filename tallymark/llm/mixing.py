@@ -7,10 +7,12 @@ is emitted once for each integer that the running sum crosses. Only
 DataFrame functions run here.
 
 The order within a source is (size class, slice of the document's hash, size,
-document): sizes that rise keep the words taken near the target, and the
-slices let a source that holds most rows be numbered by many tasks. A slice
-holds about 1/4096 of all rows at any input size, so the table of slices has
-a bounded number of rows for each source.
+document). Classes are ranges of sizes, each at most a thirty-second wide, so
+sizes rise along the order but for that: the words taken then lie within one
+largest document of the target, and a thirty-second of a document for each
+slice. The slices let a source or a size that holds most rows be numbered by
+many tasks. A slice holds about 1/4096 of all rows at any input size, so the
+table of slices has a bounded number of rows for each source.
 """
 
 from __future__ import annotations
@@ -65,11 +67,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Null or empty texts have size 0; they take no words but keep a number of
     copies like any other document of their source. A source without words
     has target 0. A null source is one source, ordered last. Rows with equal
-    ids count as documents of their own. An empty table gives an empty table.
+    ids count as documents of their own; rows with null ids are told apart by
+    their texts. An empty table gives an empty table. Texts are read whole.
     Columns other than the three named are not read.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    d = d.withColumn("class", F.length(F.bin("size")))
+    place = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.xxhash64(text_col).cast("string")))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), place.alias("place"))
+    # 32 classes between powers of two.
+    d = d.withColumn("bits", F.length(F.bin("size"))).withColumn("class", F.expr("bits * 32 + shiftright(size * 64, bits) - 32").cast("long")).drop("bits")
     d = stored(d, "mix-sizes")
     strata = d.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     targets = source_targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -80,8 +85,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     if known.count() <= 100_000:
         known = F.broadcast(known)
     on = F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.class") == F.col("k.class"))
-    d = d.alias("d").join(known.alias("k"), on).select("d.doc_id", "d.source", "d.class", "size", "slices", "source_size", "target")
-    d = d.withColumn("slice", F.floor(_uniform(F.lit("slice"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) * F.col("slices")))
+    d = d.alias("d").join(known.alias("k"), on).select("d.doc_id", "d.source", "d.class", "size", "place", "slices", "source_size", "target")
+    d = d.withColumn("slice", F.floor(_uniform(F.lit("slice"), F.col("place")) * F.col("slices")))
     block = ["source", "class", "slice"]
     counts = d.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("source").orderBy("class", "slice").rowsBetween(W.unboundedPreceding, -1)
@@ -90,7 +95,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     bases = stored(bases, "mix-bases")
     if bases.count() <= 100_000 + SLICES:
         bases = F.broadcast(bases)
-    here = F.row_number().over(W.partitionBy(*block).orderBy("size", "doc_id"))
+    here = F.row_number().over(W.partitionBy(*block).orderBy("size", "doc_id", "place"))
     d = d.withColumn("here", here)
     on = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.class") == F.col("b.class")) & (F.col("d.slice") == F.col("b.slice"))
     d = d.alias("d").join(bases.alias("b"), on).select("d.doc_id", "d.source", "size", "source_size", "target", (F.col("base") + F.col("here")).alias("at"))
@@ -107,14 +112,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows with equal ids are told apart by a hash of the row's text and source;
     rows equal in all three take the same number of copies each as one of them.
+    Columns of any name are carried as they are; an empty table stays empty.
     """
-    key = F.struct(F.col("doc_id"), F.xxhash64("text", "source"))
-    named = docs.withColumn("__key", key)
-    taken = mix(named.select(F.col("__key").alias("doc_id"), "text", "source"), **options)
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = named.join(taken, named["__key"].eqNullSafe(taken["doc_id"]))
-    out = joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return out.select(*[named[c] for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(row.alias("row"), F.struct(F.col("doc_id"), F.xxhash64("text", "source")).alias("k"))
+    taken = mix(named.select(F.col("k").alias("doc_id"), "row.text", "row.source"), **options)
+    taken = taken.groupBy(F.col("doc_id").alias("taken_k")).agg(F.max("copies").cast("int").alias("copies"))
+    joined = named.join(taken, F.col("k").eqNullSafe(F.col("taken_k"))).where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -126,7 +131,7 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-c AS (SELECT *, length(format('{:b}', size::BIGINT)) AS class FROM d),
+c AS (SELECT *, bits * 32 + ((size::BIGINT * 64) >> bits) - 32 AS class FROM (SELECT *, length(format('{:b}', size::BIGINT)) AS bits FROM d)),
 st AS (SELECT source, class, count(*) AS n, ceil(count(*) * 4096 / sum(count(*)) OVER ()) AS slices FROM c GROUP BY source, class),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM c GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM s),
