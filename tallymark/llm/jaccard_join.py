@@ -6,8 +6,8 @@ them at each step, the same for all sets that reach its node, and sets that
 share the token go on together. Nodes with at most ``SMALL`` sets are compared
 by brute force; larger ones split again by two tokens. Nodes that splitting
 would not make smaller, because their sets are alike, are compared in blocks.
-A pair at the threshold meets in a run with probability 3/4 or more at any
-depth, and runs are repeated until the target recall.
+Each run starts with a coordinate of its own; runs are repeated until a pair at
+the threshold meets with the target recall.
 
 A pair that meets in several nodes is counted in the first of them only, which
 each task sees from the lists of nodes that sets carry; so tasks return sums
@@ -32,7 +32,7 @@ from tallymark.llm.common import components, dropped, mix64, small_batches, sort
 WORDS = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999999
-COORDINATES = 64
+COORDINATES = 96
 SMALL = 64
 BRANCHES = 2
 DEPTH = 5
@@ -46,14 +46,26 @@ _MUL = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) +
 _ADD = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
-def runs_for(recall: float, threshold: float) -> int:
-    """Runs so that a pair at the threshold is missed with probability 1 - recall at most.
+def missed(runs: int, threshold: float, depth: int = DEPTH) -> float:
+    """Chance that a pair at the threshold meets in no run.
 
-    With two branches the chance p of meeting below a node solves
-    p = s (1 - (1 - p)^2), so p = 2 - 1/s; at s = 0.8 it is 3/4.
+    All runs use the same coordinates, so the chance is that of each number
+    of coordinates that the pair may agree in, weighed by how likely it is. A
+    run starts with one coordinate, and a node splits by two, ``depth`` - 1
+    times at most.
     """
-    p = max(0.05, min(threshold, 2 - 1 / threshold))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    total = 0.0
+    for k in range(COORDINATES + 1):
+        share, p = k / COORDINATES, 1.0
+        for _ in range(depth - 1):
+            p = 1 - (1 - share * p) ** BRANCHES
+        total += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) * (1 - share * p) ** runs
+    return total
+
+
+def runs_for(recall: float, threshold: float) -> int:
+    """The fewest runs that miss a pair at the threshold with probability 1 - recall at most."""
+    return next((r for r in range(1, COORDINATES) if missed(r, threshold) <= 1 - recall), COORDINATES)
 
 
 def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
@@ -96,11 +108,11 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _child(node: np.ndarray, branch: int, sigs: np.ndarray) -> np.ndarray:
-    """Node that each set reaches from ``node`` by the branch's coordinate."""
+def _child(node: np.ndarray, branch: int, sigs: np.ndarray, coordinate: int | None = None) -> np.ndarray:
+    """Node that each set reaches from ``node`` by the branch's coordinate, or by the one that is named."""
     with np.errstate(over="ignore"):
         seed = mix64(node + np.uint64(branch + 1) * np.uint64(0xD6E8FEB86659FD93))
-        c = (seed >> np.uint64(20)) % np.uint64(COORDINATES)
+        c = (seed >> np.uint64(20)) % np.uint64(COORDINATES) if coordinate is None else np.full(len(node), coordinate)
         return mix64(seed * np.uint64(0x9E3779B97F4A7C15) + sigs[np.arange(len(sigs)), c.astype(np.int64)].astype(np.uint64))
 
 
@@ -123,7 +135,7 @@ def _nodes(classes: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
             if not n:
                 continue
             sigs = _sigs(batch.column("sig"))
-            nodes = np.concatenate([_child(np.full(n, r, np.uint64), 7 + r, sigs) for r in range(runs)])
+            nodes = np.concatenate([_child(np.full(n, r, np.uint64), 7 + r, sigs, r % COORDINATES) for r in range(runs)])
             take = pa.array(np.tile(np.arange(n), runs))
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), batch.column("m").take(take), pa.array(nodes.view(np.int64))], ["rep", "m", "node"])
 
@@ -214,7 +226,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id with an equal set, ``n_links`` the number of other documents at or above
     the threshold, copies included. Texts of one to four words are one gram;
     null texts and texts without words, and rows with a null id, link with
-    nothing. Repeated rows are copies of each other. Other columns are not read.
+    nothing. Repeated rows are copies of each other. Texts are read whole, however
+    long; an empty table gives no rows. Other columns are not read. Sets the
+    session's Arrow batch size.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -302,11 +316,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: of each class the one with the smallest id, once if rows repeat it; all columns stay."""
-    stay = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"])).drop("__id")
-    once = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    return kept.withColumn("__n", once).where("__n = 1 OR doc_id IS NULL").drop("__n")
+    """The documents that stay: of each class the one with the smallest id, once if rows repeat it.
+
+    Null and empty texts are classes of their own and stay, as do all rows
+    with a null id. Columns of any name are carried as they are.
+    """
+    stay = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("stay")).distinct()
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), F.xxhash64("text").alias("t"))
+    kept = named.join(stay, F.col("k").eqNullSafe(F.col("stay")))
+    once = F.row_number().over(W.partitionBy("k", "t").orderBy(F.lit(1)))
+    known = kept.where("k IS NOT NULL").withColumn("place", once).where("place = 1").select("row.*")
+    return known.unionByName(kept.where("k IS NULL").select("row.*"))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
