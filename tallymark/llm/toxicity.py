@@ -7,7 +7,9 @@ features are the word, its start and end, its shape and its neighbours.
 Forward-backward marginals give the toxic spans, and a logistic fit on sums of
 them the document's score.
 
-Chains are lines, cut after ``CHAIN`` words, so that chains run side by side.
+Chains are whole lines. A line of over ``PIECE`` words is worked on in pieces
+side by side; the transfer matrices of its pieces are joined from both ends
+first, so that its marginals are those of the whole line.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ from tallymark.llm.common import crc_mod, ragged, small_batches, table, text_sli
 from tallymark.llm.quality_classifier import labelled_sample
 
 #: Learning uses at most so many labelled documents, those with the smallest hashes of their ids ...
-MAX_ROWS = 7_000
-#: ... and at most so many chains of them, half with labelled words and half without.
-MAX_CHAINS = 4_000
-CHAIN = 64
+MAX_ROWS = 20_000
+#: ... of at most so many bytes of text in all, as they come to the driver ...
+MAX_BYTES = 24 << 20
+#: ... and at most so many pieces of their lines, half with labelled words and half without.
+MAX_PIECES = 4_000
+#: Words of a line that are worked on in one piece; learning takes the pieces as chains.
+PIECE = 64
 #: A mark is in at least so many toxic documents (more if chance alone would give as many), and this share of its documents is toxic.
 MIN_TOXIC = 4
 MIN_SHARE = 0.9
@@ -65,11 +70,11 @@ def _own_features(w: str) -> list[int]:
 
 
 class _Texts:
-    """Words of a batch of texts as codes, with places and chains."""
+    """Words of a batch of texts as codes, with places and the pieces (chains) of their lines."""
 
     def __init__(self, texts: list[str | None]):
         self.words: dict[bytes, int] = {}
-        codes, starts, doc, chain, chains = [], [], [], [], 0
+        codes, starts, doc, chain, follows = [], [], [], [], []
         for k, text in enumerate(texts):
             if not text:
                 continue
@@ -82,12 +87,14 @@ class _Texts:
                     codes.append(np.array(found, np.int64))
                     doc.append(np.full(n, k))
                     starts.append(np.full(n, at))
-                    chain.append(chains + np.arange(n) // CHAIN)
-                    chains += -(-n // CHAIN)
+                    chain.append(len(follows) + np.arange(n) // PIECE)
+                    follows += [False] + [True] * ((n - 1) // PIECE)
                 at += len(line) + 1
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.codes, self.doc, self.line_at, self.chain, self.n_chains = join(codes), join(doc), join(starts), join(chain), chains
-        self.sizes = np.bincount(self.chain, minlength=chains) if chains else np.zeros(0, np.int64)
+        self.codes, self.doc, self.line_at, self.chain, self.n_chains = join(codes), join(doc), join(starts), join(chain), len(follows)
+        #: Whether a piece goes on with the line of the piece before it.
+        self.follows = np.array(follows, bool)
+        self.sizes = np.bincount(self.chain, minlength=self.n_chains) if follows else np.zeros(0, np.int64)
 
 
 def marked_words(names: list[str], t: _Texts, toxic: np.ndarray) -> np.ndarray:
@@ -136,7 +143,7 @@ class ChainField:
             self.weights = np.concatenate([self.weights, self._word_weights(new)])
         each = self.weights[rows]
         e = each[t.codes, 0].copy()
-        same = t.chain[1:] == t.chain[:-1]
+        same = (t.chain[1:] == t.chain[:-1]) | t.follows[t.chain[1:]]
         e[1:] += np.where(same, each[t.codes[:-1], 1], 0)
         e[:-1] += np.where(same, each[t.codes[1:], 2], 0)
         return e
@@ -147,18 +154,46 @@ class ChainField:
             return np.zeros(0)
         e = self.potentials(t)
         starts = np.cumsum(t.sizes) - t.sizes
+        enter, leave = np.ones((t.n_chains, 2)), np.ones((t.n_chains, 2))
+        if t.follows.any():
+            self._join_pieces(t, e, starts, enter, leave)
         out = np.zeros(len(e))
-        order = np.argsort(-t.sizes, kind="stable")
-        for a in range(0, len(order), 4096):
-            ids = order[a : a + 4096]
-            n = int(t.sizes[ids[0]])
-            grid = np.full((len(ids), n), -np.inf)
-            inside = np.arange(n)[None, :] < t.sizes[ids][:, None]
-            flat = ragged(starts[ids], t.sizes[ids])
-            grid[inside] = e[flat]
-            out[flat] = forward_backward(grid, inside, self.trans)[0][inside]
+        for ids, flat, grid, inside in _grids(t.sizes, starts, e, np.arange(t.n_chains)):
+            out[flat] = forward_backward(grid, inside, self.trans, enter[ids], leave[ids])[0][inside]
         return out
 
+    def _join_pieces(self, t: _Texts, e: np.ndarray, starts: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> None:
+        """Sets what comes into each piece of a long line from the pieces before it, and from those after it."""
+        long = t.follows.copy()
+        long[:-1] |= t.follows[1:]
+        pieces = np.flatnonzero(long)
+        m = np.exp(self.trans)
+        through = np.ones((t.n_chains, 2, 2))  # [state before, state of the last word]
+        for ids, _, grid, inside in _grids(t.sizes, starts, e, pieces):
+            top = np.maximum(grid, 0)
+            pot = np.exp(np.stack([-top, np.where(inside, grid, 0) - top], 2))
+            x = np.where(t.follows[ids, None, None], m, np.ones((2, 2))) * pot[:, :1]
+            for k in range(1, grid.shape[1]):
+                step = (x @ m) * pot[:, k, None]
+                x = np.where(inside[:, k, None, None], step / step.max((1, 2), keepdims=True), x)
+            through[ids] = x
+        first = pieces[~t.follows[pieces]]
+        count = np.diff(np.append(np.flatnonzero(~t.follows[pieces]), len(pieces)))
+        alpha = through[first, 0]
+        for j in range(1, int(count.max())):
+            on = count > j
+            k = first[on] + j
+            enter[k] = alpha[on] @ m
+            alpha[on] = (alpha[on][:, None] @ through[k])[:, 0]
+            alpha[on] /= alpha[on].sum(1, keepdims=True)
+        beta = np.ones((len(first), 2))
+        for j in range(int(count.max()) - 1, 0, -1):
+            on = count > j
+            k = first[on] + j
+            beta[on] = (through[k] @ beta[on][:, :, None])[:, :, 0]
+            beta[on] /= beta[on].sum(1, keepdims=True)
+            leave[k - 1] = beta[on]
+
     def spans(self, text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
         """(first character, character after, highest marginal) of runs of toxic words; p is by word of the text."""
         b = text.encode("utf-8", "replace")
@@ -177,10 +212,25 @@ class ChainField:
         return 1 / (1 + np.exp(-(self.calibration[0] + sums @ self.calibration[1:])))
 
 
-def forward_backward(e: np.ndarray, inside: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grids(sizes: np.ndarray, starts: np.ndarray, e: np.ndarray, chains: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(chains, places of their words, padded potentials, which are words) for chains of about one length at a time."""
+    order = chains[np.argsort(-sizes[chains], kind="stable")]
+    for a in range(0, len(order), 4096):
+        ids = order[a : a + 4096]
+        n = int(sizes[ids[0]])
+        grid = np.full((len(ids), n), -np.inf)
+        inside = np.arange(n)[None, :] < sizes[ids][:, None]
+        flat = ragged(starts[ids], sizes[ids])
+        grid[inside] = e[flat]
+        yield ids, flat, grid, inside
+
+
+def forward_backward(e: np.ndarray, inside: np.ndarray, trans: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(toxic marginals, expected transitions [2, 2], log partition sums) of padded chains.
 
     ``e``: log potential of the toxic tag at each place; the clean tag has 0.
+    ``enter`` and ``leave`` weigh the tags of the first and last word by what
+    lies before and after a chain; without them there is nothing.
     """
     n_rows, n = e.shape
     pot = np.zeros((n_rows, n, 2))
@@ -188,9 +238,10 @@ def forward_backward(e: np.ndarray, inside: np.ndarray, trans: np.ndarray) -> tu
     m = np.exp(trans)
     top = pot.max(2)
     pot = np.exp(pot - top[:, :, None])
-    alpha, beta = np.zeros((n_rows, n, 2)), np.ones((n_rows, n, 2))
+    enter, leave = (np.ones((n_rows, 2)) if x is None else x for x in (enter, leave))
+    alpha, beta = np.zeros((n_rows, n, 2)), np.repeat(leave[:, None], n, 1)
     scale = np.ones((n_rows, n))
-    a = pot[:, 0]
+    a = pot[:, 0] * enter
     for k in range(n):
         if k:
             a = (alpha[:, k - 1] @ m) * pot[:, k]
@@ -201,7 +252,7 @@ def forward_backward(e: np.ndarray, inside: np.ndarray, trans: np.ndarray) -> tu
     for k in range(n - 2, -1, -1):
         b = (beta[:, k + 1] * pot[:, k + 1]) @ m.T
         b /= b.sum(1)[:, None]
-        beta[:, k] = np.where(inside[:, k + 1, None], b, 1)
+        beta[:, k] = np.where(inside[:, k + 1, None], b, leave)
     post = alpha * beta
     marginal = post[:, :, 1] / post.sum(2)
     joint = alpha[:, :-1, :, None] * m[None, None] * (pot[:, 1:] * beta[:, 1:])[:, :, None, :]
@@ -285,8 +336,11 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> ChainField:
-    """Learns from whole texts with labels 0/1. Without toxic texts every score is the smoothed share of them."""
+def fit(texts: list[str], toxic: np.ndarray, max_pieces: int = MAX_PIECES) -> ChainField:
+    """Learns from whole texts with labels 0/1, the field from at most ``max_pieces`` pieces of them, evenly apart.
+
+    Without toxic texts every score is the smoothed share of them.
+    """
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     t = _Texts(texts)
     names = [_normal(w) for w in t.words]
@@ -296,9 +350,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> ChainField:
         return ChainField(own, near, trans, np.array([np.log(share / (1 - share)), 0, 0, 0]))
     tag = marked[t.codes] & (toxic[t.doc] == 1)
     with_tag = np.bincount(t.chain, tag, t.n_chains) > 0
-    half = MAX_CHAINS // 2
-    some, none = np.flatnonzero(with_tag), np.flatnonzero(~with_tag)
-    order = np.concatenate([x[:: max(1, len(x) // half)][:half] for x in (some, none)])
+    order = np.concatenate([x[np.linspace(0, len(x) - 1, min(len(x), max_pieces // 2)).astype(np.int64)] for x in (np.flatnonzero(with_tag), np.flatnonzero(~with_tag))])
     starts = np.cumsum(t.sizes) - t.sizes
     chains = [[names[c] for c in t.codes[starts[k] : starts[k] + t.sizes[k]].tolist()] for k in order.tolist()]
     tags = [tag[starts[k] : starts[k] + t.sizes[k]].astype(int).tolist() for k in order.tolist()]
@@ -308,19 +360,34 @@ def fit(texts: list[str], toxic: np.ndarray) -> ChainField:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -> ChainField:
-    """Learns from a bounded sample of labelled documents; its texts come to the driver."""
-    got = labelled_sample(docs, labels, "toxic", learn, max_rows).select("doc_id", "y", "text").toArrow()
+def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_pieces: int = MAX_PIECES) -> ChainField:
+    """Learns from a bounded sample of labelled documents, whose texts come to the driver.
+
+    Null texts count as empty, null labels and ids are left out, and repeated
+    ids bring each of their rows. A text that would pass ``max_bytes`` is left
+    out, as are those after it in the order of hashes. Without labels every
+    score is one half.
+    """
+    sample = labelled_sample(docs, labels, "toxic", learn, max_rows)
+    # Two numbers of at most ``max_rows`` documents, then the texts that fit.
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.first(F.xxhash64("doc_id")).alias("h")).toArrow()
+    order = np.lexsort((sizes.column("doc_id").to_numpy(), sizes.column("h").to_numpy()))
+    total = np.cumsum(sizes.column("n").to_numpy()[order])
+    last = order[np.searchsorted(total, max_bytes, side="right") - 1] if len(order) and total[0] <= max_bytes else None
+    fits = F.lit(False) if last is None else F.xxhash64("doc_id") <= F.lit(sizes.column("h")[int(last)].as_py())
+    got = sample.where(fits).select("doc_id", "y", "text").toArrow()
     order = np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy()))
     texts = got.column("text").to_pylist()
-    return fit([texts[k] or "" for k in order], got.column("y").to_numpy()[order].astype(np.int64))
+    return fit([texts[k] or "" for k in order], got.column("y").to_numpy()[order].astype(np.int64), max_pieces)
 
 
 def tag(docs: DataFrame, field: ChainField) -> DataFrame:
     """doc_id, score and the toxic spans (first character, character after, marginal) of every text.
 
     Null and empty texts have no spans and the score of no toxic word. Rows
-    are scored one by one, so repeated ids give repeated rows.
+    are scored one by one, so repeated ids give repeated rows. Lines of any
+    length are one chain each. An empty table gives no rows. Other columns are
+    not read. Sets the session's Arrow batch size.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
