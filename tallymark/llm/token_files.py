@@ -18,7 +18,9 @@ A shard file, little-endian:
 A key's bucket names a displacement, and key and displacement give its slot: a
 high bit in the displacement means that the rest of it is the slot. The slot
 holds a fingerprint of the key, which tells absent keys, and the document's
-ordinal. Lookups cost two hashes whatever the size of the shard.
+ordinal. A directory beside the shards, sorted by first key, tells which shard
+can hold a key. A lookup finds the shard in the directory and then reads a few
+ranges of it, whatever the number of shards and their size.
 
 Spark's text writer writes the files, one record each, so they may go to any
 store that Spark writes to, under its commit protocol.
@@ -29,6 +31,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallymark.llm.common import mix64, new_path, small_batches, stored, table, text_slices
+from tallymark.llm.common import all_open, contents, listed, mix64, new_path, opened, small_batches, stored, table, text_slices
 from tallymark.llm.token_ids import encoder
 
 MAGIC = b"TALLYID1"
@@ -172,13 +176,53 @@ class Shard:
         return None if k < 0 or self.keys[k] != key else self.ids[self.offsets[k] : self.offsets[k + 1]]
 
 
+class RemoteShard:
+    """A shard file of which ``read(offset, length)`` fetches ranges."""
+
+    def __init__(self, read):
+        self.read = read
+        magic, self.shard_no, self.n, n_ids, self.n_keys, self.n_buckets, self.width, self.seed = HEADER.unpack(read(0, HEADER.size))
+        if magic != MAGIC:
+            raise ValueError("not a shard")
+        sizes = [HEADER.size, 8 * self.n, self.n, 8 * (self.n + 1), 4 * self.n_buckets, 4 * self.n_keys, 4 * self.n_keys]
+        self.keys, self.null_keys, self.offsets, self.displacements, self.fingerprints, self.ordinals, self.ids = np.cumsum(sizes).tolist()
+
+    def _numbers(self, kind: str, start: int, at: int, n: int = 1) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(bytes(self.read(start + at * size, n * size)), kind)
+
+    def key_range(self) -> tuple[int, int] | None:
+        """The first and last key, or None if all keys are null; null keys stand first."""
+        if not self.n_keys:
+            return None
+        n_null = int(np.frombuffer(bytes(self.read(self.null_keys, self.n)), np.uint8).sum())
+        return int(self._numbers("<i8", self.keys, n_null)[0]), int(self._numbers("<i8", self.keys, self.n - 1)[0])
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the (first) document with this key, or None, by six ranges."""
+        if not self.n_keys:
+            return None
+        a, b, prints = _hashes(np.array([key], np.int64), self.seed)
+        d = self._numbers("<u4", self.displacements, int(a[0] % np.uint64(self.n_buckets)))
+        slot = int(d[0] & ~_DIRECT) if d[0] & _DIRECT else int(_slots(b, d, self.n_keys)[0])
+        if self._numbers("<u4", self.fingerprints, slot)[0] != prints[0]:
+            return None
+        k = int(self._numbers("<u4", self.ordinals, slot)[0])
+        if self._numbers("<i8", self.keys, k)[0] != key:
+            return None
+        start, stop = self._numbers("<u8", self.offsets, k, 2).tolist()
+        return self._numbers(f"<u{self.width}", self.ids, start, stop - start)
+
+
 def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Writes the ids of all texts to shard files under ``path``, by rising id.
 
     Null texts count as empty and have the end id alone. Rows with a null id
     come first; the index leaves them out, as it does all but the first row of
     an id that occurs more than once, but the shard lists them. Ties are
-    ordered by a hash of the text.
+    ordered by a hash of the text. Ids are integers; text that is no integer
+    raises. Texts are encoded whole, however long. An empty table writes no
+    shard. Other columns are not read. Sets the session's Arrow batch size.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -207,13 +251,42 @@ def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
     dealt = given.withColumn("tie", F.xxhash64("text")).repartitionByRange("k", "tie").sortWithinPartitions("k", "tie").select("k", "text")
     files = dealt.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(path)
+    write_directory(spark, path)
+
+
+_DIRECTORY = "first long, last long, file string"
+
+
+def write_directory(spark: SparkSession, path: str) -> None:
+    """(first, last, file) of the shards under ``path`` to ``path`` + "-directory", sorted by first key over all its files."""
+
+    def row(name: str, read) -> pa.RecordBatch:
+        ends = RemoteShard(read).key_range()
+        return pa.RecordBatch.from_pydict({"first": pa.array(ends[:1] if ends else [], pa.int64()), "last": pa.array(ends[1:] if ends else [], pa.int64()), "file": pa.array([name] if ends else [], pa.string())})
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with opened(name) as f:
+                    yield row(name, lambda at, n: f.read_at(n, at))  # noqa: B023
+
+    def by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                view = memoryview(content.as_buffer())
+                yield row(name, lambda at, n: view[at : at + n])  # noqa: B023
+
+    files = listed(spark, path)
+    rows = files.select("path").mapInArrow(by_range, _DIRECTORY) if all_open(files) else contents(spark, path).mapInArrow(by_content, _DIRECTORY)
+    rows.repartitionByRange("first", "last").sortWithinPartitions("first", "last", "file").write.parquet(path + "-directory")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the shards under ``path``: doc_id, start, n_tokens, ids_crc32.
 
     Ids are fetched through each shard's index; the rows that it leaves out
-    (null and repeated ids) are read by their place.
+    (null and repeated ids) are read by their place. Without shards there are
+    no rows.
     """
     small_batches(spark)
 
@@ -238,7 +311,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     "at": pa.array(start), "n_tokens": pa.array(stop - start), "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = contents(spark, path).select("content")
     rows = stored(files.mapInArrow(run, "doc_id long, part long, no long, at long, n_tokens long, ids_crc32 long"), "ids-rows")
     shards = rows.groupBy("part", "no").agg(F.sum("n_tokens").alias("n"))
     # Parts are written partitions: a bounded number of rows, whatever the input.
@@ -251,18 +324,26 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndarray | None]:
-    """Ids of a few documents by key, through the index of each shard that may hold them."""
-    wanted = np.array(keys, np.int64)
+    """Ids of a few documents by key, None for absent ones.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                s = Shard(content.as_buffer())
-                got = [(k, x) for k in wanted.tolist() if (x := s.get(k)) is not None]
-                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in got], pa.int64()), "ids": pa.array([x.astype(np.int64) for _, x in got], pa.list_(pa.int64()))})
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key long, ids array<long>").collect()
-    return dict.fromkeys(keys) | {r.key: np.array(r.ids) for r in rows}
+    The directory's statistics lead to the shards that can hold a key, one
+    unless an id's repeats go over several; of each shard only ranges are
+    read. Where Python can't open the store, Spark reads those shards whole.
+    """
+    out: dict[int, np.ndarray | None] = dict.fromkeys(keys)
+    if not out:
+        return out
+    can_hold = reduce(or_, [(F.col("first") <= k) & (F.col("last") >= k) for k in out])
+    for r in spark.read.schema(_DIRECTORY).parquet(path + "-directory").where(can_hold).orderBy("first", "last", "file").collect():
+        f = opened(r.file)
+        content = None if f else contents(spark, r.file).first().content
+        shard = RemoteShard((lambda at, n: f.read_at(n, at)) if f else (lambda at, n: content[at : at + n]))  # noqa: B023
+        for k in out:
+            if out[k] is None and r.first <= k <= r.last:
+                out[k] = shard.get(k)
+        if f:
+            f.close()
+    return out
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
