@@ -33,13 +33,15 @@ WORDS = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999999
 COORDINATES = 96
-SMALL = 64
+SMALL = 256
 BRANCHES = 2
 DEPTH = 5
 #: A node is dense if its children hold this share of it, on average over its sets.
 DENSE = 0.5
-BLOCK_SETS = 2048
+BLOCK_SETS = 1024
 BLOCK_TOKENS = 1 << 20
+#: Bytes of sets that a task sends at a time.
+SENT_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(71)
 _MUL = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,9 +197,13 @@ def _pairs(sets: list[np.ndarray], m: np.ndarray, earlier: list[np.ndarray], a:
             out += grid[a] @ grid[b].T
         return out
 
-    inter = shared(sets).astype(np.int64)
-    union = m[a][:, None] + m[b][None, :] - inter
-    good = inter * threshold.denominator >= union * threshold.numerator
+    # i / (ma + mb - i) >= p / q, as i * (p + q) >= p * (ma + mb), row by row.
+    inter = shared(sets)
+    p, q = threshold.numerator, threshold.denominator
+    good = np.empty(inter.shape, bool)
+    for k in range(len(a)):
+        good[k] = inter[k].astype(np.int64) * (p + q) >= p * (m[a[k]] + m[b])
+    del inter
     if same:
         good &= ~np.eye(len(a), dtype=bool)
     if good.any() and any(len(e) for e in earlier):
@@ -255,24 +261,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = member.join(classes.select("rep", "k1", "k2", "copies"), "rep")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("node", "p", "q", "second", "rep", "copies", "tokens", "earlier")
+        schema = None
+
+        def rows_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
         for batch in text_slices(batches, "text", 1 << 20):
+            schema = schema or pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), batch.schema.field("rep").type, pa.int64(), pa.binary(), pa.binary()), strict=True)))
             sets = shingle_sets(batch.column("text").to_pylist())
-            reps = batch.column("rep").to_pylist()
-            out: dict[str, list] = {k: [] for k in ("node", "p", "q", "second", "rep", "copies", "tokens", "earlier")}
-            for k, (s, k1, k2, copies, nodes) in enumerate(zip(sets, *(batch.column(c).to_pylist() for c in ("k1", "k2", "copies", "nodes")), strict=True)):
+            out, held = [], 0
+            for rep, s, k1, k2, copies, nodes in zip(batch.column("rep").to_pylist(), sets, *(batch.column(c).to_pylist() for c in ("k1", "k2", "copies", "nodes")), strict=True):
                 if _key(s) != (k1, k2):
                     continue
                 ids = np.array([x["node"] for x in nodes], np.int64)
                 data = s.tobytes()
-                own = xxhash.xxh3_64_intdigest(str(reps[k]).encode())
+                own = xxhash.xxh3_64_intdigest(str(rep).encode())
                 for x in nodes:
                     mine = own % x["blocks"]
                     before = ids[ids < x["node"]].tobytes()
                     for other in range(x["blocks"]):
-                        values = (x["node"], min(mine, other), max(mine, other), mine > other, reps[k], copies, data, before)
-                        for name, v in zip(out, values, strict=True):
-                            out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("node", pa.int64()), ("p", pa.int64()), ("q", pa.int64()), ("second", pa.bool_()), ("rep", batch.schema.field("rep").type), ("copies", pa.int64()), ("tokens", pa.binary()), ("earlier", pa.binary())]))
+                        out.append((x["node"], min(mine, other), max(mine, other), mine > other, rep, copies, data, before))
+                        held += len(data) + len(before)
+                        if held >= SENT_BYTES:
+                            yield rows_of(out)
+                            out, held = [], 0
+            if out:
+                yield rows_of(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["node", "p", "q"]):
