@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that stand for a missing value, statuses of cancelled orders, words of test and total rows.
-NULL_TOKENS = ("", "n/a", "na", "nan", "null", "none", "nil", "-", "--", "?", "inconnu", "unknown", "non renseigne", "non renseigné", "#n/a", "undefined")
-CANCELLED = ("annule", "annulee", "cancelled", "canceled", "rembourse", "remboursee", "refunded", "returned", "lost", "rejected")
-TEST_TOKENS = ("test", "tests", "essai", "dummy", "fake", "sample", "demo", "exemple", "azerty", "qwerty", "xxx", "aaa")
-TOTAL_TOKENS = ("total", "totaux", "somme", "sous-total", "total general", "grand total", "subtotal")
+# Words that stand for a missing value, of total rows, of test rows, of orders without revenue; signs of currencies; forms of dates.
+NULL_TOKENS = ("", "na", "n/a", "nan", "none", "null", "-", "--", "?", "#n/a", "#na", "inconnu", "non renseigne", "vide", "nil", "undefined")
+TOTAL_TOKENS = ("total", "totaux", "somme", "sous-total", "sous total", "subtotal", "grand total", "cumul", "moyenne")
+TEST_TOKENS = ("test", "essai", "demo", "dummy", "aaa", "xxx", "zzz", "azerty", "qwerty", "toto", "sample", "exemple")
+CANCELLED = (
+    "annule", "annulee", "cancelled", "canceled", "refunded", "rembourse", "remboursee", "unavailable", "failed", "echec", "returned", "returning", "retourne", "retournee",
+    "void", "rejected", "rejete", "rejetee", "refuse", "refusee", "lost in transit", "perdu", "non livre", "undelivered", "chargeback", "litige", "dispute",
+)
+CURRENCY = r"[€$£¥]|R\$|EUR|USD|XOF|FCFA|CFA"
+DATE_FORMATS = (
+    "yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy", "M.d.yyyy", "d/M/yy", "M/d/yy", "d-M-yy", "M-d-yy",
+    "yyyy-M-d H:m:s", "d/M/yyyy H:m", "M/d/yyyy H:m", "yyyy-M-d'T'H:m:s", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+)
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Accented Latin letters and their plain ones, up to U+017F.
+_PLAIN = {chr(k): unicodedata.normalize("NFKD", chr(k))[0] for k in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(k))) > 1}
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, _ACCENTED, _PLAIN)
+    return F.translate(c, "".join(_PLAIN), "".join(_PLAIN.values()))
 
 
 def trimmed(c: Column) -> Column:
@@ -28,26 +38,40 @@ def is_null_token(c: Column) -> Column:
     return c.isNull() | F.lower(trimmed(c)).isin(*NULL_TOKENS)
 
 
+def bare_number(c: Column) -> Column:
+    """A number's text without currency and spaces."""
+    return F.regexp_replace(F.regexp_replace(c, f"(?i){CURRENCY}", ""), "[ \\t\\r\\n  ]", "")
+
+
 def numeric_text(c: Column, decimal_comma: bool) -> Column:
     """A number from text: currency and spaces go, the thousands sign goes, the decimal sign becomes a point; else null."""
-    c = F.regexp_replace(c, r"(?i)[€$£¥]|R\$|EUR|USD|XOF|FCFA|CFA", "")
-    c = F.regexp_replace(c, "[ \\t\\r\\n  ]", "")
+    c = bare_number(c)
     c = F.regexp_replace(F.regexp_replace(c, r"\.(?=\d{3}(\D|$))", ""), ",", ".") if decimal_comma else F.regexp_replace(c, ",", "")
     return F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
 
 
 def comma_evidence(c: Column) -> list[Column]:
-    """Counts that tell a decimal comma from one between thousands."""
+    """Counts that tell a decimal comma from one between thousands: a short or long tail, a zero before it; groups, a point after it."""
+    b = bare_number(c)
     return [
-        F.count_if(c.rlike(r"\.\d{3},\d")).alias("n_point_comma"),
-        F.count_if(c.rlike(r",\d{3}\.\d")).alias("n_comma_point"),
-        F.count_if(c.rlike(r",\d{1,2}(\D*)$")).alias("n_short_tail"),
-        F.count_if(c.rlike(r",\d{3}(\D*)$")).alias("n_three_tail"),
+        F.count_if(b.rlike(r",(\d{1,2}|\d{4,})$")).alias("n_tail"),
+        F.count_if(b.rlike(r"^-?0,\d+$")).alias("n_zero_first"),
+        F.count_if(b.rlike(r"^-?\d{1,3}(,\d{3}){2,}$")).alias("n_groups"),
+        F.count_if(b.rlike(r",\d{3}\.\d+")).alias("n_comma_point"),
     ]
 
 
+def comma_decision(n_tail: int, n_zero_first: int, n_groups: int, n_comma_point: int) -> tuple[str, float]:
+    """What the comma is in a whole column, and how sure that is; without evidence a decimal sign, half sure."""
+    decimal, thousands = n_tail + n_zero_first, n_groups + n_comma_point
+    if not decimal + thousands:
+        return "decimal", 0.5
+    most = max(decimal, thousands)
+    return "decimal" if decimal >= thousands else "thousands", round(most / (decimal + thousands), 2)
+
+
 def is_cancelled(c: Column) -> Column:
-    """A status that is, or has a word that begins with, a word for a cancelled order."""
+    """A status that is a word for an order without revenue, or has one of six letters or more at the start of a word."""
     s = strip_accents(F.lower(trimmed(c)))
     return F.coalesce(s.isin(*CANCELLED) | s.rlike(r"\b(" + "|".join(t for t in CANCELLED if len(t) >= 6) + ")"), F.lit(False))
 
@@ -66,11 +90,32 @@ def is_total(c: Column) -> Column:
 
 def day_first_evidence(c: Column) -> list[Column]:
     """Counts of dates in d/m or m/d form, and of those that can only be one of them."""
-    first = F.regexp_extract(c, r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", 1).try_cast("int")
-    second = F.regexp_extract(c, r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", 2).try_cast("int")
+    parts = r"^(\d{1,2})[/.-](\d{1,2})[/.-]"
+    first, second = (F.regexp_extract(trimmed(c), parts, k).try_cast("int") for k in (1, 2))
     return [F.count(first).alias("n_dates"), F.count_if(first > 12).alias("n_day_first"), F.count_if(second > 12).alias("n_month_first")]
 
 
+def day_order(n_values: int, n_dates: int, n_day_first: int, n_month_first: int) -> tuple[str, float]:
+    """dayfirst, monthfirst or undecided for a whole column, and how sure: only a number over 12 on one side decides."""
+    if n_dates < max(5, 0.5 * n_values) or bool(n_day_first) == bool(n_month_first):
+        return "undecided", 0.0
+    n = n_day_first or n_month_first
+    return "dayfirst" if n_day_first else "monthfirst", min(0.99, 0.7 + n / n_dates)
+
+
+def ranked_formats(order: str) -> list[str]:
+    """``DATE_FORMATS``, those that contradict the order of day and month last."""
+    month, day = (lambda f: f[0] == "M" and f[1] != "M"), (lambda f: f[0] == "d" and " MMMM" not in f)
+    against = {"dayfirst": month, "monthfirst": day}.get(order, lambda f: False)
+    return sorted(DATE_FORMATS, key=against)
+
+
 def parsed_date(c: Column, formats: tuple[str, ...]) -> Column:
     """The first of the formats that reads the text, as a timestamp without zone."""
     return F.coalesce(*[F.try_to_timestamp(trimmed(c), F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+
+def compact(c: Column) -> Column:
+    """A number as people read it: 1.2M, 34k, 56."""
+    size = F.abs(c)
+    return F.when(size >= 1e6, F.concat(F.format_number(c / 1e6, 1), F.lit("M"))).when(size >= 1e4, F.concat(F.format_number(c / 1e3, 0), F.lit("k"))).otherwise(F.format_number(c, 0))

@@ -7,19 +7,34 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tallymark.functions.text import is_cancelled, is_null_token, trimmed
+from tallymark.functions.text import DATE_FORMATS, is_cancelled, is_null_token, numeric_text, parsed_date, trimmed
 from tallymark.operators import quality
-
-#: The order of steps is fixed: structure, rows, categories, measures, dates, missing.
-ORDER = ("S07_total_rows", "X01_test_rows", "X02_cancelled_orders", "D01_exact_duplicates", "D03_near_duplicates", "C01_whitespace", "C05_null_placeholders", "C02_case_variants", "M03_extreme_outliers", "M01_negative", "M02_zero_values", "T04_absurd_dates", "T03_future_dates", "N01_critical_missing")
-DEFAULTS = {"S07_total_rows": "remove", "X01_test_rows": "exclude", "X02_cancelled_orders": "separate", "D01_exact_duplicates": "remove", "C01_whitespace": "trim", "C05_null_placeholders": "null", "C02_case_variants": "merge", "M01_negative": "separate", "M02_zero_values": "exclude", "T04_absurd_dates": "null", "N01_critical_missing": "exclude"}
+from tallymark.operators.profile import ColumnProfile
+
+KEEP = ("keep", "keep_all", "keep_separate", "none", "review", "preview")
+#: The order of steps is fixed: structure, rows, categories, measures, dates, missing; and what may be chosen besides keeping.
+CHOICES = {
+    "S05_empty_columns": ("drop",), "S06_constant_columns": ("drop",), "S07_total_rows": ("remove",), "X01_test_rows": ("exclude",), "X02_cancelled_orders": ("separate", "exclude"), "D01_exact_duplicates": ("remove_duplicates", "remove"),
+    "D03_near_duplicates": ("remove_duplicates",), "X03_internal_orders": ("exclude",), "C01_whitespace": ("trim",), "C05_null_placeholders": ("null",), "C02_case_variants": ("merge",), "C03_accent_variants": ("merge",),
+    "C04_near_duplicates": ("merge",), "M00_to_numeric": ("to_numeric",), "M03_extreme_outliers": ("exclude",), "M01_negative": ("separate", "exclude"), "M02_zero_values": ("exclude",), "T00_parse_dates": ("parse",),
+    "T04_absurd_dates": ("null",), "T03_future_dates": ("exclude",), "N01_critical_missing": ("exclude",),
+}
+ORDER = tuple(CHOICES)
+DEFAULTS = {
+    "S05_empty_columns": "drop", "S07_total_rows": "remove", "X01_test_rows": "exclude", "X02_cancelled_orders": "separate", "D01_exact_duplicates": "remove_duplicates", "C01_whitespace": "trim",
+    "C05_null_placeholders": "null", "C02_case_variants": "merge", "M01_negative": "separate", "M02_zero_values": "exclude", "T04_absurd_dates": "null", "N01_critical_missing": "exclude",
+}
 
 
 @dataclass
 class Cleaner:
-    """Decisions by issue id over a raw table; nothing is ever imputed."""
+    """Decisions by issue id over a raw table; nothing is ever imputed.
+
+    Numbers and dates in text columns are read whatever was decided: ``columns``
+    are profiles that say how, without them only ``amount`` and ``date`` are
+    read, with a decimal point and by the first of the known forms.
+    """
 
     raw: DataFrame
     row_id: str
@@ -28,6 +43,9 @@ class Cleaner:
     status: str | None = None
     keys: tuple[str, ...] = ()
     as_of: str = "2100-01-01"
+    customer: str | None = None
+    order: str | None = None
+    columns: list[ColumnProfile] = field(default_factory=list)
     decisions: dict[str, str] = field(default_factory=dict)
     aside: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -36,8 +54,10 @@ class Cleaner:
         return self
 
     def set_decision(self, issue: str, choice: str) -> Cleaner:
-        """Unknown issues are ignored."""
-        if issue in ORDER:
+        """Unknown issues are ignored; a choice that an issue doesn't have raises ValueError."""
+        if issue in CHOICES:
+            if choice not in (*CHOICES[issue], *KEEP):
+                raise ValueError(f"{issue} has no choice {choice}")
             self.decisions[issue] = choice
         return self
 
@@ -46,7 +66,9 @@ class Cleaner:
         return self
 
     def steps(self) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
-        return [(k, getattr(self, "_" + k.split("_", 1)[1])) for k in ORDER if self.decisions.get(k, "keep") not in ("keep", "keep_all", "none")]
+        always = ("M00_to_numeric", "T00_parse_dates")
+        named = {"C04_near_duplicates": self._near_labels}  # ends in the same words as the issue of rows
+        return [(k, named.get(k) or getattr(self, "_" + k.split("_", 1)[1])) for k in ORDER if k in always or self.decisions.get(k, "keep") not in KEEP]
 
     def result(self) -> DataFrame:
         df = self.raw
@@ -56,13 +78,37 @@ class Cleaner:
         return df
 
     def log(self) -> list[tuple[str, int, int]]:
-        """(issue, rows before, rows after) of each step."""
+        """(issue, rows before, rows after) of each step on rows and their values."""
+        return [x[:3] for x in self.marked_log() if x[0] not in ("S05_empty_columns", "S06_constant_columns")]
+
+    def marked_log(self) -> list[tuple[str, int, int, str]]:
+        """(issue, rows before, rows after, fingerprint of the rows after) of each step; the order of rows doesn't matter to it."""
+        def state(df: DataFrame) -> tuple[int, str]:
+            h = quality.row_hash(df.columns)
+            mark = F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.coalesce(F.bit_xor("h.col1"), F.lit(0)), F.coalesce(F.bit_xor("h.col2"), F.lit(0)), F.coalesce(F.sum(F.col("h.col1").cast("decimal(38,0)")), F.lit(0))), 256)
+            r = df.select(h.alias("h")).agg(F.count(F.lit(1)), mark).first()
+            return r[0], r[1]
+
         df, out, before = self.raw, [], self.raw.count()
         for name, step in self.steps():
             df = step(df)
-            out.append((name, before, before := df.count()))
+            after, mark = state(df)
+            out.append((name, before, after, mark))
+            before = after
         return out
 
+    def _without(self, df, constant):
+        known = {self.row_id, self.amount, self.date, self.status, self.customer, self.order, *self.keys}
+        kept = quality.without_empty(df, constant).columns
+        return df.select(*[f"`{c}`" for c in df.columns if c in kept or c in known])
+
+    def _empty_columns(self, df):
+        return self._without(df, False)
+
+    def _constant_columns(self, df):
+        """No default: a column may only be constant once other rows are gone."""
+        return self._without(df, True)
+
     def _total_rows(self, df):
         return df.where(~quality.total_rows(df))
 
@@ -72,37 +118,74 @@ class Cleaner:
     def _cancelled_orders(self, df):
         if not self.status:
             return df
-        self.aside["cancelled"] = df.where(is_cancelled(F.col(self.status)))
+        if self.decisions["X02_cancelled_orders"] == "separate":
+            self.aside["cancelled"] = df.where(is_cancelled(F.col(self.status)))
         return df.where(~is_cancelled(F.col(self.status)))
 
     def _exact_duplicates(self, df):
         rest = [c for c in df.columns if c != self.row_id]
-        return df.withColumn("__n", F.row_number().over(W.partitionBy(*rest).orderBy(self.row_id))).where("__n = 1").drop("__n")
+        return df.withColumn("__n", quality.repeats(df, quality.row_hash(rest), self.row_id)).where("__n = 1").drop("__n")
 
     def _near_duplicates(self, df):
-        return df.withColumn("__n", F.row_number().over(W.partitionBy(*self.keys).orderBy(self.row_id))).where("__n = 1").drop("__n") if self.keys else df
+        return df.withColumn("__n", quality.repeats(df, list(self.keys), self.row_id)).where("__n = 1").drop("__n") if self.keys else df
+
+    def _internal_orders(self, df):
+        if not self.customer:
+            return df
+        top = [r.value for r in quality.dominant_value(df, self.customer).collect()]  # one at most
+        return df.where(~F.col(self.customer).eqNullSafe(F.lit(top[0]))) if top else df
 
     def _texts(self, df):
         return [f.name for f in df.schema if f.dataType.simpleString() == "string"]
 
+    def _categories(self, df):
+        """Text columns that may be merged: those that profiles call categories, or all that aren't numbers or dates."""
+        if self.columns:
+            named = {p.name for p in self.columns if p.role in ("categorical", "boolean_flag")}
+            return [c for c in self._texts(df) if c in named]
+        return [c for c in self._texts(df) if c not in (self.amount, self.date)]
+
     def _whitespace(self, df):
-        return df.withColumns({c: trimmed(F.col(c)) for c in self._texts(df)})
+        return df.withColumns({c: trimmed(F.col(f"`{c}`")) for c in self._texts(df)})
 
     def _null_placeholders(self, df):
-        return df.withColumns({c: F.when(~is_null_token(F.col(c)), F.col(c)) for c in self._texts(df)})
+        return df.withColumns({c: F.when(~is_null_token(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in self._texts(df)})
 
-    def _case_variants(self, df):
+    def _merged(self, df, best_of):
         names = df.columns
-        for c in self._texts(df):
-            best = quality.case_variants(df, c).select(F.col("spelling").alias(c), F.col("best").alias("__best"))
-            df = df.join(best, c, "left").withColumn(c, F.coalesce("__best", c)).drop("__best")
-        return df.select(*names)
+        for c in self._categories(df):
+            best = best_of(df, c).toDF("__c", "__best")
+            df = df.join(best, F.col(f"`{c}`") == F.col("__c"), "left").withColumn(c, F.coalesce("__best", f"`{c}`")).drop("__best", "__c")
+        return df.select(*[f"`{c}`" for c in names])
+
+    def _case_variants(self, df):
+        return self._merged(df, lambda d, c: quality.case_variants(d, c).select("spelling", "best"))
+
+    def _accent_variants(self, df):
+        return self._merged(df, lambda d, c: quality.accent_variants(d, c).select("spelling", "best"))
+
+    def _near_labels(self, df):
+        """The rarer of two labels that look like a typing error takes the more frequent one."""
+        return self._merged(df, lambda d, c: quality.near_labels(d, c).groupBy("variant").agg(F.min_by("probable", F.struct("distance", "probable"))))
+
+    def _to_numeric(self, df):
+        known = {p.name: p for p in self.columns if p.type == "numeric" and p.role == "measure"}
+        texts = self._texts(df)
+        reads = {c: p.number() for c, p in known.items() if c in texts} or ({self.amount: numeric_text(F.col(f"`{self.amount}`"), False)} if self.amount in texts else {})
+        return df.withColumns(reads) if reads else df
+
+    def _parse_dates(self, df):
+        known = {p.name: p for p in self.columns if p.type == "datetime"}
+        texts = self._texts(df)
+        reads = {c: p.moment() for c, p in known.items() if c in texts} or ({self.date: parsed_date(F.col(f"`{self.date}`"), DATE_FORMATS)} if self.date in texts else {})
+        return df.withColumns(reads) if reads else df
 
     def _extreme_outliers(self, df):
-        return df.join(quality.extreme_outliers(df, self.row_id, self.amount).select(self.row_id), self.row_id, "left_anti")
+        return df.join(quality.extreme_outliers(df, self.row_id, self.amount).select(self.row_id), self.row_id, "left_anti").select(*[f"`{c}`" for c in df.columns])
 
     def _negative(self, df):
-        self.aside["refunds"] = df.where(F.col(self.amount) < 0)
+        if self.decisions["M01_negative"] == "separate":
+            self.aside["refunds"] = df.where(F.col(self.amount) < 0)
         return df.where(~F.coalesce(F.col(self.amount) < 0, F.lit(False)))
 
     def _zero_values(self, df):
@@ -115,15 +198,5 @@ class Cleaner:
         return df.where(~F.coalesce(F.col(self.date) > F.lit(self.as_of).cast("timestamp_ntz"), F.lit(False)))
 
     def _critical_missing(self, df):
-        return df.dropna(subset=[self.amount, self.date])
-
-
-def plausibility(before: DataFrame, after: DataFrame, amount: str, customer: str) -> DataFrame:
-    """Rows, amounts and customers before and after, and the share that each lost."""
-    one = lambda d, t: d.agg(F.count(F.lit(1)).alias(f"rows_{t}"), F.sum(amount).alias(f"amount_{t}"), F.count_distinct(customer).alias(f"customers_{t}"))
-    d = one(before, "before").crossJoin(one(after, "after"))  # one row each
-    return d.withColumns({f"{k}_lost": 1 - F.col(f"{k}_after") / F.nullif(F.col(f"{k}_before"), F.lit(0)) for k in ("rows", "amount", "customers")})
-
+        return df.dropna(subset=[c for c in (self.amount, self.date, self.order) if c])
 
-def lost_categories(before: DataFrame, after: DataFrame, c: str) -> DataFrame:
-    return before.select(c).where(F.col(c).isNotNull()).distinct().join(after.select(c).distinct(), c, "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.operators.stats import exact_medians
 from tallymark.plans.spec import Dimension, Filter, Spec
 
 # Monday first.
@@ -81,11 +82,10 @@ def binned(df: DataFrame, d: Dimension) -> DataFrame:
 
 
 def aggregate(c: Column, how: str) -> Column:
-    """The spec's aggregate; a sum of nulls alone is 0, and the other kinds are null there."""
+    """The spec's aggregate but for the median; a sum of nulls alone is 0, and the other kinds are null there."""
     return {
         "sum": lambda: F.coalesce(F.sum(c.cast("double")), F.lit(0.0)),
         "mean": lambda: F.avg(c),
-        "median": lambda: F.median(c),
         "count": lambda: F.count(c).cast("double"),
         "count_distinct": lambda: F.count_distinct(c).cast("double"),
         "min": lambda: F.min(c).cast("double"),
@@ -103,6 +103,9 @@ def grouped(df: DataFrame, spec: Spec) -> DataFrame:
     keys = [key(d).alias(f"dim{k}") for k, d in enumerate(spec.dimensions)]
     names = [f"dim{k}" for k in range(len(keys))]
     rows = df.select(*keys, F.col(spec.column).alias("x")).dropna(subset=names)
+    if spec.aggregation == "median":  # a group may hold a third of all rows
+        sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"))
+        return exact_medians(rows, names, "x").join(sizes, names).select(*names, F.col("m").alias("value"), "n_rows")
     out = rows.groupBy(*names).agg(aggregate(F.col("x"), spec.aggregation).alias("value"), F.count(F.lit(1)).alias("n_rows"))
     return out.where("value IS NOT NULL")
 
@@ -113,7 +116,11 @@ def execute(df: DataFrame, spec: Spec) -> DataFrame:
     Time sorted by dimension always rises. A limit keeps the largest or
     smallest values, or on a time axis the last groups. Ties go by key.
     """
-    out = grouped(df, spec)
+    return ordered(grouped(df, spec), spec)
+
+
+def ordered(out: DataFrame, spec: Spec) -> DataFrame:
+    """The shown groups of an aggregate."""
     temporal = spec.dimensions[0].type == "temporal"
     dims = [c for c in out.columns if c.startswith("dim")]
     by_measure = spec.sort_by == "measure" or spec.sort_by is None and not temporal
@@ -124,11 +131,18 @@ def execute(df: DataFrame, spec: Spec) -> DataFrame:
     return out.orderBy(*(value if by_measure else [F.asc("dim0") if temporal or not down else F.desc("dim0"), *dims[1:]]))
 
 
+def present_values(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Those of some filter values, as text, that occur in a column."""
+    wanted = df.sparkSession.createDataFrame([(str(v),) for v in values], "value string")
+    return wanted.join(df.select(F.col(f"`{column}`").cast("string").alias("value")), "value", "left_semi")
+
+
 def with_totals(df: DataFrame, spec: Spec) -> DataFrame:
-    """The shown groups with the number and the total of all groups before the limit."""
+    """The shown groups with the number and the total of all groups before the limit, if the spec has one."""
     out = grouped(df, spec)
-    out = out.withColumn("n_groups", out.agg(F.count(F.lit(1))).scalar()).withColumn("total", out.agg(F.sum("value")).scalar())
-    return out.orderBy(F.desc("value") if spec.descending else F.asc("value"), "dim0").limit(spec.limit or 1000)
+    both = out.agg(F.struct(F.count(F.lit(1)).alias("n_groups"), F.sum("value").alias("total"))).scalar()
+    out = out.withColumn("all", both).select(*out.columns, "all.n_groups", "all.total").orderBy(F.desc("value") if spec.descending else F.asc("value"), "dim0")
+    return out.limit(spec.limit) if spec.limit else out
 
 
 def coverage(df: DataFrame, spec: Spec) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymark.operators import patterns, stats
-from tallymark.operators.execute import coverage, execute, grouped
+from tallymark.operators.execute import coverage, grouped, ordered
 from tallymark.plans.spec import Spec
+from tallymark.sources.scan import scratch_folder
 
 #: Chart kinds that are drawn as such; the others are bars.
 LINES, SERIES = ("line", "area"), ("grouped_bar", "stacked_bar")
@@ -35,14 +36,19 @@ def facts(df: DataFrame, spec: Spec, *, role: str | None = None, order: str | No
     """One row (title, n_groups, facts) for a validated spec; no row for fewer than two groups.
 
     Points are bounded by the spec's limit, which validation sets where a column has over 50 values.
+    The aggregate is written once, and points, statistics and patterns read that.
     """
-    shown = execute(df, spec)
+    path = f"{scratch_folder(df.sparkSession)}/facts"
+    agg = grouped(df, spec)
+    agg.write.parquet(path)
+    agg = df.sparkSession.read.schema(agg.schema).parquet(path)
+    shown = ordered(agg, spec)
     dims = [c for c in shown.columns if c.startswith("dim")]
     points = shown.agg(F.count(F.lit(1)).alias("n_groups"), F.array_sort(F.collect_list(F.struct(*dims, F.round("value", 2).alias("value"), "n_rows"))).alias("data_points")).where("n_groups >= 2")
-    one = shown if len(dims) == 1 else grouped(df, spec).groupBy("dim0").agg(F.sum("value").alias("value"), F.sum("n_rows").alias("n_rows"))
+    one = shown if len(dims) == 1 else agg.groupBy("dim0").agg(F.sum("value").alias("value"), F.sum("n_rows").alias("n_rows"))
     about = stats.trend(one) if spec.dimensions[0].type == "temporal" else stats.pareto(one)
     numbers = stats.basic(one).select(F.struct("*").alias("basic")).crossJoin(about.select(F.struct("*").alias("shape")))  # one row each
-    seen = patterns.detect(one, spec, role=role, source=df, order=order, customer=customer).agg(F.array_sort(F.collect_list(F.struct("pattern_id", "confidence", "evidence"))).alias("detected_patterns"))
+    seen = patterns.with_notes(patterns.detect(one, spec, role=role, source=df, order=order, customer=customer)).agg(F.array_sort(F.collect_list(F.struct("pattern_id", "confidence", "evidence", "causes", "actions"))).alias("detected_patterns"))
     cover = coverage(df, spec).select(F.struct("*").alias("coverage"))
     d = points.crossJoin(numbers).crossJoin(seen).crossJoin(cover)  # one row each
     body = F.to_json(F.struct(F.lit(spec.column).alias("measure"), F.lit(spec.aggregation).alias("aggregation"), F.lit(spec.chart).alias("chart"), "data_points", F.struct("basic", "shape").alias("computed_stats"), "detected_patterns", "coverage"))

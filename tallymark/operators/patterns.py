@@ -15,6 +15,19 @@ from tallymark.operators import stats
 from tallymark.plans.spec import Spec
 
 CYCLIC = ("dayofweek", "hour")
+#: What may lie behind a pattern, and what a shop can do about it.
+NOTES = {
+    "trend_decline": (("demande en recul", "prix ou concurrence"), ("comparer les produits qui reculent", "relancer les clients inactifs")),
+    "trend_growth": (("demande en hausse", "nouveaux clients"), ("vérifier les stocks", "soutenir les produits qui progressent")),
+    "anomaly_spike": (("opération commerciale", "grosse commande ou double saisie"), ("vérifier les commandes de la période",)),
+    "pareto_concentration": (("quelques lignes font l'essentiel des ventes",), ("protéger les meilleures ventes", "réduire la dépendance")),
+    "geographic_concentration": (("clientèle d'une seule zone",), ("essayer une zone voisine",)),
+    "long_tail_dead_stock": (("références qui ne se vendent presque pas",), ("écouler ou retirer ces références",)),
+    "day_of_week_peak": (("habitudes d'achat de la semaine",), ("placer envois et équipes sur ces jours",)),
+    "seasonal_peak": (("saison ou fêtes",), ("préparer les stocks avant la période",)),
+    "basket_erosion": (("articles moins chers ou remises",), ("proposer des lots", "revoir les remises")),
+    "single_purchase_dominance": (("peu de clients reviennent",), ("écrire aux clients après l'achat",)),
+}
 
 
 def _found(d: DataFrame, name: str, confidence: float | Column, **evidence: Column) -> DataFrame:
@@ -71,6 +84,14 @@ def single_purchase(df: DataFrame, order: str, customer: str, below: float = 1.3
     return _found(d.where(F.col("ratio") < below), "single_purchase_dominance", 0.85, orders=F.col("orders"), customers=F.col("customers"), orders_per_customer=F.round("ratio", 2))
 
 
+def with_notes(found: DataFrame) -> DataFrame:
+    """Adds the causes and actions that belong to a pattern."""
+    for k, name in enumerate(("causes", "actions")):
+        cases = F.coalesce(*[F.when(F.col("pattern_id") == p, F.array(*map(F.lit, notes[k]))) for p, notes in NOTES.items()])
+        found = found.withColumn(name, cases)
+    return found
+
+
 def detect(agg: DataFrame, spec: Spec, *, role: str | None = None, source: DataFrame | None = None, order: str | None = None, customer: str | None = None) -> DataFrame:
     """All patterns that the spec's kind of aggregate may show. ``role`` is the measure's, or ``region`` for an axis of regions."""
     dim = spec.dimensions[0]

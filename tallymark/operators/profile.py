@@ -1,11 +1,83 @@
-"""Profiles of columns, each as one aggregate over all rows; roles are decided from the sums."""
+"""Profiles of columns over all rows: sums of one pass, then decisions on the driver."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallymark.functions.text import DATE_FORMATS, comma_decision, comma_evidence, day_first_evidence, day_order, is_null_token, numeric_text, parsed_date, ranked_formats, trimmed
+from tallymark.operators.stats import exact_median
+
+# Words of yes and no; words in names of identifiers, dates, measures, and measures that aren't added up.
+BOOLEAN_WORDS = ("oui", "non", "yes", "no", "true", "false", "vrai", "faux", "1", "0", "y", "n", "o")
+ID_HINTS = ("id", "ident", "code", "ref", "reference", "sku", "uuid", "num", "numero", "no", "identifiant", "key")
+DATE_HINTS = ("date", "jour", "day", "time", "timestamp", "created", "purchase", "commande", "achat", "livraison", "shipping", "delivery", "at")
+MEASURE_HINTS = (
+    "prix", "price", "montant", "amount", "total", "ca", "revenue", "chiffre", "cout", "cost", "valeur", "value", "quantite", "quantity", "qty", "qte", "nombre", "freight",
+    "payment", "subtotal", "tarif", "somme",
+)
+NON_ADDITIVE_HINTS = (
+    "taux", "rate", "ratio", "pct", "pourcentage", "percent", "moyenne", "mean", "avg", "note", "rating", "score", "age", "poids_unitaire", "unit_price", "prix_unitaire",
+    "latitude", "longitude", "lat", "lng", "lon", "zip", "postal", "cp",
+)
+#: A text column has a type if this share of its values reads as it.
+TYPE_SHARE = 0.9
+
+
+@dataclass(frozen=True)
+class ColumnProfile:
+    """What all rows of a column show. Shares are of its values, which leave null words out."""
+
+    name: str
+    type: str
+    role: str
+    n: int
+    n_present: int
+    n_unique: int
+    native: bool = True
+    additive: bool | None = None
+    min: float | None = None
+    max: float | None = None
+    median: float | None = None
+    n_negative: int = 0
+    n_zero: int = 0
+    first: object = None
+    last: object = None
+    n_read: int = 0
+    date_format: str | None = None
+    day_order: str = "undecided"
+    n_day_month: int = 0
+    decimal_comma: bool = True
+    comma_confidence: float = 1.0
+    comma_share: float = 0.0
+    currency_share: float = 0.0
+    email_share: float = 0.0
+    whole_share: float = 0.0
+    top: tuple[str, ...] = ()
+
+    @property
+    def null_rate(self) -> float:
+        return 1 - self.n_present / self.n if self.n else 0.0
 
-from tallymark.functions.text import is_null_token, trimmed
+    @property
+    def ratio(self) -> float:
+        return self.n_unique / self.n_present if self.n_present else 0.0
+
+    def number(self) -> Column:
+        """The column as numbers, null where a value is none."""
+        return F.col(f"`{self.name}`").cast("double") if self.native else numeric_text(F.col(f"`{self.name}`"), self.decimal_comma)
+
+    def moment(self) -> Column:
+        """The column as timestamps, null where a value is none."""
+        if self.native:
+            return F.col(f"`{self.name}`").cast("timestamp_ntz")
+        return parsed_date(F.col(f"`{self.name}`"), (self.date_format, *ranked_formats(self.day_order)) if self.date_format else tuple(ranked_formats(self.day_order)))
 
 
 def numeric(df: DataFrame, c: str) -> DataFrame:
@@ -13,9 +85,9 @@ def numeric(df: DataFrame, c: str) -> DataFrame:
     n = F.count(c)
     skew = F.skewness(c) * F.sqrt(n * (n - 1.0)) / F.nullif(n - 2.0, F.lit(0.0))
     return df.agg(
-        n.alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"),
+        n.alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
         F.when(n > 2, skew).alias("skew"), F.count_if(F.col(c) < 0).alias("n_negative"), F.count_if(F.col(c) == 0).alias("n_zero"),
-    )
+    ).withColumn("median", exact_median(df, c).scalar())
 
 
 def temporal(df: DataFrame, c: str, as_of: Column) -> DataFrame:
@@ -33,48 +105,136 @@ def top_values(df: DataFrame, c: str, k: int = 10) -> DataFrame:
     return df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
+def normal(name: str) -> str:
+    """Lower case without accents, words apart by single spaces."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+    return " ".join(re.sub(r"[\W_]+", " ", plain.lower()).split())
+
+
+def hinted(name: str, hints: tuple[str, ...]) -> bool:
+    """Whether a name has one of the words, or contains one of over three letters."""
+    n = normal(name)
+    return bool(set(n.split()) & set(hints)) or any(h.replace("_", " ") in n for h in hints if len(h) > 3)
+
+
+#: The first that holds gives the role. x: name, kind, n (present), n_unique, ratio, decimals.
+_ROLES = (
+    ("empty", lambda x: not x["n"]),
+    ("constant", lambda x: x["n_unique"] == 1),
+    ("measure", lambda x: x["kind"] == "numeric" and hinted(x["name"], MEASURE_HINTS) and not hinted(x["name"], ID_HINTS)),
+    ("temporal", lambda x: x["kind"] == "datetime"),
+    ("identifier", lambda x: x["n_unique"] > 10 and hinted(x["name"], ID_HINTS) and not hinted(x["name"], NON_ADDITIVE_HINTS)),
+    ("identifier", lambda x: x["ratio"] > 0.9 and x["n"] > 20 and not x["decimals"]),
+    ("boolean_flag", lambda x: x["kind"] == "boolean" or x["n_unique"] == 2),
+    ("measure", lambda x: x["kind"] == "numeric" and (x["ratio"] > 0.05 or x["decimals"])),
+    ("categorical", lambda x: x["kind"] == "numeric" or x["n_unique"] <= 200),
+    ("high_cardinality_cat", lambda x: True),
+)
+
+
 def role(name: str, kind: str, n_rows: int, n_present: int, n_unique: int, decimals: bool) -> str:
     """The structural role, by the first rule that holds."""
-    lower = name.lower()
-    ratio = n_unique / n_present if n_present else 0.0
-    if not n_present:
-        return "empty"
-    if n_unique == 1:
-        return "constant"
-    if kind == "numeric" and any(t in lower for t in ("price", "amount", "total", "montant", "prix", "quantity", "quantite", "discount", "revenue")):
-        return "measure"
-    if kind == "datetime":
-        return "temporal"
-    if any(lower == t or lower.endswith(t) for t in ("id", "key", "code", "numero")) and n_unique > 10:
-        return "identifier"
-    if ratio > 0.9 and n_present > 20 and not decimals:
-        return "identifier"
-    if kind == "boolean":
-        return "boolean_flag"
-    if kind == "numeric" and (ratio > 0.05 or decimals):
-        return "measure"
-    if kind == "numeric" or n_unique <= 200:
-        return "categorical"
-    return "high_cardinality_cat" if ratio < 0.9 else "text"
+    x = {"name": name, "kind": kind, "n": n_present, "n_unique": n_unique, "ratio": n_unique / n_present if n_present else 0.0, "decimals": decimals}
+    return next(r for r, holds in _ROLES if holds(x))
 
 
-def roles(df: DataFrame) -> dict[str, str]:
-    """Roles of all columns of a typed table; one aggregate a column keeps the distinct counts from multiplying rows."""
-    out = {}
-    for f in df.schema:
-        kind = "datetime" if "timestamp" in f.dataType.simpleString() or f.dataType.simpleString() == "date" else "boolean" if f.dataType.simpleString() == "boolean" else "text" if f.dataType.simpleString() == "string" else "numeric"
-        decimals = F.count_if(F.col(f.name).cast("double") % 1 != 0) if kind == "numeric" else F.lit(0)
-        r = df.agg(F.count(F.lit(1)), F.count(f.name), F.count_distinct(f.name), decimals).first()
-        out[f.name] = role(f.name, kind, r[0], r[1], r[2], bool(r[3]))
-    return out
+def _native(t: T.DataType) -> str | None:
+    if isinstance(t, T.NumericType):
+        return "numeric"
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return "datetime"
+    return "boolean" if isinstance(t, T.BooleanType) else None
 
 
-# Words of yes and no.
-BOOLEAN_WORDS = ("oui", "non", "yes", "no", "true", "false", "vrai", "faux", "1", "0", "y", "n", "o")
-DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yy", "yyyy/M/d", "d.M.yyyy", "yyyy-M-d H:m:s")
+def _sums_of_number(x: Column) -> dict[str, Column]:
+    return {"n_read": F.count(x), "min": F.min(x), "max": F.max(x), "n_negative": F.count_if(x < 0), "n_zero": F.count_if(x == 0), "n_whole": F.count_if(x % 1 == 0), "n_unit": F.count_if(x.between(0, 1))}
+
+
+def _sums_of_text(v: Column) -> dict[str, Column]:
+    """What tells a text column's type: ``v`` is null for null words."""
+    out = {"n_boolean": F.count_if(F.lower(trimmed(v)).isin(*BOOLEAN_WORDS)), "n_comma": F.count_if(F.contains(v, F.lit(","))), "n_currency": F.count_if(v.rlike(r"[€$£¥]|R\$"))}
+    out |= {"n_email": F.count_if(v.rlike(r"^\s*[^@\s]+@[^@\s]+\.[A-Za-z]{2,}\s*$")), "n_digits": F.count_if(v.rlike(r"^\d{5,}$"))}
+    out |= dict(zip(("n_tail", "n_zero_first", "n_groups", "n_comma_point"), comma_evidence(v), strict=True))
+    out |= dict(zip(("n_dates", "n_day_first", "n_month_first"), day_first_evidence(v), strict=True))
+    out |= {"n_with_comma": F.count(numeric_text(v, True)), "n_with_point": F.count(numeric_text(v, False))}
+    return out | {f"date{k}": F.count(F.try_to_timestamp(trimmed(v), F.lit(f))) for k, f in enumerate(DATE_FORMATS)} | {"n_mixed": F.count(parsed_date(v, DATE_FORMATS))}
+
+
+def _text_type(name: str, n: int, s) -> tuple[str, dict]:
+    """The type of a text column by its sums, and what was decided on the way."""
+    comma, sure = comma_decision(s["n_tail"], s["n_zero_first"], s["n_groups"], s["n_comma_point"])
+    order, _ = day_order(n, s["n_dates"], s["n_day_first"], s["n_month_first"])
+    ranked = ranked_formats(order)
+    counts = {f: s[f"date{DATE_FORMATS.index(f)}"] for f in ranked}
+    best = next((f for f in ranked if counts[f] >= 0.99 * n), max(ranked, key=counts.get))
+    n_date = counts[best]
+    if n_date < TYPE_SHARE * n:  # mixed forms, each read by the first that fits
+        best, n_date = None, max(n_date, s["n_mixed"])
+    n_number = s["n_with_comma" if comma == "decimal" else "n_with_point"]
+    found = {"decimal_comma": comma == "decimal", "comma_confidence": sure, "comma_share": s["n_comma"] / n if n else 0.0, "currency_share": s["n_currency"] / n if n else 0.0, "email_share": s["n_email"] / n if n else 0.0, "day_order": order, "n_day_month": s["n_dates"], "date_format": best}
+    if not n:
+        return "text", found
+    dated = n_date >= TYPE_SHARE * n and s["n_digits"] <= 0.5 * n and n_date >= n_number and (hinted(name, DATE_HINTS) or n_date > 0.95 * n)
+    kind = "datetime" if dated else "numeric" if n_number >= TYPE_SHARE * n else "boolean" if s["n_boolean"] == n else "text"
+    return kind, found | {"n_read": n_date if dated else n_number}
+
+
+def table(df: DataFrame) -> list[ColumnProfile]:
+    """The profiles of all columns; nothing is sampled.
+
+    One pass gives the sums of all columns, another the numbers that text
+    columns hold; distinct values, medians and the most frequent values are
+    counted column by column in one job each. Only these come to the driver.
+    """
+    fields = [f for f in df.schema if _native(f.dataType) or isinstance(f.dataType, T.StringType)]
+    if not fields:
+        return []
+    native = {f.name: _native(f.dataType) for f in fields}
+    col = lambda c: F.col(f"`{c}`")
+    present = {c: col(c) if k else F.when(~is_null_token(col(c)), col(c)) for c, k in native.items()}
+
+    def sums(of: dict[str, dict[str, Column]]) -> dict[str, dict]:
+        r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(*[x.alias(k) for k, x in s.items()]).alias(f"s{i}") for i, s in enumerate(of.values())]).first()
+        return {c: {"n_rows": r["n"]} | r[f"s{i}"].asDict() for i, c in enumerate(of)}
+
+    first = {c: {"n": F.count(v)} for c, v in present.items()}
+    for c, k in native.items():
+        first[c] |= _sums_of_number(col(c).cast("double")) if k == "numeric" else {"first": F.min(col(c)), "last": F.max(col(c))} if k == "datetime" else {} if k else _sums_of_text(present[c])
+    got = sums(first)
+    kinds = {c: (k, {}) if k else _text_type(c, got[c]["n"], got[c]) for c, k in native.items()}
+    draft = {c: ColumnProfile(c, kind, "", got[c]["n_rows"], got[c]["n"], 0, native[c] is not None, **found) for c, (kind, found) in kinds.items()}
+    again = {c: _sums_of_number(p.number()) if p.type == "numeric" else {"first": F.min(p.moment()), "last": F.max(p.moment())} for c, p in draft.items() if not p.native and p.type in ("numeric", "datetime")}
+    if again:
+        for c, s in sums(again).items():
+            got[c] |= {k: v for k, v in s.items() if k != "n_read"}
+    distinct = reduce(DataFrame.unionByName, [df.agg(F.lit(c).alias("c"), F.count_distinct(v).alias("k")) for c, v in present.items()])
+    n_unique = {r.c: r.k for r in distinct.collect()}
+    numbers = [c for c, p in draft.items() if p.type == "numeric" and p.n_present]
+    medians = df.sparkSession.range(1).select(*[exact_median(df.select(draft[c].number().alias("x")), "x").scalar().alias(f"m{i}") for i, c in enumerate(numbers)]).first() if numbers else []
+    median = dict(zip(numbers, medians, strict=True))
+    out = []
+    for c, p in draft.items():
+        s, n = got[c], max(1, p.n_present)
+        decimals = p.type == "numeric" and s["n_read"] - s["n_whole"] > 0.05 * n
+        r = role(c, p.type, p.n, p.n_present, n_unique[c], decimals)
+        more = {k: s[k] for k in ("min", "max", "n_negative", "n_zero", "first", "last") if s.get(k) is not None}
+        more |= {"n_read": s["n_read"] if p.native and p.type == "numeric" else p.n_read or p.n_present, "median": median.get(c), "whole_share": s["n_whole"] / n if p.type == "numeric" else 0.0}
+        more["additive"] = not hinted(c, NON_ADDITIVE_HINTS) and s["n_unit"] <= 0.95 * n if r == "measure" else None
+        out.append(ColumnProfile(**(vars(p) | {"role": r, "n_unique": n_unique[c]} | more)))
+    named = [p.name for p in out if p.role in ("categorical", "boolean_flag")]
+    if not named:
+        return out
+    tops = reduce(DataFrame.unionByName, [top_values(df.select(present[c].cast("string").alias("v")), "v").withColumn("c", F.lit(c)) for c in named]).collect()
+    by_column = {c: tuple(r.value for r in sorted((r for r in tops if r.c == c), key=lambda r: (-r.n, r.value))) for c in named}
+    return [ColumnProfile(**(vars(p) | {"top": by_column.get(p.name, ())})) for p in out]
+
+
+def roles(df: DataFrame) -> dict[str, str]:
+    """Roles of all columns."""
+    return {p.name: p.role for p in table(df)}
 
 
-def text_types(df: DataFrame, names: list[str], share: float = 0.9) -> DataFrame:
+def text_types(df: DataFrame, names: list[str], share: float = TYPE_SHARE) -> DataFrame:
     """column, n (present values), and the type that ``share`` of them read as, from one pass over all rows."""
     sums = []
     for c in names:
@@ -96,10 +256,10 @@ def simple_role(n: int, n_unique: int) -> str:
 
 
 def sampling_error(df: DataFrame, names: list[str], fraction: float, seed: int = 0) -> DataFrame:
-    """column, distinct share over all rows and over a sample of them, and their distance: what sampling would do to roles."""
+    """column, distinct share and null share over all rows and over a sample of them, and their distances: what sampling would do to roles."""
     def shares(d: DataFrame, what: str) -> DataFrame:
-        one = d.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(c) for c in names])
-        return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.try_divide(F.col(c), F.col("rows")).alias(what)) for c in names])))
+        one = d.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(c) for c in names], *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in names])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.try_divide(F.col(c), F.col("rows")).alias(what), F.try_divide(F.col(f"null_{c}"), F.col("rows")).alias(f"{what}_null")) for c in names])))
 
     d = shares(df, "exact").join(shares(df.sample(fraction, seed), "sampled"), "column")
-    return d.withColumn("error", F.abs(F.col("exact") - F.col("sampled")))
+    return d.select("column", "exact", "sampled", F.abs(F.col("exact") - F.col("sampled")).alias("error"), F.abs(F.col("exact_null") - F.col("sampled_null")).alias("null_error"))

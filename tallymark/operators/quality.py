@@ -3,16 +3,41 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymark.functions.text import has_test_word, is_cancelled, is_cancelled_exactly, is_null_token, is_total, strip_accents, trimmed
+from tallymark.operators import profile
+from tallymark.operators.profile import ColumnProfile
 from tallymark.operators.stats import with_robust_z
 
-# What an issue takes from the score, by policy and severity.
+# Severity, policy and default of issues; what they take from the score; which of them touch which share of it.
+RULES = {
+    "S01_encoding": ("low", "AUTO", None), "S02_separator": ("low", "AUTO", None), "S04_header_offset": ("low", "AUTO", None), "S05_empty_columns": ("low", "AUTO", "drop"),
+    "S06_constant_columns": ("low", "AUTO_NOTIFIED", "drop"), "S07_total_rows": ("high", "AUTO_NOTIFIED", "remove"), "S09_duplicate_headers": ("low", "AUTO", None),
+    "D01_exact_duplicates": ("high", "ASK", "remove_duplicates"), "D02_id_duplicates": ("medium", "ASK", "remove_duplicates"), "D02_multiline_orders": ("low", "AUTO", None), "D03_near_duplicates": ("medium", "ASK", "review"),
+    "T01_unparsable": ("high", "ASK", "exclude"), "T02_ambiguous_format": ("high", "ASK", "dayfirst"), "T03_future_dates": ("medium", "ASK", "keep"), "T04_absurd_dates": ("medium", "AUTO_NOTIFIED", "null"),
+    "T06_insufficient_span": ("medium", "AUTO_NOTIFIED", None),
+    "M01_negative": ("medium", "ASK", "separate"), "M02_zero_values": ("low", "ASK", "exclude"), "M03_extreme_outliers": ("high", "ASK", "preview"), "M04_currency_symbols": ("low", "AUTO", "to_numeric"),
+    "M07_ambiguous_decimal": ("high", "ASK", "decimal"),
+    "C01_whitespace": ("low", "AUTO", "trim"), "C02_case_variants": ("medium", "AUTO_NOTIFIED", "merge"), "C03_accent_variants": ("medium", "ASK", "merge"), "C04_near_duplicates": ("medium", "ASK", "merge"),
+    "C05_null_placeholders": ("low", "AUTO", "null"), "C06_high_cardinality": ("low", "AUTO_NOTIFIED", None),
+    "N01_critical_missing": ("high", "ASK", "exclude"), "N02_high_null_rate": ("medium", "AUTO_NOTIFIED", None), "N03_moderate_missing": ("low", "AUTO_NOTIFIED", None),
+    "X01_test_rows": ("medium", "ASK", "exclude"), "X02_cancelled_orders": ("high", "ASK", "separate"), "X03_internal_orders": ("low", "ASK", "keep"),
+    "B01_no_rows": ("high", "BLOCK", None), "B02_no_measure": ("high", "BLOCK", None), "B03_no_date": ("medium", "AUTO_NOTIFIED", None),
+    "R01_amount_mismatch": ("high", "ASK", "preview"), "R02_delivery_before_order": ("high", "ASK", "preview"), "R03_delivery_delay": ("medium", "AUTO_NOTIFIED", None), "R04_total_mismatch": ("high", "ASK", "preview"),
+    "R05_implied_price_outlier": ("medium", "ASK", "preview"), "R06_cancelled_with_amount": ("high", "ASK", "zero_out"), "R07_shipping_exceeds_amount": ("medium", "AUTO_NOTIFIED", None),
+}
 PENALTY = {("BLOCK", "high"): 40, ("ASK", "high"): 9, ("ASK", "medium"): 5, ("ASK", "low"): 2, ("AUTO_NOTIFIED", "high"): 4}
+SHARES = {
+    "consistency": ("C01_whitespace", "C02_case_variants", "C03_accent_variants", "C04_near_duplicates", "S07_total_rows"),
+    "validity": ("T01_unparsable", "T03_future_dates", "T04_absurd_dates", "M01_negative", "M03_extreme_outliers", "X01_test_rows", "M07_ambiguous_decimal", "X02_cancelled_orders"),
+    "uniqueness": ("D01_exact_duplicates", "D02_id_duplicates", "D03_near_duplicates"),
+}
+SEVERITIES = ("high", "medium", "low")
 
 
 @dataclass(frozen=True)
@@ -47,16 +72,29 @@ def test_rows(df: DataFrame) -> Column:
     return any_column(df, has_test_word)
 
 
+def row_hash(columns: list[str]) -> Column:
+    """128 bits of a row's values; nulls are equal to nulls and to nothing else."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    cells += [c.isNull() for c in cells]
+    return F.struct(F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells))
+
+
+def repeats(df: DataFrame, keys: Column | list[str], row_id: str) -> Column:
+    """Place of a row among those with equal keys, by ``row_id``."""
+    by = [F.col(f"`{k}`") for k in keys] if isinstance(keys, list) else [keys]
+    return F.row_number().over(W.partitionBy(*by).orderBy(F.col(f"`{row_id}`")))
+
+
 def exact_duplicates(df: DataFrame, row_id: str) -> DataFrame:
     """Rows equal in all columns but ``row_id`` to a row before them; nulls are equal."""
     rest = [c for c in df.columns if c != row_id]
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*rest).orderBy(row_id))).where("__n > 1").drop("__n")
+    return df.withColumn("__n", repeats(df, row_hash(rest), row_id)).where("__n > 1").drop("__n")
 
 
 def near_duplicates(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """Rows equal in ``keys`` to a row before them, but not in all columns."""
     rest = [c for c in df.columns if c != row_id]
-    d = df.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(row_id))).withColumn("__a", F.row_number().over(W.partitionBy(*rest).orderBy(row_id)))
+    d = df.withColumn("__k", repeats(df, keys, row_id)).withColumn("__a", repeats(df, row_hash(rest), row_id))
     return d.where("__k > 1 AND __a = 1").drop("__k", "__a")
 
 
@@ -78,20 +116,41 @@ def case_variants(df: DataFrame, c: str) -> DataFrame:
 
 
 def accent_variants(df: DataFrame, c: str) -> DataFrame:
-    return variants(df, c, lambda x: strip_accents(F.lower(x)))
+    """Spellings that are equal without accents and case, in groups that case alone doesn't explain."""
+    d = variants(df, c, lambda x: strip_accents(F.lower(x)))
+    lower = F.collect_set(F.lower("spelling")).over(W.partitionBy(strip_accents(F.lower("spelling"))))
+    return d.withColumn("forms", lower).where(F.size("forms") > 1).drop("forms")
+
+
+def _one_word_off(a: Column, b: Column) -> Column:
+    """Whether labels of several words have as many words, and none that differs by more than an edit."""
+    x, y = (F.split(strip_accents(F.lower(c)), r"\s+") for c in (a, b))
+    alike = F.forall(F.zip_with(x, y, lambda v, w: (v == w) | (F.levenshtein(v, w) <= 1)), lambda ok: ok)
+    return (F.size(x) == 1) & (F.size(y) == 1) | (F.size(x) == F.size(y)) & alike
 
 
 def near_labels(df: DataFrame, c: str, most: int = 200) -> DataFrame:
-    """Pairs of at most ``most`` distinct labels one edit apart (two from eight letters on).
+    """(a, b, distance, probable, variant, n) of pairs of labels that look like a typing error; ``n`` rows have the rarer one.
 
-    The labels, a bounded list, are compared in one array; a column with more
-    labels than that gives no pairs, as its labels aren't categories.
+    Labels are one edit apart, or two from eight letters on, but for their
+    case, and differ within words, not by whole ones. A column with more than
+    ``most`` labels, with mostly numbers, or of short values (under six
+    letters for half of them) gives no pairs: its values aren't categories.
+    The labels, a bounded list, are compared in one array.
     """
-    labels = df.where(F.col(c).isNotNull()).select(F.col(c).alias("a")).distinct().limit(most + 1)
-    d = labels.agg(F.sort_array(F.collect_list("a")).alias("all")).where(F.size("all").between(2, most))
-    d = d.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(most))).alias("b"))
-    d = d.withColumn("distance", F.levenshtein("a", "b", 2)).where((F.col("distance") >= 1) & ~F.col("a").rlike(r"^\d+$"))
-    return d.where((F.col("distance") <= 1) | (F.least(F.length("a"), F.length("b")) >= 8)).select("a", "b", "distance")
+    v = df.select(trimmed(F.col(f"`{c}`").cast("string")).alias("a")).where("a IS NOT NULL").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    bare = F.regexp_replace("a", r"[\s.,%-]", "")
+    d = v.orderBy(F.desc("n"), "a").limit(most + 1).agg(
+        F.sort_array(F.collect_list(F.struct("a", "n"))).alias("all"), F.sum("n").alias("rows"), F.sum(F.when(bare.rlike(r"^\d+$"), F.col("n")).otherwise(0)).alias("numbers"),
+        F.sort_array(F.collect_list(F.struct(F.length("a").alias("size"), "n"))).alias("sizes"),
+    )
+    upto = F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + F.when(x["size"] < 6, x["n"]).otherwise(0))
+    d = d.where(F.size("all").between(2, most) & (2 * F.col("numbers") <= F.col("rows")) & (2 * upto <= F.col("rows")))
+    d = d.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(most))).alias("y")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    d = d.withColumn("distance", F.levenshtein(F.lower("a"), F.lower("b"), 2)).where((F.col("distance") >= 1) & (F.abs(F.length("a") - F.length("b")) <= 2) & _one_word_off(F.col("a"), F.col("b")))
+    first = F.col("n_a") >= F.col("n_b")
+    d = d.where((F.col("distance") <= 1) | (F.least(F.length("a"), F.length("b")) >= 8))
+    return d.select("a", "b", "distance", F.when(first, F.col("a")).otherwise(F.col("b")).alias("probable"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("variant"), F.least("n_a", "n_b").alias("n"))
 
 
 def extreme_outliers(df: DataFrame, row_id: str, c: str) -> DataFrame:
@@ -110,16 +169,16 @@ def amount_mismatch(df: DataFrame, revenue: str, quantity: str, price: str, disc
 
 
 def order_totals(df: DataFrame, order: str, total: str, line: str) -> DataFrame:
-    """Orders whose total is over 2 % off the sum of their lines."""
-    d = df.groupBy(order).agg(F.first(total).alias("total"), F.sum(line).alias("lines"), F.count(F.lit(1)).alias("n"))
+    """Orders whose total, the smallest that their rows give, is over 2 % off the sum of their lines."""
+    d = df.groupBy(order).agg(F.min(total).alias("total"), F.sum(line).alias("lines"), F.count(F.lit(1)).alias("n"))
     return d.where(F.abs(F.col("total") - F.col("lines")) / F.nullif(F.abs("lines"), F.lit(0.0)) > 0.02).select(order, "n")
 
 
-def without_empty(df: DataFrame) -> DataFrame:
-    """Without columns that hold no value or a single one in all rows; an empty table keeps all."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count(c).alias("k"), (F.min(c).eqNullSafe(F.max(c))).alias("one")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+def without_empty(df: DataFrame, constant: bool = True) -> DataFrame:
+    """Without columns that hold no value, or (``constant``) a single one in all rows; an empty table keeps all."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count(f"`{c}`").alias("k"), F.min(f"`{c}`").eqNullSafe(F.max(f"`{c}`")).alias("one")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     n = r[0]
-    return df.drop(*[c for c, x in zip(df.columns, r[1:], strict=True) if n and (not x["k"] or (x["one"] and x["k"] == n))])
+    return df.drop(*[c for c, x in zip(df.columns, r[1:], strict=True) if n and (not x["k"] or (constant and x["one"] and x["k"] == n))])
 
 
 def status_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -142,13 +201,42 @@ def implied_price_outliers(df: DataFrame, revenue: str, quantity: str) -> DataFr
     return d.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("z") > 15) & ~F.col("value").between(F.col("med") / 50, F.col("med") * 50)).alias("n_off"))
 
 
-def table_score(df: DataFrame, issues: list[Issue]) -> float:
+def delivery_delays(df: DataFrame, ordered: str | Column, delivered: str | Column, most: int = 365) -> DataFrame:
+    """Rows, those delivered before they were ordered, and those delivered over ``most`` days later."""
+    return counts(df, **_delays(_c(ordered), _c(delivered), most))
+
+
+def short_span(df: DataFrame, c: str, least: int = 56) -> DataFrame:
+    """Days between the first and the last date, and whether these are too few for a trend."""
+    return df.agg(F.datediff(F.max(c), F.min(c)).cast("long").alias("span_days")).withColumn("short", F.col("span_days") < least)
+
+
+def shipping_excess(df: DataFrame, revenue: str | Column, shipping: str | Column) -> DataFrame:
+    """Rows, and those whose shipping costs over twice their amount."""
+    return counts(df, n_over=_excess(_c(revenue), _c(shipping)))
+
+
+def _c(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _delays(ordered: Column, delivered: Column, most: int) -> dict[str, Column]:
+    return {"n_before": delivered < ordered, "n_late": F.datediff(delivered, ordered) > most}
+
+
+def _excess(revenue: Column, shipping: Column) -> Column:
+    return (revenue > 0) & (shipping > 2 * revenue)
+
+
+def table_score(df: DataFrame, issues: list[Issue], columns: list[ColumnProfile] | None = None) -> float:
     """``score`` of a table: completeness from its null words, the other shares from the rows that issues touch."""
-    r = df.agg(F.count(F.lit(1)), *[F.count_if(is_null_token(F.col(c).cast("string"))) for c in df.columns]).first()
-    n = max(1, r[0])
-    filled = [x / n for x in r[1:] if x < n]
-    touched = lambda *kinds: 1 - min(1.0, sum(i.n_affected for i in issues if i.id[0] in kinds) / n)
-    return score(1 - sum(filled) / max(1, len(filled)), touched("C"), touched("T", "M"), touched("D"), issues)
+    if columns is None:
+        r = df.agg(F.count(F.lit(1)), *[F.count_if(is_null_token(F.col(c).cast("string"))) for c in df.columns]).first()
+        n, rates = max(1, r[0]), [x / max(1, r[0]) for x in r[1:] if x < r[0]]
+    else:
+        n, rates = max((p.n for p in columns), default=1) or 1, [p.null_rate for p in columns if p.role != "empty"]
+    touched = [1 - min(1.0, sum(i.n_affected for i in issues if i.id in ids) / n) for ids in SHARES.values()]
+    return score(1 - sum(rates) / max(1, len(rates)), *touched, issues)
 
 
 def score(completeness: float, consistency: float, validity: float, uniqueness: float, issues: list[Issue]) -> float:
@@ -161,26 +249,201 @@ def label(value: float) -> str:
     return next(name for least, name in ((90, "excellent"), (75, "good"), (55, "fair"), (30, "poor"), (-1, "critical")) if value >= least)
 
 
-def diagnose(df: DataFrame, row_id: str, *, amount: str, date: str, status: str | None, as_of: str) -> list[Issue]:
-    """Issues of a typed table by severity and share; all plain counts come from one pass."""
-    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
-    tests = {"S07_total_rows": total_rows(df), "X01_test_rows": test_rows(df), "M01_negative": F.col(amount) < 0, "M02_zero_values": F.col(amount) == 0, "T03_future_dates": F.col(date) > F.lit(as_of).cast("timestamp_ntz"), "T04_absurd_dates": F.year(date) < 1990, "N01_critical_missing": F.col(amount).isNull() | F.col(date).isNull()}
+def issues_frame(spark: SparkSession, issues: list[Issue]) -> DataFrame:
+    return spark.createDataFrame([(i.id, i.severity, i.policy, ",".join(i.columns), i.n_affected) for i in issues], "id string, severity string, policy string, columns string, n_affected long")
+
+
+def diagnose(df: DataFrame, mapping: dict[str, str | None], row_id: str, as_of: str, columns: list[ColumnProfile] | None = None, notes: tuple[str, ...] = ()) -> list[Issue]:
+    """All issues of a table, by severity and share.
+
+    ``mapping`` names the columns of concepts, ``row_id`` a column that only
+    numbers rows, ``notes`` ids that the scan of the file left. Text columns
+    count as numbers and dates where their profile says so. Plain counts come
+    from one pass; groups of spellings, outliers and order sums take one each.
+    """
+    columns = [p for p in (columns or profile.table(df)) if p.name != row_id]
+    by_name = {p.name: p for p in columns}
+    mapped = {k: by_name[c] for k, c in mapping.items() if c in by_name}
+    n = df.count()
+    out: list[Issue] = []
+
+    def found(id_: str, k: int, *names: str) -> None:
+        severity, policy, default = RULES[id_]
+        out.append(Issue(id_, severity, policy, names, int(k), default))
+
+    for note in notes:
+        found(note, 0)
+    if n < 30:
+        found("B01_no_rows", n)
+    if not any(p.role == "measure" for p in columns):
+        found("B02_no_measure", 0)
+    if not any(p.role == "temporal" for p in columns):
+        found("B03_no_date", 0)
+    _from_profiles(columns, mapped, n, found)
+    tests, rules = _tests(df, columns, mapped, as_of)
+    r = counts(df, **tests).first() if tests else {}
+    for key, (id_, names, most, share) in rules.items():
+        if r[key] and r[key] > most * n and r[key] >= share * n:
+            found(id_, r[key], *names)
+    _spellings(df, columns, found)
+    _outliers(df, columns, found)
+    _repeated(df, mapped, row_id, found)
+    if n:
+        _coherence(df, mapped, n, found)
+    return sorted(out, key=lambda i: (SEVERITIES.index(i.severity), -i.n_affected / max(1, n), i.id, i.columns))
+
+
+def _from_profiles(columns: list[ColumnProfile], mapped: dict[str, ColumnProfile], n: int, found) -> None:
+    critical = {mapped[k].name for k in ("revenue", "order_date", "order_id") if k in mapped}
+    for p in columns:
+        if p.role == "empty":
+            found("S05_empty_columns", n, p.name)
+        elif p.role == "constant":
+            found("S06_constant_columns", n, p.name)
+        elif missing := p.n - p.n_present:
+            if p.name in critical:
+                found("N01_critical_missing", missing, p.name)
+            elif p.null_rate > 0.05:
+                found("N02_high_null_rate" if p.null_rate > 0.5 else "N03_moderate_missing", missing, p.name)
+        if p.role in ("categorical", "boolean_flag") and p.n_unique > 200:
+            found("C06_high_cardinality", n, p.name)
+        if p.role == "measure" and not p.native:
+            if p.currency_share > 0.5:
+                found("M04_currency_symbols", round(p.currency_share * p.n_present), p.name)
+            if p.comma_share > 0.5 and p.comma_confidence < 0.7:
+                found("M07_ambiguous_decimal", n, p.name)
+        if p.role == "temporal":
+            if not p.native and p.n_present - p.n_read > 0.02 * n:
+                found("T01_unparsable", p.n_present - p.n_read, p.name)
+            if not p.native and p.n_day_month > 0.8 * p.n_present and p.day_order == "undecided":
+                found("T02_ambiguous_format", n, p.name)
+            if p.first is not None and (p.last - p.first).days < 56:
+                found("T06_insufficient_span", n, p.name)
+
+
+def _tests(df: DataFrame, columns: list[ColumnProfile], mapped: dict[str, ColumnProfile], as_of: str) -> tuple[dict[str, Column], dict[str, tuple]]:
+    """Conditions to be counted, and by their names (id, columns, share that must be passed, share that must be reached)."""
+    tests: dict[str, Column] = {}
+    rules: dict[str, tuple] = {}
+
+    def put(id_: str, condition: Column, *names: str, over: float = 0.0, least: float = 0.0) -> None:
+        key = f"t{len(tests)}"
+        tests[key], rules[key] = condition, (id_, names, over, least)
+
+    either = lambda tests_: reduce(lambda a, b: a | b, tests_, F.lit(False))
+    texts = [p for p in columns if p.type in ("text", "boolean") and not p.native]
+    put("S07_total_rows", either(is_total(F.col(f"`{p.name}`")) for p in columns if not p.native))
+    put("X01_test_rows", either(has_test_word(F.col(f"`{p.name}`")) for p in texts if p.role in ("categorical", "identifier", "high_cardinality_cat", "text")))
+    for p in columns:
+        if p.role == "temporal":
+            t = p.moment()
+            put("T03_future_dates", t > F.lit(as_of).cast("timestamp_ntz"), p.name)
+            put("T04_absurd_dates", F.year(t) < 1990, p.name)
+        elif p.role == "measure":
+            x = p.number()
+            put("M01_negative", x < 0, p.name)
+            put("M02_zero_values", x == 0, p.name, least=0.01)
+        elif p.role in ("categorical", "boolean_flag") and not p.native:
+            v = F.col(f"`{p.name}`")
+            put("C01_whitespace", v != trimmed(v), p.name)
+            put("C05_null_placeholders", v.isNotNull() & is_null_token(v), p.name)
+    status = mapped.get("order_status") or next((p for p in columns if p.role == "categorical" and not p.native and _has_status(p)), None)
+    revenue = mapped["revenue"].number() if "revenue" in mapped else None
     if status:
-        tests["X02_cancelled_orders"] = is_cancelled(F.col(status))
-    for c in texts:
-        tests[f"C01_whitespace:{c}"] = F.col(c) != trimmed(F.col(c))
-        tests[f"C05_null_placeholders:{c}"] = F.col(c).isNotNull() & is_null_token(F.col(c))
-    r = counts(df, **tests).first()
-    n = max(1, r["n_rows"])
-    rules = {"S07_total_rows": ("high", "AUTO_NOTIFIED", "remove"), "X01_test_rows": ("medium", "ASK", "exclude"), "M01_negative": ("medium", "ASK", "separate"), "M02_zero_values": ("low", "ASK", "exclude"), "T03_future_dates": ("medium", "ASK", "keep"), "T04_absurd_dates": ("medium", "AUTO_NOTIFIED", "null"), "N01_critical_missing": ("high", "ASK", "exclude"), "X02_cancelled_orders": ("high", "ASK", "separate"), "C01_whitespace": ("low", "AUTO", "trim"), "C05_null_placeholders": ("low", "AUTO", "null")}
-    out = []
-    for k in tests:
-        name, _, c = k.partition(":")
-        if r[k] and (name != "M02_zero_values" or r[k] >= 0.01 * n):
-            severity, policy, default = rules[name]
-            out.append(Issue(name, severity, policy, (c,) if c else (), r[k], default))
-    if d := exact_duplicates(df, row_id).count():
-        out.append(Issue("D01_exact_duplicates", "high", "ASK", (), d, "remove_duplicates"))
-    if r["n_rows"] < 30:
-        out.append(Issue("B01_no_rows", "high", "BLOCK", (), r["n_rows"]))
-    return sorted(out, key=lambda i: (("high", "medium", "low").index(i.severity), -i.n_affected / n))
+        v = F.col(f"`{status.name}`").cast("string")
+        put("X02_cancelled_orders", is_cancelled(v), status.name)
+        if "order_status" in mapped and revenue is not None:
+            put("R06_cancelled_with_amount", is_cancelled_exactly(v) & (revenue > 0), status.name, mapped["revenue"].name, over=0.01)
+    if "order_date" in mapped and "delivery_date" in mapped:
+        a, b = mapped["order_date"], mapped["delivery_date"]
+        late = _delays(a.moment(), b.moment(), 365)
+        put("R02_delivery_before_order", late["n_before"], a.name, b.name)
+        put("R03_delivery_delay", late["n_late"], a.name, b.name, over=0.005)
+    if revenue is not None and "shipping_cost" in mapped:
+        put("R07_shipping_exceeds_amount", _excess(revenue, mapped["shipping_cost"].number()), mapped["shipping_cost"].name, mapped["revenue"].name, over=0.005)
+    return tests, rules
+
+
+def _has_status(p: ColumnProfile) -> bool:
+    from tallymark.functions.text import CANCELLED
+    from tallymark.operators.profile import normal
+
+    return any(normal(v) in CANCELLED for v in p.top)
+
+
+def _spellings(df: DataFrame, columns: list[ColumnProfile], found) -> None:
+    """C02, C03 and C04 of columns with at most 200 values, which is what makes them categories."""
+    parts = []
+    for p in columns:
+        if p.role not in ("categorical", "boolean_flag") or p.native or p.n_unique > 200:
+            continue
+        d = df.select(trimmed(F.col(f"`{p.name}`")).alias("v"))
+        case, accent, typo = case_variants(d, "v"), accent_variants(d, "v"), near_labels(d, "v").select("variant", "n").distinct()
+        sums = (("C02_case_variants", case, F.sum(F.when(F.col("spelling") != F.col("best"), F.col("n")))), ("C03_accent_variants", accent, F.count_distinct("best")), ("C04_near_duplicates", typo, F.sum("n")))
+        parts += [x.agg(F.coalesce(k, F.lit(0)).alias("k")).select(F.lit(id_).alias("id"), F.lit(p.name).alias("c"), "k") for id_, x, k in sums]
+    if parts:
+        for r in reduce(DataFrame.unionByName, parts).where("k > 0").collect():
+            found(r.id, r.k, r.c)
+
+
+def _outliers(df: DataFrame, columns: list[ColumnProfile], found) -> None:
+    parts = []
+    for p in columns:
+        if p.role == "measure" and p.n_read > 20:
+            z = with_robust_z(df.select(p.number().alias("value")).where("value IS NOT NULL"))
+            parts.append(z.agg(F.count_if((F.col("z") > 10) & (F.abs("value") > 20 * F.col("med"))).alias("k")).select(F.lit(p.name).alias("c"), "k"))
+    if parts:
+        for r in reduce(DataFrame.unionByName, parts).where("k > 0").collect():
+            found("M03_extreme_outliers", r.k, r.c)
+
+
+def _repeated(df: DataFrame, mapped: dict[str, ColumnProfile], row_id: str, found) -> None:
+    """D01, D02, D03 and X03: whole rows by their hashes, orders, keys, and the most frequent customer."""
+    rest = [c for c in df.columns if c != row_id]
+    own = df.select(row_hash(rest).alias("h"), *[F.col(f"`{p.name}`").alias(k) for k, p in mapped.items()])
+    copies = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    if k := copies.agg(F.sum(F.col("n") - 1)).first()[0]:
+        found("D01_exact_duplicates", k)
+    if "order_id" in mapped:
+        rows = own.where("order_id IS NOT NULL").groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("u")).where("n > 1")
+        r = rows.agg(F.sum("n").alias("lines"), F.sum(F.col("n") - F.col("u")).alias("copies")).first()
+        if r.copies:
+            found("D02_id_duplicates", r.copies, mapped["order_id"].name)
+        elif r.lines:
+            found("D02_multiline_orders", r.lines, mapped["order_id"].name)
+    keys = ("customer_id", "order_date", "revenue")
+    if all(k in mapped for k in keys):
+        # Of rows with equal keys all but one are repeats; of these, whole copies of another row aren't near ones.
+        groups = own.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("u"))
+        if k := groups.agg(F.sum(F.col("u") - 1)).first()[0]:
+            found("D03_near_duplicates", k, *(mapped[x].name for x in keys))
+    if "customer_id" in mapped and mapped["customer_id"].n_present > 50:
+        top = dominant_value(df, mapped["customer_id"].name, 0.05).collect()
+        if top and mapped["customer_id"].n_unique > 1:
+            found("X03_internal_orders", top[0].n, mapped["customer_id"].name)
+
+
+def _coherence(df: DataFrame, mapped: dict[str, ColumnProfile], n: int, found) -> None:
+    """R01, R04 and R05, which compare amounts."""
+    has = lambda *k: all(x in mapped for x in k)
+    names = lambda *k: [mapped[x].name for x in k]
+    if not has("revenue"):
+        return
+    amounts = df.select(*[p.number().alias(k) for k, p in mapped.items() if p.type == "numeric"], *[F.col(f"`{mapped[k].name}`").alias(f"{k}_key") for k in ("order_id",) if k in mapped])
+    if has("quantity", "unit_price"):
+        d = amounts
+        if has("discount"):
+            top = d.agg(F.max("discount")).first()[0] or 0
+            d = d.withColumn("discount", F.coalesce(F.col("discount") / (100 if top > 1.5 else 1), F.lit(0.0)))
+        else:
+            d = d.withColumn("discount", F.lit(0.0))
+        k = amount_mismatch(d, "revenue", "quantity", "unit_price", "discount").first().n_off
+        if k > 0.005 * n:
+            found("R01_amount_mismatch", k, *names("quantity", "unit_price", "revenue"))
+    if has("order_id", "order_total"):
+        if k := order_totals(amounts.where("order_id_key IS NOT NULL"), "order_id_key", "order_total", "revenue").count():
+            found("R04_total_mismatch", k, *names("order_id", "order_total"))
+    if has("quantity") and not has("unit_price"):
+        r = implied_price_outliers(amounts.where("quantity > 0"), "revenue", "quantity").first()
+        if r.n > 30 and r.n_off > 0.002 * n:
+            found("R05_implied_price_outlier", r.n_off, *names("quantity", "revenue"))

@@ -39,6 +39,7 @@ def trend(agg: DataFrame) -> DataFrame:
     )
     out = out.withColumn("change_pct", (F.col("last_value") - F.col("first_value")) / F.nullif(F.abs("first_value"), F.lit(0.0)) * 100)
     size = F.when(F.col("mean") == 0, 1.0).otherwise(F.abs("mean"))
+    out = out.withColumn("change_absolute", F.when(F.col("n") >= 3, F.col("last_value") - F.col("first_value")))
     return out.withColumn("volatility_pct", F.col("sd") / size * 100).withColumn("direction", direction(size)).drop("sd")
 
 
@@ -71,20 +72,32 @@ def pareto(agg: DataFrame) -> DataFrame:
 
 
 def exact_median(df: DataFrame, c: str) -> DataFrame:
-    """One row with the median m, null for no values; nulls and NaN don't count.
-
-    Values are counted by magnitude, and only those of the classes that hold
-    the middle are ordered: no task sees more than such a class.
-    """
-    d = df.select(F.col(c).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").withColumn("class", magnitude(F.col("v"), 1024))
-    sizes = d.groupBy("class").agg(F.count(F.lit(1)).alias("k"))
-    below = _all().orderBy("class").rowsBetween(W.unboundedPreceding, -1)  # one row a class of magnitude
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("k").over(below), F.lit(0))).withColumn("n", F.sum("k").over(_all()))
-    sizes = sizes.withColumn("lo", F.floor((F.col("n") - 1) / 2)).withColumn("hi", F.floor(F.col("n") / 2)).where("base <= hi AND base + k > lo")
-    held = d.join(F.broadcast(sizes.select("class", "base", "lo", "hi")), "class")  # two classes at most
-    held = held.groupBy("base", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("k"))
-    at = F.col("base") + F.coalesce(F.sum("k").over(W.partitionBy("base").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return held.withColumn("at", at).where("at <= hi AND at + k > lo").agg(((F.min("v") + F.max("v")) / 2).alias("m"))
+    """One row with the median m, null for no values; nulls and NaN don't count."""
+    return _medians(df, [], c)
+
+
+def exact_medians(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """(keys, m): the median of each group that has values; null keys are a group."""
+    return _medians(df, keys, c)
+
+
+def _medians(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """Values are counted by magnitude, and only those of the classes that hold the middle are ordered: no task sees more than such a class of a group."""
+    d = df.select(*keys, F.col(c).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)").withColumn("__class", magnitude(F.col("__v"), 128 if keys else 1024))
+    group = W.partitionBy(*keys)
+    sizes = d.groupBy(*keys, "__class").agg(F.count(F.lit(1)).alias("__k"))
+    below = group.orderBy("__class").rowsBetween(W.unboundedPreceding, -1)  # a row for each class of magnitude of a group
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__k").over(below), F.lit(0))).withColumn("__n", F.sum("__k").over(group))
+    sizes = sizes.withColumn("__lo", F.floor((F.col("__n") - 1) / 2)).withColumn("__hi", F.floor(F.col("__n") / 2)).where("__base <= __hi AND __base + __k > __lo")
+    middle = sizes.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("__class").alias("__c"), "__base", "__lo", "__hi")  # two classes of a group at most
+    on = F.col("__class") == F.col("__c")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    held = d.join(middle if keys else F.broadcast(middle), on).groupBy(*keys, "__base", "__lo", "__hi", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    at = F.col("__base") + F.coalesce(F.sum("__k").over(W.partitionBy(*keys, "__base").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumn("__at", at).where("__at <= __hi AND __at + __k > __lo")
+    m = ((F.min("__v") + F.max("__v")) / 2).alias("m")
+    return held.groupBy(*keys).agg(m) if keys else held.agg(m)
 
 
 def with_robust_z(df: DataFrame, c: str = "value") -> DataFrame:
@@ -95,6 +108,12 @@ def with_robust_z(df: DataFrame, c: str = "value") -> DataFrame:
     return d.withColumn("z", F.lit(0.6745) * F.abs(F.col(c) - F.col("med")) / F.nullif("mad", F.lit(0.0)))
 
 
+def extremes(agg: DataFrame) -> DataFrame:
+    """max_period and min_period: the first groups with the largest and the smallest value."""
+    d = agg.withColumn("__top", agg.agg(F.max("value")).scalar()).withColumn("__low", agg.agg(F.min("value")).scalar())
+    return d.agg(F.min(F.when(F.col("value") == F.col("__top"), F.col("dim0"))).alias("max_period"), F.min(F.when(F.col("value") == F.col("__low"), F.col("dim0"))).alias("min_period"))
+
+
 def spikes(agg: DataFrame) -> DataFrame:
     return with_robust_z(agg).where("z > 3.5 AND value > med").select("dim0", "value", "z")
 

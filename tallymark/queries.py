@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymark.operators import stats
+from tallymark.operators import facts, report, stats
 from tallymark.operators.execute import WEEKDAYS, coverage, execute, filtered, grouped, with_totals
-from tallymark.plans.spec import Dimension, Filter, Spec
+from tallymark.plans.spec import Dimension, Filter, Spec, guaranteed
 from tallymark.sources import sales as S
 
 QUERIES: dict = {}
@@ -52,7 +52,8 @@ def _sql(spec: Spec, source: str, where: str = "true", tail: str = "") -> str:
 
 
 def _spec(name: str, spec: Spec, source: str = ORDERS, where: str = "true", tail: str = "") -> None:
-    read = S.sales if source == "sales" else lambda s, d: S.table(s, d, source)
+    columns = (spec.column, *[x.column for x in (*spec.dimensions, *spec.filters)])
+    read = (lambda s, d: S.sales(s, d, columns)) if source == "sales" else lambda s, d: S.table(s, d, source)
     _put(name, lambda s, d: _round(execute(read(s, d), spec), "value"), _sql(spec, S.SQL if source == "sales" else source, where, tail))
 
 
@@ -105,10 +106,9 @@ t AS (SELECT count(*) AS n, arg_min(value, x) AS first_value, arg_max(value, x)
   avg(value) AS mean, stddev_samp(value) / (CASE WHEN avg(value) = 0 THEN 1 ELSE abs(avg(value)) END) * 100 AS volatility_pct FROM w),
 u AS (SELECT *, (last_value - first_value) / nullif(abs(first_value), 0) * 100 AS change_pct FROM t),
 v AS (SELECT *, CASE WHEN r2 < 0.25 OR abs(slope) / abs(mean) * 100 < 1 OR coalesce(sign(change_pct), 0) * sign(slope) < 0 THEN 'stable' WHEN slope > 0 THEN 'hausse' ELSE 'baisse' END AS direction FROM u)"""
-_put("trend_change", lambda s, d: _round(stats.trend(_monthly(s, d)).select("first_value", "last_value", "change_pct"), "first_value", "last_value", "change_pct", digits=2), f"{_TREND} SELECT round(first_value, 2) AS first_value, round(last_value, 2) AS last_value, round(change_pct, 2) AS change_pct FROM v")
+_put("trend_change", lambda s, d: _round(stats.trend(_monthly(s, d)).select("first_value", "last_value", "change_absolute", "change_pct"), "first_value", "last_value", "change_absolute", "change_pct", digits=2), f"{_TREND} SELECT round(first_value, 2) AS first_value, round(last_value, 2) AS last_value, round(last_value - first_value, 2) AS change_absolute, round(change_pct, 2) AS change_pct FROM v")
 _put("trend_regression", lambda s, d: _round(stats.trend(_monthly(s, d)).select("n", "slope", "r2", "volatility_pct"), "slope", "r2", "volatility_pct", digits=3), f"{_TREND} SELECT n, round(slope, 3) AS slope, round(r2, 3) AS r2, round(volatility_pct, 3) AS volatility_pct FROM v")
 _put("trend_direction", lambda s, d: stats.trend(_monthly(s, d)).select("direction"), f"{_TREND} SELECT direction FROM v")
-_put("pattern_trend", lambda s, d: _round(stats.trend_pattern(_monthly(s, d)), "confidence", digits=3), f"{_TREND} SELECT CASE WHEN direction = 'baisse' THEN 'trend_decline' ELSE 'trend_growth' END AS pattern_id, round(least(0.95, r2 + 0.3), 3) AS confidence FROM v WHERE n >= 4 AND r2 > 0.25 AND direction <> 'stable' AND abs(slope) > 0.02 * mean")
 _put("pareto_share", lambda s, d: _round(stats.pareto(_by_customer(s, d)), "top20_share_pct", "top1_share_pct", digits=3), f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY value DESC, dim0) AS place, count(*) OVER () AS n, value / sum(value) OVER () AS share FROM {_B}),
 q AS (SELECT *, sum(share) OVER (ORDER BY place) AS cum FROM p)
 SELECT max(n) AS n_groups, round(sum(CASE WHEN place <= greatest(1, floor(n * 0.2)) THEN share END) * 100, 3) AS top20_share_pct, round(max(share) * 100, 3) AS top1_share_pct, count(*) FILTER (cum <= 0.8) + 1 AS n_for_80pct FROM q""")
@@ -117,15 +117,24 @@ _put("anomaly_spike", lambda s, d: _round(stats.spikes(_by_customer(s, d)), "val
 _put("long_tail", lambda s, d: stats.long_tail(_by_customer(s, d)), f"SELECT n_groups, n_small, n_groups >= 4 AND n_small >= greatest(3, 0.3 * n_groups) AS found FROM (SELECT count(*) AS n_groups, count(*) FILTER (share < 0.01) AS n_small FROM (SELECT value / sum(value) OVER () AS share FROM {_B}))")
 _put("pattern_seasonal_peak", lambda s, d: _round(stats.peaks(_monthly(s, d), 1.1, "median", 8), "value", digits=2), f"SELECT dim0, round(value, 2) AS value FROM (SELECT *, median(value) OVER () AS mid, count(*) OVER () AS n FROM {_A}) WHERE n >= 8 AND value >= 1.1 * mid")
 _put("mad_outliers", lambda s, d: _round(stats.with_robust_z(S.table(s, d, "customer").select("c_custkey", F.col("c_acctbal").alias("value"))).where("z > 1.3").select("c_custkey", "value", "z"), "z"), f"SELECT c_custkey, value, round(z, 4) AS z FROM {_Z.format(x='(SELECT c_custkey, c_acctbal AS value FROM customer)')} WHERE z > 1.3")
-_put("argmax_argmin", lambda s, d: _monthly(s, d).agg(F.max_by("dim0", F.struct("value", "dim0")).alias("max_period"), F.min_by("dim0", F.struct("value", "dim0")).alias("min_period")), f"SELECT arg_max(dim0, value) AS max_period, arg_min(dim0, value) AS min_period FROM {_A}")
-_put("downsample_points", lambda s, d: _round(stats.marked_edges(_monthly(s, d)).where("place = 1 OR place = n OR (place - 1) % 5 = 0").select("dim0", "value"), "value", digits=2), f"WITH {_EDGES} SELECT dim0, round(value, 2) AS value FROM e WHERE place = 1 OR place = n OR (place - 1) % 5 = 0")
+_put("argmax_argmin", lambda s, d: stats.extremes(_monthly(s, d)), f"WITH a AS {_A} SELECT min(dim0) FILTER (value = (SELECT max(value) FROM a)) AS max_period, min(dim0) FILTER (value = (SELECT min(value) FROM a)) AS min_period FROM a")
+
+
+def sampled_sql(most: int) -> str:
+    return f"""SELECT dim0, round(value, 2) AS value FROM (SELECT *, row_number() OVER (ORDER BY dim0) AS place, count(*) OVER () AS n, greatest(1, count(*) OVER () // {most - 2}) AS step FROM {_A})
+WHERE n <= {most} OR place = 1 OR place = n OR ((place - 2) % step = 0 AND place >= 2 AND (place - 2) // step < {most - 2})"""
+
+
+_put("downsample_points", lambda s, d: _round(facts.sampled_points(_monthly(s, d), 12).select("dim0", "value"), "value", digits=2), sampled_sql(12))
 
 # The benchmark's operations.
-_put("bench_month_category", lambda s, d: S.sales(s, d).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("p_type").alias("category")).agg(F.round(F.sum("l_extendedprice"), 2).alias("amount")), f"SELECT strftime(o_orderdate, '%Y-%m') AS month, p_type AS category, round(sum(l_extendedprice), 2) AS amount FROM {S.SQL} GROUP BY ALL")
+_put("bench_month_category", lambda s, d: S.sales(s, d, ("o_orderdate", "p_type")).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("p_type").alias("category")).agg(F.round(F.sum("l_extendedprice"), 2).alias("amount")), f"SELECT strftime(o_orderdate, '%Y-%m') AS month, p_type AS category, round(sum(l_extendedprice), 2) AS amount FROM {S.SQL} GROUP BY ALL")
 _COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
 _put("cardinality_all_columns", lambda s, d: S.table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(c) for c in _COLS]), "SELECT count(*) AS n, " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in _COLS) + " FROM lineitem")
 _put("view_count", lambda s, d: S.table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem")
 _put("left_join_group_sizes", lambda s, d: grouped(S.table(s, d, "orders"), Spec("o_totalprice", "max", (PRIORITY,))).select("dim0", "value").join(S.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("dim0")).agg(F.count(F.lit(1)).alias("n_rows")), "dim0", "left"), "SELECT o_orderpriority AS dim0, max(o_totalprice) AS value, count(*) AS n_rows FROM orders GROUP BY 1")
-_put("perimeter", lambda s, d: _round(S.table(s, d, "orders").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_totalprice").alias("amount"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_day"), F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("long").alias("days")), "amount", digits=2), "SELECT count(*) AS n_rows, round(sum(o_totalprice), 2) AS amount, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, date_diff('day', min(o_orderdate), max(o_orderdate))::BIGINT AS days FROM orders")
+_put("perimeter", lambda s, d: _round(report.perimeter(S.table(s, d, "orders"), "o_totalprice", "o_orderdate").drop("n_without_amount"), "amount", digits=2), "SELECT count(*) AS n_rows, round(sum(o_totalprice), 2) AS amount, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, date_diff('day', min(o_orderdate), max(o_orderdate))::BIGINT AS days FROM orders")
+_PLAN = guaranteed({"order_date": "o_orderdate", "revenue": "l_extendedprice", "product_category": "p_type", "region": "n_name", "customer_id": "o_custkey"})
+_put("run_plan", lambda s, d: _round(report.run_all(S.sales(s, d), _PLAN), "value"), " UNION ALL ".join(f"SELECT '{x.title}' AS spec, dim0, value, n_rows FROM ({_sql(x, S.SQL)})" for x in _PLAN))
 _put("orders_per_customer", lambda s, d: S.table(s, d, "orders").agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.round(F.count_distinct("o_orderkey") / F.count_distinct("o_custkey"), 6).alias("ratio")), "SELECT count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers, round(count(DISTINCT o_orderkey) / count(DISTINCT o_custkey), 6) AS ratio FROM orders")
 _put("applied_filters", lambda s, d: filtered(S.table(s, d, "orders"), (Filter("o_totalprice", "gt", 1000), Filter("absent", "eq", 1)))[0].agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tallymark.functions import text as X
 from tallymark.operators import facts, patterns, profile, quality, sector, verify
 from tallymark.operators.clean import Cleaner
-from tallymark.operators.execute import grouped
+from tallymark.operators.execute import grouped, present_values
 from tallymark.plans import mapping
 from tallymark.plans.spec import Dimension, Spec
 from tallymark.quality_queries import _D, _plain, _trim, dirty
-from tallymark.queries import _C, _M, _TREND, _by_customer, _monthly, _sql
+from tallymark.queries import _M, _TREND, _monthly, _sql, sampled_sql
 from tallymark.sources import sales as S
 from tallymark.sources.scan import scan, write_csv
 from tallymark.streaming import daily_rollup, run_daily_rollup
@@ -32,26 +32,49 @@ def _pattern(name, query, sql):
 
 
 _orders = lambda s, d: S.table(s, d, "orders")
-_monthly_sql, _customer_sql = f"({_sql(_M, 'orders')})", f"({_sql(_C, 'orders')})"
-_region = Spec("l_extendedprice", "sum", (Dimension("n_name"),))
-_weekday = Spec("o_totalprice", "sum", (Dimension("o_orderdate", "temporal", "dayofweek"),))
-_mean = Spec("o_totalprice", "mean", (Dimension("o_orderdate", "temporal", "month"),))
-_status = Spec("o_totalprice", "sum", (Dimension("o_orderstatus"),))
-
-_pattern("anomaly_spike", lambda s, d: patterns.spike(_monthly(s, d)), f"SELECT 'anomaly_spike' AS pattern_id, 0.8::DOUBLE AS confidence FROM (SELECT count(*) AS n, count(*) FILTER (0.6745 * abs(value - med) / nullif(mad, 0) > 3.5 AND value > med) AS k FROM (SELECT *, median(abs(value - med)) OVER () AS mad FROM (SELECT *, median(value) OVER () AS med FROM {_monthly_sql}))) WHERE n >= 4 AND k BETWEEN 1 AND greatest(2, n // 5)")
-_pattern("pareto", lambda s, d: patterns.pareto(_by_customer(s, d)), f"WITH p AS (SELECT *, row_number() OVER (ORDER BY value DESC, dim0) AS place, count(*) OVER () AS n, value / sum(value) OVER () AS share FROM {_customer_sql}) SELECT 'pareto_concentration' AS pattern_id, 0.9::DOUBLE AS confidence FROM p WHERE n >= 4 AND place <= greatest(1, floor(n * 0.2)) HAVING sum(share) >= 0.75")
-_pattern("geographic", lambda s, d: patterns.geographic(grouped(_orders(s, d), _status)), f"SELECT 'geographic_concentration' AS pattern_id, 0.85::DOUBLE AS confidence FROM ({_sql(_status, 'orders')}) HAVING count(*) >= 2 AND max(value) / sum(value) >= 0.5")
-_pattern("long_tail", lambda s, d: patterns.long_tail(_by_customer(s, d)), f"SELECT 'long_tail_dead_stock' AS pattern_id, 0.75::DOUBLE AS confidence FROM (SELECT value / sum(value) OVER () AS share FROM {_customer_sql}) HAVING count(*) >= 4 AND count(*) FILTER (share < 0.01) >= greatest(3, 0.3 * count(*))")
-_pattern("day_of_week", lambda s, d: patterns.weekday_peak(grouped(_orders(s, d), _weekday), 1.01), f"SELECT 'day_of_week_peak' AS pattern_id, 0.85::DOUBLE AS confidence FROM (SELECT value, avg(value) OVER () AS mean FROM ({_sql(_weekday, 'orders')})) HAVING count(*) >= 5 AND count(*) FILTER (value >= 1.01 * mean) > 0")
-_pattern("seasonal", lambda s, d: patterns.seasonal_peak(_monthly(s, d), 1.15), f"SELECT 'seasonal_peak' AS pattern_id, 0.8::DOUBLE AS confidence FROM (SELECT value, median(value) OVER () AS mid FROM {_monthly_sql}) HAVING count(*) >= 8 AND count(*) FILTER (value >= 1.15 * mid) BETWEEN 1 AND count(*) // 3")
-_pattern("basket_erosion", lambda s, d: patterns.basket_erosion(grouped(_orders(s, d), _mean)), _TREND.replace(_monthly_sql, f"({_sql(_mean, 'orders')})") + " SELECT 'basket_erosion' AS pattern_id, 0.8::DOUBLE AS confidence FROM v WHERE n >= 3 AND change_pct < -10 AND direction = 'baisse'")
-_pattern("single_purchase", lambda s, d: patterns.single_purchase(_orders(s, d), "o_orderkey", "o_custkey"), "SELECT 'single_purchase_dominance' AS pattern_id, 0.85::DOUBLE AS confidence FROM orders WHERE o_orderkey % 20 = 0 HAVING count(DISTINCT o_orderkey) / count(DISTINCT o_custkey) < 1.3")
-_put("pattern_all", lambda s, d: patterns.detect(grouped(S.sales(s, d), _region), _region, role="region").select("pattern_id", "confidence"))
+_FIELDS = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate"
+
+
+def _shaped(name, spec, amount, query, sql, customer="o_custkey"):
+    """A pattern at the rules' own factors, over all orders with amounts that show it; {dow} counts days from Monday in each engine."""
+    table = f"SELECT {_FIELDS}, {customer} AS customer, ({amount}) AS x FROM {{t}}"
+    source = "(" + table.replace("{dow}", "(isodow(o_orderdate) - 1)").format(t="orders") + ")"
+    _pattern(name, lambda s, d: query(grouped(s.sql(table.replace("{dow}", "weekday(o_orderdate)").replace("{t}", "{o}"), o=_orders(s, d)), spec)), sql(f"({_sql(spec, source)})"))
+
+
+_year = Spec("x", "sum", (Dimension("o_orderdate", "temporal", "year"),))
+_month = Spec("x", "sum", (Dimension("o_orderdate", "temporal", "month"),))
+_week = Spec("x", "sum", (Dimension("o_orderdate", "temporal", "dayofweek"),))
+_mean = Spec("x", "mean", (Dimension("o_orderdate", "temporal", "year"),))
+_by = lambda c: Spec("x", "sum", (Dimension(c),))
+_A = f"({_sql(_M, 'orders')})"
+_of_trend = lambda what, where: lambda a: _TREND.replace(_A, a) + f" SELECT {what} FROM v WHERE {where}"
+_grown = "n >= 4 AND r2 > 0.25 AND direction <> 'stable' AND abs(slope) > 0.02 * mean"
+_name = "CASE WHEN direction = 'baisse' THEN 'trend_decline' ELSE 'trend_growth' END AS pattern_id, round(least(0.95, r2 + 0.3), 3) AS confidence"
+_fixed = lambda name, sure: f"'{name}' AS pattern_id, {sure}::DOUBLE AS confidence"
+_YEAR = "extract(year FROM o_orderdate)"
+
+_shaped("trend", _year, f"o_totalprice * ({_YEAR} - 1990)", patterns.trend, _of_trend(_name, _grown))
+_shaped("trend_decline", _year, f"o_totalprice * (2004 - {_YEAR})", patterns.trend, _of_trend(_name, _grown))
+_shaped("anomaly_spike", _month, f"o_totalprice * CASE WHEN {_YEAR} = 1995 AND extract(month FROM o_orderdate) = 6 THEN 20 ELSE 1 END", patterns.spike, lambda a: f"SELECT {_fixed('anomaly_spike', 0.8)} FROM (SELECT count(*) AS n, count(*) FILTER (0.6745 * abs(value - med) / nullif(mad, 0) > 3.5 AND value > med) AS k FROM (SELECT *, median(abs(value - med)) OVER () AS mad FROM (SELECT *, median(value) OVER () AS med FROM {a}))) WHERE n >= 4 AND k BETWEEN 1 AND greatest(2, n // 5)")
+_pareto = lambda a: f"SELECT {_fixed('pareto_concentration', 0.9)} FROM (SELECT *, row_number() OVER (ORDER BY value DESC, dim0) AS place, count(*) OVER () AS n, value / sum(value) OVER () AS share FROM {a}) WHERE n >= 4 AND place <= greatest(1, floor(n * 0.2)) HAVING sum(share) >= 0.75"
+_zone = lambda a: f"SELECT {_fixed('geographic_concentration', 0.85)} FROM {a} HAVING count(*) >= 2 AND max(value) / sum(value) >= 0.5"
+_tail = lambda a: f"SELECT {_fixed('long_tail_dead_stock', 0.75)} FROM (SELECT value / sum(value) OVER () AS share FROM {a}) HAVING count(*) >= 4 AND count(*) FILTER (share < 0.01) >= greatest(3, 0.3 * count(*))"
+_shaped("pareto", _by("o_custkey"), "o_totalprice * CASE WHEN o_custkey % 10 = 0 THEN 100 ELSE 1 END", patterns.pareto, _pareto)
+_shaped("geographic", _by("o_orderstatus"), "o_totalprice * CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 1 END", patterns.geographic, _zone)
+_shaped("long_tail", _by("o_custkey"), "o_totalprice", patterns.long_tail, _tail)
+_shaped("day_of_week", _week, "o_totalprice * CASE WHEN {dow} = 2 THEN 3 ELSE 1 END", patterns.weekday_peak, lambda a: f"SELECT {_fixed('day_of_week_peak', 0.85)} FROM (SELECT value, avg(value) OVER () AS mean FROM {a}) HAVING count(*) >= 5 AND count(*) FILTER (value >= 1.4 * mean) > 0")
+_shaped("seasonal", _month, "o_totalprice * CASE WHEN extract(month FROM o_orderdate) = 12 THEN 4 ELSE 1 END", patterns.seasonal_peak, lambda a: f"SELECT {_fixed('seasonal_peak', 0.8)} FROM (SELECT value, median(value) OVER () AS mid FROM {a}) HAVING count(*) >= 8 AND count(*) FILTER (value >= 1.8 * mid) BETWEEN 1 AND count(*) // 3")
+_shaped("basket_erosion", _mean, f"o_totalprice * (2004 - {_YEAR})", patterns.basket_erosion, _of_trend(_fixed("basket_erosion", 0.8), "n >= 3 AND change_pct < -10 AND direction = 'baisse'"))
+_ONCE = "CASE WHEN o_orderkey % 10 = 0 THEN o_custkey ELSE -o_orderkey END"
+_pattern("single_purchase", lambda s, d: patterns.single_purchase(_orders(s, d), "o_orderkey", "o_custkey"), "SELECT 'single_purchase_dominance' AS pattern_id, 0.85::DOUBLE AS confidence FROM orders HAVING count(DISTINCT o_orderkey) / count(DISTINCT o_custkey) < 1.3")
+_pattern("single_purchase_found", lambda s, d: patterns.single_purchase(s.sql(f"SELECT o_orderkey, {_ONCE} AS customer FROM {{o}}", o=_orders(s, d)), "o_orderkey", "customer"), f"SELECT 'single_purchase_dominance' AS pattern_id, 0.85::DOUBLE AS confidence FROM (SELECT o_orderkey, {_ONCE} AS customer FROM orders) HAVING count(DISTINCT o_orderkey) / count(DISTINCT customer) < 1.3")
+_priority = _by("o_orderpriority")
+_shaped("all", _priority, "o_totalprice * CASE WHEN o_orderpriority = '1-URGENT' THEN 1000 ELSE 1 END", lambda agg: patterns.detect(agg, _priority, role="region"), lambda a: " UNION ALL ".join(f"({x(a)})" for x in (_pareto, _zone, _tail)))
 
 _SPECS = (Spec("o_totalprice", "sum", (Dimension("o_orderdate", "temporal", "month"),), chart="line", title="Revenue by month"), Spec("o_totalprice", "sum", (Dimension("o_orderpriority"),), title="Revenue by priority"))
 _put("facts_json", lambda s, d: facts.facts(_orders(s, d), _SPECS[0]).unionByName(facts.facts(_orders(s, d), _SPECS[1])))
-_put("facts_for_llm", lambda s, d: facts.sampled_points(_monthly(s, d)).select("dim0", F.round("value", 2).alias("value")), f"""SELECT dim0, round(value, 2) AS value FROM (SELECT *, row_number() OVER (ORDER BY dim0) AS place, count(*) OVER () AS n, greatest(1, count(*) OVER () // 28) AS step FROM {_monthly_sql})
-WHERE n <= 30 OR place = 1 OR place = n OR ((place - 2) % step = 0 AND place >= 2 AND (place - 2) // step < 28)""")
+_put("facts_for_llm", lambda s, d: facts.sampled_points(_monthly(s, d)).select("dim0", F.round("value", 2).alias("value")), sampled_sql(30))
 
 # Number checks: documents are the texts, and word counts of a text are facts about it.
 _put("extract_numbers", lambda s, d: verify.numbers(S.table(s, d, "documents"), "doc_id", "text"))
@@ -92,23 +115,13 @@ _put("derive_alias", lambda s, d: mapping.derive(_orders(s, d), "alias", ("o_tot
 _put("clean_absurd_dates", lambda s, d: Cleaner(s.sql("SELECT o_orderkey, o_totalprice AS amount, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP_NTZ '1900-01-01 00:00:00' ELSE o_orderdate END AS day FROM {t}", t=_orders(s, d)), "o_orderkey", "amount", "day", decisions={"T04_absurd_dates": "null"}).result().select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day")), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 _put("clean_drop_columns", lambda s, d: quality.without_empty(_orders(s, d).withColumns({"void": F.lit(None).cast("string"), "same": F.lit("x")})).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderstatus").alias("n_status")), "SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS n_status FROM orders")
 _put("status_column_probe", lambda s, d: quality.status_columns(dirty(s, d), ["priority", "remark", "status"]), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_status_values FROM (SELECT DISTINCT {c} AS c FROM {_D}) WHERE {_plain('c')} IN ({', '.join(repr(x) for x in X.CANCELLED)}) HAVING count(*) > 0" for c in ("priority", "remark", "status")))
-_put("validate_filter_values", lambda s, d: s.createDataFrame([("F",), ("P",), ("absent",)], "value string").join(_orders(s, d).select(F.col("o_orderstatus").alias("value")), "value", "left_semi"), "SELECT DISTINCT o_orderstatus AS value FROM orders WHERE o_orderstatus IN ('F', 'P', 'absent')")
+_put("validate_filter_values", lambda s, d: present_values(_orders(s, d), "o_orderstatus", ["F", "P", "absent"]), "SELECT DISTINCT o_orderstatus AS value FROM orders WHERE o_orderstatus IN ('F', 'P', 'absent')")
 _put("internal_orders", lambda s, d: quality.dominant_value(_orders(s, d), "o_orderstatus", 0.05), "SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 0.05 * (SELECT count(*) FROM orders) ORDER BY n DESC, value LIMIT 1")
 _put("whitespace_values", lambda s, d: quality.counts(dirty(s, d), n_padded=F.col("priority") != X.trimmed(F.col("priority"))), f"SELECT count(*) AS n_rows, count(*) FILTER (priority <> {_trim.format(c='priority')}) AS n_padded FROM {_D}")
 _put("cancelled_with_amount", lambda s, d: quality.counts(dirty(s, d), n_cancelled_paid=X.is_cancelled_exactly(F.col("status")) & (F.col("amount") > 0)), f"SELECT count(*) AS n_rows, count(*) FILTER ({_plain('status')} IN ({', '.join(repr(x) for x in X.CANCELLED)}) AND amount > 0) AS n_cancelled_paid FROM {_D}")
-_put("shipping_exceeds_amount", lambda s, d: quality.counts(_orders(s, d).withColumn("shipping", F.col("o_orderkey") % 1000 * 100.0), n_over=F.col("shipping") > 2 * F.col("o_totalprice")), "SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey % 1000 * 100.0 > 2 * o_totalprice) AS n_over FROM orders")
+_put("shipping_exceeds_amount", lambda s, d: quality.shipping_excess(_orders(s, d).withColumn("shipping", F.col("o_orderkey") % 1000 * 100.0), "o_totalprice", "shipping"), "SELECT count(*) AS n_rows, count(*) FILTER (o_totalprice > 0 AND o_orderkey % 1000 * 100.0 > 2 * o_totalprice) AS n_over FROM orders")
 _put("implied_price_outlier", lambda s, d: quality.implied_price_outliers(S.table(s, d, "lineitem"), "l_extendedprice", "l_quantity"), "SELECT count(*) AS n, count(*) FILTER (0.6745 * abs(p - med) / nullif(mad, 0) > 15 AND NOT p BETWEEN med / 50 AND med * 50) AS n_off FROM (SELECT *, median(abs(p - med)) OVER () AS mad FROM (SELECT *, median(p) OVER () AS med FROM (SELECT l_extendedprice / nullif(l_quantity, 0) AS p FROM lineitem) WHERE p > 0))")
-_put("insufficient_span", lambda s, d: profile.temporal(S.table(s, d, "events"), "ts", F.lit("2100-01-01").cast("timestamp_ntz")).select("span_days", (F.col("span_days") < 56).alias("short")), "SELECT date_diff('day', min(ts), max(ts))::BIGINT AS span_days, date_diff('day', min(ts), max(ts)) < 56 AS short FROM events")
-_put("quality_score", lambda s, d: _score(s, d))
-
-
-def _score(s, d):
-    df = dirty(s, d)
-    issues = quality.diagnose(df, "o_orderkey", amount="amount", date="day", status="status", as_of="2001-01-01")
-    value = quality.table_score(df, issues)
-    return s.createDataFrame([(round(value, 1), quality.label(value))], "score double, label string")
-
-
+_put("insufficient_span", lambda s, d: quality.short_span(S.table(s, d, "events"), "ts"), "SELECT date_diff('day', min(ts), max(ts))::BIGINT AS span_days, date_diff('day', min(ts), max(ts)) < 56 AS short FROM events")
 def _scanned(s, d):
     from tallymark.sources.scan import scratch_folder
 

@@ -16,11 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order, customer, nation and part. Join sides are left to Spark, which broadcasts those it finds small."""
-    t = lambda name: table(spark, sf_dir, name)
-    d = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return d.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+#: How each table joins those before it; columns begin with its letter.
+_JOINS = {"o": ("orders", "l_orderkey", "o_orderkey"), "c": ("customer", "o_custkey", "c_custkey"), "n": ("nation", "c_nationkey", "n_nationkey"), "p": ("part", "l_partkey", "p_partkey")}
+_NEEDS = {"l": "", "o": "o", "c": "oc", "n": "ocn", "p": "p"}
+
+
+def sales(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Lines with their order, customer, nation and part, or only with the tables of ``columns``.
+
+    Every line has one of each, so a table that is not asked for changes no
+    row. Join sides are left to Spark, which broadcasts those it finds small.
+    """
+    wanted = "ocnp" if columns is None else "".join(_NEEDS[c[0]] for c in columns)
+    d = table(spark, sf_dir, "lineitem")
+    for letter, (name, left, right) in _JOINS.items():
+        if letter in wanted:
+            d = d.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
+    return d
 
 
 SQL = """(SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -1,4 +1,4 @@
-"""Tolerant scan of delimited text: encoding, separator and header row are found from the first lines, all columns are text."""
+"""Tolerant scan of delimited text: encoding, separator and header row are found, all columns are text."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import csv
 import tempfile
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,8 @@ SEPARATORS = (",", ";", "\t", "|")
 PROBE_LINES = 50
 _LATIN = "".join(map(chr, range(0x80, 0xA0)))
 _WESTERN = "".join(bytes([k]).decode("cp1252", "replace") for k in range(0x80, 0xA0))
+#: Bytes that windows-1252 has no letter for.
+_UNUSED = "".join(chr(k) for k in range(0x80, 0xA0) if bytes([k]).decode("cp1252", "replace") == "�")
 
 
 @dataclass
@@ -24,6 +27,7 @@ class ReadReport:
     header_row: int = 0
     columns: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    line_breaks_in_cells: bool = False
 
 
 def find_separator(lines: list[str]) -> str:
@@ -66,54 +70,138 @@ def repaired(names: list[str]) -> list[str]:
     return out
 
 
+def _bytes_as_letters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("value string").option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").csv(path)
+
+
+def _encoding(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The encoding that reads all lines, not a first few, and whether a cell goes over several lines (a line has an odd number of quotes)."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    r = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("bad"), F.count_if(quotes % 2 == 1).alias("odd")).first()
+    if not r.bad:
+        return "UTF-8", bool(r.odd)
+    unused = _bytes_as_letters(spark, path).agg(F.count_if(F.col("value").rlike(f"[{_UNUSED}]"))).first()[0]
+    return "latin-1" if unused else "windows-1252", bool(r.odd)
+
+
 def scan(spark: SparkSession, path: str) -> tuple[DataFrame, ReadReport]:
     """The table and what was found. Short rows are filled with null, rows with too many cells are left out, empty cells are null.
 
-    Raises ValueError where there is no row.
+    Lines up to the header are left out once for each file, where it begins;
+    rows that look like them further down are data. Where cells hold line
+    breaks, a file is read by one task. Raises ValueError where there is no row.
     """
     report = ReadReport()
-    lines = [r.value for r in spark.read.text(path).limit(PROBE_LINES).collect()]
-    if any("�" in x for x in lines):
-        report.encoding = "windows-1252"
-        report.notes.append("S01 encoding")
-        lines = [r[0] for r in spark.read.schema("value string").option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").csv(path).limit(PROBE_LINES).collect()]
+    report.encoding, report.line_breaks_in_cells = _encoding(spark, path)
+    if report.encoding == "UTF-8":
+        lines = [r.value for r in spark.read.text(path).limit(PROBE_LINES).collect()]
+    else:
+        report.notes.append("S01_encoding")
+        lines = [r[0] for r in _bytes_as_letters(spark, path).limit(PROBE_LINES).collect()]
     lines = [x for x in lines if x and x.strip()]
     if not lines:
         raise ValueError("B04_file_unreadable")
     report.separator = find_separator(lines[:20])
+    if report.separator != ",":
+        report.notes.append("S02_separator")
     rows = list(csv.reader(lines, delimiter=report.separator))
     report.header_row = find_header(rows)
     if report.header_row:
-        report.notes.append("S04 header")
-    width = max(len(rows[report.header_row]), 1)
-    report.columns = repaired(rows[report.header_row])
+        report.notes.append("S04_header_offset")
+    head = rows[report.header_row]
+    width = max(len(head), 1)
+    report.columns = repaired(head)
+    if len({x.strip() for x in head}) < len(head) or not all(x.strip() for x in head):
+        report.notes.append("S09_duplicate_headers")
     # One column more than the header has shows rows with too many cells.
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width + 1)])
-    df = spark.read.schema(schema).option("sep", report.separator).option("encoding", "UTF-8" if report.encoding == "UTF-8" else "ISO-8859-1").option("nullValue", "").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    if report.encoding != "UTF-8":  # Spark's reader lacks it: the bytes where the two differ
+    read = spark.read.schema(schema).option("sep", report.separator).option("encoding", "UTF-8" if report.encoding == "UTF-8" else "ISO-8859-1").option("nullValue", "").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    df = read.option("multiLine", report.line_breaks_in_cells).csv(path)
+    cells = [f"c{k}" for k in range(width + 1)]
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")]
+    df = df.select(*cells, *place)
+    tops = [[x.strip().lstrip("﻿") or None for x in r[: width + 1]] for r in rows[: report.header_row + 1]]
+    which = F.coalesce(*[F.when(_is_row(r, width), F.lit(k)) for k, r in enumerate(tops)])
+    first = df.withColumn("top", which).where("top IS NOT NULL AND start = 0").groupBy("file", "top").agg(F.min("at").alias("at")).select("file", "at")
+    # A few rows for each file.
+    df = df.where(F.col(f"c{width}").isNull()).join(first, ["file", "at"], "left_anti").select(*cells[:width])
+    if report.encoding == "windows-1252":  # Spark's reader lacks it: the bytes where it differs from latin-1
         df = df.select(*[F.translate(c, _LATIN, _WESTERN).alias(c) for c in df.columns])
-    head = [[x.strip().lstrip("﻿") or None for x in r[: width + 1]] for r in rows[: report.header_row + 1]]
-    is_head = F.lit(False)
-    for r in head:
-        same = F.lit(True)
-        for k in range(width + 1):
-            cell = F.regexp_replace(F.trim(F.col(f"c{k}")), "^﻿", "")
-            same = same & F.nullif(cell, F.lit("")).eqNullSafe(F.lit(r[k] if k < len(r) else None))
-        is_head = is_head | same
-    df = df.where(F.col(f"c{width}").isNull() & ~is_head).drop(f"c{width}").toDF(*report.columns)
-    return df, report
+    return df.toDF(*report.columns), report
+
+
+def _is_row(cells: list[str | None], width: int) -> Column:
+    own = [F.nullif(F.regexp_replace(F.trim(F.col(f"c{k}")), "^﻿", ""), F.lit("")) for k in range(width + 1)]
+    return reduce(lambda a, b: a & b, [c.eqNullSafe(F.lit(cells[k] if k < len(cells) else None)) for k, c in enumerate(own)])
+
+
+def read_any(spark: SparkSession, source: str | bytes, name: str | None = None) -> tuple[DataFrame, ReadReport]:
+    """A table from a path, or from the bytes of an uploaded file called ``name``; Excel files by their ending."""
+    excel = (name or (source if isinstance(source, str) else "")).lower().endswith((".xlsx", ".xls", ".xlsm"))
+    if excel:
+        return read_excel(spark, source)
+    if isinstance(source, bytes):
+        path = f"{scratch_folder(spark)}/upload"
+        spark.createDataFrame([(bytearray(source),)], "value binary").select(F.col("value").cast("string").alias("value")).coalesce(1).write.option("lineSep", "\n").text(path)
+        source = path
+    return scan(spark, source)
+
+
+def read_excel(spark: SparkSession, source: str | bytes) -> tuple[DataFrame, ReadReport]:
+    """The first sheet of a workbook, all columns text; workbooks are small, so the driver reads them. Needs openpyxl."""
+    try:
+        import openpyxl
+    except ImportError as e:
+        raise ValueError("reading workbooks needs openpyxl") from e
+    import io
+
+    book = openpyxl.load_workbook(io.BytesIO(source) if isinstance(source, bytes) else source, read_only=True, data_only=True)
+    rows = [["" if v is None else str(v) for v in r] for r in book.active.iter_rows(values_only=True)]
+    return from_rows(spark, rows)
+
+
+def from_rows(spark: SparkSession, rows: list[list[str]]) -> tuple[DataFrame, ReadReport]:
+    """A table from the text cells of a sheet; blank rows are left out. Raises ValueError where there is none."""
+    rows = [r for r in rows if any(x.strip() for x in r)]
+    if not rows:
+        raise ValueError("B04_file_unreadable")
+    report = ReadReport(header_row=find_header(rows))
+    if report.header_row:
+        report.notes.append("S04_header_offset")
+    head = rows[report.header_row]
+    report.columns = repaired(head)
+    body = [tuple(x or None for x in (r + [""] * len(head))[: len(head)]) for r in rows[report.header_row + 1 :]]
+    return spark.createDataFrame(body, T.StructType([T.StructField(c, T.StringType()) for c in report.columns])), report
+
+
+def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Delimited text with a header and known types, dates included; what doesn't read as its type is null."""
+    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+
+def view(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a view that SQL can name; nothing is read."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
+
+
+def described(df: DataFrame) -> DataFrame:
+    """(position, column, type) of the columns."""
+    return df.sparkSession.createDataFrame([(k, f.name, f.dataType.simpleString()) for k, f in enumerate(df.schema)], "position int, column string, type string")
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under the one all machines share; a local one is made only where the session names none."""
+    """A new folder under the one all machines share; only a local session that has none gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallymark-")
     return f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
+    df.write.mode("append" if append else "errorifexists").option("header", True).csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
