@@ -186,16 +186,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, most:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -> AdditiveModel:
-    """Fits on labelled documents of ``learn``; repeated ids bring each of their rows."""
+    """Fits on labelled documents of ``learn``, at most ``max_rows`` labels; repeated ids bring each of their rows.
+
+    Features are taken by tasks, from whole texts; null texts count as empty,
+    null ids and labels are left out. Ids may be of any type. Without labels
+    every score is one half. Sets the session's Arrow batch size.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["k", "y", "x"])
 
-    rows = labelled_sample(docs, labels, "quality", learn, max_rows).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").toArrow()
-    order = np.lexsort((rows.column("y").to_numpy(), rows.column("doc_id").to_numpy()))
+    sample = labelled_sample(docs, labels, "quality", learn, max_rows).select(F.xxhash64("doc_id", "text").alias("k"), "y", "text")
+    rows = sample.mapInArrow(run, "k long, y int, x array<double>").toArrow()
+    order = np.lexsort((rows.column("y").to_numpy(), rows.column("k").to_numpy()))
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))[order]
     return fit(x, rows.column("y").to_numpy().astype(np.float64)[order])
 
@@ -218,7 +224,12 @@ def score(docs: DataFrame, model: AdditiveModel, name: str = "score") -> DataFra
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and prediction of every document; learns from rows whose crc32 of the id, modulo 3, is not 1."""
+    """Score and prediction of every document; learns from rows whose crc32 of the id, modulo 3, is not 1.
+
+    Null and empty texts get the score of a text without words, very long ones
+    are scored whole, repeated rows each get a row, and a null id counts as not
+    held out. An empty table gives no rows; without labels all scores are one half.
+    """
     model = train(docs, labels, lambda k: crc_mod(k, 3) != 1)
     out = score(docs.select("doc_id", "text"), model).drop("text")
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

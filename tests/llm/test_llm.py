@@ -285,3 +285,284 @@ def test_pipeline_stages_take_odd_rows(spark, odd, tmp_path, labels):
         d = stage(spark, d, str(tmp_path))
         assert d.columns == odd.columns
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>x", "Ⱥİ x", "é́ é x", "a\x00b ,\x01 c", "don't it's 've", "m² x½", "", "  ", None, "a b", "\t x", "x \n y", "naïve, café! 日本語。", "1234 a1b2", "ends ", " starts", "a  b", "!!! ... ,,,"]
+
+
+@pytest.mark.parametrize(("name", "space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_are_the_tokenizers(docs, name, space):
+    from tokenizers import Tokenizer
+
+    from tallymark.llm.common import tokenizer_path
+    from tallymark.llm.token_ids import ChunkEncoder
+
+    t = Tokenizer.from_file(tokenizer_path(name))
+    texts = [*docs.values(), *SPECIAL]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    enc = ChunkEncoder(name, space, most_chunks=500)  # forgets often
+    got = []
+    for a in range(0, len(texts), 7):
+        ids, n = enc.encode(texts[a : a + 7])
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == want and len(enc.codes) < 20_000
+    t.encode_special_tokens = True
+    ids, _ = ChunkEncoder(name, space, special_as_text=True).encode([SPECIAL[0]])
+    assert ids.tolist() == t.encode(SPECIAL[0], add_special_tokens=False).ids
+
+
+def test_token_files_hold_the_tokenizers_ids(spark, docs):
+    from tokenizers import Tokenizer
+
+    from tallymark.llm.common import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path(token_files.TOKENIZER))
+    at, want = 0, {}
+    for k in sorted(docs):
+        ids = np.array(t.encode(docs[k] or "", add_special_tokens=False).ids + [1], "<u4")
+        want[k] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op10_token_files"](spark, SF).collect()} == want
+
+
+def test_a_lookup_opens_one_shard(spark, monkeypatch):
+    rows = [(k, f"text number {k}") for k in range(400)] + [(None, "x"), (7, "again")]
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 20)
+    path = new_path(spark, "ids")
+    token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit(1)), path)
+    assert spark.read.parquet(path + "-directory").count() >= 4
+    files = []
+    opened = token_files.opened
+    monkeypatch.setattr(token_files, "opened", lambda p: files.append(p) or opened(p))
+    found = token_files.lookup(spark, path, [250, 1000])
+    assert len(found[250]) == len(token_files.lookup(spark, path, [251])[251]) and found[1000] is None and len(files) == 2
+    empty = new_path(spark, "ids")
+    token_files.write_ids(spark.createDataFrame([], "doc_id long, text string"), empty)
+    assert token_files.read_ids(spark, empty).count() == 0 and token_files.lookup(spark, empty, [1]) == {1: None}
+
+
+def test_packing_at_the_edge_of_a_sequence(spark):
+    texts = [" ".join(["the"] * n) for n in (1022, 1023, 1024, 2047)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted({(r.doc_id, r.doc_tokens) for r in rows}) == [(0, 1023), (1, 1024), (2, 1025), (3, 2048)]
+    assert _pieces(rows, 4) == 6 and sum(r.length for r in rows) == 1023 + 1024 + 1025 + 2048
+
+
+def test_class_lm_score_by_brute_force(spark, monkeypatch):
+    """Learns of a corpus that Python counts again word by word, with the classes that the operator gave."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(120)]
+    texts = {k: " ".join(rng.choice(words[: 40 if k % 2 else 120], 60)) for k in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(class_lm, "HEAD_WORDS", 30)
+    monkeypatch.setattr(class_lm, "END_UNIT", class_lm.FORMS + 30)
+    monkeypatch.setattr(class_lm, "UNITS", class_lm.FORMS + 31)
+    seen = {}
+    classed = class_lm.classed
+    monkeypatch.setattr(class_lm, "classed", lambda *a: seen.setdefault("texts", classed(*a)))
+    held = lambda k: k % 5 == 0
+    got = {r.doc_id: r for r in class_lm.score(df, held).collect()}
+    tokens = {k: [*class_lm.words(t), b""] for k, t in texts.items()}
+    classes = {}
+    for r in seen["texts"].collect():
+        at = 0
+        for k, n in zip(r.doc_ids, r.sizes, strict=True):
+            classes[k] = list(r.classes[at : at + n])
+            at += n
+    of = {}
+    for k in tokens:
+        for w, c in zip(tokens[k], classes[k], strict=True):
+            assert of.setdefault(w, c) == c  # a word has one class
+    end, n = of[b""], class_lm.CLASSES
+    assert [w for w, c in of.items() if c == end] == [b""]
+    count = Counter(w for k in tokens if k % 5 for w in tokens[k])
+    pairs, total = Counter(), Counter()
+    for k in tokens:
+        if k % 5:
+            for a, b in zip([end, *classes[k]], classes[k], strict=False):
+                pairs[a, b] += 1
+                total[b] += 1
+    before = Counter()
+    for (a, _), m in pairs.items():
+        before[a] += m
+    distinct = Counter(of[w] for w in count)
+    for k in tokens:
+        want = 0.0
+        for a, b, w in zip([end, *classes[k]], classes[k], tokens[k], strict=False):
+            want += math.log10((pairs[a, b] + 0.1) / (before[a] + 0.1 * n)) + math.log10((count[w] + 0.5) / (total[b] + 0.5 * (distinct[b] + 1)))
+        assert got[k].score == pytest.approx(want) and got[k].held_out == (k % 5 == 0)
+
+
+def test_favoured_class_has_the_greatest_likelihood():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(50, 5000, (6, 6)).astype(float)
+    left, right = rng.integers(0, 3, (40, 6)).astype(float), rng.integers(0, 3, (40, 6)).astype(float)
+    f = lambda m: class_lm._xlogx(m).sum() - class_lm._xlogx(m.sum(0)).sum() - class_lm._xlogx(m.sum(1)).sum()
+    got = class_lm.favoured(left, right, counts)
+    for k in range(40):
+        gains = []
+        for c in range(1, 6):
+            m = counts.copy()
+            m[c] += right[k]
+            m[:, c] += left[k]
+            gains.append(f(m))
+        assert gains[got[k] - 1] >= max(gains) - 0.05
+
+
+def test_long_lines_are_one_chain(monkeypatch):
+    rng = np.random.default_rng(0)
+    vocab = [f"w{i}" for i in range(50)]
+    texts = ["\n".join(" ".join(rng.choice(vocab, n)) for n in (3, 64, 65, 200, 1)), " ".join(rng.choice(vocab, 700)), "", "a"]
+    field = toxicity.ChainField(rng.normal(size=toxicity.DIM), rng.normal(size=(2, toxicity.DIM)), rng.normal(size=(2, 2)), np.zeros(4))
+    pieces = field.marginals(toxicity._Texts(texts))
+    monkeypatch.setattr(toxicity, "PIECE", 10_000)
+    assert np.allclose(pieces, field.marginals(toxicity._Texts(texts)), atol=1e-12)
+
+
+def test_lookup_tables_score_by_brute_force():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 3))
+    m = quality_classifier.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row, s in zip(x[:50], m.score(x[:50]), strict=True):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges, strict=True)]
+        z = m.base + sum(t[b] for b, t in zip(bins, m.singles, strict=True)) + sum(t[bins[i], bins[j]] for i, j, t in m.pairs)
+        assert s == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [("op3_quality_classifier", "quality", 0.97), ("op6_toxicity", "toxic", 0.85)])
+def test_held_out_labels(spark, query, label, least):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y"))
+    rows = QUERIES[query](spark, sf).where("held_out").join(labels, "doc_id").select("y", "predicted").collect()
+    hit = Counter((r.y, r.predicted) for r in rows)
+    assert len(rows) > 300 and (hit[0, 0] + hit[1, 1]) / len(rows) > 0.97
+    assert hit[1, 1] / (hit[1, 0] + hit[1, 1]) >= least
+
+
+@pytest.mark.parametrize("block", [None, 64])
+def test_embeddings_by_brute_force(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 16))
+    x = np.concatenate([base, base[:150] + rng.normal(size=(150, 16)) * 0.08, np.repeat(base[:1], 150, 0) + rng.normal(size=(150, 16)) * 0.05]).astype(np.float32)
+    label = rng.integers(0, 2, len(x))
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(link, root[None, :], len(x)).min(1))
+        if (new == root).all():
+            break
+        root = new
+    links = embedding_dedup._links
+    monkeypatch.setattr(embedding_dedup, "_links", lambda c, d, t: links(c, d, t, block))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (int(link[i].sum()), int(root[i])) for i in range(len(x))} and link.sum() > 5000
+
+
+def test_blocks_without_width_are_cut_by_hash(spark):
+    """Vectors along one line: no halving parts them, and every pair is linked."""
+    v = np.array([3.0, 4.0])
+    df = spark.createDataFrame([(k, (v * (1 + k)).tolist(), 1) for k in range(60)], "vec_id long, embedding array<double>, label int")
+    classes = df.select("label", F.col("embedding").alias("v"), F.lit(1).cast("long").alias("n"), F.col("vec_id").alias("no"))
+    found = embedding_dedup._links(classes, 2, 0.98, 16).groupBy("no").agg(F.sum("links").alias("n")).collect()
+    assert {r.no: r.n for r in found} == dict.fromkeys(range(60), 59)
+
+
+def test_lookups_read_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_CAPTURES", 8)
+    monkeypatch.setattr(warc, "FILE_BLOCKS", 3)
+    rows = [(k, f"http://h{k % 40:02d}.org/{k}", f"page {k}") for k in range(600)] + [(1000 + k, "http://same.org/", "y" * 1200) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives, index = new_path(spark, "warc"), new_path(spark, "cdx")
+    warc.write_archives(pages, archives)
+    warc.write_index(warc.captures(spark, archives), index)
+    first = [tuple(r) for r in warc.listed(spark, index + "-top").collect()]
+    assert len(first) == 1 and warc.listed(spark, index).count() > 4
+    assert len(list(warc._files_of(first[0], iter([warc.surt("http://h07.org/7")])))) == 1
+    assert list(warc._files_of(first[0], iter(["zz,absent)/"]))) == []
+    key = lambda u: spark.createDataFrame([(warc.surt(u),)], "key string")
+    same = warc.lookup(spark, index, key("http://same.org/"))
+    assert sorted(int(r.page_id) for r in same.collect()) == list(range(1000, 1060))
+    kinds = Counter((r.record_type, r.refers_to) for r in warc.read_records(spark, same).collect())
+    assert kinds == {("response", None): 1, ("revisit", "1059"): 59}
+    assert warc.lookup(spark, index, warc.url_keys(pages)).count() == 660
+
+
+def test_archives_of_nothing_and_of_a_long_payload(spark, monkeypatch):
+    empty = spark.createDataFrame([], "page_id string, url string, html string")
+    for pages, n in ((empty, 0), (spark.createDataFrame([("a b", "http://x.org/", "z" * 30_000_000), (None, None, None)], "page_id string, url string, html string"), 2)):
+        archives, index = new_path(spark, "warc"), new_path(spark, "cdx")
+        warc.write_archives(pages, archives)
+        warc.write_index(warc.captures(spark, archives), index)
+        got = warc.read_records(spark, warc.lookup(spark, index, warc.url_keys(pages))).collect()
+        assert sorted((r.page_id or "", r.payload_bytes) for r in got) == [("", 0), ("a b", 30_000_000)][:n]
+        monkeypatch.setattr(warc, "all_open", lambda files: False)  # a store that only Spark reads
+        again = warc.read_records(spark, warc.lookup(spark, index, warc.url_keys(pages))).collect() if n else []
+        assert sorted(map(str, again)) == sorted(map(str, got))
+        monkeypatch.undo()
+
+
+def test_lines_decide_against_sql(spark, tmp_path):
+    """Documents whose shared lines leave too little go, in the query as in its SQL."""
+    line = "this notice stands on every page of the whole site and says nothing new"
+    body = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(k, f"{line}\n{body(k, 25 if k % 3 else 8)}", "h") for k in range(30)] + [(100 + k, f"{line}\n{body(100 + k, 8)}" if k < 3 else body(k, 40), "big") for k in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_quality_rules"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.execute(ORACLE_SQL["op4_quality_rules"])
+    cols = [x[0] for x in rel.description]
+    assert sorted(map(str, rel.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in got)
+    rejected = {r.doc_id for r in got if not r.kept and not r.base_failed}
+    assert rejected == {k for k in range(1, 30) if k % 3 == 0}  # the first page keeps the line; few pages of the big host have it
+
+
+def test_mixed_words_are_within_a_largest_document(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(["x"] * int(rng.integers(1, 400))), f"s{k % 5}") for k in range(600)]
+    per = defaultdict(lambda: [0, 0.0, 0])
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        p = per[r.source]
+        p[0], p[1], p[2] = p[0] + r.taken, r.target, max(p[2], r.size)
+    assert all(abs(taken - target) <= 1.5 * largest for taken, target, largest in per.values())
+
+
+def test_jaccard_links_at_a_larger_scale(spark):
+    """All links of sf0.01, by an inverted list of shingles."""
+    docs = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    sets = {}
+    for k, t in docs.items():
+        w = (t or "").encode().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    shared, holders = Counter(), defaultdict(list)
+    for k, s in sets.items():
+        for x in s:
+            for other in holders[x]:
+                shared[other, k] += 1
+            holders[x].append(k)
+    want = Counter()
+    for (a, b), n in shared.items():
+        if 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n):
+            want[a] += 1
+            want[b] += 1
+    assert {r.doc_id: r.n_links for r in QUERIES["op1_jaccard_join"](spark, "/root/testdata/sf0.01").collect()} == {k: want[k] for k in docs}
+
+
+def test_missed_pairs_are_within_the_recall():
+    runs = jaccard_join.runs_for(jaccard_join.TARGET_RECALL, jaccard_join.THRESHOLD)
+    assert jaccard_join.missed(runs, jaccard_join.THRESHOLD) <= 1 - jaccard_join.TARGET_RECALL < jaccard_join.missed(runs - 1, jaccard_join.THRESHOLD)
+
+
+def test_stages_on_no_rows_and_clashing_names(spark, odd, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    clash = odd.selectExpr("*", "1 AS __quality", "2 AS copies", "3 AS k", "4 AS row", "5 AS stay", "6 AS `kept`")
+    for name, stage in corpus_pipeline.STAGES:
+        for d in (clash, clash.limit(0)):
+            got = stage(spark, d, str(tmp_path))
+            assert name == "packing" or got.columns == d.columns
+            assert got.count() <= 3 * 10 and (got.count() > 0 or d is not clash or name == "quality_rules")
