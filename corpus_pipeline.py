@@ -14,29 +14,47 @@ from tallymark.llm.common import crc_mod, stored, table
 
 
 def _classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls good; it learns from the labelled ones among them."""
+    """Documents that the classifier calls good; it learns from the labelled ones among them.
+
+    Null and empty texts are scored as texts without words, repeated rows each
+    stay or go, and without labels all scores are one half and all rows stay.
+    Columns of any name are carried; an empty table stays empty.
+    """
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), lambda k: crc_mod(k, 3) != 1)
-    scored = quality_classifier.score(docs, model, name="__quality")
-    return scored.where(F.col("__quality") >= 0.5).select(*docs.columns)
+    name = "score" + "_" * max(map(len, docs.columns))  # no column has it
+    scored = quality_classifier.score(docs, model, name=name)
+    return scored.where(F.col(name) >= 0.5).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of lines."""
+    """Documents that pass the base rules and aren't depleted of lines, without the lines above the limit.
+
+    Null and empty texts fail the rules; repeated rows stay as often as they
+    occur; a null source is a host of its own; an empty table stays empty.
+    """
     return quality_rules.kept_documents(docs)
 
 
 def _join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id, once if its row repeats.
+
+    Null and empty texts and rows with a null id link with nothing and stay;
+    an empty table stays empty.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, up to three times.
+
+    Texts without words take no words but may stay; a null source is one
+    source; ties of size are ordered by id; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences; a null or empty text is its end id, an empty table has no pieces."""
     return packing.pack(docs)
 
 
