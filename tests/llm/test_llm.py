@@ -565,4 +565,5 @@ def test_stages_on_no_rows_and_clashing_names(spark, odd, labels, tmp_path):
         for d in (clash, clash.limit(0)):
             got = stage(spark, d, str(tmp_path))
             assert name == "packing" or got.columns == d.columns
-            assert got.count() <= 3 * 10 and (got.count() > 0 or d is not clash or name == "quality_rules")
+            n = got.count()
+            assert n > 0 if d is clash else n == 0
