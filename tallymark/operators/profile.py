@@ -215,7 +215,7 @@ def table(df: DataFrame) -> list[ColumnProfile]:
     out = []
     for c, p in draft.items():
         s, n = got[c], max(1, p.n_present)
-        decimals = p.type == "numeric" and s["n_read"] - s["n_whole"] > 0.05 * n
+        decimals = p.type == "numeric" and s.get("n_read", p.n_read) - s["n_whole"] > 0.05 * n
         r = role(c, p.type, p.n, p.n_present, n_unique[c], decimals)
         more = {k: s[k] for k in ("min", "max", "n_negative", "n_zero", "first", "last") if s.get(k) is not None}
         more |= {"n_read": s["n_read"] if p.native and p.type == "numeric" else p.n_read or p.n_present, "median": median.get(c), "whole_share": s["n_whole"] / n if p.type == "numeric" else 0.0}
@@ -263,3 +263,20 @@ def sampling_error(df: DataFrame, names: list[str], fraction: float, seed: int =
 
     d = shares(df, "exact").join(shares(df.sample(fraction, seed), "sampled"), "column")
     return d.select("column", "exact", "sampled", F.abs(F.col("exact") - F.col("sampled")).alias("error"), F.abs(F.col("exact_null") - F.col("sampled_null")).alias("null_error"))
+
+
+def strategies(df: DataFrame, names: list[str], order: str, head: int = 20_000) -> DataFrame:
+    """(strategy, n_right, accuracy, wrong): roles by cardinality from all rows, from the first ``head`` by ``order``, and from exact counts next to such a head.
+
+    The head is the feature that is judged here; nothing else reads it.
+    """
+    def roles_of(d: DataFrame) -> dict[str, str]:
+        r = d.agg(F.count(F.lit(1)), *[F.count_distinct(c) for c in names]).first()
+        return {c: simple_role(r[0], k) for c, k in zip(names, r[1:], strict=True)}
+
+    true, part = roles_of(df), roles_of(df.orderBy(order).limit(head))
+    rows = []
+    for strategy, found in (("full", true), ("head", part), ("hybrid", true)):
+        wrong = [c for c in names if found[c] != true[c]]
+        rows.append((strategy, len(names) - len(wrong), (len(names) - len(wrong)) / len(names), ",".join(wrong)))
+    return df.sparkSession.createDataFrame(rows, "strategy string, n_right int, accuracy double, wrong string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
@@ -52,6 +53,18 @@ def run_all(df: DataFrame, specs: list[Spec]) -> DataFrame:
     return out
 
 
+def export(result: PlanResult, covered: Row | None = None, unit: str = "") -> str:
+    """A whole report as JSON text: its perimeter, the patterns of all analyses, each analysis, and those that failed."""
+    bodies = [(spec, json.loads(row.facts)) for spec, row in result.done]
+    seen = [{"analysis": spec.title, **p} for spec, body in bodies for p in body["detected_patterns"]]
+    return json.dumps({
+        "perimeter": covered.asDict() | {"sentence": sentence(covered, unit)} if covered else None,
+        "synthesis": sorted(seen, key=lambda p: -p["confidence"]),
+        "analyses": [{"title": spec.title, "chart": facts.chart_spec(spec)} | body for spec, body in bodies],
+        "failed": [{"title": spec.title, "reason": why} for spec, why in result.failed],
+    }, ensure_ascii=False, default=str)
+
+
 def perimeter(df: DataFrame, amount: str, date: str, raw: DataFrame | None = None) -> DataFrame:
     """One row: rows, amount, first and last day and days; with ``raw`` also its rows and amount and the shares that are left."""
     def one(d: DataFrame, tail: str) -> DataFrame:

@@ -10,20 +10,20 @@ from pyspark.sql import Window as W
 
 from tallymark.functions.text import strip_accents
 
-# Common product words by sector, without accents; callers pass fuller lists.
+#: Common product words by sector, without accents; callers pass fuller lists.
 LEXICON = {
-    "mode": ("robe", "chemise", "pantalon", "chaussure", "dress", "shirt", "shoes", "jacket"),
-    "beaute": ("parfum", "creme", "maquillage", "shampoo", "cosmetic", "serum"),
-    "telephonie": ("telephone", "smartphone", "coque", "chargeur", "phone", "charger"),
-    "informatique": ("ordinateur", "clavier", "souris", "laptop", "keyboard", "monitor"),
-    "maison": ("meuble", "lampe", "coussin", "furniture", "lamp", "kitchen"),
-    "alimentation": ("cafe", "chocolat", "biscuit", "coffee", "chocolate", "snack"),
-    "sport": ("velo", "fitness", "raquette", "bike", "running", "football"),
-    "enfants": ("jouet", "bebe", "poupee", "toy", "baby", "puzzle"),
-    "livres": ("livre", "roman", "cahier", "book", "novel", "notebook"),
-    "bijoux": ("bague", "collier", "bracelet", "necklace", "earring", "watch"),
-    "animaux": ("chien", "chat", "croquette", "dog", "cat food", "aquarium"),
-    "bricolage": ("perceuse", "outil", "peinture", "drill", "tool", "paint"),
+    "mode": "robe chemise pantalon chaussure jupe manteau veste pull dress shirt shoes jacket skirt jeans".split(),
+    "beaute": "parfum creme maquillage shampoo cosmetic serum vernis mascara savon lotion perfume lipstick".split(),
+    "telephonie": "telephone smartphone coque chargeur ecouteur phone charger earphone simcard".split(),
+    "informatique": "ordinateur clavier souris imprimante ecran disque laptop keyboard monitor printer tablet router".split(),
+    "maison": "meuble lampe coussin rideau tapis vase assiette furniture lamp curtain kitchen candle mug".split(),
+    "alimentation": "cafe chocolat biscuit the huile epice confiture coffee chocolate snack sauce honey wine".split(),
+    "sport": "velo fitness raquette ballon maillot bike running football yoga tent ski".split(),
+    "enfants": "jouet bebe poupee peluche couche toy baby puzzle doll stroller".split(),
+    "livres": "livre roman cahier bande dessinee stylo book novel notebook pencil magazine".split(),
+    "bijoux": "bague collier bracelet montre boucle necklace earring watch ring pendant".split(),
+    "animaux": "chien chat croquette laisse litiere dog kitten aquarium leash hamster".split(),
+    "bricolage": "perceuse outil peinture marteau visserie drill tool paint hammer screwdriver ladder".split(),
 }
 
 

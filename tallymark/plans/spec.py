@@ -10,6 +10,7 @@ AGGREGATIONS = ("sum", "mean", "median", "count", "count_distinct", "min", "max"
 DIMENSION_TYPES = ("temporal", "categorical", "numeric_binned")
 GRAINS = ("day", "week", "month", "quarter", "year", "dayofweek", "hour")
 FILTER_OPS = ("eq", "neq", "in", "not_in", "gt", "gte", "lt", "lte", "between", "not_null")
+CHARTS = ("line", "bar", "grouped_bar", "stacked_bar", "area", "scatter", "heatmap", "histogram", "boxplot", "treemap")
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def validate(spec: Spec, columns: dict[str, dict], present=None) -> tuple[Spec |
     spec = replace(spec, dimensions=tuple(dims))
     if dims[0].type == "categorical" and columns[dims[0].column].get("n_unique", 0) > 50 and not spec.limit:
         spec, notes = replace(spec, limit=15), [*notes, "V5 limit 15"]
-    if spec.chart == "line" and dims[0].type != "temporal":
+    if spec.chart not in CHARTS or spec.chart in ("line", "area") and not any(d.type == "temporal" for d in dims):
         spec, notes = replace(spec, chart="bar"), [*notes, "V6 bar"]
     if spec.chart == "scatter" and len(dims) < 2:
         spec, notes = replace(spec, chart="bar"), [*notes, "V7 bar"]

@@ -94,11 +94,23 @@ _put("label_filter", lambda s, d: S.table(s, d, "part").select("p_partkey", sect
     for c, a in (("p_name", "name_ok"), ("p_brand", "brand_ok"))) + " FROM part")
 _LEX = {"metals": ("brass", "steel", "tin", "copper", "nickel"), "sizes": ("small", "large", "medium", "economy")}
 _put("sector_lexicon", lambda s, d: sector.scores(S.table(s, d, "part").select(F.col("p_type").alias("label")), _LEX).select("sector", "score"), " UNION ALL ".join(f"SELECT '{k}' AS sector, sum(" + " + ".join(f"len(regexp_extract_all(lower(p_type), '\\b{w}'))" for w in ws) + f")::BIGINT AS score FROM part HAVING sum(" + " + ".join(f"len(regexp_extract_all(lower(p_type), '\\b{w}'))" for w in ws) + ") > 0" for k, ws in _LEX.items()))
-_put("sector", lambda s, d: sector.sector(sector.labels(S.table(s, d, "part"), "p_type"), _LEX))
+_TOP = "(SELECT p_type FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 60) WHERE length(trim(p_type)) > 2 AND len(regexp_extract_all(p_type, '\\p{L}')) >= 3)"
+_HITS = " UNION ALL ".join(f"SELECT '{k}' AS sector, sum(" + " + ".join(f"len(regexp_extract_all(lower(p_type), '\\b{w}'))" for w in ws) + f")::DOUBLE AS n FROM {_TOP}" for k, ws in _LEX.items())
+_put("sector", lambda s, d: sector.sector(sector.labels(S.table(s, d, "part"), "p_type"), _LEX).drop("words"), f"SELECT CASE WHEN confidence >= 0.35 THEN sector END AS sector, confidence, confidence < 0.7 AS to_confirm FROM (SELECT sector, round(CASE WHEN second IS NULL THEN CASE WHEN n >= 3 THEN 0.95 ELSE 0.6 END ELSE least(0.95, greatest(0, (n / (n + second) - 0.5) * 2.4) * CASE WHEN n < 3 THEN 0.6 ELSE 1 END) END, 2)::DOUBLE AS confidence FROM (SELECT *, lead(n) OVER (ORDER BY n DESC, sector) AS second, row_number() OVER (ORDER BY n DESC, sector) AS place FROM ({_HITS}) WHERE n > 0) WHERE place = 1)")
 
 _TYPED = "SELECT cast(o_orderkey AS VARCHAR(30)) AS key, cast(cast(o_totalprice AS DECIMAL(18,2)) AS VARCHAR(30)) AS amount, {day} AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'oui' ELSE 'non' END AS paid, CASE WHEN o_orderkey % 11 = 0 THEN 'N/A' ELSE o_orderpriority END AS note FROM {t}"
 _put("infer_types", lambda s, d: profile.text_types(s.sql(_TYPED.format(t="{t}", day="date_format(o_orderdate, 'dd/MM/yyyy')"), t=_orders(s, d)), ["key", "amount", "day", "paid", "note"]), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*){f} AS n, '{t}' AS type FROM orders" for c, t, f in (("key", "numeric", ""), ("amount", "numeric", ""), ("day", "datetime", ""), ("paid", "boolean", ""), ("note", "text", " FILTER (o_orderkey % 11 <> 0)"))))
 _put("parse_dates_mixed", lambda s, d: s.sql("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN date_format(o_orderdate, 'd/M/yyyy') WHEN o_orderkey % 3 = 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') ELSE 'hier' END AS t FROM {t}", t=_orders(s, d)).select("o_orderkey", F.date_format(X.parsed_date(F.col("t"), profile.DATE_FORMATS), "yyyy-MM-dd").alias("day")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+
+
+def _strategies_sql():
+    names = ("o_orderkey", "o_custkey", "o_orderstatus")
+    role = lambda c, t: f"(SELECT CASE WHEN count(DISTINCT {c}) / count(*) > 0.9 THEN 'identifier' WHEN count(DISTINCT {c}) <= 200 THEN 'categorical' ELSE 'high_cardinality' END FROM {t})"
+    head = "(SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)"
+    wrong = [f"CASE WHEN {role(c, 'orders')} <> {role(c, head)} THEN '{c}' END" for c in names]
+    return f"WITH w AS (SELECT list_filter([{', '.join(wrong)}], lambda x: x IS NOT NULL) AS l) SELECT 'head' AS strategy, (3 - len(l))::INT AS n_right, (3 - len(l)) / 3 AS accuracy, array_to_string(l, ',') AS wrong FROM w UNION ALL SELECT s, 3::INT, 1.0::DOUBLE, '' FROM (VALUES ('full'), ('hybrid')) t(s)"
+
+
 _put("cardinality_roles", lambda s, d: _roles(s, d), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, CASE WHEN count(DISTINCT {c}) / count(*) > 0.9 THEN 'identifier' WHEN count(DISTINCT {c}) <= 200 THEN 'categorical' ELSE 'high_cardinality' END AS role FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
 
 
@@ -111,6 +123,7 @@ def _roles(s, d):
 
 
 _put("sampling_error", lambda s, d: profile.sampling_error(_orders(s, d), ["o_orderkey", "o_custkey", "o_orderstatus"], 0.1))
+_put("compare_strategies", lambda s, d: profile.strategies(_orders(s, d), ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey", 1000), _strategies_sql())
 _put("derive_alias", lambda s, d: mapping.derive(_orders(s, d), "alias", ("o_totalprice",), "revenue").select("o_orderkey", "revenue"), "SELECT o_orderkey, o_totalprice AS revenue FROM orders")
 _put("clean_absurd_dates", lambda s, d: Cleaner(s.sql("SELECT o_orderkey, o_totalprice AS amount, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP_NTZ '1900-01-01 00:00:00' ELSE o_orderdate END AS day FROM {t}", t=_orders(s, d)), "o_orderkey", "amount", "day", decisions={"T04_absurd_dates": "null"}).result().select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day")), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 _put("clean_drop_columns", lambda s, d: quality.without_empty(_orders(s, d).withColumns({"void": F.lit(None).cast("string"), "same": F.lit("x")})).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderstatus").alias("n_status")), "SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS n_status FROM orders")
