@@ -70,28 +70,24 @@ def _own_features(w: str) -> list[int]:
 
 
 class _Texts:
-    """Words of a batch of texts as codes, with places and the pieces (chains) of their lines."""
+    """Words of a batch of texts as codes, with the pieces (chains) of their lines."""
 
     def __init__(self, texts: list[str | None]):
         self.words: dict[bytes, int] = {}
-        codes, starts, doc, chain, follows = [], [], [], [], []
+        codes, doc, chain, follows = [], [], [], []
         for k, text in enumerate(texts):
             if not text:
                 continue
-            b = text.encode("utf-8", "replace")
-            at = 0
-            for line in b.split(b"\n"):
+            for line in text.encode("utf-8", "replace").split(b"\n"):
                 found = [self.words.setdefault(w, len(self.words)) for w in line.split()]
                 if found:
                     n = len(found)
-                    codes.append(np.array(found, np.int64))
-                    doc.append(np.full(n, k))
-                    starts.append(np.full(n, at))
-                    chain.append(len(follows) + np.arange(n) // PIECE)
+                    codes.append(np.array(found, np.int32))
+                    doc.append(np.full(n, k, np.int32))
+                    chain.append(len(follows) + np.arange(n, dtype=np.int32) // PIECE)
                     follows += [False] + [True] * ((n - 1) // PIECE)
-                at += len(line) + 1
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.codes, self.doc, self.line_at, self.chain, self.n_chains = join(codes), join(doc), join(starts), join(chain), len(follows)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+        self.codes, self.doc, self.chain, self.n_chains = join(codes), join(doc), join(chain), len(follows)
         #: Whether a piece goes on with the line of the piece before it.
         self.follows = np.array(follows, bool)
         self.sizes = np.bincount(self.chain, minlength=self.n_chains) if follows else np.zeros(0, np.int64)
@@ -99,9 +95,8 @@ class _Texts:
 
 def marked_words(names: list[str], t: _Texts, toxic: np.ndarray) -> np.ndarray:
     """Which words have themselves or a start of them almost only in toxic documents; names are by code."""
-    starts = [[xxhash.xxh3_64_intdigest(s.encode()) for s in _starts(w)] for w in names]
-    counts = np.fromiter(map(len, starts), np.int64, len(starts))
-    _, start_no = np.unique(np.fromiter((x for s in starts for x in s), np.uint64, int(counts.sum())), return_inverse=True)
+    counts = np.fromiter((len(_starts(w)) for w in names), np.int64, len(names))
+    _, start_no = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s.encode()) for w in names for s in _starts(w)), np.uint64, int(counts.sum())), return_inverse=True)
     first = np.cumsum(counts) - counts
     ends = np.searchsorted(t.doc, np.arange(len(toxic) + 1))
     seen = np.zeros((2, start_no.max(initial=-1) + 1), np.int64)
@@ -337,12 +332,13 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: np.ndarray, max_pieces: int = MAX_PIECES) -> ChainField:
-    """Learns from whole texts with labels 0/1, the field from at most ``max_pieces`` pieces of them, evenly apart.
+    """Learns from whole texts with labels 0/1, whose list it empties; the field from at most ``max_pieces`` pieces of them, evenly apart.
 
     Without toxic texts every score is the smoothed share of them.
     """
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-    t = _Texts(texts)
+    t, n_docs = _Texts(texts), len(texts)
+    texts.clear()  # the codes stand for them, and memory is short on a driver
     names = [_normal(w) for w in t.words]
     marked = marked_words(names, t, toxic)
     if not marked.any() or len(set(toxic.tolist())) < 2:
@@ -355,7 +351,7 @@ def fit(texts: list[str], toxic: np.ndarray, max_pieces: int = MAX_PIECES) -> Ch
     chains = [[names[c] for c in t.codes[starts[k] : starts[k] + t.sizes[k]].tolist()] for k in order.tolist()]
     tags = [tag[starts[k] : starts[k] + t.sizes[k]].astype(int).tolist() for k in order.tolist()]
     field = ChainField(*_fit_field(chains, tags), np.zeros(4))
-    field.calibration = _calibrate(_sums(t, field.marginals(t), len(texts)), toxic.astype(np.float64))
+    field.calibration = _calibrate(_sums(t, field.marginals(t), n_docs), toxic.astype(np.float64))
     field.known, field.weights = {}, np.zeros((0, 3))
     return field
 
@@ -376,9 +372,10 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS, m
     last = order[np.searchsorted(total, max_bytes, side="right") - 1] if len(order) and total[0] <= max_bytes else None
     fits = F.lit(False) if last is None else F.xxhash64("doc_id") <= F.lit(sizes.column("h")[int(last)].as_py())
     got = sample.where(fits).select("doc_id", "y", "text").toArrow()
-    order = np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy()))
-    texts = got.column("text").to_pylist()
-    return fit([texts[k] or "" for k in order], got.column("y").to_numpy()[order].astype(np.int64), max_pieces)
+    got = got.take(np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy())))
+    toxic, texts = got.column("y").to_numpy().astype(np.int64), [x or "" for x in got.column("text").to_pylist()]
+    del got
+    return fit(texts, toxic, max_pieces)
 
 
 def tag(docs: DataFrame, field: ChainField) -> DataFrame:
