@@ -142,7 +142,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
 
     Vectors are linked within a label by cosine >= ``threshold``. A null label,
     a null, empty or zero vector, and one with null or non-finite components
-    link with nothing. Vectors of different lengths are never linked. Repeated
+    link with nothing. Vectors of different lengths are never linked; each length
+    takes a round of its own. Repeated
     rows count as vectors of their own and link with each other. A null vec_id
     links with nothing. An empty table gives no rows. Other columns are not
     read. Sets the session's Arrow batch size.
