@@ -54,6 +54,23 @@ def test_duration_is_ignored(spark):
     assert {r.report: r.status for r in verify.verified(verify.numbers(d, "id", "t"), none).collect()} == {1: "ignored", 2: "unverified"}
 
 
+def test_amounts_with_cents_are_checked(spark, tmp_path):
+    """Whole amounts that look like years or small numbers count as the query's SQL has them; a bare year is still ignored."""
+    import duckdb
+
+    from tallymark.report_queries import ORACLE_SQL, QUERIES
+
+    amounts = [2000.0, 1900.0, 2100.0, 1050.0, 100.0, 10.0, 5.0, 0.5, 1234.56, 1000.0, 2000.0]
+    spark.createDataFrame([(k if k else 20, v) for k, v in enumerate(amounts)], "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("verify_numbers", "fidelity"):
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE_SQL[name]).fetchall())
+    d = spark.createDataFrame([(1, "en 2000, 2 000,00 puis 2,000.00 et 2000.0")], "id long, t string")
+    none = spark.createDataFrame([], "report long, path string, value double")
+    assert [r.why for r in verify.verified(verify.numbers(d, "id", "t"), none).orderBy("position").collect()] == ["year", None, None, "year"]
+
+
 def test_words(spark):
     d = spark.createDataFrame([("Une médiane et le p-value", "Comparez vos prix moyens"), ("clair", "Autre chose")], "t string, a string")
     got = d.select(verify.jargon(F.col("t")).alias("j"), verify.derived_action(F.col("a"), F.lit("Comparer les prix moyens du marché")).alias("ok")).collect()
