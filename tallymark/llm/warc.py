@@ -10,7 +10,9 @@ block's first and last key and place, then a footer. One more file of the same
 form holds the first and last key of every index file. A lookup searches that
 file's directory, reads a block of it, searches the directory of the index
 file found there, reads one block, and then the record's range of the archive:
-a fixed number of range reads, whatever the number of captures.
+a fixed number of range reads, whatever the number of captures. Tasks read the
+ranges themselves where Python opens the store, and have them from Spark by
+``ranges`` elsewhere; the steps are the same.
 
 Spark's text writer writes all files, one record each, so they may go to any
 store that Spark writes to. Its line end stands for the last byte of a file:
@@ -26,13 +28,16 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import all_open, contents, listed, new_path, opened, small_batches, sorted_groups, stored, table, text_slices
+from tallymark.llm.common import all_open, contents, let, listed, new_path, opened, small_batches, sorted_groups, stored, table, text_slices
+from tallymark.llm.ranges import range_reader
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 8 << 20
@@ -238,7 +243,9 @@ def _ahead(f, window: int = 1 << 16):
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """key, page_id (as text), file, offset, length of every response and revisit in the archives under ``path``.
 
-    An empty or missing set of archives gives no rows.
+    An empty or missing set of archives gives no rows. Members follow from one
+    another, so where Python can't open the store they are walked in an
+    archive's content.
     """
     small_batches(spark)
 
@@ -288,6 +295,23 @@ def _span(first: list[bytes], last: list[bytes], key: bytes) -> range:
     return range(bisect.bisect_left(last, key), bisect.bisect_right(first, key))
 
 
+class Ranges:
+    """Rows that begin with a first and a last key, in rising order of both."""
+
+    def __init__(self, rows: list[list]):
+        self.rows = rows
+        self.first = [x[0].encode() for x in rows]
+        self.last = [x[1].encode() for x in rows]
+
+    def find(self, key: str) -> list[list]:
+        """The rows that can hold a key, by binary search."""
+        return [self.rows[k] for k in _span(self.first, self.last, key.encode())]
+
+
+def _directory(packed: bytes) -> Ranges:
+    return Ranges(json.loads(zlib.decompress(packed)))
+
+
 class IndexFile:
     """An index file; ``read(offset, length)`` fetches a range of it."""
 
@@ -296,24 +320,32 @@ class IndexFile:
         foot = bytes(read(size - 25, 25))
         if foot[16:] != _FOOT + b"\n":
             raise ValueError("not a whole index file")
-        self.directory = json.loads(zlib.decompress(bytes(read(int.from_bytes(foot[:8], "little"), int.from_bytes(foot[8:16], "little")))))
-        self.first = [x[0].encode() for x in self.directory]
-        self.last = [x[1].encode() for x in self.directory]
+        self.directory = _directory(bytes(read(int.from_bytes(foot[:8], "little"), int.from_bytes(foot[8:16], "little"))))
 
     def block(self, at: int, n: int) -> list[list]:
         return json_rows(bytes(self.read(at, n)))
 
     def places(self, key: str) -> list[tuple[int, int]]:
         """(offset, length) of the blocks that can hold a key, by binary search in the directory."""
-        return [tuple(self.directory[k][2:4]) for k in _span(self.first, self.last, key.encode())]
+        return [tuple(x[2:4]) for x in self.directory.find(key)]
 
     def find(self, key: str) -> list[list]:
         """Rows of a key: its blocks by the directory, then a binary search in each."""
-        out = []
-        for at, n in self.places(key):
-            rows = self.block(at, n)
-            out += [rows[k] for k in _span([r[0].encode() for r in rows], [r[1].encode() for r in rows], key.encode())]
-        return out
+        return [row for at, n in self.places(key) for row in Ranges(self.block(at, n)).find(key)]
+
+
+def _packed_directory(read, file: Column, size: Column) -> Column:
+    """The directory of an index file as it lies there, by two range reads of Spark: the footer, then what that names."""
+
+    def body(foot: Column) -> Column:
+        little = lambda k: F.conv(F.concat(*[F.substring(foot, 2 * i + 1, 2) for i in range(k + 7, k - 1, -1)]), 16, 10).cast("long")
+        whole = F.substring(foot, 33, 18) == (_FOOT + b"\n").hex().upper()
+        return F.when(whole, read(file, little(0), little(8))).otherwise(F.raise_error(F.lit("not a whole index file")).cast("binary"))
+
+    return let(F.hex(read(file, size - 25, F.lit(25))), body)
+
+
+_TOP_DDL = "first string, last string, file string, size long"
 
 
 def write_index(entries: DataFrame, path: str) -> None:
@@ -345,20 +377,28 @@ def write_index(entries: DataFrame, path: str) -> None:
     dealt = entries.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("key").alias("first"), F.col("key").alias("last"), "page_id", "file", "offset", "length")
     _binary_files(dealt.mapInArrow(lambda x: pack(x, FILE_BLOCKS), "content binary"), path, "\n")
 
-    def ends(f: IndexFile, name: str, size: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"first": [f.directory[0][0]], "last": [f.directory[-1][1]], "file": [name], "size": pa.array([size], pa.int64())})
+    def ends(directory: Ranges, name: str, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"first": [directory.rows[0][0]], "last": [directory.rows[-1][1]], "file": [name], "size": pa.array([size], pa.int64())})
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, size in zip(*(batch.column(c).to_pylist() for c in ("path", "length")), strict=True):
                 with opened(name) as f:
-                    yield ends(IndexFile(size, lambda at, n: f.read_at(n, at)), name, size)  # noqa: B023
+                    yield ends(IndexFile(size, lambda at, n: f.read_at(n, at)).directory, name, size)  # noqa: B023
+
+    def by_spark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield ends(_directory(packed), name, size)
 
     files = listed(spark, path)
     if all_open(files):
-        # A row for each index file, of ``FILE_BLOCKS`` blocks each: one task sorts them.
-        top = files.mapInArrow(by_range, "first string, last string, file string, size long").repartition(1).sortWithinPartitions("first", "last")
-        _binary_files(top.mapInArrow(lambda x: pack(x, None), "content binary"), path + "-top", "\n")
+        rows = files.mapInArrow(by_range, _TOP_DDL)
+    else:
+        rows = files.select("path", "length", _packed_directory(range_reader(spark), F.col("path"), F.col("length"))).mapInArrow(by_spark, _TOP_DDL)
+    # A row for each index file, of ``FILE_BLOCKS`` blocks each: one task sorts them.
+    top = rows.repartition(1).sortWithinPartitions("first", "last")
+    _binary_files(top.mapInArrow(lambda x: pack(x, None), "content binary"), path + "-top", "\n")
 
 
 def _files_of(first: tuple[str, int], keys: Iterator[str]) -> Iterator[tuple[str, str, int, int, int]]:
@@ -386,20 +426,74 @@ def _files_of(first: tuple[str, int], keys: Iterator[str]) -> Iterator[tuple[str
         f.close()
 
 
+#: Keys with the file or block to search for each next; ``first`` where it isn't that of the row before.
+_FILE = pa.schema([("key", pa.string()), ("file", pa.string()), ("size", pa.int64()), ("first", pa.bool_())])
+_PLACE = pa.schema([("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("first", pa.bool_())])
+
+
+def _mapped(rows: DataFrame, run, schema: pa.Schema, most: int = 8192) -> DataFrame:
+    """The tuples of ``run(rows of a task)``, with ``first`` if the schema has it."""
+
+    def flagged(found: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for row in found:
+            yield *row, row[1:] != last
+            last = row[1:]
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = run(row for batch in given for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = flagged(found) if "first" in schema.names else found
+        while held := list(islice(found, most)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    kinds = {pa.string(): "string", pa.int64(): "long", pa.bool_(): "boolean"}
+    return rows.mapInArrow(batches, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def _searched(rows: DataFrame, data: Column, unpack, found, schema: pa.Schema) -> DataFrame:
+    """The tuples of ``found(unpack(data), key, ...)`` for each row; data is read at rows that are ``first``."""
+
+    def run(given: Iterator[tuple]) -> Iterator[tuple]:
+        held = None
+        for *row, packed in given:
+            held = held if packed is None else unpack(packed)
+            yield from found(held, *row)
+
+    return _mapped(rows.withColumn("data", F.when(F.col("first"), data)).drop("first"), run, schema)
+
+
+def _lookup_by_spark(spark: SparkSession, first: tuple[str, int], wanted: DataFrame) -> DataFrame:
+    """The steps of a lookup with ranges that Spark reads: the top directory, a block of that file, an index file's directory, a block of it."""
+    read = range_reader(spark)
+    name, size = first
+    # An entry of this directory stands for ``BLOCK_CAPTURES`` index files.
+    top = _directory(bytes(spark.range(1).select(_packed_directory(read, F.lit(name), F.lit(size))).first()[0]))
+    block = read(F.col("file"), F.col("at"), F.col("n"))
+    directory = _packed_directory(read, F.col("file"), F.col("size"))
+    rows = lambda data: Ranges(json_rows(data))
+    # Each task goes through its own range of the keys as far as the blocks of captures.
+    keys = wanted.repartitionByRange("key").sortWithinPartitions("key")
+    tops = _mapped(keys, lambda given: ((k, name, *x[2:4]) for (k,) in given for x in top.find(k)), _PLACE)
+    files = _searched(tops, block, rows, lambda f, key, *_: ((key, *x[2:4]) for x in f.find(key)), _FILE)
+    places = _searched(files, directory, _directory, lambda f, key, name, _: ((key, name, *x[2:4]) for x in f.find(key)), _PLACE)
+    places = places.withColumn("first", F.row_number().over(W.partitionBy("file", "at").orderBy("key")) == 1)
+    return _searched(places, block, rows, lambda f, key, *_: (tuple(x[1:]) for x in f.find(key)), _CAPTURE)
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """Captures of the keys in the one column of ``keys``, through the directories; each block is read once.
 
     Absent and null keys have none, and repeated keys count once. A key with
     many captures has many blocks, which different tasks read. Where Python
-    can't open the store, all index files are read and joined with the keys.
+    can't open the store, Spark reads the same ranges.
     """
     small_batches(spark)
     wanted = keys.toDF("key").where("key IS NOT NULL").distinct()
-    if not all_open(listed(spark, path)):
-        return read_index(spark, path).join(wanted, "key", "left_semi")
     first = [tuple(r) for r in listed(spark, path + "-top").collect()]  # one file at most
     if not first:
         return spark.createDataFrame([], _CAPTURE_DDL)
+    if not all_open(listed(spark, path)):
+        return _lookup_by_spark(spark, first[0], wanted)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -439,7 +533,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 view = memoryview(content.as_buffer())
                 f = IndexFile(len(view), lambda at, n, v=view: v[at : at + n])
-                for x in f.directory:
+                for x in f.directory.rows:
                     rows = [r[1:] for r in f.block(x[2], x[3])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _CAPTURE, strict=True)], schema=_CAPTURE)
 
@@ -462,9 +556,8 @@ def read_records(spark: SparkSession, entries: DataFrame) -> DataFrame:
     """The record of every capture, by a range read of its archive; ids are text, as the archives have them.
 
     Captures of one archive (a bounded number) come to one task, which opens
-    the file once. Where Python can't open the store, Spark reads the archives
-    and the ranges are taken from their content. Without captures there are
-    no rows.
+    the file once. Where Python can't open the store, Spark reads the ranges.
+    Without captures there are no rows.
     """
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 5, _ROWS, strict=True)], schema=_ROWS)
@@ -475,19 +568,16 @@ def read_records(spark: SparkSession, entries: DataFrame) -> DataFrame:
                 rows = [_row(zlib.decompress(f.read_at(n, at), 31)) for at, n in zip(group.column("offset").to_pylist(), group.column("length").to_pylist(), strict=True)]
             yield out(rows)
 
-    def by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_spark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, ranges in zip(batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
-                view = memoryview(content.as_buffer())
-                yield out([_row(zlib.decompress(view[r["offset"] : r["offset"] + r["length"]], 31)) for r in ranges])
+            if batch.num_rows:
+                yield out([_row(zlib.decompress(x.as_buffer(), 31)) for x in batch.column("data")])
 
+    dealt = entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
     if all_open(entries.select(F.col("file").alias("path"))):
-        return entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(by_range, _ROWS_DDL)
-    ranges = entries.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    folders = entries.select(F.regexp_replace("file", "[^/]*$", "").alias("folder")).distinct()
-    # A folder holds all archives of one writing.
-    files = contents(spark, [r.folder for r in folders.collect()]).withColumnRenamed("path", "file")
-    return files.join(ranges, "file").select("content", "ranges").mapInArrow(by_content, _ROWS_DDL)
+        return dealt.mapInArrow(by_range, _ROWS_DDL)
+    read = range_reader(spark)
+    return dealt.select(read(F.col("file"), F.col("offset"), F.col("length")).alias("data")).mapInArrow(by_spark, _ROWS_DDL)
 
 
 def url_keys(pages: DataFrame) -> DataFrame:

@@ -504,6 +504,37 @@ def test_archives_of_nothing_and_of_a_long_payload(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_warc_lookups_on_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    """The directories lead to blocks and records by ranges there too, so that other index files may be broken."""
+    monkeypatch.setattr(warc, "BLOCK_CAPTURES", 4)
+    monkeypatch.setattr(warc, "FILE_BLOCKS", 3)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tally.link./in", f"file://{tmp_path}")
+    rows = [(k, f"http://h{k % 40:02d}.org/{k}", f"page {k}") for k in range(600)] + [(1000 + k, "http://same.org/", "y" * 1200) for k in range(60)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives, index = "viewfs://tally/in/warc", "viewfs://tally/in/cdx"
+    warc.write_archives(pages, archives)
+    warc.write_index(warc.captures(spark, archives), index)
+    assert not warc.all_open(warc.listed(spark, index)) and warc.listed(spark, index).count() > 20 and warc.listed(spark, index + "-top").count() == 1
+    got = warc.read_records(spark, warc.lookup(spark, index, warc.url_keys(pages))).collect()
+    assert sorted(r.page_id or "" for r in got) == sorted("" if k is None else str(k) for k, _, _ in rows)
+    keys = spark.createDataFrame([(warc.surt("http://same.org/"),), (warc.surt("http://h07.org/7"),), ("zz,absent)/",), (None,)], "key string")
+    found = warc.lookup(spark, index, keys).collect()
+    assert sorted(int(r.page_id) for r in found) == [7, *range(1000, 1060)]
+    one = [r for r in found if r.page_id == "7"]
+    kept = 0
+    for f in (tmp_path / "cdx").glob("part-*"):
+        data = f.read_bytes()
+        if data and not warc.IndexFile(len(data), lambda at, n: data[at : at + n]).find(warc.surt("http://same.org/")):  # noqa: B023
+            f.write_bytes(b"x" * len(data))
+            (f.parent / f".{f.name}.crc").unlink()
+        else:
+            kept += bool(data)
+    assert kept < 12
+    assert warc.lookup(spark, index, keys.where("key LIKE '%same%'")).count() == 60
+    got = warc.read_records(spark, spark.createDataFrame(one, "key string, page_id string, file string, offset long, length long"))
+    assert [tuple(r)[:2] for r in got.collect()] == [("7", 6)] and "binaryFile" not in got._jdf.queryExecution().toString()
+
+
 def test_lines_decide_against_sql(spark, tmp_path):
     """Documents whose shared lines leave too little go, in the query as in its SQL."""
     line = "this notice stands on every page of the whole site and says nothing new"
