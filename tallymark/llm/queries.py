@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import class_lm, embedding_dedup, jaccard_join, mixing, packing, quality_classifier, quality_rules, token_files, toxicity, warc
+from tallymark.llm import class_lm, embedding_dedup, jaccard_join, merkle, mixing, packing, quality_classifier, quality_rules, token_files, toxicity, warc, weighted_kmeans, winnowing
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_token_files": token_files.op10_token_files,
+    "op11_winnowing": winnowing.op11_winnowing,
+    "op12_weighted_kmeans": weighted_kmeans.op12_weighted_kmeans,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op4_quality_rules": quality_rules.SQL,
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op9_warc": warc.SQL,
+    "op12_weighted_kmeans": weighted_kmeans.SQL,
+    "op13_merkle": merkle.SQL,
 }
