@@ -2,16 +2,20 @@
 
 Vectors are scaled to length one and turned so that the leading dimensions
 hold most of the variance. Two vectors with cosine c lie sqrt(2 - 2c) apart.
-Within a label, blocks that are too large for one task are halved at the mean
-of their widest leading dimension, again and again; every block has a box of
-its leading dimensions. Pairs of blocks are found from the top of this tree
-down, and a pair goes on only while its boxes are near enough. A task takes
-one pair of blocks, so a vector is sent once for each block it may have links
-in. There the blocks are cut into tiles, pairs of tiles are left out by their
-boxes, and the rest are compared by adding up leading dimensions first, where
-the norms of the suffixes bound what is left of a product. Pairs that reach
-the threshold by the bound are checked in double precision on the given
-components.
+Each vector belongs to the cell of its nearest pivot, and pivots are the
+centroids of a bounded sample; they only decide who meets whom. A vector visits
+another cell of its label if it lies within that distance of the plane half-way
+to the other pivot, and within it of the ball that holds the other cell: no
+other cell can hold a link of its. Of two cells one is visited by the other's
+vectors.
+
+A task holds a part of a cell and reads its visitors as a stream, a chunk at a
+time, so its memory is that of a part whatever comes to it. Vectors are
+compared tile by tile, and pairs of tiles are left out by their boxes; the rest
+are compared by adding up leading dimensions first, where the norms of the
+suffixes bound what is left of a product. Pairs that reach the threshold by the
+bound are checked in double precision on the given components, which are only
+scaled by a power of two, so that no square leaves the range of doubles.
 
 Equal vectors are one row with a count. Tasks return sums and spanning links
 for each vector, never the pairs themselves.
@@ -24,26 +28,38 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import components, dropped, small_batches, sorted_groups, stored, table
+from tallymark.llm.common import components, small_batches, stored, table
 
 THRESHOLD = 0.98
-#: Leading dimensions of the boxes of blocks.
-LEAD = 16
-#: Bytes of vectors of a block, which one task holds twice.
+#: Bytes of vectors of a part of a cell, which one task holds, and visitors that it compares at a time.
 BLOCK_BYTES = 16 << 20
-#: Halvings at most; a block that is still too large, or has no width, is cut by hash.
-ROUNDS = 48
+CHUNK = 4096
+#: Vectors that pivots are fitted to, at most, and their bytes; passes over them; pivots at most.
+SAMPLE = 8192
+SAMPLE_BYTES = 16 << 20
+PASSES = 5
+MOST_PIVOTS = 512
+#: Rows of the table of cells that is broadcast (some 50 bytes each); a longer one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 TILE = 2048
 STAGES = (8, 24)
 SLACK = 1e-9
+#: What rounding may add to a distance.
+ROUNDING = 1e-6
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Rows of components, each scaled by the power of two that brings its largest one under 1: cosines stay what they are."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -51,8 +67,7 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, one, two = 0, np.zeros(dim), np.zeros((dim, dim))
         for batch in batches:
-            x = _matrix(batch.column("v"), dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(_matrix(batch.column("v"), dim))
             n, one, two = n + len(x), one + x.sum(0), two + x.T @ x
         if n:
             values = np.concatenate([[n], one, two.ravel()])
@@ -174,101 +189,140 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
 
 
-def _boxes(rows: DataFrame, lead: int, most: int) -> DataFrame:
-    """(label, node, n, lo, hi, axis, cut, split) of the nodes of ``rows``: their boxes, and where those of over ``most`` vectors are halved."""
-    of = lambda how: F.array(*[how(F.get("lead", F.lit(k))) for k in range(lead)])
-    d = rows.groupBy("label", "node").agg(F.count(F.lit(1)).alias("n"), of(F.min).alias("lo"), of(F.max).alias("hi"), of(F.avg).alias("mean"))
-    d = d.withColumn("width", F.zip_with("hi", "lo", lambda x, y: x - y))
-    d = d.withColumn("axis", (F.array_position("width", F.array_max("width")) - 1).cast("int"))
-    return d.select("label", "node", "n", "lo", "hi", "axis", F.get("mean", "axis").alias("cut"), ((F.col("n") > most) & (F.array_max("width") > 1e-9)).alias("split"))
-
-
-def _tree(rows: DataFrame, lead: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(no, label, node) of all vectors in their last nodes, and the boxes of each level; node k has the halves 2k and 2k + 1."""
-    done, levels = [], []
-    for depth in range(ROUNDS + 1):
-        boxes = _boxes(rows, lead, most)
-        boxes = stored(boxes if depth < ROUNDS else boxes.withColumn("split", F.lit(False)), "vector-boxes")
-        levels.append(boxes)
-        big = boxes.where("split").select("label", "node", "axis", "cut")
-        if big.isEmpty():
-            done.append(rows.select("no", "label", "node"))
-            break
-        d = rows.join(big, ["label", "node"], "left")
-        done.append(d.where("axis IS NULL").select("no", "label", "node"))
-        half = (F.get("lead", "axis") > F.col("cut")).cast("long")
-        rows = stored(d.where("axis IS NOT NULL").select("no", "label", (F.col("node") * 2 + half).alias("node"), "lead"), "vector-nodes")
-    return reduce(DataFrame.unionByName, done), levels
-
-
-def _near_pairs(levels: list[DataFrame], far: float) -> DataFrame:
-    """(label, a, b) with a <= b: pairs of last nodes whose boxes are within the distance, from the top down."""
-    pairs = levels[0].where("n > 1").select("label", F.col("node").alias("a"), F.col("node").alias("b"))
-    for k in range(len(levels) - 1):
-        halved = levels[k].where("split").select("label", "node", F.lit(True).alias("split"))
-        boxes = reduce(DataFrame.unionByName, [x.select("label", "node", "lo", "hi") for x in levels[: k + 2]])
-        side = lambda d, c: d.withColumnsRenamed({x: f"{x}_{c}" for x in d.columns if x != "label"})
-        d = pairs
-        for c in "ab":
-            d = d.join(side(halved, c).withColumnRenamed(f"node_{c}", c), ["label", c], "left")
-            d = d.withColumn(f"k{c}", F.explode(F.when(F.col(f"split_{c}"), F.array(F.col(c) * 2, F.col(c) * 2 + 1)).otherwise(F.array(c))))
-        d = d.where("a <> b OR ka <= kb").select("label", F.col("ka").alias("a"), F.col("kb").alias("b"))
-        for c in "ab":
-            d = d.join(side(boxes, c).withColumnRenamed(f"node_{c}", c), ["label", c])
-        gaps = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-        d = d.where(F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x * x) <= far).select("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(d, "vector-pairs")
-    return pairs
-
-
-def _links(classes: DataFrame, dim: int, threshold: float, block: int | None = None) -> DataFrame:
-    """(no, links, root): parts of each vector's links, and local spanning links."""
+def pivots(vectors: DataFrame, axes: np.ndarray, k: int) -> np.ndarray:
+    """Up to ``k`` different points, the centroids of a sample by hash, in turned coordinates. The sample's size is bounded."""
+    dim = len(axes)
+    n = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim)))
+    k = min(k, max(1, n // 8))
+    if k == 1:
+        return np.zeros((1, dim))
+    sample = vectors.select("v").orderBy(F.xxhash64("no", F.lit(3))).limit(n).toArrow()
+    x = _unit(_matrix(sample.column("v"), dim)) @ axes
+    at = np.unique(x[:k], axis=0)
+    for _ in range(PASSES):
+        near = _squares(x, at).argmin(1)
+        counts = np.bincount(near, minlength=len(at))
+        sums = np.zeros_like(at)
+        np.add.at(sums, near, x)
+        at = np.unique(sums[counts > 0] / counts[counts > 0][:, None], axis=0)
+    return at
+
+
+def _squares(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to points."""
+    return np.maximum(0, (x * x).sum(1)[:, None] - 2 * (x @ at.T) + (at * at).sum(1)[None, :])
+
+
+def visits(x: np.ndarray, at: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's own cell; and (row, cell, distance to its pivot) of that and of all others whose vectors may be within ``far``."""
+    d2 = _squares(x, at)
+    own = d2.argmin(1)
+    gaps = np.sqrt(_squares(at, at))
+    # A vector of another cell lies beyond the plane half-way between the pivots.
+    near = d2 - d2[np.arange(len(x)), own][:, None] <= 2 * far * gaps[own] + ROUNDING
+    near[np.arange(len(x)), own] = True
+    row, cell = np.nonzero(near)
+    return own, row, cell, np.sqrt(d2[row, cell])
+
+
+def _visited(host: Column, guest: Column) -> Column:
+    """Of two different numbers, whether the first is the one that is visited; each is by about half of the others."""
+    return ((host + guest) % 2 == 1) == (host < guest)
+
+
+def meetings(classes: DataFrame, dim: int, threshold: float, most: int, cell: int = TILE) -> tuple[DataFrame, np.ndarray]:
+    """(no, n, v, task, task2, guest): the vectors of each part of a cell, and those that visit it; and the turned axes.
+
+    ``most`` is the number of vectors of a part, ``cell`` the number that a
+    label's cells hold about.
+    """
     axes = rotation(classes, dim)
-    lead = min(LEAD, dim)
-    most = block or max(TILE, BLOCK_BYTES // (8 * dim))
+    far = np.sqrt(max(0.0, 2 - 2 * threshold)) + ROUNDING
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    at = pivots(classes, axes, min(MOST_PIVOTS, -(-largest // cell)))
 
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("v"), dim)
-                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[:, :lead]
-                yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("label"), pa.array(np.ones(len(y), np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), lead).cast(pa.list_(pa.float64()))], ["no", "label", "node", "lead"])
+            if not batch.num_rows:
+                continue
+            x = _unit(_matrix(batch.column("v"), dim)) @ axes
+            own, row, cells, d = visits(x, at, far)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]).astype(np.int32)
+            ways = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(cells.astype(np.int32)), pa.array(d)], ["cell", "d"]))
+            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("label"), batch.column("n"), batch.column("v"), pa.array(own.astype(np.int32)), pa.array(d[cells == own[row]]), ways], ["no", "label", "n", "v", "own", "near", "ways"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    rows = stored(classes.select("no", "label", "v").mapInArrow(turn, f"no long, label {kind}, node long, lead array<double>"), "vector-nodes")
-    members, levels = _tree(rows, lead, most)
-    pairs = _near_pairs(levels, max(0.0, 2 - 2 * threshold) + SLACK)
-    parts = reduce(DataFrame.unionByName, levels).where("NOT split").select("label", "node", F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    # A block that couldn't be halved is cut by hash, and its parts meet each other.
-    for c in "ab":
-        pairs = pairs.join(parts.select("label", F.col("node").alias(c), F.col("parts").alias(f"parts_{c}")), ["label", c])
-        pairs = pairs.withColumn(f"part_{c}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{c}") - 1)))
-    pairs = pairs.where("a <> b OR part_a <= part_b")
-    names = ("label", "a", "b", "part_a", "part_b")
-    pairs = pairs.withColumn("task", F.xxhash64(*names)).withColumn("task2", F.xxhash64(F.lit(2), *names))
-    side = lambda c, d: d.select("label", F.col(c).alias("node"), F.col(f"part_{c}").alias("part"), "task", "task2", F.lit(c == "b").alias("second"))
-    sides = side("a", pairs).unionByName(side("b", pairs.where("a <> b OR part_a <> part_b")))
-    own = members.join(parts, ["label", "node"]).select("no", "label", "node", F.pmod(F.xxhash64("no", F.lit(7)), "parts").cast("int").alias("part"))
-    d = own.join(classes.select("no", "n", "v"), "no").join(sides, ["label", "node", "part"]).select("no", "n", "v", "task", "task2", "second")
+    placed = classes.select("no", "label", "n", "v").mapInArrow(place, f"no long, label {kind}, n long, v array<double>, own int, near double, ways array<struct<cell: int, d: double>>")
+    placed = stored(placed, "vector-cells")
+    cells = placed.groupBy("label", F.col("own").alias("cell")).agg(F.max("near").alias("radius"), F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    cells = stored(cells, "vector-parts")
+    if cells.count() <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)
+    d = placed.select("no", "label", "n", "v", "own", F.explode("ways").alias("way")).select("no", "label", "n", "v", "own", "way.cell", "way.d")
+    d = d.where((F.col("cell") == F.col("own")) | _visited(F.col("cell"), F.col("own"))).join(cells, ["label", "cell"])
+    home = F.col("cell") == F.col("own")
+    d = d.where(home | (F.col("d") <= F.col("radius") + far))
+    mine = F.pmod(F.xxhash64("no", F.lit(7)), F.col("parts")).cast("int")
+    parts = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: ~home | (p == F.col("mine")) | _visited(p, F.col("mine")))
+    d = d.withColumn("mine", mine).withColumn("part", F.explode(parts))
+    names = ("label", "cell", "part")
+    return d.select("no", "n", "v", F.xxhash64(*names).alias("task"), F.xxhash64(F.lit(2), *names).alias("task2"), (~home | (F.col("part") != F.col("mine"))).alias("guest")), axes
+
+
+def _links(classes: DataFrame, dim: int, threshold: float, block: int | None = None, cell: int = TILE) -> DataFrame:
+    """(no, links, root): parts of each vector's links, and local spanning links."""
+    d, axes = meetings(classes, dim, threshold, block or max(TILE, BLOCK_BYTES // (8 * dim)), cell)
+
+    def compared(home: tuple, other: tuple | None) -> pa.RecordBatch:
+        """Links among the vectors of a part, or between them and a chunk of visitors."""
+        no, n, x, turned = home
+        if other is None:
+            i, j = compare_blocks(x, x, turned, turned, threshold, True)
+        else:
+            i, j = compare_blocks(x, other[2], turned, other[3], threshold, False)
+            no, n, j = np.concatenate([no, other[0]]), np.concatenate([n, other[1]]), j + len(x)
+        links = np.bincount(i, n[j], len(no)) + np.bincount(j, n[i], len(no))
+        root = no[local_roots(len(no), i, j)]
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(no[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["no", "links", "root"])
+
+    def arrays(rows: pa.Table) -> tuple:
+        x = _matrix(rows.column("v"), dim)
+        return rows.column("no").to_numpy(), rows.column("n").to_numpy(), x, _unit(x) @ axes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["task", "task2"]):
-            no, n, second = (group.column(c).to_numpy() for c in ("no", "n", "second"))
-            x = _matrix(group.column("v"), dim)
-            second = second.astype(bool)
-            turned = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
-            a, b = np.flatnonzero(~second), np.flatnonzero(second)
-            if len(b):
-                i, j = compare_blocks(x[a], x[b], turned[a], turned[b], threshold, False)
-                i, j = a[i], b[j]
-            else:
-                i, j = compare_blocks(x, x, turned, turned, threshold, True)
-            links = np.bincount(i, n[j], len(no)) + np.bincount(j, n[i], len(no))
-            root = no[local_roots(len(no), i, j)]
-            some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(no[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["no", "links", "root"])
-
-    return d.repartition("task").sortWithinPartitions("task", "task2").mapInArrow(run, "no long, links long, root long")
+        task, held, home = None, [], None
+        for rows in _chunks(batches):
+            key, guest = (rows.column("task")[0].as_py(), rows.column("task2")[0].as_py()), rows.column("guest")[0].as_py()
+            if key != task:
+                if held:
+                    yield compared(arrays(pa.Table.from_batches(held)), None)
+                task, held, home = key, [], None
+            if not guest:
+                held.append(rows)
+                continue
+            if held:
+                home, held = arrays(pa.Table.from_batches(held)), []
+                yield compared(home, None)
+            if home:  # a part may have got no vectors
+                yield compared(home, arrays(pa.Table.from_batches([rows])))
+        if held:
+            yield compared(arrays(pa.Table.from_batches(held)), None)
+
+    return d.repartition("task").sortWithinPartitions("task", "task2", "guest").mapInArrow(run, "no long, links long, root long")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``CHUNK`` rows of one task that all are its own or all its guests, in order."""
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "task2", "guest")]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for k in range(a, b, CHUNK):
+                yield batch.slice(k, min(CHUNK, b - k))
 
 
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -439,8 +440,8 @@ def test_held_out_labels(spark, query, label, least):
     assert hit[1, 1] / (hit[1, 0] + hit[1, 1]) >= least
 
 
-@pytest.mark.parametrize("block", [None, 64])
-def test_embeddings_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "cell"), [(None, 2048), (64, 2048), (32, 40), (7, 16)])
+def test_embeddings_by_brute_force(spark, monkeypatch, block, cell):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(400, 16))
     x = np.concatenate([base, base[:150] + rng.normal(size=(150, 16)) * 0.08, np.repeat(base[:1], 150, 0) + rng.normal(size=(150, 16)) * 0.05]).astype(np.float32)
@@ -456,13 +457,13 @@ def test_embeddings_by_brute_force(spark, monkeypatch, block):
             break
         root = new
     links = embedding_dedup._links
-    monkeypatch.setattr(embedding_dedup, "_links", lambda c, d, t: links(c, d, t, block))
+    monkeypatch.setattr(embedding_dedup, "_links", lambda c, d, t: links(c, d, t, block, cell))
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
     assert got == {i: (int(link[i].sum()), int(root[i])) for i in range(len(x))} and link.sum() > 5000
 
 
-def test_blocks_without_width_are_cut_by_hash(spark):
-    """Vectors along one line: no halving parts them, and every pair is linked."""
+def test_cells_of_one_direction_are_cut_by_hash(spark):
+    """Vectors along one line: no pivots part them, and every pair is linked."""
     v = np.array([3.0, 4.0])
     df = spark.createDataFrame([(k, (v * (1 + k)).tolist(), 1) for k in range(60)], "vec_id long, embedding array<double>, label int")
     classes = df.select("label", F.col("embedding").alias("v"), F.lit(1).cast("long").alias("n"), F.col("vec_id").alias("no"))
@@ -470,6 +471,41 @@ def test_blocks_without_width_are_cut_by_hash(spark):
     assert {r.no: r.n for r in found} == dict.fromkeys(range(60), 59)
 
 
+def test_embeddings_of_extreme_size(spark):
+    """Squares of these components leave the range of doubles; their cosines don't."""
+    base = {0: (1.0, 0.0, 0.0), 1: (1.0, 0.001, 0.0), 2: (1.0, 0.001, 0.0), 3: (0.0, 1.0, 0.0), 4: (0.6, 0.8, 0.0)}
+    rows = [(10 * p + k, [c * scale for c in v], 1) for p, scale in enumerate((1.0, 1e-200, 1e200, 1e-307, 1e307)) for k, v in base.items()]
+    rows += [(100, [5e-324, 0.0, 0.0], 1), (101, [1e-200, 1e200, 0.0], 1), (102, [0.0, 0.0, 0.0], 1), (103, [1e-200, 0.0], 1), (104, [3.0, 0.0], 1), (105, [1e200, 1e200], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+    def linked(a: list, b: list) -> bool:
+        x, y = ([Fraction(c) for c in v] for v in (a, b))
+        dot, norms = sum(p * q for p, q in zip(x, y, strict=True)), sum(p * p for p in x) * sum(q * q for q in y)
+        return dot > 0 and norms > 0 and dot * dot >= Fraction(0.98) ** 2 * norms
+
+    want = {i: sum(i != j and len(a) == len(b) and linked(a, b) for j, b, _ in rows) for i, a, _ in rows}
+    assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()} == want
+
+
+@pytest.mark.parametrize(("spread", "most"), [(0.02, 0.1), (None, 0.75)])
+def test_few_cells_meet(spark, spread, most):
+    """Of all pairs of vectors, those that are in a task together: under a tenth where vectors lie in clusters, and no link is lost."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64)) if spread is None else rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 64)) * spread * 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = x[rng.choice(6000, 96, False)]
+    far = np.sqrt(2 - 2 * 0.98) + embedding_dedup.ROUNDING
+    own, row, cell, d = embedding_dedup.visits(x, at, far)
+    radius = np.zeros(96)
+    np.maximum.at(radius, own, np.sqrt(((x - at[own]) ** 2).sum(1)))
+    meets = np.zeros((6000, 96), bool)
+    keep = (cell == own[row]) | (d <= radius[cell] + far)
+    meets[row[keep], cell[keep]] = True
+    assert meets[:, own].mean() < most
+    i, j = np.nonzero(x @ x.T >= 0.98)
+    assert meets[i, own[j]].all()
+
+
 def test_lookups_read_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_CAPTURES", 8)
     monkeypatch.setattr(warc, "FILE_BLOCKS", 3)
