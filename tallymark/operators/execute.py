@@ -110,6 +110,76 @@ def grouped(df: DataFrame, spec: Spec) -> DataFrame:
     return out.where("value IS NOT NULL")
 
 
+#: Aggregates that need the values of a group, counted by distinct value; all others add up as they are.
+BY_VALUE = ("median", "count_distinct")
+KEYS = ("spec", "dim0", "dim1")
+
+
+def _expanded(df: DataFrame, specs: list[Spec]) -> DataFrame:
+    """A row (spec, dim0, dim1, x, v, no_key) for each spec that a row's filters let through; spec -1 for every row."""
+    bins = {(x.column, x.bins, s.filters): x for s in specs for x in s.dimensions if x.type == "numeric_binned"}
+    ranges = {}
+    if bins:  # one pass over the binned columns
+        ends = [F.struct(F.min(F.when(_kept(df, f), F.col(c).cast("double"))).alias("lo"), F.max(F.when(_kept(df, f), F.col(c).cast("double"))).alias("hi")) for c, _, f in bins]
+        ranges = dict(zip(bins, df.agg(*ends).first(), strict=True))
+    none = F.lit(None).cast("string")
+
+    def dim(s: Spec, d: Dimension) -> Column:
+        lo, hi = ranges.get((d.column, d.bins, s.filters), (None, None))
+        if lo is None or lo == hi:
+            return key(d)
+        return F.least(F.width_bucket(F.col(d.column).cast("double"), F.lit(lo), F.lit(hi), F.lit(d.bins)), F.lit(d.bins)).cast("string")
+
+    cells = []
+    for k, s in enumerate(specs):
+        dims = [dim(s, d) for d in s.dimensions]
+        missing = reduce(lambda a, b: a | b, [c.isNull() for c in dims])
+        first, second = [F.when(~missing, c) for c in dims] + [none] * (2 - len(dims))
+        x = F.lit(None).cast("double") if s.aggregation in ("count", "count_distinct") else F.col(s.column).cast("double")
+        v = F.col(s.column).cast("string") if s.aggregation == "count_distinct" else x.cast("string") if s.aggregation == "median" else none
+        here = F.struct(F.lit(k).alias("spec"), first.alias("dim0"), second.alias("dim1"), x.alias("x"), F.when(~missing, v).alias("v"), F.col(s.column).isNotNull().alias("there"), missing.alias("no_key"))
+        cells.append(F.when(_kept(df, s.filters), here))
+    everything = F.struct(F.lit(-1).alias("spec"), none.alias("dim0"), none.alias("dim1"), F.lit(None).cast("double").alias("x"), none.alias("v"), F.lit(False).alias("there"), F.lit(False).alias("no_key"))
+    return df.select(F.explode(F.array(everything, *cells)).alias("e")).where("e IS NOT NULL").select("e.*")
+
+
+def _kept(df: DataFrame, filters: tuple[Filter, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for f in filters if (p := predicate(df, f)) is not None], F.lit(True))
+
+
+def aggregated(df: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Partial results of several specs from one scan and one shuffle; ``of_spec`` and ``coverage_of`` read them.
+
+    Every row counts for each spec that its filters let through, added up by
+    (spec, keys) within its task before it is sent. For medians and distinct
+    counts the value is one more key, so that no task gets all values of a group.
+    """
+    d = _expanded(df, specs).groupBy(*KEYS, "v", "no_key")
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("there").alias("n_there"), F.sum("x").alias("sum"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.stddev_samp("x").alias("std"))
+
+
+def of_spec(parts: DataFrame, specs: list[Spec], k: int) -> DataFrame:
+    """What ``grouped`` gives for the k-th spec, from the results of all."""
+    s = specs[k]
+    names = ["dim0", "dim1"][: len(s.dimensions)]
+    d = parts.where((F.col("spec") == k) & ~F.col("no_key"))
+    if s.aggregation == "median":
+        sizes = d.groupBy(*names).agg(F.sum("n_rows").alias("n_rows"))
+        middle = exact_medians(d.withColumn("v", F.col("v").cast("double")), names, "v", weight="n_rows")
+        return middle.join(sizes, names).select(*names, F.col("m").alias("value"), "n_rows")
+    if s.aggregation == "count_distinct":
+        return d.groupBy(*names).agg(F.count("v").cast("double").alias("value"), F.sum("n_rows").alias("n_rows"))
+    value = {"sum": F.coalesce(F.col("sum"), F.lit(0.0)), "count": F.col("n_there").cast("double")}.get(s.aggregation, F.col(s.aggregation))
+    return d.select(*names, value.alias("value"), "n_rows").where("value IS NOT NULL")
+
+
+def coverage_of(parts: DataFrame, k: int) -> DataFrame:
+    """What ``coverage`` gives for the k-th spec, from the results of all."""
+    own = F.col("spec") == k
+    n = lambda which: F.coalesce(F.sum(F.when(which, F.col("n_rows"))), F.lit(0)).cast("long")
+    return parts.where((F.col("spec") == -1) | own).agg(n(F.col("spec") == -1).alias("n_rows"), n(own).alias("n_filtered"), n(own & F.col("no_key")).alias("n_rows_excluded"))
+
+
 def execute(df: DataFrame, spec: Spec) -> DataFrame:
     """The groups that are shown, in order.
 

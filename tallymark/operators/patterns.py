@@ -54,7 +54,7 @@ def pareto(agg: DataFrame) -> DataFrame:
 
 
 def geographic(agg: DataFrame) -> DataFrame:
-    d = agg.agg(F.count(F.lit(1)).alias("n"), (F.max("value") / F.nullif(F.sum("value"), F.lit(0.0)) * 100).alias("share"), F.max_by("dim0", "value").alias("zone"))
+    d = agg.agg(F.count(F.lit(1)).alias("n"), (F.try_divide(F.max("value"), F.sum("value")) * 100).alias("share"), F.max_by("dim0", "value").alias("zone"))
     return _found(d.where("n >= 2 AND share >= 50"), "geographic_concentration", 0.85, zone=F.col("zone"), share_pct=F.col("share"), n_zones=F.col("n"))
 
 

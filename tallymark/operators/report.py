@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallymark.operators import facts
-from tallymark.operators.execute import grouped
+from tallymark.operators.execute import aggregated, coverage_of, of_spec
 from tallymark.plans.spec import Spec
 
 # The change in per cent from which an indicator is an alert, and from which it is worth a word.
@@ -23,19 +24,51 @@ class PlanResult:
     failed: list[tuple[Spec, str]] = field(default_factory=list)
 
 
+def _shared(df: DataFrame, specs: list[Spec]) -> tuple[DataFrame | None, list[Spec], list[tuple[Spec, Exception]]]:
+    """The specs' results from one scan, the specs that are in it, and those that can't be built; no results if the scan itself fails."""
+    good: list[Spec] = []
+    bad: list[tuple[Spec, Exception]] = []
+    for spec in specs:
+        try:
+            aggregated(df, [spec]).schema  # noqa: B018  analysis finds unknown columns and types
+            good.append(spec)
+        except Exception as e:  # whatever a spec raises is its own failure
+            bad.append((spec, e))
+    if not good:
+        return None, good, bad
+    try:
+        return facts.written(aggregated(df, good)), good, bad
+    except Exception:  # a value of one column: each spec is run by itself, and fails by itself
+        return None, good, bad
+
+
 def run_plan(df: DataFrame, specs: list[Spec], mapping: dict[str, str | None] | None = None) -> PlanResult:
     """Facts of each spec, or why it has none: too few groups, or the error that it raised.
 
-    A spec that fails doesn't stop the others. Each result is one row.
+    All specs are aggregated in one scan, which reads the columns that any of
+    them names; their facts come from that result. A spec that fails doesn't
+    stop the others: one that can't be built is left out of the scan, and if a
+    value makes the scan fail, specs are run one by one. Each result is one row.
     """
     concept = {c: k for k, c in (mapping or {}).items() if c}
     out = PlanResult()
+    why = lambda e: f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
+    parts, good, bad = _shared(df, specs)
+    errors = {id(spec): e for spec, e in bad}
+    place = {id(spec): k for k, spec in enumerate(good)}
     for spec in specs:
-        role = "region" if concept.get(spec.dimensions[0].column) == "region" else concept.get(spec.column)
+        if id(spec) in errors:
+            out.failed.append((spec, why(errors[id(spec)])))
+            continue
+        more = {"role": "region" if concept.get(spec.dimensions[0].column) == "region" else concept.get(spec.column), "order": (mapping or {}).get("order_id"), "customer": (mapping or {}).get("customer_id")}
         try:
-            rows = facts.facts(df, spec, role=role, order=(mapping or {}).get("order_id"), customer=(mapping or {}).get("customer_id")).collect()
-        except Exception as e:  # whatever a spec raises is its own failure
-            out.failed.append((spec, f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"))
+            if parts is None:
+                rows = facts.facts(df, spec, **more).collect()
+            else:
+                k = place[id(spec)]
+                rows = facts.of_aggregate(of_spec(parts, good, k), coverage_of(parts, k), spec, source=df, **more).collect()
+        except Exception as e:  # as above
+            out.failed.append((spec, why(e)))
             continue
         if rows:
             out.done.append((spec, rows[0]))
@@ -45,12 +78,10 @@ def run_plan(df: DataFrame, specs: list[Spec], mapping: dict[str, str | None] |
 
 
 def run_all(df: DataFrame, specs: list[Spec]) -> DataFrame:
-    """(spec, dim0, value, n_rows) of all specs of one dimension as one DataFrame, for a plan that is only read."""
-    parts = [grouped(df, s).select(F.lit(s.title).alias("spec"), "dim0", F.col("value").cast("double").alias("value"), "n_rows") for s in specs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(spec, dim0, value, n_rows) of all specs of one dimension, from one scan, for a plan that is only read."""
+    parts = facts.written(aggregated(df, specs))
+    each = [of_spec(parts, specs, k).select(F.lit(s.title).alias("spec"), "dim0", F.col("value").cast("double").alias("value"), "n_rows") for k, s in enumerate(specs)]
+    return reduce(DataFrame.unionByName, each)
 
 
 def export(result: PlanResult, covered: Row | None = None, unit: str = "") -> str:

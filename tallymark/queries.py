@@ -6,10 +6,13 @@ the order of addition is not fixed.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators import facts, report, stats
-from tallymark.operators.execute import WEEKDAYS, coverage, execute, filtered, grouped, with_totals
+from tallymark.operators.execute import WEEKDAYS, aggregated, coverage, coverage_of, execute, filtered, grouped, with_totals
 from tallymark.plans.spec import Dimension, Filter, Spec, guaranteed
 from tallymark.sources import sales as S
 
@@ -112,6 +115,26 @@ _put("trend_direction", lambda s, d: stats.trend(_monthly(s, d)).select("directi
 _put("pareto_share", lambda s, d: _round(stats.pareto(_by_customer(s, d)), "top20_share_pct", "top1_share_pct", digits=3), f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY value DESC, dim0) AS place, count(*) OVER () AS n, value / sum(value) OVER () AS share FROM {_B}),
 q AS (SELECT *, sum(share) OVER (ORDER BY place) AS cum FROM p)
 SELECT max(n) AS n_groups, round(sum(CASE WHEN place <= greatest(1, floor(n * 0.2)) THEN share END) * 100, 3) AS top20_share_pct, round(max(share) * 100, 3) AS top1_share_pct, count(*) FILTER (cum <= 0.8) + 1 AS n_for_80pct FROM q""")
+# Totals of 0 and below, and groups that are all alike.
+_shares = lambda a: f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY value DESC, dim0) AS place, count(*) OVER () AS n, sum(value) OVER () AS total FROM {a}),
+q AS (SELECT *, sum(value) OVER (ORDER BY place) / nullif(total, 0) AS cum FROM p), r AS (SELECT max(n) AS n_groups, max(total) AS total, sum(CASE WHEN place <= greatest(1, floor(n * 0.2)) THEN value END) AS top, max(value) AS best, count(*) FILTER (cum <= 0.8) + 1 AS k FROM q)
+SELECT n_groups, round(top / nullif(total, 0) * 100, 3) AS top20_share_pct, round(best / nullif(total, 0) * 100, 3) AS top1_share_pct, CASE WHEN total <> 0 THEN k END AS n_for_80pct FROM r"""
+
+
+def _signed(name: str, amount: str, by: str, how: str = "sum") -> None:
+    spec = Spec("x", how, (Dimension(by),))
+    text = f"SELECT {by}, ({amount})::DOUBLE AS x FROM {{t}}"
+    read = lambda s, d: s.sql(text.replace("{t}", "{o}"), o=S.table(s, d, "orders"))
+    _put(name, lambda s, d: _round(stats.pareto(grouped(read(s, d), spec)), "top20_share_pct", "top1_share_pct", digits=3), _shares(f"({_sql(spec, '(' + text.format(t='orders') + ')')})"))
+
+
+_signed("pareto_zero", "o_totalprice - o_totalprice", "o_custkey")
+_signed("pareto_negative", "CASE WHEN o_custkey % 9 = 0 THEN o_totalprice ELSE -o_totalprice END", "o_custkey")
+_signed("pareto_ties", "CASE WHEN o_custkey % 50 = 0 THEN 3 ELSE 1 END", "o_custkey", "max")
+_ZERO = Spec("x", "sum", (PRIORITY,), title="zero")
+_NIL = "SELECT o_orderpriority, (o_totalprice - o_totalprice)::DOUBLE AS x FROM {t}"
+_shape = lambda k: F.get_json_object("facts", f"$.computed_stats.{k}")
+_put("facts_zero", lambda s, d: facts.facts(s.sql(_NIL.replace("{t}", "{o}"), o=S.table(s, d, "orders")), _ZERO).select("n_groups", _shape("basic.total").cast("double").alias("total"), _shape("shape.top20_share_pct").cast("double").alias("top20"), F.get_json_object("facts", "$.coverage.n_rows").cast("long").alias("n_rows")), "SELECT count(*) AS n_groups, sum(value) AS total, NULL::DOUBLE AS top20, sum(n_rows)::BIGINT AS n_rows FROM (SELECT o_orderpriority, sum(x) AS value, count(*) AS n_rows FROM (" + _NIL.format(t="orders") + ") GROUP BY 1)")
 _Z = "(SELECT *, 0.6745 * abs(value - med) / nullif(median(abs(value - med)) OVER (), 0) AS z FROM (SELECT *, median(value) OVER () AS med FROM {x}))"
 _put("anomaly_spike", lambda s, d: _round(stats.spikes(_by_customer(s, d)), "value", "z", digits=3), f"SELECT dim0, round(value, 3) AS value, round(z, 3) AS z FROM {_Z.format(x=_B)} WHERE z > 3.5 AND value > med")
 _put("long_tail", lambda s, d: stats.long_tail(_by_customer(s, d)), f"SELECT n_groups, n_small, n_groups >= 4 AND n_small >= greatest(3, 0.3 * n_groups) AS found FROM (SELECT count(*) AS n_groups, count(*) FILTER (share < 0.01) AS n_small FROM (SELECT value / sum(value) OVER () AS share FROM {_B}))")
@@ -135,6 +158,23 @@ _put("view_count", lambda s, d: S.table(s, d, "lineitem").agg(F.count(F.lit(1)).
 _put("left_join_group_sizes", lambda s, d: grouped(S.table(s, d, "orders"), Spec("o_totalprice", "max", (PRIORITY,))).select("dim0", "value").join(S.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("dim0")).agg(F.count(F.lit(1)).alias("n_rows")), "dim0", "left"), "SELECT o_orderpriority AS dim0, max(o_totalprice) AS value, count(*) AS n_rows FROM orders GROUP BY 1")
 _put("perimeter", lambda s, d: _round(report.perimeter(S.table(s, d, "orders"), "o_totalprice", "o_orderdate").drop("n_without_amount"), "amount", digits=2), "SELECT count(*) AS n_rows, round(sum(o_totalprice), 2) AS amount, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, date_diff('day', min(o_orderdate), max(o_orderdate))::BIGINT AS days FROM orders")
 _PLAN = guaranteed({"order_date": "o_orderdate", "revenue": "l_extendedprice", "product_category": "p_type", "region": "n_name", "customer_id": "o_custkey"})
-_put("run_plan", lambda s, d: _round(report.run_all(S.sales(s, d), _PLAN), "value"), " UNION ALL ".join(f"SELECT '{x.title}' AS spec, dim0, value, n_rows FROM ({_sql(x, S.SQL)})" for x in _PLAN))
+_PLAN_COLUMNS = tuple(sorted({c for x in _PLAN for c in (x.column, *[y.column for y in (*x.dimensions, *x.filters)])}))
+_put("run_plan", lambda s, d: _round(report.run_all(S.sales(s, d, _PLAN_COLUMNS), _PLAN), "value"), " UNION ALL ".join(f"SELECT '{x.title}' AS spec, dim0, value, n_rows FROM ({_sql(x, S.SQL)})" for x in _PLAN))
+# Every kind of aggregate, filters and a second dimension in one scan.
+_KINDS = (
+    *[Spec("o_totalprice", how, (MONTH,), title=how) for how in ("sum", "mean", "median", "count", "min", "max", "std")], Spec("o_custkey", "count_distinct", (PRIORITY,), title="customers"),
+    Spec("o_totalprice", "median", (PRIORITY,), (Filter("o_orderstatus", "eq", "F"),), title="median of F"), Spec("o_totalprice", "sum", (PRIORITY,), (Filter("o_totalprice", "gt", 100_000),), title="large"),
+)
+_WHERE = {"median of F": "o_orderstatus = 'F'", "large": "o_totalprice > 100000"}
+_put("run_plan_kinds", lambda s, d: _round(report.run_all(S.table(s, d, "orders"), list(_KINDS)), "value"), " UNION ALL ".join(f"SELECT '{x.title}' AS spec, dim0, value, n_rows FROM ({_sql(x, 'orders', _WHERE.get(x.title, 'true'))})" for x in _KINDS))
+
+
+def _plan_coverage(s, d):
+    """Coverage of each spec, from the one scan of all."""
+    parts = facts.written(aggregated(S.table(s, d, "orders"), list(_KINDS)))
+    return reduce(DataFrame.unionByName, [coverage_of(parts, k).withColumn("spec", F.lit(x.title)) for k, x in enumerate(_KINDS)])
+
+
+_put("run_plan_coverage", _plan_coverage, " UNION ALL ".join(f"SELECT '{x.title}' AS spec, count(*) AS n_rows, count(*) FILTER ({_WHERE.get(x.title, 'true')}) AS n_filtered, count(*) FILTER (({_WHERE.get(x.title, 'true')}) AND {x.dimensions[0].column} IS NULL) AS n_rows_excluded FROM orders" for x in _KINDS))
 _put("orders_per_customer", lambda s, d: S.table(s, d, "orders").agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.round(F.count_distinct("o_orderkey") / F.count_distinct("o_custkey"), 6).alias("ratio")), "SELECT count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers, round(count(DISTINCT o_orderkey) / count(DISTINCT o_custkey), 6) AS ratio FROM orders")
 _put("applied_filters", lambda s, d: filtered(S.table(s, d, "orders"), (Filter("o_totalprice", "gt", 1000), Filter("absent", "eq", 1)))[0].agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000")
