@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tallymark.operators import patterns, stats
 from tallymark.operators.execute import coverage, grouped, ordered
 from tallymark.plans.spec import Spec
-from tallymark.sources.scan import scratch_folder
+from tallymark.sources.scan import written
 
 #: Chart kinds that are drawn as such; the others are bars.
 LINES, SERIES = ("line", "area"), ("grouped_bar", "stacked_bar")
@@ -44,13 +44,6 @@ def facts(df: DataFrame, spec: Spec, *, role: str | None = None, order: str | No
     return of_aggregate(written(grouped(df, spec)), coverage(df, spec), spec, role=role, source=df, order=order, customer=customer)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read again."""
-    path = f"{scratch_folder(df.sparkSession)}/facts"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded(shown: DataFrame, temporal: bool) -> DataFrame:
     """Points of two dimensions, down to ``SHOWN`` groups of each: the largest by total, on a time axis the last.
 

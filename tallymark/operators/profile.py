@@ -1,18 +1,19 @@
-"""Profiles of columns over all rows: sums of one pass, then decisions on the driver."""
+"""Profiles of columns over all rows: sums of one pass, distinct values of another, then decisions on the driver."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.text import DATE_FORMATS, comma_decision, comma_evidence, day_first_evidence, day_order, is_null_token, numeric_text, parsed_date, ranked_formats, trimmed
-from tallymark.operators.stats import exact_median
+from tallymark.operators.stats import exact_median, exact_medians
+from tallymark.sources.scan import written
 
 # Words of yes and no; words in names of identifiers, dates, measures, and measures that aren't added up.
 BOOLEAN_WORDS = ("oui", "non", "yes", "no", "true", "false", "vrai", "faux", "1", "0", "y", "n", "o")
@@ -179,54 +180,94 @@ def _text_type(name: str, n: int, s) -> tuple[str, dict]:
     return kind, found | {"n_read": n_date if dated else n_number}
 
 
+#: Longer values are counted by their hashes alone; they are read again only if a category has them.
+LONG_VALUE = 256
+
+
+def value_counts(df: DataFrame, cells: list[tuple[Column, Column | None, Column | None]]) -> DataFrame:
+    """(c, v, long, x, m, n): the distinct values of many columns with their rows, from one scan and one shuffle.
+
+    ``cells`` has for each column its present value as text (null if missing),
+    as a number and as a moment. A row becomes one small row a column; equal
+    ones are added up in their task before they are sent. A value of over
+    ``LONG_VALUE`` letters is told apart by 128 bits of hash and not carried.
+    """
+    none, never = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
+    one = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("c"), v.alias("v"), (none if x is None else x).alias("x"), (never if m is None else m).alias("m"))) for k, (v, x, m) in enumerate(cells)]
+    d = df.select(F.explode(F.array_compact(F.array(*one))).alias("e")).select("e.*")
+    is_long = F.length("v") > LONG_VALUE
+    d = d.select("c", F.when(~is_long, F.col("v")).alias("v"), F.when(is_long, F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))).alias("long"), "x", "m")
+    return d.groupBy("c", "v", "long").agg(F.max("x").alias("x"), F.max("m").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
 def table(df: DataFrame) -> list[ColumnProfile]:
     """The profiles of all columns; nothing is sampled.
 
-    One pass gives the sums of all columns, another the numbers that text
-    columns hold; distinct values, medians and the most frequent values are
-    counted column by column in one job each. Only these come to the driver.
+    The table is read twice: one pass gives the sums that tell types, another
+    counts the distinct values of all columns, which are written to the shared
+    folder. All else comes from these. Only profiles come to the driver.
     """
+    return profiled(df)[0]
+
+
+def profiled(df: DataFrame) -> tuple[list[ColumnProfile], DataFrame | None]:
+    """``table`` and the distinct values behind it, whose ``c`` is the place of the column's profile; none without columns."""
     fields = [f for f in df.schema if _native(f.dataType) or isinstance(f.dataType, T.StringType)]
     if not fields:
-        return []
+        return [], None
     native = {f.name: _native(f.dataType) for f in fields}
+    float_ = {f.name for f in fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     col = lambda c: F.col(f"`{c}`")
     present = {c: col(c) if k else F.when(~is_null_token(col(c)), col(c)) for c, k in native.items()}
 
-    def sums(of: dict[str, dict[str, Column]]) -> dict[str, dict]:
-        r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(*[x.alias(k) for k, x in s.items()]).alias(f"s{i}") for i, s in enumerate(of.values())]).first()
-        return {c: {"n_rows": r["n"]} | r[f"s{i}"].asDict() for i, c in enumerate(of)}
-
     first = {c: {"n": F.count(v)} for c, v in present.items()}
     for c, k in native.items():
-        first[c] |= _sums_of_number(col(c).cast("double")) if k == "numeric" else {"first": F.min(col(c)), "last": F.max(col(c))} if k == "datetime" else {} if k else _sums_of_text(present[c])
-    got = sums(first)
+        first[c] |= {"first": F.min(col(c)), "last": F.max(col(c))} if k == "datetime" else {} if k else _sums_of_text(present[c])
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(*[x.alias(k) for k, x in s.items()]).alias(f"s{i}") for i, s in enumerate(first.values())]).first()
+    got = {c: {"n_rows": r["n"]} | r[f"s{i}"].asDict() for i, c in enumerate(first)}
     kinds = {c: (k, {}) if k else _text_type(c, got[c]["n"], got[c]) for c, k in native.items()}
     draft = {c: ColumnProfile(c, kind, "", got[c]["n_rows"], got[c]["n"], 0, native[c] is not None, **found) for c, (kind, found) in kinds.items()}
-    again = {c: _sums_of_number(p.number()) if p.type == "numeric" else {"first": F.min(p.moment()), "last": F.max(p.moment())} for c, p in draft.items() if not p.native and p.type in ("numeric", "datetime")}
-    if again:
-        for c, s in sums(again).items():
-            got[c] |= {k: v for k, v in s.items() if k != "n_read"}
-    distinct = reduce(DataFrame.unionByName, [df.agg(F.lit(c).alias("c"), F.count_distinct(v).alias("k")) for c, v in present.items()])
-    n_unique = {r.c: r.k for r in distinct.collect()}
-    numbers = [c for c, p in draft.items() if p.type == "numeric" and p.n_present]
-    medians = df.sparkSession.range(1).select(*[exact_median(df.select(draft[c].number().alias("x")), "x").scalar().alias(f"m{i}") for i, c in enumerate(numbers)]).first() if numbers else []
-    median = dict(zip(numbers, medians, strict=True))
+
+    def text(c: str) -> Column:
+        if c in float_:
+            return (col(c) + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+        return F.unix_micros(col(c)).cast("string") if isinstance(df.schema[c].dataType, T.TimestampType) else present[c].cast("string")
+
+    # A value's text decides its number and moment, so these go with it.
+    values = written(value_counts(df, [(text(c), p.number() if p.type == "numeric" else None, p.moment() if p.type == "datetime" and not p.native else None) for c, p in draft.items()]))
+    x, n = F.col("x"), F.col("n")
+    rows = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0))
+    sums = values.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n_unique"), rows(x.isNotNull()).alias("n_read"), F.min(x).alias("min"), F.max(x).alias("max"), rows(x < 0).alias("n_negative"), rows(x == 0).alias("n_zero"),
+        rows(x % 1 == 0).alias("n_whole"), rows(x.between(0, 1)).alias("n_unit"), F.min("m").alias("first"), F.max("m").alias("last"), F.max(F.col("long").isNotNull()).alias("has_long"),
+    )
+    names = list(draft)
+    nothing = {k: None if k in ("min", "max", "first", "last") else 0 for k in sums.columns}
+    of = {c: dict(nothing) for c in names} | {names[s.c]: s.asDict() for s in sums.collect()}
+    numbers = [k for k, c in enumerate(names) if draft[c].type == "numeric" and draft[c].n_present]
+    medians = exact_medians(values.where(F.col("c").isin(numbers)), ["c"], "x", weight="n").collect() if numbers else []
+    median = {names[m.c]: m.m for m in medians}
     out = []
     for c, p in draft.items():
-        s, n = got[c], max(1, p.n_present)
-        decimals = p.type == "numeric" and s.get("n_read", p.n_read) - s["n_whole"] > 0.05 * n
-        r = role(c, p.type, p.n, p.n_present, n_unique[c], decimals)
-        more = {k: s[k] for k in ("min", "max", "n_negative", "n_zero", "first", "last") if s.get(k) is not None}
-        more |= {"n_read": s["n_read"] if p.native and p.type == "numeric" else p.n_read or p.n_present, "median": median.get(c), "whole_share": s["n_whole"] / n if p.type == "numeric" else 0.0}
-        more["additive"] = not hinted(c, NON_ADDITIVE_HINTS) and s["n_unit"] <= 0.95 * n if r == "measure" else None
-        out.append(ColumnProfile(**(vars(p) | {"role": r, "n_unique": n_unique[c]} | more)))
-    named = [p.name for p in out if p.role in ("categorical", "boolean_flag")]
+        s, k = of[c] | {x: got[c][x] for x in ("first", "last") if x in got[c]}, max(1, p.n_present)
+        numeric_ = p.type == "numeric"
+        decimals = numeric_ and s["n_read"] - s["n_whole"] > 0.05 * k
+        r = role(c, p.type, p.n, p.n_present, s["n_unique"], decimals)
+        more = {x: s[x] for x in ("min", "max", "first", "last") if s[x] is not None}
+        more |= {"n_negative": s["n_negative"], "n_zero": s["n_zero"]} if numeric_ else {}
+        more |= {"n_read": s["n_read"] if p.native and numeric_ else p.n_read or p.n_present, "median": median.get(c), "whole_share": s["n_whole"] / k if numeric_ else 0.0}
+        more["additive"] = not hinted(c, NON_ADDITIVE_HINTS) and s["n_unit"] <= 0.95 * k if r == "measure" else None
+        out.append(ColumnProfile(**(vars(p) | {"role": r, "n_unique": s["n_unique"]} | more)))
+    named = [k for k, p in enumerate(out) if p.role in ("categorical", "boolean_flag")]
     if not named:
-        return out
-    tops = reduce(DataFrame.unionByName, [top_values(df.select(present[c].cast("string").alias("v")), "v").withColumn("c", F.lit(c)) for c in named]).collect()
-    by_column = {c: tuple(r.value for r in sorted((r for r in tops if r.c == c), key=lambda r: (-r.n, r.value))) for c in named}
-    return [ColumnProfile(**(vars(p) | {"top": by_column.get(p.name, ())})) for p in out]
+        return out, values
+    place = F.row_number().over(W.partitionBy("c").orderBy(F.desc("n"), "v"))
+    tops = values.where(F.col("c").isin(named) & F.col("v").isNotNull()).withColumn("place", place).where("place <= 10").select("c", "v", "n").collect()
+    by_column = {k: tuple(r.v for r in sorted((r for r in tops if r.c == k), key=lambda r: (-r.n, r.v))) for k in named}
+    for k in named:
+        if of[names[k]]["has_long"]:  # a category of long texts: they are read
+            by_column[k] = tuple(r.value for r in top_values(df.select(present[names[k]].cast("string").alias("v")), "v").collect())
+    return [ColumnProfile(**(vars(p) | {"top": by_column.get(k, ())})) for k, p in enumerate(out)], values
 
 
 def roles(df: DataFrame) -> dict[str, str]:

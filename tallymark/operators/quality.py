@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from tallymark.functions.text import has_test_word, is_cancelled, is_cancelled_exactly, is_null_token, is_total, strip_accents, trimmed
 from tallymark.operators import profile
 from tallymark.operators.profile import ColumnProfile
-from tallymark.operators.stats import exact_median, with_robust_z
+from tallymark.operators.stats import exact_median, exact_medians, with_robust_z
 
 # Severity, policy and default of issues; what they take from the score; which of them touch which share of it.
 RULES = {
@@ -48,6 +49,19 @@ class Issue:
     columns: tuple[str, ...]
     n_affected: int
     default: str | None = None
+    #: What was found in particular, by name; row ids of the first rows that show it.
+    details: dict = field(default_factory=dict, compare=False)
+    samples: tuple = ()
+
+    @property
+    def options(self) -> tuple[str, ...]:
+        """What a user may decide, the default first; none where nothing is asked."""
+        from tallymark.operators.clean import CHOICES, FIRST_KEEP
+
+        if self.id not in CHOICES:
+            return ()
+        every = (*CHOICES[self.id], FIRST_KEEP.get(self.id, "keep"))
+        return tuple(sorted(every, key=lambda x: x != self.default))
 
 
 def counts(df: DataFrame, **conditions: Column) -> DataFrame:
@@ -79,23 +93,32 @@ def row_hash(columns: list[str]) -> Column:
     return F.struct(F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells))
 
 
-def repeats(df: DataFrame, keys: Column | list[str], row_id: str) -> Column:
-    """Place of a row among those with equal keys, by ``row_id``."""
-    by = [F.col(f"`{k}`") for k in keys] if isinstance(keys, list) else [keys]
-    return F.row_number().over(W.partitionBy(*by).orderBy(F.col(f"`{row_id}`")))
+def firsts(df: DataFrame, keys: Column | list[str], row_id: str) -> DataFrame:
+    """(row_id) of the first row of each group of equal keys; nulls are equal. Groups are added up in their tasks, so none is too large."""
+    by = [F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)] if isinstance(keys, list) else [keys.alias("__k0")]
+    d = df.select(*by, F.col(f"`{row_id}`").alias("__id"))
+    return d.groupBy(*[f"__k{n}" for n in range(len(by))]).agg(F.min("__id").alias(row_id)).select(F.col(f"`{row_id}`"))
+
+
+def one_of_each(df: DataFrame, keys: Column | list[str], row_id: str) -> DataFrame:
+    """The first row of each group of equal keys. ``row_id`` numbers the rows: it is never null or repeated, so this join has no hot key."""
+    return df.join(firsts(df, keys, row_id), row_id, "left_semi").select(*[f"`{c}`" for c in df.columns])
 
 
 def exact_duplicates(df: DataFrame, row_id: str) -> DataFrame:
     """Rows equal in all columns but ``row_id`` to a row before them; nulls are equal."""
     rest = [c for c in df.columns if c != row_id]
-    return df.withColumn("__n", repeats(df, row_hash(rest), row_id)).where("__n > 1").drop("__n")
+    return df.join(firsts(df, row_hash(rest), row_id), row_id, "left_anti").select(*[f"`{c}`" for c in df.columns])
 
 
 def near_duplicates(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    """Rows equal in ``keys`` to a row before them, but not in all columns."""
+    """Rows equal in ``keys`` to a row before them, but not in all columns; of copies of a row the first one counts."""
     rest = [c for c in df.columns if c != row_id]
-    d = df.withColumn("__k", repeats(df, keys, row_id)).withColumn("__a", repeats(df, row_hash(rest), row_id))
-    return d.where("__k > 1 AND __a = 1").drop("__k", "__a")
+    by = [f"__k{n}" for n in range(len(keys))]
+    d = df.select(*[F.col(f"`{k}`").alias(b) for k, b in zip(keys, by, strict=True)], row_hash(rest).alias("__h"), F.col(f"`{row_id}`").alias("__id"))
+    each = d.groupBy(*by, "__h").agg(F.min("__id").alias("__id"))
+    found = each.select("__id").join(each.groupBy(*by).agg(F.min("__id").alias("__id")).select("__id"), "__id", "left_anti")
+    return df.join(found.withColumnRenamed("__id", row_id), row_id, "left_semi").select(*[f"`{c}`" for c in df.columns])
 
 
 def multiline(df: DataFrame, order: str) -> DataFrame:
@@ -103,12 +126,32 @@ def multiline(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy(order).agg(F.count(F.lit(1)).alias("n_lines")).where("n_lines > 1")
 
 
+def spellings(df: DataFrame, c: str) -> DataFrame:
+    """(c, spelling, n) of a column's values; ``c`` is 0."""
+    return df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("spelling")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("c"), "spelling", "n")
+
+
+def grouped_spellings(d: DataFrame, key) -> DataFrame:
+    """(c, spelling, n, k, best) of spellings that share ``key(spelling)`` with another one of their column, and the most frequent of each group."""
+    d = d.withColumn("k", key(F.col("spelling")))
+    group = W.partitionBy("c", "k")
+    d = d.withColumn("m", F.count(F.lit(1)).over(group)).withColumn("best", F.first("spelling").over(group.orderBy(F.desc("n"), "spelling")))
+    return d.where("m > 1").drop("m")
+
+
+def _accentless(c: Column) -> Column:
+    return strip_accents(F.lower(c))
+
+
+def by_accents(d: DataFrame) -> DataFrame:
+    """Groups without accents and case that case alone doesn't explain."""
+    d = grouped_spellings(d, _accentless)
+    return d.withColumn("forms", F.collect_set(F.lower("spelling")).over(W.partitionBy("c", "k"))).where(F.size("forms") > 1).drop("forms")
+
+
 def variants(df: DataFrame, c: str, key) -> DataFrame:
     """Spellings that share ``key(spelling)`` with another one, and the most frequent of each group."""
-    d = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("spelling")).agg(F.count(F.lit(1)).alias("n")).withColumn("k", key(F.col("spelling")))
-    group = W.partitionBy("k")
-    d = d.withColumn("m", F.count(F.lit(1)).over(group)).withColumn("best", F.first("spelling").over(group.orderBy(F.desc("n"), "spelling")))
-    return d.where("m > 1").select("spelling", "n", "best")
+    return grouped_spellings(spellings(df, c), key).select("spelling", "n", "best")
 
 
 def case_variants(df: DataFrame, c: str) -> DataFrame:
@@ -117,9 +160,7 @@ def case_variants(df: DataFrame, c: str) -> DataFrame:
 
 def accent_variants(df: DataFrame, c: str) -> DataFrame:
     """Spellings that are equal without accents and case, in groups that case alone doesn't explain."""
-    d = variants(df, c, lambda x: strip_accents(F.lower(x)))
-    lower = F.collect_set(F.lower("spelling")).over(W.partitionBy(strip_accents(F.lower("spelling"))))
-    return d.withColumn("forms", lower).where(F.size("forms") > 1).drop("forms")
+    return by_accents(spellings(df, c)).select("spelling", "n", "best")
 
 
 def _one_word_off(a: Column, b: Column) -> Column:
@@ -136,21 +177,50 @@ def near_labels(df: DataFrame, c: str, most: int = 200) -> DataFrame:
     case, and differ within words, not by whole ones. A column with more than
     ``most`` labels, with mostly numbers, or of short values (under six
     letters for half of them) gives no pairs: its values aren't categories.
-    The labels, a bounded list, are compared in one array.
     """
-    v = df.select(trimmed(F.col(f"`{c}`").cast("string")).alias("a")).where("a IS NOT NULL").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    bare = F.regexp_replace("a", r"[\s.,%-]", "")
-    d = v.orderBy(F.desc("n"), "a").limit(most + 1).agg(
-        F.sort_array(F.collect_list(F.struct("a", "n"))).alias("all"), F.sum("n").alias("rows"), F.sum(F.when(bare.rlike(r"^\d+$"), F.col("n")).otherwise(0)).alias("numbers"),
-        F.sort_array(F.collect_list(F.struct(F.length("a").alias("size"), "n"))).alias("sizes"),
-    )
-    upto = F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + F.when(x["size"] < 6, x["n"]).otherwise(0))
-    d = d.where(F.size("all").between(2, most) & (2 * F.col("numbers") <= F.col("rows")) & (2 * upto <= F.col("rows")))
-    d = d.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(most))).alias("y")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-    d = d.withColumn("distance", F.levenshtein(F.lower("a"), F.lower("b"), 2)).where((F.col("distance") >= 1) & (F.abs(F.length("a") - F.length("b")) <= 2) & _one_word_off(F.col("a"), F.col("b")))
+    v = df.select(trimmed(F.col(f"`{c}`").cast("string")).alias("spelling")).where("spelling IS NOT NULL").groupBy("spelling").agg(F.count(F.lit(1)).alias("n"))
+    return label_pairs(v.select(F.lit(0).alias("c"), "spelling", "n"), most).drop("c")
+
+
+#: Labels of more letters than this are compared by the parts that an edit leaves whole, as they have too many deletions.
+LONG_LABEL = 40
+
+
+def _deletions(s: Column) -> Column:
+    """A text and what is left of it without any one of its letters."""
+    each = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    return F.array_union(F.array(s), F.when(F.length(s) > 0, each).otherwise(F.array()))
+
+
+def _neighbour_keys(s: Column) -> Column:
+    """Texts that two labels share if they are two edits apart or less.
+
+    Short labels: what is left without up to two letters, one under eight. Long ones: a third of
+    the label and where it begins, give or take two; two edits leave one of
+    three thirds whole.
+    """
+    n = F.length(s)
+    few = F.when(n < 8, _deletions(s)).otherwise(F.flatten(F.transform(_deletions(s), _deletions)))
+    third = F.floor(n / 3).cast("int")
+    # A third is looked for at all lengths that the other label's thirds may have.
+    cut = lambda k, size, off: F.concat_ws(":", F.lit("#"), size.cast("string"), F.lit(k).cast("string"), F.substring(s, (F.lit(k) * third + off + 1).cast("int"), size))
+    parts = [cut(k, third + d, F.lit(off)) for k in range(3) for d in (-1, 0, 1) for off in range(-4, 5)]
+    return F.array_distinct(F.when(n <= LONG_LABEL - 2, few).when(n > LONG_LABEL + 2, F.array(*parts)).otherwise(F.concat(few, F.array(*parts))))
+
+
+def label_pairs(labels: DataFrame, most: int) -> DataFrame:
+    """``near_labels`` for many columns at once: (c, spelling, n) are their labels. Labels meet by what they share, not pair by pair."""
+    bare = F.regexp_replace("spelling", r"[\s.,%-]", "")
+    sums = labels.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"), F.sum(F.when(bare.rlike(r"^\d+$"), F.col("n")).otherwise(0)).alias("numbers"), F.sum(F.when(F.length("spelling") < 6, F.col("n")).otherwise(0)).alias("short"))
+    fit = sums.where(F.col("k").between(2, most) & (2 * F.col("numbers") <= F.col("rows")) & (2 * F.col("short") <= F.col("rows"))).select("c")  # a row a column
+    d = labels.join(fit, "c", "left_semi").withColumn("low", F.lower("spelling"))
+    keyed = d.select("c", "spelling", "n", "low", F.explode(_neighbour_keys(F.col("low"))).alias("key"))
+    x, y = (keyed.select("c", "key", *[F.col(k).alias(f"{k}_{t}") for k in ("spelling", "n", "low")]) for t in "ab")
+    pairs = x.join(y, ["c", "key"]).where("spelling_a < spelling_b").drop("key").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("low_a", "low_b", 2)).withColumnsRenamed({"spelling_a": "a", "spelling_b": "b"})
+    pairs = pairs.where(((F.col("distance") == 1) | (F.col("distance") == 2) & (F.least(F.length("a"), F.length("b")) >= 8)) & _one_word_off(F.col("a"), F.col("b")))
     first = F.col("n_a") >= F.col("n_b")
-    d = d.where((F.col("distance") <= 1) | (F.least(F.length("a"), F.length("b")) >= 8))
-    return d.select("a", "b", "distance", F.when(first, F.col("a")).otherwise(F.col("b")).alias("probable"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("variant"), F.least("n_a", "n_b").alias("n"))
+    return pairs.select("c", "a", "b", "distance", F.when(first, F.col("a")).otherwise(F.col("b")).alias("probable"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("variant"), F.least("n_a", "n_b").alias("n"))
 
 
 def extreme_outliers(df: DataFrame, row_id: str, c: str) -> DataFrame:
@@ -160,14 +230,16 @@ def extreme_outliers(df: DataFrame, row_id: str, c: str) -> DataFrame:
 
 def amount_mismatch(df: DataFrame, revenue: str, quantity: str, price: str, discount: str) -> DataFrame:
     """Rows off by over 2 % from quantity * price, with and without the discount; the formula with more rows in order counts."""
-    def off(x: Column) -> Column:
-        return F.abs(F.col(revenue) - x) / F.nullif(F.abs(x), F.lit(0.0)) > 0.02
-
+    off = lambda x: _off(F.col(revenue), x)
     plain = F.col(quantity) * F.col(price)
     d = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(off(plain)).alias("n_plain"), F.count_if(off(plain * (1 - F.col(discount)))).alias("n_discounted"))
     return d.withColumn("n_off", F.least("n_plain", "n_discounted"))
 
 
+def _off(amount: Column, expected: Column) -> Column:
+    return F.abs(amount - expected) / F.nullif(F.abs(expected), F.lit(0.0)) > 0.02
+
+
 def order_totals(df: DataFrame, order: str, total: str, line: str) -> DataFrame:
     """Orders whose total, the smallest that their rows give, is over 2 % off the sum of their lines."""
     d = df.groupBy(order).agg(F.min(total).alias("total"), F.sum(line).alias("lines"), F.count(F.lit(1)).alias("n"))
@@ -196,9 +268,17 @@ def dominant_value(df: DataFrame, c: str, share: float = 0.05) -> DataFrame:
 
 
 def implied_price_outliers(df: DataFrame, revenue: str, quantity: str) -> DataFrame:
-    """Rows with a price, and those whose revenue by quantity lies far from the median, by deviation and by a factor of 50."""
+    """Rows with a price, those whose revenue by quantity lies far from the median, by deviation and by a factor of 50."""
+    return _implied_prices(df, revenue, quantity).select("n", "n_off")
+
+
+def _implied_prices(df: DataFrame, revenue: str, quantity: str) -> DataFrame:
     d = with_robust_z(df.select((F.col(revenue) / F.nullif(F.col(quantity), F.lit(0))).alias("value")).where("value > 0"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("z") > 15) & ~F.col("value").between(F.col("med") / 50, F.col("med") * 50)).alias("n_off"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(_far_price(F.col("value"), F.col("med"), F.col("mad"))).alias("n_off"), F.max("med").alias("med"), F.max("mad").alias("mad"))
+
+
+def _far_price(value: Column, med: Column, mad: Column) -> Column:
+    return (F.lit(0.6745) * F.abs(value - med) / F.nullif(mad, F.lit(0.0)) > 15) & ~value.between(med / 50, med * 50)
 
 
 def delivery_delays(df: DataFrame, ordered: str | Column, delivered: str | Column, most: int = 365) -> DataFrame:
@@ -253,24 +333,67 @@ def issues_frame(spark: SparkSession, issues: list[Issue]) -> DataFrame:
     return spark.createDataFrame([(i.id, i.severity, i.policy, ",".join(i.columns), i.n_affected) for i in issues], "id string, severity string, policy string, columns string, n_affected long")
 
 
-def diagnose(df: DataFrame, mapping: dict[str, str | None], row_id: str, as_of: str, columns: list[ColumnProfile] | None = None, notes: tuple[str, ...] = ()) -> list[Issue]:
-    """All issues of a table, by severity and share.
+def details_frame(spark: SparkSession, issues: list[Issue]) -> DataFrame:
+    """(id, columns, options, details, samples): what can be decided, what was found in particular (JSON), and the first rows that show it."""
+    rows = [(i.id, ",".join(i.columns), list(i.options), json.dumps(i.details, ensure_ascii=False, default=str, sort_keys=True), [str(x) for x in i.samples]) for i in issues]
+    return spark.createDataFrame(rows, "id string, columns string, options array<string>, details string, samples array<string>")
+
+
+#: Rows of an issue, groups of spellings and pairs of labels that are shown.
+SHOWN_ROWS, SHOWN_GROUPS, SHOWN_PAIRS = 10, 10, 15
+
+
+def first_rows(df: DataFrame, row_id: str, conditions: dict[int, Column], most: int = SHOWN_ROWS) -> dict[int, tuple]:
+    """The smallest row ids that meet each condition, from one pass; a task sends at most ``most`` of each."""
+    if not conditions:
+        return {}
+    hits = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()]))
+    d = df.select(F.col(f"`{row_id}`").alias("id"), F.explode(hits).alias("k")).where("id IS NOT NULL")
+    d = d.withColumn("place", F.row_number().over(W.partitionBy("k").orderBy("id"))).where(F.col("place") <= most)
+    out: dict[int, list] = {}
+    for r in d.collect():
+        out.setdefault(r.k, []).append(r.id)
+    return {k: tuple(sorted(x)) for k, x in out.items()}
+
+
+def _first_ids(df: DataFrame, row_id: str) -> tuple:
+    return tuple(r[0] for r in df.select(F.col(f"`{row_id}`")).orderBy(F.col(f"`{row_id}`")).limit(SHOWN_ROWS).collect())
+
+
+class _Found:
+    """Issues as they are found, each with the condition that its rows meet, if rows show it."""
+
+    def __init__(self):
+        self.issues: list[Issue] = []
+        self.rows: dict[int, Column] = {}
+
+    def __call__(self, id_: str, k: int, *names: str, rows: Column | None = None, samples: tuple = (), **details) -> None:
+        severity, policy, default = RULES[id_]
+        if rows is not None:
+            self.rows[len(self.issues)] = rows
+        self.issues.append(Issue(id_, severity, policy, names, int(k), default, {x: v for x, v in details.items() if v is not None}, samples))
+
+
+def diagnose(df: DataFrame, mapping: dict[str, str | None], row_id: str, as_of: str, columns: list[ColumnProfile] | None = None, notes: tuple[str, ...] = (), values: DataFrame | None = None) -> list[Issue]:
+    """All issues of a table, by severity and share, with details and the first rows that show them.
 
     ``mapping`` names the columns of concepts, ``row_id`` a column that only
     numbers rows, ``notes`` ids that the scan of the file left. Text columns
-    count as numbers and dates where their profile says so. Plain counts come
-    from one pass; groups of spellings, outliers and order sums take one each.
+    count as numbers and dates where their profile says so. ``columns`` and
+    ``values`` are what ``profile.profiled`` gives, if it has been run. Plain
+    counts come from one pass, spellings and outliers from the distinct values
+    that profiles are made from; copies, order sums and amounts take one pass
+    each, and one more finds the rows that are shown.
     """
-    columns = [p for p in (columns or profile.table(df)) if p.name != row_id]
+    if columns is None:
+        columns, values = profile.profiled(df)
+    place = {p.name: k for k, p in enumerate(columns)}
+    columns = [p for p in columns if p.name != row_id]
     by_name = {p.name: p for p in columns}
     mapped = {k: by_name[c] for k, c in mapping.items() if c in by_name}
-    n = df.count()
-    out: list[Issue] = []
-
-    def found(id_: str, k: int, *names: str) -> None:
-        severity, policy, default = RULES[id_]
-        out.append(Issue(id_, severity, policy, names, int(k), default))
-
+    n = max((p.n for p in columns), default=None)
+    n = df.count() if n is None else n
+    found = _Found()
     for note in notes:
         found(note, 0)
     if n < 30:
@@ -280,21 +403,24 @@ def diagnose(df: DataFrame, mapping: dict[str, str | None], row_id: str, as_of:
     if not any(p.role == "temporal" for p in columns):
         found("B03_no_date", 0)
     _from_profiles(columns, mapped, n, found)
-    tests, rules = _tests(df, columns, mapped, as_of)
-    r = counts(df, **tests).first() if tests else {}
-    for key, (id_, names, most, share) in rules.items():
+    tests, rules, sums = _tests(df, columns, mapped, as_of)
+    r = df.agg(*[F.count_if(c).alias(k) for k, c in tests.items()], *[x.alias(k) for k, x in sums.items()]).first() if tests else {}
+    for key, (id_, names, most, share, about) in rules.items():
         if r[key] and r[key] > most * n and r[key] >= share * n:
-            found(id_, r[key], *names)
-    _spellings(df, columns, found)
-    _outliers(df, columns, found)
+            found(id_, r[key], *names, rows=tests[key], **{k: r[x] for k, x in about.items()})
+    _spellings(df, columns, place, values, found)
+    _outliers(df, columns, place, values, found)
     _repeated(df, mapped, row_id, found)
     if n:
         _coherence(df, mapped, n, found)
-    return sorted(out, key=lambda i: (SEVERITIES.index(i.severity), -i.n_affected / max(1, n), i.id, i.columns))
+    shown = first_rows(df, row_id, found.rows)
+    issues = [replace(i, samples=shown[k]) if k in shown else i for k, i in enumerate(found.issues)]
+    return sorted(issues, key=lambda i: (SEVERITIES.index(i.severity), -i.n_affected / max(1, n), i.id, i.columns))
 
 
 def _from_profiles(columns: list[ColumnProfile], mapped: dict[str, ColumnProfile], n: int, found) -> None:
     critical = {mapped[k].name for k in ("revenue", "order_date", "order_id") if k in mapped}
+    missing_in = lambda p: F.col(f"`{p.name}`").isNull() if p.native else F.coalesce(is_null_token(F.col(f"`{p.name}`")), F.lit(True))
     for p in columns:
         if p.role == "empty":
             found("S05_empty_columns", n, p.name)
@@ -302,11 +428,11 @@ def _from_profiles(columns: list[ColumnProfile], mapped: dict[str, ColumnProfile
             found("S06_constant_columns", n, p.name)
         elif missing := p.n - p.n_present:
             if p.name in critical:
-                found("N01_critical_missing", missing, p.name)
+                found("N01_critical_missing", missing, p.name, rows=missing_in(p))
             elif p.null_rate > 0.05:
-                found("N02_high_null_rate" if p.null_rate > 0.5 else "N03_moderate_missing", missing, p.name)
+                found("N02_high_null_rate" if p.null_rate > 0.5 else "N03_moderate_missing", missing, p.name, rows=missing_in(p), null_pct=round(100 * p.null_rate, 1))
         if p.role in ("categorical", "boolean_flag") and p.n_unique > 200:
-            found("C06_high_cardinality", n, p.name)
+            found("C06_high_cardinality", n, p.name, n_values=p.n_unique)
         if p.role == "measure" and not p.native:
             if p.currency_share > 0.5:
                 found("M04_currency_symbols", round(p.currency_share * p.n_present), p.name)
@@ -314,21 +440,23 @@ def _from_profiles(columns: list[ColumnProfile], mapped: dict[str, ColumnProfile
                 found("M07_ambiguous_decimal", n, p.name)
         if p.role == "temporal":
             if not p.native and p.n_present - p.n_read > 0.02 * n:
-                found("T01_unparsable", p.n_present - p.n_read, p.name)
+                found("T01_unparsable", p.n_present - p.n_read, p.name, rows=~missing_in(p) & p.moment().isNull())
             if not p.native and p.n_day_month > 0.8 * p.n_present and p.day_order == "undecided":
                 found("T02_ambiguous_format", n, p.name)
             if p.first is not None and (p.last - p.first).days < 56:
-                found("T06_insufficient_span", n, p.name)
+                found("T06_insufficient_span", n, p.name, days=(p.last - p.first).days)
 
 
-def _tests(df: DataFrame, columns: list[ColumnProfile], mapped: dict[str, ColumnProfile], as_of: str) -> tuple[dict[str, Column], dict[str, tuple]]:
-    """Conditions to be counted, and by their names (id, columns, share that must be passed, share that must be reached)."""
+def _tests(df: DataFrame, columns: list[ColumnProfile], mapped: dict[str, ColumnProfile], as_of: str) -> tuple[dict[str, Column], dict[str, tuple], dict[str, Column]]:
+    """Conditions to be counted; by their names (id, columns, share that must be passed, share that must be reached, details); and the aggregates of details."""
     tests: dict[str, Column] = {}
     rules: dict[str, tuple] = {}
+    sums: dict[str, Column] = {}
 
-    def put(id_: str, condition: Column, *names: str, over: float = 0.0, least: float = 0.0) -> None:
+    def put(id_: str, condition: Column, *names: str, over: float = 0.0, least: float = 0.0, **details: Column) -> None:
         key = f"t{len(tests)}"
-        tests[key], rules[key] = condition, (id_, names, over, least)
+        tests[key], rules[key] = condition, (id_, names, over, least, {k: f"{key}_{k}" for k in details})
+        sums.update({f"{key}_{k}": x for k, x in details.items()})
 
     either = lambda tests_: reduce(lambda a, b: a | b, tests_, F.lit(False))
     texts = [p for p in columns if p.type in ("text", "boolean") and not p.native]
@@ -337,11 +465,12 @@ def _tests(df: DataFrame, columns: list[ColumnProfile], mapped: dict[str, Column
     for p in columns:
         if p.role == "temporal":
             t = p.moment()
-            put("T03_future_dates", t > F.lit(as_of).cast("timestamp_ntz"), p.name)
-            put("T04_absurd_dates", F.year(t) < 1990, p.name)
+            future = t > F.lit(as_of).cast("timestamp_ntz")
+            put("T03_future_dates", future, p.name, latest=F.date_format(F.max(F.when(future, t)), "yyyy-MM-dd"))
+            put("T04_absurd_dates", F.year(t) < 1990, p.name, earliest=F.date_format(F.min(t), "yyyy-MM-dd"))
         elif p.role == "measure":
             x = p.number()
-            put("M01_negative", x < 0, p.name)
+            put("M01_negative", x < 0, p.name, total=F.sum(F.when(x < 0, x)))
             put("M02_zero_values", x == 0, p.name, least=0.01)
         elif p.role in ("categorical", "boolean_flag") and not p.native:
             v = F.col(f"`{p.name}`")
@@ -351,17 +480,18 @@ def _tests(df: DataFrame, columns: list[ColumnProfile], mapped: dict[str, Column
     revenue = mapped["revenue"].number() if "revenue" in mapped else None
     if status:
         v = F.col(f"`{status.name}`").cast("string")
-        put("X02_cancelled_orders", is_cancelled(v), status.name)
+        # Distinct values of a column that is a category, and so has few.
+        put("X02_cancelled_orders", is_cancelled(v), status.name, statuses=F.array_sort(F.collect_set(F.when(is_cancelled(v), v))) if status.n_unique <= 200 else F.lit(None).cast("string"))
         if "order_status" in mapped and revenue is not None:
-            put("R06_cancelled_with_amount", is_cancelled_exactly(v) & (revenue > 0), status.name, mapped["revenue"].name, over=0.01)
+            put("R06_cancelled_with_amount", is_cancelled_exactly(v) & (revenue > 0), status.name, mapped["revenue"].name, over=0.01, amount=F.sum(F.when(is_cancelled_exactly(v) & (revenue > 0), revenue)))
     if "order_date" in mapped and "delivery_date" in mapped:
         a, b = mapped["order_date"], mapped["delivery_date"]
         late = _delays(a.moment(), b.moment(), 365)
         put("R02_delivery_before_order", late["n_before"], a.name, b.name)
-        put("R03_delivery_delay", late["n_late"], a.name, b.name, over=0.005)
+        put("R03_delivery_delay", late["n_late"], a.name, b.name, over=0.005, longest_days=F.max(F.datediff(b.moment(), a.moment())))
     if revenue is not None and "shipping_cost" in mapped:
         put("R07_shipping_exceeds_amount", _excess(revenue, mapped["shipping_cost"].number()), mapped["shipping_cost"].name, mapped["revenue"].name, over=0.005)
-    return tests, rules
+    return tests, rules, sums
 
 
 def _has_status(p: ColumnProfile) -> bool:
@@ -371,33 +501,65 @@ def _has_status(p: ColumnProfile) -> bool:
     return any(normal(v) in CANCELLED for v in p.top)
 
 
-def _spellings(df: DataFrame, columns: list[ColumnProfile], found) -> None:
-    """C02, C03 and C04 of columns with at most 200 values, which is what makes them categories."""
-    parts = []
-    for p in columns:
-        if p.role not in ("categorical", "boolean_flag") or p.native or p.n_unique > 200:
-            continue
-        d = df.select(trimmed(F.col(f"`{p.name}`")).alias("v"))
-        case, accent, typo = case_variants(d, "v"), accent_variants(d, "v"), near_labels(d, "v").select("variant", "n").distinct()
-        sums = (("C02_case_variants", case, F.sum(F.when(F.col("spelling") != F.col("best"), F.col("n")))), ("C03_accent_variants", accent, F.count_distinct("best")), ("C04_near_duplicates", typo, F.sum("n")))
-        parts += [x.agg(F.coalesce(k, F.lit(0)).alias("k")).select(F.lit(id_).alias("id"), F.lit(p.name).alias("c"), "k") for id_, x, k in sums]
-    if parts:
-        for r in reduce(DataFrame.unionByName, parts).where("k > 0").collect():
-            found(r.id, r.k, r.c)
-
-
-def _outliers(df: DataFrame, columns: list[ColumnProfile], found) -> None:
-    """M03 of all measures: their median deviations in one job, then one count."""
+def _labels(df: DataFrame, names: dict[str, int], values: DataFrame | None) -> DataFrame | None:
+    """(c, spelling, n) of the trimmed values of some columns, from their distinct values, or from the table for those that have long ones or if there are none."""
+    parts, scanned = [], set(names) if values is None else set()
+    if values is not None:
+        own = values.where(F.col("c").isin(list(names.values())))
+        long_ = {r.c for r in own.where("long IS NOT NULL").select("c").distinct().collect()}  # at most one a column
+        scanned = {x for x, k in names.items() if k in long_}
+        if short := [k for x, k in names.items() if x not in scanned]:
+            parts.append(own.where(F.col("c").isin(short)).select("c", trimmed(F.col("v")).alias("spelling"), "n"))
+    parts += [df.select(F.lit(names[x]).alias("c"), trimmed(F.when(~is_null_token(F.col(f"`{x}`")), F.col(f"`{x}`"))).alias("spelling"), F.lit(1).cast("long").alias("n")) for x in sorted(scanned)]
+    d = reduce(DataFrame.unionByName, parts)
+    return d.where("spelling IS NOT NULL").groupBy("c", "spelling").agg(F.sum("n").alias("n"))
+
+
+def _spellings(df: DataFrame, columns: list[ColumnProfile], place: dict[str, int], values: DataFrame | None, found, most: int = 200) -> None:
+    """C02, C03 and C04 of all columns with at most ``most`` values, which is what makes them categories."""
+    names = {p.name: place[p.name] for p in columns if p.role in ("categorical", "boolean_flag") and not p.native and p.n_unique <= most}
+    if not names:
+        return
+    labels = _labels(df, names, values)
+    case, accent, typo = grouped_spellings(labels, F.lower), by_accents(labels), label_pairs(labels, most)
+    none = F.lit(None).cast("string")
+    # As many rows as there are labels at most, in columns of at most ``most`` labels.
+    rows = reduce(DataFrame.unionByName, [case.select(F.lit("C02_case_variants").alias("id"), "c", "spelling", "best", "n", none.alias("k")), accent.select(F.lit("C03_accent_variants").alias("id"), "c", "spelling", "best", "n", "k"), typo.select(F.lit("C04_near_duplicates").alias("id"), "c", F.col("variant").alias("spelling"), F.col("probable").alias("best"), "n", none.alias("k"))]).collect()
+    for id_ in ("C02_case_variants", "C03_accent_variants", "C04_near_duplicates"):
+        for name, k in names.items():
+            own = [r for r in rows if r.id == id_ and r.c == k]
+            if not own:
+                continue
+            other = {r.spelling: r.n for r in own if r.spelling != r.best}
+            groups: dict[str, set] = {}
+            for r in own:
+                groups.setdefault(r.best, set()).add(r.spelling)
+            total = len(groups) if id_ == "C03_accent_variants" else sum(other.values())
+            pairs = sorted((r.best, r.spelling) for r in own)[:SHOWN_PAIRS]
+            more = {"pairs": [list(x) for x in pairs]} if id_ == "C04_near_duplicates" else {"groups": {b: sorted(x) for b, x in sorted(groups.items())[:SHOWN_GROUPS]}}
+            found(id_, total, name, rows=trimmed(F.col(f"`{name}`")).isin(list(other)), **more)
+
+
+def _outliers(df: DataFrame, columns: list[ColumnProfile], place: dict[str, int], values: DataFrame | None, found) -> None:
+    """M03 of all measures: their median deviations in one job, then one count; both over distinct values where there are any."""
     measures = [p for p in columns if p.role == "measure" and p.n_read > 20 and p.median is not None]
     if not measures:
         return
-    off = [F.abs(p.number() - F.lit(p.median)) for p in measures]
-    mads = df.sparkSession.range(1).select(*[exact_median(df.select(x.alias("x")), "x").scalar().alias(f"m{k}") for k, x in enumerate(off)]).first()
-    tests = {f"t{k}": (F.lit(0.6745) * x / F.lit(mad) > 10) & (F.abs(p.number()) > 20 * p.median) for k, (p, x, mad) in enumerate(zip(measures, off, mads, strict=True)) if mad}
-    r = counts(df, **tests).first()
-    for k, p in enumerate(measures):
-        if mads[k] and r[f"t{k}"]:
-            found("M03_extreme_outliers", r[f"t{k}"], p.name)
+    if values is None:
+        off = [F.abs(p.number() - F.lit(p.median)) for p in measures]
+        mads = list(df.sparkSession.range(1).select(*[exact_median(df.select(x.alias("x")), "x").scalar().alias(f"m{k}") for k, x in enumerate(off)]).first())
+    else:
+        middle = F.coalesce(*[F.when(F.col("c") == place[p.name], F.lit(float(p.median))) for p in measures])
+        own = values.where(F.col("c").isin([place[p.name] for p in measures])).select("c", F.abs(F.col("x") - middle).alias("off"), "n")
+        of = {r.c: r.m for r in exact_medians(own, ["c"], "off", weight="n").collect()}
+        mads = [of.get(place[p.name]) for p in measures]
+    tests = {k: (F.lit(0.6745) * F.abs(p.number() - F.lit(p.median)) / F.lit(mad) > 10) & (F.abs(p.number()) > 20 * p.median) for k, (p, mad) in enumerate(zip(measures, mads, strict=True)) if mad}
+    if not tests:
+        return
+    r = df.agg(*[F.count_if(c).alias(f"t{k}") for k, c in tests.items()], *[F.max(F.when(c, measures[k].number())).alias(f"x{k}") for k, c in tests.items()]).first()
+    for k, c in tests.items():
+        if r[f"t{k}"]:
+            found("M03_extreme_outliers", r[f"t{k}"], measures[k].name, rows=c, largest=r[f"x{k}"], median=measures[k].median)
 
 
 def _repeated(df: DataFrame, mapped: dict[str, ColumnProfile], row_id: str, found) -> None:
@@ -406,24 +568,26 @@ def _repeated(df: DataFrame, mapped: dict[str, ColumnProfile], row_id: str, foun
     own = df.select(row_hash(rest).alias("h"), *[F.col(f"`{p.name}`").alias(k) for k, p in mapped.items()])
     copies = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     if k := copies.agg(F.sum(F.col("n") - 1)).first()[0]:
-        found("D01_exact_duplicates", k)
+        found("D01_exact_duplicates", k, samples=_first_ids(exact_duplicates(df, row_id), row_id))
     if "order_id" in mapped:
         rows = own.where("order_id IS NOT NULL").groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("u")).where("n > 1")
-        r = rows.agg(F.sum("n").alias("lines"), F.sum(F.col("n") - F.col("u")).alias("copies")).first()
+        r = rows.agg(F.sum("n").alias("lines"), F.sum(F.col("n") - F.col("u")).alias("copies"), F.count(F.lit(1)).alias("orders")).first()
         if r.copies:
-            found("D02_id_duplicates", r.copies, mapped["order_id"].name)
+            again = exact_duplicates(df, row_id).where(F.col(f"`{mapped['order_id'].name}`").isNotNull())
+            found("D02_id_duplicates", r.copies, mapped["order_id"].name, samples=_first_ids(again, row_id), orders=r.orders)
         elif r.lines:
-            found("D02_multiline_orders", r.lines, mapped["order_id"].name)
+            found("D02_multiline_orders", r.lines, mapped["order_id"].name, orders=r.orders)
     keys = ("customer_id", "order_date", "revenue")
     if all(k in mapped for k in keys):
         # Of rows with equal keys all but one are repeats; of these, whole copies of another row aren't near ones.
         groups = own.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("u"))
         if k := groups.agg(F.sum(F.col("u") - 1)).first()[0]:
-            found("D03_near_duplicates", k, *(mapped[x].name for x in keys))
+            found("D03_near_duplicates", k, *(mapped[x].name for x in keys), samples=_first_ids(near_duplicates(df, [mapped[x].name for x in keys], row_id), row_id))
     if "customer_id" in mapped and mapped["customer_id"].n_present > 50:
         top = dominant_value(df, mapped["customer_id"].name, 0.05).collect()
         if top and mapped["customer_id"].n_unique > 1:
-            found("X03_internal_orders", top[0].n, mapped["customer_id"].name)
+            c = mapped["customer_id"].name
+            found("X03_internal_orders", top[0].n, c, rows=F.col(f"`{c}`") == F.lit(top[0].value), customer=top[0].value, rows_of_it=top[0].n)
 
 
 def _coherence(df: DataFrame, mapped: dict[str, ColumnProfile], n: int, found) -> None:
@@ -440,13 +604,19 @@ def _coherence(df: DataFrame, mapped: dict[str, ColumnProfile], n: int, found) -
             d = d.withColumn("discount", F.coalesce(F.col("discount") / (100 if top > 1.5 else 1), F.lit(0.0)))
         else:
             d = d.withColumn("discount", F.lit(0.0))
-        k = amount_mismatch(d, "revenue", "quantity", "unit_price", "discount").first().n_off
-        if k > 0.005 * n:
-            found("R01_amount_mismatch", k, *names("quantity", "unit_price", "revenue"))
+        r = amount_mismatch(d, "revenue", "quantity", "unit_price", "discount").first()
+        if r.n_off > 0.005 * n:
+            x = {k: mapped[k].number() for k in ("revenue", "quantity", "unit_price", "discount") if k in mapped}
+            rest = 1 - F.coalesce(x["discount"] / (100 if top > 1.5 else 1), F.lit(0.0)) if has("discount") and r.n_discounted < r.n_plain else F.lit(1.0)
+            found("R01_amount_mismatch", r.n_off, *names("quantity", "unit_price", "revenue"), rows=_off(x["revenue"], x["quantity"] * x["unit_price"] * rest), with_discount=r.n_discounted < r.n_plain)
     if has("order_id", "order_total"):
-        if k := order_totals(amounts.where("order_id_key IS NOT NULL"), "order_id_key", "order_total", "revenue").count():
-            found("R04_total_mismatch", k, *names("order_id", "order_total"))
+        wrong = order_totals(amounts.where("order_id_key IS NOT NULL"), "order_id_key", "order_total", "revenue")
+        r = wrong.agg(F.count(F.lit(1)).alias("k"), F.min("order_id_key").alias("first")).first()
+        if r.k:
+            found("R04_total_mismatch", r.k, *names("order_id", "order_total"), first_order=r.first)
     if has("quantity") and not has("unit_price"):
-        r = implied_price_outliers(amounts.where("quantity > 0"), "revenue", "quantity").first()
+        r = _implied_prices(amounts.where("quantity > 0"), "revenue", "quantity").first()
         if r.n > 30 and r.n_off > 0.002 * n:
-            found("R05_implied_price_outlier", r.n_off, *names("quantity", "revenue"))
+            x, q = mapped["revenue"].number(), mapped["quantity"].number()
+            price = F.when((q > 0) & (x / F.nullif(q, F.lit(0)) > 0), x / F.nullif(q, F.lit(0)))
+            found("R05_implied_price_outlier", r.n_off, *names("quantity", "revenue"), rows=_far_price(price, F.lit(r.med), F.lit(r.mad)), usual_price=r.med)

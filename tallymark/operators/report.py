@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import facts
 from tallymark.operators.execute import aggregated, coverage_of, of_spec
 from tallymark.plans.spec import Spec
+from tallymark.sources.scan import written
 
 # The change in per cent from which an indicator is an alert, and from which it is worth a word.
 ALERTS = {"rows": 20.0, "amount": 15.0, "customers": 20.0, "days": 10.0}
@@ -37,7 +38,7 @@ def _shared(df: DataFrame, specs: list[Spec]) -> tuple[DataFrame | None, list[Sp
     if not good:
         return None, good, bad
     try:
-        return facts.written(aggregated(df, good)), good, bad
+        return written(aggregated(df, good)), good, bad
     except Exception:  # a value of one column: each spec is run by itself, and fails by itself
         return None, good, bad
 
@@ -79,7 +80,7 @@ def run_plan(df: DataFrame, specs: list[Spec], mapping: dict[str, str | None] |
 
 def run_all(df: DataFrame, specs: list[Spec]) -> DataFrame:
     """(spec, dim0, value, n_rows) of all specs of one dimension, from one scan, for a plan that is only read."""
-    parts = facts.written(aggregated(df, specs))
+    parts = written(aggregated(df, specs))
     each = [of_spec(parts, specs, k).select(F.lit(s.title).alias("spec"), "dim0", F.col("value").cast("double").alias("value"), "n_rows") for k, s in enumerate(specs)]
     return reduce(DataFrame.unionByName, each)
 

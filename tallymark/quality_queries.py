@@ -115,8 +115,9 @@ _MAPPING = {"customer_id": "o_custkey", "order_date": "day", "revenue": "amount"
 
 def _issues(s, d):
     df = dirty(s, d)
-    columns = [p for p in profile.table(df) if p.name != "o_orderkey"]
-    return df, columns, quality.diagnose(df, _MAPPING, "o_orderkey", "2001-01-01", columns)
+    columns, values = profile.profiled(df)
+    issues = quality.diagnose(df, _MAPPING, "o_orderkey", "2001-01-01", columns, values=values)
+    return df, [p for p in columns if p.name != "o_orderkey"], issues
 
 
 def _score(s, d):

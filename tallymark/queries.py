@@ -15,6 +15,7 @@ from tallymark.operators import facts, report, stats
 from tallymark.operators.execute import WEEKDAYS, aggregated, coverage, coverage_of, execute, filtered, grouped, with_totals
 from tallymark.plans.spec import Dimension, Filter, Spec, guaranteed
 from tallymark.sources import sales as S
+from tallymark.sources.scan import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -171,7 +172,7 @@ _put("run_plan_kinds", lambda s, d: _round(report.run_all(S.table(s, d, "orders"
 
 def _plan_coverage(s, d):
     """Coverage of each spec, from the one scan of all."""
-    parts = facts.written(aggregated(S.table(s, d, "orders"), list(_KINDS)))
+    parts = written(aggregated(S.table(s, d, "orders"), list(_KINDS)))
     return reduce(DataFrame.unionByName, [coverage_of(parts, k).withColumn("spec", F.lit(x.title)) for k, x in enumerate(_KINDS)])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import csv
 import tempfile
 import uuid
+from contextlib import suppress
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,6 +16,8 @@ from pyspark.sql import types as T
 
 SEPARATORS = (",", ";", "\t", "|")
 PROBE_LINES = 50
+#: Working tables that go when the program ends.
+_LEFT: list[tuple[SparkSession, str]] = []
 _LATIN = "".join(map(chr, range(0x80, 0xA0)))
 _WESTERN = "".join(bytes([k]).decode("cp1252", "replace") for k in range(0x80, 0xA0))
 #: Bytes that windows-1252 has no letter for.
@@ -200,6 +204,24 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: later steps start from its files. They go with that folder, or when the program ends."""
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    _LEFT.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_left() -> None:
+    with suppress(Exception):  # the session may have been stopped
+        for spark, path in _LEFT:
+            if spark.sparkContext._jsc is None:
+                return
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").option("header", True).csv(path)
 
