@@ -50,15 +50,15 @@ def numeric_text(c: Column, decimal_comma: bool) -> Column:
     return F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
 
 
-def comma_evidence(c: Column) -> list[Column]:
-    """Counts that tell a decimal comma from one between thousands: a short or long tail, a zero before it; groups, a point after it."""
+def comma_tests(c: Column) -> dict[str, Column]:
+    """What tells a decimal comma from one between thousands: a short or long tail, a zero before it; groups, a point after it."""
     b = bare_number(c)
-    return [
-        F.count_if(b.rlike(r",(\d{1,2}|\d{4,})$")).alias("n_tail"),
-        F.count_if(b.rlike(r"^-?0,\d+$")).alias("n_zero_first"),
-        F.count_if(b.rlike(r"^-?\d{1,3}(,\d{3}){2,}$")).alias("n_groups"),
-        F.count_if(b.rlike(r",\d{3}\.\d+")).alias("n_comma_point"),
-    ]
+    return {"n_tail": b.rlike(r",(\d{1,2}|\d{4,})$"), "n_zero_first": b.rlike(r"^-?0,\d+$"), "n_groups": b.rlike(r"^-?\d{1,3}(,\d{3}){2,}$"), "n_comma_point": b.rlike(r",\d{3}\.\d+")}
+
+
+def comma_evidence(c: Column) -> list[Column]:
+    """Counts of the values that meet each of ``comma_tests``."""
+    return [F.count_if(x).alias(k) for k, x in comma_tests(c).items()]
 
 
 def comma_decision(n_tail: int, n_zero_first: int, n_groups: int, n_comma_point: int) -> tuple[str, float]:
@@ -88,11 +88,16 @@ def is_total(c: Column) -> Column:
     return F.coalesce(strip_accents(F.lower(trimmed(c))).isin(*TOTAL_TOKENS), F.lit(False))
 
 
-def day_first_evidence(c: Column) -> list[Column]:
-    """Counts of dates in d/m or m/d form, and of those that can only be one of them."""
+def day_first_tests(c: Column) -> dict[str, Column]:
+    """Whether a text is a date in d/m or m/d form, and whether it can only be one of them."""
     parts = r"^(\d{1,2})[/.-](\d{1,2})[/.-]"
     first, second = (F.regexp_extract(trimmed(c), parts, k).try_cast("int") for k in (1, 2))
-    return [F.count(first).alias("n_dates"), F.count_if(first > 12).alias("n_day_first"), F.count_if(second > 12).alias("n_month_first")]
+    return {"n_dates": first.isNotNull(), "n_day_first": first > 12, "n_month_first": second > 12}
+
+
+def day_first_evidence(c: Column) -> list[Column]:
+    """Counts of the values that meet each of ``day_first_tests``."""
+    return [F.count_if(x).alias(k) for k, x in day_first_tests(c).items()]
 
 
 def day_order(n_values: int, n_dates: int, n_day_first: int, n_month_first: int) -> tuple[str, float]:
@@ -110,9 +115,19 @@ def ranked_formats(order: str) -> list[str]:
     return sorted(DATE_FORMATS, key=against)
 
 
+#: How a text of any of ``DATE_FORMATS`` begins. A text that doesn't isn't tried, as each try that fails is costly.
+_DATE_BEGINS = r"^(\d{1,4}([-/.]\d{1,2}[-/.]|\s\p{L})|\p{L}{3,}\.? \d)"
+
+
+def read_date(c: Column, form: str) -> Column:
+    """The text as a timestamp by one form, or null."""
+    t = trimmed(c)
+    return F.try_to_timestamp(F.when(t.rlike(_DATE_BEGINS), t), F.lit(form))
+
+
 def parsed_date(c: Column, formats: tuple[str, ...]) -> Column:
     """The first of the formats that reads the text, as a timestamp without zone."""
-    return F.coalesce(*[F.try_to_timestamp(trimmed(c), F.lit(f)).cast("timestamp_ntz") for f in formats])
+    return F.coalesce(*[read_date(c, f).cast("timestamp_ntz") for f in formats])
 
 
 def compact(c: Column) -> Column:

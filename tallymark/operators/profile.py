@@ -1,4 +1,4 @@
-"""Profiles of columns over all rows: sums of one pass, distinct values of another, then decisions on the driver."""
+"""Profiles of columns over all rows: their distinct values from one pass, sums over these, then decisions on the driver."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.text import DATE_FORMATS, comma_decision, comma_evidence, day_first_evidence, day_order, is_null_token, numeric_text, parsed_date, ranked_formats, trimmed
+from tallymark.functions.text import DATE_FORMATS, comma_decision, comma_tests, day_first_tests, day_order, is_null_token, numeric_text, parsed_date, ranked_formats, read_date, trimmed
 from tallymark.operators.stats import exact_median, exact_medians
 from tallymark.sources.scan import written
 
@@ -72,13 +72,18 @@ class ColumnProfile:
 
     def number(self) -> Column:
         """The column as numbers, null where a value is none."""
-        return F.col(f"`{self.name}`").cast("double") if self.native else numeric_text(F.col(f"`{self.name}`"), self.decimal_comma)
+        return F.col(f"`{self.name}`").cast("double") if self.native else self.read_number(F.col(f"`{self.name}`"))
 
     def moment(self) -> Column:
         """The column as timestamps, null where a value is none."""
-        if self.native:
-            return F.col(f"`{self.name}`").cast("timestamp_ntz")
-        return parsed_date(F.col(f"`{self.name}`"), (self.date_format, *ranked_formats(self.day_order)) if self.date_format else tuple(ranked_formats(self.day_order)))
+        return F.col(f"`{self.name}`").cast("timestamp_ntz") if self.native else self.read_moment(F.col(f"`{self.name}`"))
+
+    def read_number(self, text: Column) -> Column:
+        """The number that a text is in this column."""
+        return numeric_text(text, self.decimal_comma)
+
+    def read_moment(self, text: Column) -> Column:
+        return parsed_date(text, (self.date_format, *ranked_formats(self.day_order)) if self.date_format else tuple(ranked_formats(self.day_order)))
 
 
 def numeric(df: DataFrame, c: str) -> DataFrame:
@@ -147,18 +152,13 @@ def _native(t: T.DataType) -> str | None:
     return "boolean" if isinstance(t, T.BooleanType) else None
 
 
-def _sums_of_number(x: Column) -> dict[str, Column]:
-    return {"n_read": F.count(x), "min": F.min(x), "max": F.max(x), "n_negative": F.count_if(x < 0), "n_zero": F.count_if(x == 0), "n_whole": F.count_if(x % 1 == 0), "n_unit": F.count_if(x.between(0, 1))}
-
-
-def _sums_of_text(v: Column) -> dict[str, Column]:
-    """What tells a text column's type: ``v`` is null for null words."""
-    out = {"n_boolean": F.count_if(F.lower(trimmed(v)).isin(*BOOLEAN_WORDS)), "n_comma": F.count_if(F.contains(v, F.lit(","))), "n_currency": F.count_if(v.rlike(r"[€$£¥]|R\$"))}
-    out |= {"n_email": F.count_if(v.rlike(r"^\s*[^@\s]+@[^@\s]+\.[A-Za-z]{2,}\s*$")), "n_digits": F.count_if(v.rlike(r"^\d{5,}$"))}
-    out |= dict(zip(("n_tail", "n_zero_first", "n_groups", "n_comma_point"), comma_evidence(v), strict=True))
-    out |= dict(zip(("n_dates", "n_day_first", "n_month_first"), day_first_evidence(v), strict=True))
-    out |= {"n_with_comma": F.count(numeric_text(v, True)), "n_with_point": F.count(numeric_text(v, False))}
-    return out | {f"date{k}": F.count(F.try_to_timestamp(trimmed(v), F.lit(f))) for k, f in enumerate(DATE_FORMATS)} | {"n_mixed": F.count(parsed_date(v, DATE_FORMATS))}
+def _tests_of_text(v: Column) -> dict[str, Column]:
+    """What tells a text column's type, as conditions on a value."""
+    out = {"n_boolean": F.lower(trimmed(v)).isin(*BOOLEAN_WORDS), "n_comma": F.contains(v, F.lit(",")), "n_currency": v.rlike(r"[€$£¥]|R\$")}
+    out |= {"n_email": v.rlike(r"^\s*[^@\s]+@[^@\s]+\.[A-Za-z]{2,}\s*$"), "n_digits": v.rlike(r"^\d{5,}$")}
+    out |= comma_tests(v) | day_first_tests(v)
+    out |= {"n_with_comma": numeric_text(v, True).isNotNull(), "n_with_point": numeric_text(v, False).isNotNull()}
+    return out | {f"date{k}": read_date(v, f).isNotNull() for k, f in enumerate(DATE_FORMATS)} | {"n_mixed": parsed_date(v, DATE_FORMATS).isNotNull()}
 
 
 def _text_type(name: str, n: int, s) -> tuple[str, dict]:
@@ -180,93 +180,104 @@ def _text_type(name: str, n: int, s) -> tuple[str, dict]:
     return kind, found | {"n_read": n_date if dated else n_number}
 
 
-#: Longer values are counted by their hashes alone; they are read again only if a category has them.
-LONG_VALUE = 256
+#: Longer values are counted by their hashes alone, and are neither numbers nor dates; they are read again only if a category has them.
+LONG_VALUE = 1024
 
 
-def value_counts(df: DataFrame, cells: list[tuple[Column, Column | None, Column | None]]) -> DataFrame:
-    """(c, v, long, x, m, n): the distinct values of many columns with their rows, from one scan and one shuffle.
+def value_counts(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """(c, v, long, n): the distinct values of many columns, as text, with their rows, from one scan and one shuffle.
 
-    ``cells`` has for each column its present value as text (null if missing),
-    as a number and as a moment. A row becomes one small row a column; equal
-    ones are added up in their task before they are sent. A value of over
-    ``LONG_VALUE`` letters is told apart by 128 bits of hash and not carried.
+    A row becomes one small row a column; equal ones are added up in their task
+    before they are sent. Both ``v`` and ``long`` are null for missing values. A
+    value of over ``LONG_VALUE`` letters is told apart by 128 bits of hash.
     """
-    none, never = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
-    one = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("c"), v.alias("v"), (none if x is None else x).alias("x"), (never if m is None else m).alias("m"))) for k, (v, x, m) in enumerate(cells)]
-    d = df.select(F.explode(F.array_compact(F.array(*one))).alias("e")).select("e.*")
+    d = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("c"), v.alias("v")) for k, v in enumerate(cells)])).alias("e")).select("e.*")
     is_long = F.length("v") > LONG_VALUE
-    d = d.select("c", F.when(~is_long, F.col("v")).alias("v"), F.when(is_long, F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))).alias("long"), "x", "m")
-    return d.groupBy("c", "v", "long").agg(F.max("x").alias("x"), F.max("m").alias("m"), F.count(F.lit(1)).alias("n"))
+    hashes = F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
+    return d.select("c", F.when(is_long, None).otherwise(F.col("v")).alias("v"), F.when(is_long, hashes).alias("long")).groupBy("c", "v", "long").agg(F.count(F.lit(1)).alias("n"))
 
 
 def table(df: DataFrame) -> list[ColumnProfile]:
     """The profiles of all columns; nothing is sampled.
 
-    The table is read twice: one pass gives the sums that tell types, another
-    counts the distinct values of all columns, which are written to the shared
-    folder. All else comes from these. Only profiles come to the driver.
+    The table is read once: the distinct values of all columns are counted and
+    written to the shared folder, and all else comes from these. Only profiles
+    come to the driver.
     """
     return profiled(df)[0]
 
 
+def _as_text(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0).cast(f.dataType)).cast("string")  # -0.0 is 0.0
+    return F.unix_micros(c).cast("string") if isinstance(f.dataType, T.TimestampType) else c.cast("string")
+
+
+def _from_text(v: Column, t: T.DataType) -> Column:
+    """A moment by the text of a native column."""
+    return F.timestamp_micros(v.cast("long")).cast("timestamp_ntz") if isinstance(t, T.TimestampType) else v.cast("timestamp_ntz")
+
+
 def profiled(df: DataFrame) -> tuple[list[ColumnProfile], DataFrame | None]:
-    """``table`` and the distinct values behind it, whose ``c`` is the place of the column's profile; none without columns."""
+    """``table``, and the distinct present values (c, v, long, x, m, n) behind it, as text, number and moment; ``c`` is the place of the column's profile. None without columns."""
     fields = [f for f in df.schema if _native(f.dataType) or isinstance(f.dataType, T.StringType)]
     if not fields:
         return [], None
-    native = {f.name: _native(f.dataType) for f in fields}
-    float_ = {f.name for f in fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    col = lambda c: F.col(f"`{c}`")
-    present = {c: col(c) if k else F.when(~is_null_token(col(c)), col(c)) for c, k in native.items()}
-
-    first = {c: {"n": F.count(v)} for c, v in present.items()}
-    for c, k in native.items():
-        first[c] |= {"first": F.min(col(c)), "last": F.max(col(c))} if k == "datetime" else {} if k else _sums_of_text(present[c])
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(*[x.alias(k) for k, x in s.items()]).alias(f"s{i}") for i, s in enumerate(first.values())]).first()
-    got = {c: {"n_rows": r["n"]} | r[f"s{i}"].asDict() for i, c in enumerate(first)}
-    kinds = {c: (k, {}) if k else _text_type(c, got[c]["n"], got[c]) for c, k in native.items()}
-    draft = {c: ColumnProfile(c, kind, "", got[c]["n_rows"], got[c]["n"], 0, native[c] is not None, **found) for c, (kind, found) in kinds.items()}
-
-    def text(c: str) -> Column:
-        if c in float_:
-            return (col(c) + F.lit(0.0)).cast("string")  # -0.0 is 0.0
-        return F.unix_micros(col(c)).cast("string") if isinstance(df.schema[c].dataType, T.TimestampType) else present[c].cast("string")
-
-    # A value's text decides its number and moment, so these go with it.
-    values = written(value_counts(df, [(text(c), p.number() if p.type == "numeric" else None, p.moment() if p.type == "datetime" and not p.native else None) for c, p in draft.items()]))
-    x, n = F.col("x"), F.col("n")
+    kinds = [_native(f.dataType) for f in fields]
+    texts = [k for k, kind in enumerate(kinds) if kind is None]
+    v, n, c = F.col("v"), F.col("n"), F.col("c")
     rows = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0))
-    sums = values.groupBy("c").agg(
-        F.count(F.lit(1)).alias("n_unique"), rows(x.isNotNull()).alias("n_read"), F.min(x).alias("min"), F.max(x).alias("max"), rows(x < 0).alias("n_negative"), rows(x == 0).alias("n_zero"),
-        rows(x % 1 == 0).alias("n_whole"), rows(x.between(0, 1)).alias("n_unit"), F.min("m").alias("first"), F.max("m").alias("last"), F.max(F.col("long").isNotNull()).alias("has_long"),
+    counted = written(value_counts(df, [_as_text(f) for f in fields]))
+    there = F.col("long").isNotNull() | F.when(c.isin(texts), ~is_null_token(v)).otherwise(v.isNotNull())
+    own = {r.c: r for r in counted.groupBy("c").agg(F.sum("n").alias("n_rows"), rows(there).alias("n"), F.count_if(there).alias("n_unique"), F.max(F.col("long").isNotNull()).alias("has_long")).collect()}
+    n_rows = own[0].n_rows if own else 0
+    present = counted.where(there)
+    tests = {r.c: r for r in present.where(c.isin(texts)).groupBy("c").agg(*[rows(x).alias(k) for k, x in _tests_of_text(v).items()]).collect()} if texts else {}
+    none = dict.fromkeys(_tests_of_text(v), 0)
+    draft: list[ColumnProfile] = []
+    for k, (f, kind) in enumerate(zip(fields, kinds, strict=True)):
+        n_present = own[k].n if k in own else 0
+        kind, found = (kind, {}) if kind else _text_type(f.name, n_present, tests.get(k, none))
+        draft.append(ColumnProfile(f.name, kind, "", n_rows, n_present, own[k].n_unique if k in own else 0, kinds[k] is not None, **found))
+
+    def read(kind: str, of) -> Column:
+        """What the values of all columns of a kind read as."""
+        known = [F.when(c == k, of(k, p)) for k, p in enumerate(draft) if p.type == kind]
+        return F.coalesce(*known) if known else F.lit(None)
+
+    number = lambda k, p: (v.cast("float") if isinstance(fields[k].dataType, T.FloatType) else v).cast("double") if p.native else p.read_number(v)
+    moment = lambda k, p: _from_text(v, fields[k].dataType) if p.native else p.read_moment(v)
+    values = present.select("c", "v", "long", read("numeric", number).cast("double").alias("x"), read("datetime", moment).cast("timestamp_ntz").alias("m"), "n")
+    x = F.col("x")
+    sums = values.where(c.isin([k for k, p in enumerate(draft) if p.type in ("numeric", "datetime")])).groupBy("c").agg(
+        rows(x.isNotNull()).alias("n_read"), F.min(x).alias("min"), F.max(x).alias("max"), rows(x < 0).alias("n_negative"), rows(x == 0).alias("n_zero"), rows(x % 1 == 0).alias("n_whole"),
+        rows(x.between(0, 1)).alias("n_unit"), F.min("m").alias("first"), F.max("m").alias("last"),
     )
-    names = list(draft)
+    of = {r.c: r.asDict() for r in sums.collect()}
     nothing = {k: None if k in ("min", "max", "first", "last") else 0 for k in sums.columns}
-    of = {c: dict(nothing) for c in names} | {names[s.c]: s.asDict() for s in sums.collect()}
-    numbers = [k for k, c in enumerate(names) if draft[c].type == "numeric" and draft[c].n_present]
-    medians = exact_medians(values.where(F.col("c").isin(numbers)), ["c"], "x", weight="n").collect() if numbers else []
-    median = {names[m.c]: m.m for m in medians}
+    numbers = [k for k, p in enumerate(draft) if p.type == "numeric" and p.n_present]
+    median = {m.c: m.m for m in exact_medians(values.where(c.isin(numbers)), ["c"], "x", weight="n").collect()} if numbers else {}
     out = []
-    for c, p in draft.items():
-        s, k = of[c] | {x: got[c][x] for x in ("first", "last") if x in got[c]}, max(1, p.n_present)
-        numeric_ = p.type == "numeric"
-        decimals = numeric_ and s["n_read"] - s["n_whole"] > 0.05 * k
-        r = role(c, p.type, p.n, p.n_present, s["n_unique"], decimals)
-        more = {x: s[x] for x in ("min", "max", "first", "last") if s[x] is not None}
-        more |= {"n_negative": s["n_negative"], "n_zero": s["n_zero"]} if numeric_ else {}
-        more |= {"n_read": s["n_read"] if p.native and numeric_ else p.n_read or p.n_present, "median": median.get(c), "whole_share": s["n_whole"] / k if numeric_ else 0.0}
-        more["additive"] = not hinted(c, NON_ADDITIVE_HINTS) and s["n_unit"] <= 0.95 * k if r == "measure" else None
-        out.append(ColumnProfile(**(vars(p) | {"role": r, "n_unique": s["n_unique"]} | more)))
+    for k, p in enumerate(draft):
+        s, total, is_number = of.get(k, nothing), max(1, p.n_present), p.type == "numeric"
+        if isinstance(fields[k].dataType, T.DateType):
+            s = s | {e: s[e] and s[e].date() for e in ("first", "last")}
+        r = role(p.name, p.type, p.n, p.n_present, p.n_unique, is_number and s["n_read"] - s["n_whole"] > 0.05 * total)
+        more = {e: s[e] for e in ("min", "max", "first", "last") if s[e] is not None}
+        more |= {"n_negative": s["n_negative"], "n_zero": s["n_zero"]} if is_number else {}
+        more |= {"n_read": s["n_read"] if p.native and is_number else p.n_read or p.n_present, "median": median.get(k), "whole_share": s["n_whole"] / total if is_number else 0.0}
+        more["additive"] = not hinted(p.name, NON_ADDITIVE_HINTS) and s["n_unit"] <= 0.95 * total if r == "measure" else None
+        out.append(ColumnProfile(**(vars(p) | {"role": r} | more)))
     named = [k for k, p in enumerate(out) if p.role in ("categorical", "boolean_flag")]
     if not named:
         return out, values
     place = F.row_number().over(W.partitionBy("c").orderBy(F.desc("n"), "v"))
-    tops = values.where(F.col("c").isin(named) & F.col("v").isNotNull()).withColumn("place", place).where("place <= 10").select("c", "v", "n").collect()
+    tops = present.where(c.isin(named) & v.isNotNull()).withColumn("place", place).where("place <= 10").select("c", "v", "n").collect()
     by_column = {k: tuple(r.v for r in sorted((r for r in tops if r.c == k), key=lambda r: (-r.n, r.v))) for k in named}
     for k in named:
-        if of[names[k]]["has_long"]:  # a category of long texts: they are read
-            by_column[k] = tuple(r.value for r in top_values(df.select(present[names[k]].cast("string").alias("v")), "v").collect())
+        if own[k].has_long:  # a category of long texts: they are read
+            by_column[k] = tuple(r.value for r in top_values(df.select(F.col(f"`{fields[k].name}`").alias("v")), "v").collect())
     return [ColumnProfile(**(vars(p) | {"top": by_column.get(k, ())})) for k, p in enumerate(out)], values
 
 
@@ -280,7 +291,7 @@ def text_types(df: DataFrame, names: list[str], share: float = TYPE_SHARE) -> Da
     sums = []
     for c in names:
         v = F.when(~is_null_token(F.col(c)), trimmed(F.col(c)))
-        dates = [F.count(F.try_to_timestamp(v, F.lit(f))) for f in DATE_FORMATS]
+        dates = [F.count(read_date(v, f)) for f in DATE_FORMATS]
         sums.append(F.struct(
             F.lit(c).alias("column"), F.count(v).alias("n"), F.count_if(F.lower(v).isin(*BOOLEAN_WORDS)).alias("n_boolean"),
             F.count(F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v.try_cast("double"))).alias("n_numeric"), F.greatest(*dates).alias("n_date"),

@@ -144,3 +144,37 @@ _put("quality_issues", lambda s, d: quality.issues_frame(s, _issues(s, d)[2]), _
 _SHARES = ", ".join("1 - least(1.0, coalesce(sum(n_affected) FILTER (id IN " + _lit(ids) + f"), 0) / (SELECT count(*) FROM orders)) AS {k}" for k, ids in quality.SHARES.items())
 _PENALTIES = "CASE " + " ".join(f"WHEN policy = '{p}' AND severity = '{v}' THEN {k}" for (p, v), k in quality.PENALTY.items()) + " ELSE 0 END"
 _put("quality_score", _score, f"WITH i AS ({_issue_sql()}), x AS (SELECT {_SHARES}, coalesce(sum({_PENALTIES}), 0) AS penalty, 1 - (SELECT count(*) FILTER {_missing} / count(*) FROM {_D}) / 6 AS completeness FROM i), v AS (SELECT greatest(0, least(100, 100 * (completeness + consistency + validity + uniqueness) / 4 - penalty)) AS score FROM x) SELECT round(score, 1)::DOUBLE AS score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 55 THEN 'fair' WHEN score >= 30 THEN 'poor' ELSE 'critical' END AS label FROM v".replace("FILTER (remark", "FILTER (WHERE remark"))
+
+
+_SHOWN = {
+    "S07_total_rows": f"{_plain('remark')} IN {_lit(X.TOTAL_TOKENS)}", "M01_negative": "amount < 0", "M02_zero_values": "amount = 0", "X02_cancelled_orders": _cancelled, "C05_null_placeholders": f"remark IS NOT NULL AND {_missing}",
+    "N03_moderate_missing": _missing, "T03_future_dates": "day > TIMESTAMP '2001-01-01'",
+}
+
+
+def _samples(s, d):
+    found = quality.details_frame(s, _issues(s, d)[2]).where(F.col("id").isin(*_SHOWN))
+    return found.select("id", F.explode("samples").alias("sample")).select("id", F.col("sample").cast("long").alias("sample"))
+
+
+_put("issue_samples", _samples, " UNION ALL ".join(f"SELECT '{k}' AS id, o_orderkey AS sample FROM (SELECT o_orderkey FROM {_D} WHERE {w} ORDER BY 1 LIMIT 10)" for k, w in _SHOWN.items()))
+_LOGGED = {"X02_cancelled_orders": "exclude", "D01_exact_duplicates": "remove_duplicates", "C01_whitespace": "trim", "C05_null_placeholders": "null", "C02_case_variants": "merge", "M01_negative": "exclude", "M02_zero_values": "exclude"}
+
+
+def _log(s, d):
+    c = Cleaner(dirty(s, d), "o_orderkey", "amount", "day", status="status", decisions=dict(_LOGGED))
+    return s.createDataFrame([(e.issue, e.before, e.after, e.changed) for e in c.entries()], "issue string, n_before long, n_after long, n_changed long")
+
+
+_STAYS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, priority, remark, status, amount, day ORDER BY o_orderkey) AS place FROM {_D} WHERE NOT {_cancelled}) WHERE place = 1)"
+_n = lambda where="true", what="count(*)": f"(SELECT {what} FROM {_STAYS} WHERE {where})"
+_padded = "coalesce(sum(" + " + ".join(f"({c} <> {_trim.format(c=c)})::BIGINT" for c in ("priority", "remark", "status")) + "), 0)"
+_merged = f"SELECT coalesce(sum(n), 0) FROM ({_VAR.format(c=_trim.format(c='priority'), k='lower(' + _trim.format(c='priority') + ')', t=_STAYS)}) WHERE spelling <> best"
+_put("clean_log", _log, " UNION ALL ".join(f"SELECT '{k}' AS issue, ({a})::BIGINT AS n_before, ({b})::BIGINT AS n_after, ({c})::BIGINT AS n_changed" for k, a, b, c in (
+    ("X02_cancelled_orders", f"SELECT count(*) FROM {_D}", f"SELECT count(*) FROM {_D} WHERE NOT {_cancelled}", "0"), ("D01_exact_duplicates", f"SELECT count(*) FROM {_D} WHERE NOT {_cancelled}", _n(), "0"),
+    ("C01_whitespace", _n(), _n(), _n(what=_padded)), ("C05_null_placeholders", _n(), _n(), _n(f"remark IS NOT NULL AND {_missing}")), ("C02_case_variants", _n(), _n(), _merged), ("M00_to_numeric", _n(), _n(), "0"),
+    ("M01_negative", _n(), _n("amount >= 0"), "0"), ("M02_zero_values", _n("amount >= 0"), _n("amount > 0"), "0"), ("T00_parse_dates", _n("amount > 0"), _n("amount > 0"), "0"))))
+#: More labels than a category may have, of one word each, with typing errors made from them.
+_WORD = "concat(replace(p_name, ' ', ''), translate(CAST(p_partkey % 97 AS VARCHAR(20)), '0123456789', 'abcdefghij'))"
+_NAMES = f"SELECT CASE WHEN p_partkey % 3 = 0 THEN substr({_WORD}, 2) WHEN p_partkey % 3 = 1 THEN concat(substr({_WORD}, 1, 4), 'x', substr({_WORD}, 5)) ELSE {_WORD} END AS label FROM {{t}} UNION ALL SELECT {_WORD} FROM {{t}}"
+_put("near_labels_large", lambda s, d: quality.near_labels(s.sql(_NAMES.replace("{t}", "{p}"), p=S.table(s, d, "part")), "label", 10**9).select("a", "b", "distance"), "WITH w AS (SELECT DISTINCT label FROM (" + _NAMES.format(t="part") + ")), p AS (SELECT a.label AS a, b.label AS b, levenshtein(lower(a.label), lower(b.label)) AS distance FROM w a JOIN w b ON a.label < b.label AND abs(length(a.label) - length(b.label)) <= 2) SELECT a, b, distance::INT AS distance FROM p WHERE distance = 1 OR (distance = 2 AND least(length(a), length(b)) >= 8)")
