@@ -33,7 +33,7 @@ _SPACES = r"[ \u00A0\u202F]"
 #: A run of digits, in which a point or comma stands between digits, and a space between one to three digits and a group of three.
 _GROUPING = rf"(?<=(?<!\d)\d{{1,3}}){_SPACES}(?=\d{{3}}(?!\d))"
 NUMBER = rf"(?<![\d.,])[-−+]?\d(?:(?:[.,]|{_GROUPING})?\d)*"
-#: A number written with cents, an amount of money whatever its value; thousands may be parted once.
+#: A number written with cents, which ``cents_count`` takes for an amount whatever its value; thousands may be parted once.
 CENTS = rf"^[-−+]?(\d+|\d{{1,3}}([.,]|{_SPACES})\d{{3}})[.,]\d\d$"
 _OPEN, _SHUT = "\u0001", "\u0002"
 
@@ -67,26 +67,23 @@ def numbers(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("report", "position", "number", number_value(F.col("number")).alias("value"), context.alias("context")).where("value IS NOT NULL")
 
 
-def ignored(value: Column, context: Column, number: Column) -> Column:
-    """Why a number isn't a measure (small, year, duration), or null. One written with cents is: 2000.00 is no year."""
+def ignored(value: Column, context: Column, number: Column | None = None) -> Column:
+    """Why a number isn't a measure (small, year, duration) by its value, or null. With ``number``, one written with cents always is a measure."""
     whole = value % 1 == 0
-    return (
-        F.when(number.rlike(CENTS), F.lit(None))
-        .when(value.isin(*map(float, SMALL_NUMBERS)), "small")
-        .when(value.between(1900, 2100) & whole, "year")
-        .when(whole & (value <= 60) & strip_accents(context).rlike(TIME_WORDS), "duration")
-    )
+    why = F.when(value.isin(*map(float, SMALL_NUMBERS)), "small").when(value.between(1900, 2100) & whole, "year").when(whole & (value <= 60) & strip_accents(context).rlike(TIME_WORDS), "duration")
+    return why if number is None else F.when(~number.rlike(CENTS), why)
 
 
 def _bucket(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(v)) / math.log1p(2 * TOLERANCE)).cast("long"))
 
 
-def verified(found: DataFrame, facts: DataFrame) -> DataFrame:
+def verified(found: DataFrame, facts: DataFrame, cents_count: bool = False) -> DataFrame:
     """``found`` with status (ignored, verified, unverified) and the path of a fact that matches.
 
     ``facts`` has report, path and value. A fact also vouches for its absolute
-    value and its rounded value. Of several the first path counts.
+    value and its rounded value. Of several the first path counts. With
+    ``cents_count`` 2000.00 is an amount and not a year.
     """
     v = F.col("value")
     more = facts.where("value IS NOT NULL AND NOT isnan(value)").select("report", "path", F.explode(F.array_distinct(F.array(v, F.abs(v), F.bround(v, 0)))).alias("fact"))
@@ -94,7 +91,7 @@ def verified(found: DataFrame, facts: DataFrame) -> DataFrame:
     fact = F.col("fact")
     steps = F.when(fact == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda x: _bucket(fact) + x))
     keyed = more.select("report", "path", "fact", F.signum("fact").alias("sign"), F.explode(steps).alias("bucket")).groupBy("report", "sign", "bucket", "fact").agg(F.min("path").alias("path"))
-    d = found.withColumn("why", ignored(v, F.col("context"), F.col("number"))).withColumn("sign", F.signum("value")).withColumn("bucket", _bucket(v))
+    d = found.withColumn("why", ignored(v, F.col("context"), F.col("number") if cents_count else None)).withColumn("sign", F.signum("value")).withColumn("bucket", _bucket(v))
     near = (d.alias("a").join(keyed.alias("b"), ["report", "sign", "bucket"])
         .where(F.abs(F.col("a.value") - F.col("fact")) <= TOLERANCE * F.abs("fact")).groupBy("report", "value").agg(F.min("path").alias("path")))
     out = d.join(near, ["report", "value"], "left")

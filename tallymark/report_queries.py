@@ -78,7 +78,11 @@ _put("facts_for_llm", lambda s, d: facts.sampled_points(_monthly(s, d)).select("
 
 # Number checks: documents are the texts, and word counts of a text are facts about it.
 _put("extract_numbers", lambda s, d: verify.numbers(S.table(s, d, "documents"), "doc_id", "text"))
-_CITED = "SELECT o_orderkey AS report, concat('Montant ', cast(cast(o_totalprice * CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS DECIMAL(18,2)) AS VARCHAR(30)), ' en hausse de 3 actions') AS t, o_totalprice AS value FROM {t}"
+# Totals of every kind: years, small numbers, nulls, zeros and negative ones among them; one in ten is cited at twice its value.
+_TOTALS = "SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN 1850 + o_orderkey % 300 WHEN o_orderkey % 31 = 0 THEN o_orderkey % 12 WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN 0 WHEN o_orderkey % 43 = 0 THEN -o_totalprice ELSE o_totalprice END AS total FROM {t}"
+_CITED = "SELECT o_orderkey AS report, concat('Montant ', cast(cast(total * CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS DECIMAL(18,2)) AS VARCHAR(30)), ' en hausse de 3 actions') AS t, total AS value FROM (" + _TOTALS + ")"
+# The rules by value: numbers that are ignored, then a match with the total, its absolute or its rounded value.
+_JUDGED = "(SELECT CASE WHEN v IN (0, 1, 2, 3, 4, 5, 10, 100) OR (v BETWEEN 1900 AND 2100 AND v = floor(v)) THEN 'ignored' WHEN " + " OR ".join(f"abs(v - {x}) <= 0.005 * abs({x})" for x in ("total", "abs(total)", "round_even(total, 0)")) + " THEN 'verified' ELSE 'unverified' END AS status FROM (SELECT total, CAST(total * CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS DECIMAL(18,2))::DOUBLE AS v FROM (" + _TOTALS.format(t="orders") + ") WHERE total IS NOT NULL))"
 
 
 def _checked(s, d):
@@ -86,8 +90,8 @@ def _checked(s, d):
     return verify.verified(verify.numbers(cited, "report", "t"), cited.select("report", F.lit("total").alias("path"), "value"))
 
 
-_put("verify_numbers", lambda s, d: _checked(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'unverified' ELSE 'verified' END AS status, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'ignored', count(*) FROM orders")
-_put("fidelity", lambda s, d: verify.fidelity(_checked(s, d)).groupBy("fidelity").agg(F.count(F.lit(1)).alias("n_reports"), F.sum("n_named").alias("n_named")), "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS fidelity, count(*) AS n_reports, (2 * count(*))::BIGINT AS n_named FROM orders GROUP BY 1")
+_put("verify_numbers", lambda s, d: _checked(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"SELECT status, sum(n)::BIGINT AS n FROM (SELECT status, count(*) AS n FROM {_JUDGED} GROUP BY 1 UNION ALL SELECT 'ignored', count(*) FROM {_JUDGED}) GROUP BY 1 HAVING sum(n) > 0")
+_put("fidelity", lambda s, d: verify.fidelity(_checked(s, d)).groupBy("fidelity").agg(F.count(F.lit(1)).alias("n_reports"), F.sum("n_named").alias("n_named")), f"SELECT CASE WHEN status = 'unverified' THEN 0.0 ELSE 1.0 END::DOUBLE AS fidelity, count(*) AS n_reports, (2 * count(*))::BIGINT AS n_named FROM {_JUDGED} GROUP BY 1")
 
 _put("label_filter", lambda s, d: S.table(s, d, "part").select("p_partkey", sector.is_label(F.col("p_name")).alias("name_ok"), sector.is_label(F.col("p_brand")).alias("brand_ok")), "SELECT p_partkey, " + ", ".join(
     f"length(trim({c})) > 2 AND len(regexp_extract_all({c}, '\\p{{L}}')) >= 3 AND NOT (len(regexp_extract_all({c}, '\\p{{Nd}}')) > 0 AND (len(regexp_extract_all({c}, '\\p{{L}}')) <= len(regexp_extract_all({c}, '\\p{{Nd}}')) OR (NOT contains(trim({c}), ' ') AND length(trim({c})) <= 10))) AS {a}"

@@ -54,13 +54,13 @@ def test_duration_is_ignored(spark):
     assert {r.report: r.status for r in verify.verified(verify.numbers(d, "id", "t"), none).collect()} == {1: "ignored", 2: "unverified"}
 
 
-def test_amounts_with_cents_are_checked(spark, tmp_path):
-    """Whole amounts that look like years or small numbers count as the query's SQL has them; a bare year is still ignored."""
+def test_amounts_that_look_like_years(spark, tmp_path):
+    """Whole amounts that look like years or small numbers are ignored, as the query's SQL has them; checked only where cents are asked to count."""
     import duckdb
 
     from tallymark.report_queries import ORACLE_SQL, QUERIES
 
-    amounts = [2000.0, 1900.0, 2100.0, 1050.0, 100.0, 10.0, 5.0, 0.5, 1234.56, 1000.0, 2000.0]
+    amounts = [2000.0, 1900.0, 2100.0, 1050.0, 100.0, 10.0, 5.0, 0.5, 1234.56, 1000.0, 2000.0, 0.0, None, -3.0, -2000.0, 950.0]
     spark.createDataFrame([(k if k else 20, v) for k, v in enumerate(amounts)], "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
@@ -68,7 +68,8 @@ def test_amounts_with_cents_are_checked(spark, tmp_path):
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE_SQL[name]).fetchall())
     d = spark.createDataFrame([(1, "en 2000, 2 000,00 puis 2,000.00 et 2000.0")], "id long, t string")
     none = spark.createDataFrame([], "report long, path string, value double")
-    assert [r.why for r in verify.verified(verify.numbers(d, "id", "t"), none).orderBy("position").collect()] == ["year", None, None, "year"]
+    why = lambda **o: [r.why for r in verify.verified(verify.numbers(d, "id", "t"), none, **o).orderBy("position").collect()]
+    assert why() == ["year"] * 4 and why(cents_count=True) == ["year", None, None, "year"]
 
 
 def test_words(spark):
@@ -98,7 +99,7 @@ def test_mapping_price_beside_quantity():
     assert m.columns["unit_price"] == "Price" and "revenue" not in m.columns
     assert m.missing_required == ["revenue"] and mapping.questions(m)[0] == ("revenue", "high", None)
     assert mapping.derivations(m) == [("product", ("Quantity", "Price"))]
-    assert "revenue_by_region" not in m.analyses
+    assert "geographic_split" not in m.analyses and "revenue" in m.unavailable["geographic_split"]
 
 
 def test_mapping_keeps_item_sequence_out_of_quantity():
