@@ -78,7 +78,13 @@ def binned(df: DataFrame, d: Dimension) -> DataFrame:
     lo, hi = df.agg(F.min(d.column), F.max(d.column)).first()
     if lo is None or lo == hi:
         return df
-    return df.withColumn(d.column, F.least(F.width_bucket(F.col(d.column).cast("double"), F.lit(float(lo)), F.lit(float(hi)), F.lit(d.bins)), F.lit(d.bins)))
+    return df.withColumn(d.column, _bin(d, float(lo), float(hi)))
+
+
+def _bin(d: Dimension, lo: float, hi: float) -> Column:
+    """The number of the bin of a value, the largest one in the last; null for none."""
+    x = F.col(d.column).cast("double")
+    return F.when(x.isNotNull(), F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(d.bins)), F.lit(d.bins)))
 
 
 def aggregate(c: Column, how: str) -> Column:
@@ -128,7 +134,7 @@ def _expanded(df: DataFrame, specs: list[Spec]) -> DataFrame:
         lo, hi = ranges.get((d.column, d.bins, s.filters), (None, None))
         if lo is None or lo == hi:
             return key(d)
-        return F.least(F.width_bucket(F.col(d.column).cast("double"), F.lit(lo), F.lit(hi), F.lit(d.bins)), F.lit(d.bins)).cast("string")
+        return _bin(d, lo, hi).cast("string")
 
     cells = []
     for k, s in enumerate(specs):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from tallymark.functions import text as X
 from tallymark.operators import execute, profile, quality, report, stats, verify
 from tallymark.operators.clean import Cleaner
 from tallymark.plans import mapping
-from tallymark.plans.spec import Dimension, Spec, validate
+from tallymark.plans.spec import Dimension, Filter, Spec, validate
 from tallymark.sources import scan as S
 
 DAY = dt.datetime(2024, 1, 1)
@@ -258,3 +259,128 @@ def test_charts_and_extremes(spark):
 def test_compact_numbers(spark):
     df = spark.createDataFrame([(1234567.0,), (45600.0,), (12.0,)], "x double")
     assert [r[0] for r in df.select(X.compact(F.col("x"))).collect()] == ["1.2M", "46k", "12"]
+
+
+def test_copies_of_one_row(spark):
+    """One row copied many times, null keys and near copies, against windows over all rows."""
+    rows = [(k, "same" if k < 3000 else f"x{k % 7}" if k % 3 else None, k % 2 if k >= 3000 else 0, k % 5 if k >= 3500 else 0) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id int, a string, b int, c int")
+    exact, near = [], []
+    seen_row, seen_key = set(), set()
+    for r in rows:
+        if r[1:] in seen_row:
+            exact.append(r)
+        elif r[1:3] in seen_key:
+            near.append(r)
+        seen_row.add(r[1:])
+        seen_key.add(r[1:3])
+    assert sorted(map(tuple, quality.exact_duplicates(df, "id").collect())) == exact
+    assert sorted(map(tuple, quality.near_duplicates(df, ["a", "b"], "id").collect())) == near
+    assert sorted(map(tuple, quality.one_of_each(df, ["a", "b"], "id").collect())) == sorted(r for r in rows if r not in set(exact) | set(near))
+    for d in (quality.exact_duplicates(df, "id"), quality.near_duplicates(df, ["a", "b"], "id")):
+        assert "Window" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pareto_by_brute_force(spark):
+    for values in ([5.0] * 50, [0.0] * 9, [1.0, -1.0, 3.0, -3.0], [-2.0, -2.0, -5.0, -1.0], [10.0] * 5, [4.0, 4.0, 1.0, -3.0, -3.0, 0.0, 0.0], [7.0, 1.0], [1e-3 * k for k in range(600)]):
+        agg = spark.createDataFrame([(f"g{k:04}", v, 1) for k, v in enumerate(values)], "dim0 string, value double, n_rows long")
+        r, down, total = stats.pareto(agg).first(), sorted(values, reverse=True), sum(values)
+        assert r.n_groups == len(values)
+        if len(values) < 3 or not total:
+            assert (r.top20_share_pct, r.top1_share_pct, r.n_for_80pct) == (None, None, None)
+            continue
+        assert r.top20_share_pct == pytest.approx(100 * sum(down[: max(1, len(down) // 5)]) / total) and r.top1_share_pct == pytest.approx(100 * down[0] / total)
+        assert r.n_for_80pct == sum(sum(down[: k + 1]) / total <= 0.8 for k in range(len(down))) + 1, values
+
+
+def test_short_series_have_no_trend(spark):
+    agg = lambda n: spark.createDataFrame([(f"2020-0{k}", float(k), 5) for k in range(1, n + 1)], "dim0 string, value double, n_rows long")
+    two, three = stats.trend(agg(2)).first(), stats.trend(agg(3)).first()
+    assert (two.first_value, two.change_pct, two.slope, two.r2, two.direction) == (None,) * 5
+    assert three.slope == pytest.approx(1.0) and three.direction == "hausse"
+
+
+def test_all_specs_of_a_plan_from_one_scan(spark):
+    rows = [(f"k{k % 5}" if k % 9 else None, f"c{k % 3}", float(k % 17) if k % 13 else None, k % 40) for k in range(900)]
+    df = spark.createDataFrame(rows, "a string, b string, x double, who int")
+    d = Dimension
+    specs = [Spec("x", how, (d("a"),), title=how) for how in ("sum", "mean", "median", "count", "min", "max", "std")]
+    specs += [Spec("who", "count_distinct", (d("a"), d("b")), title="who"), Spec("x", "median", (d("b"),), (Filter("a", "eq", "k1"),), title="f"), Spec("who", "sum", (d("x", "numeric_binned", bins=4),), title="bins"), Spec("x", "sum", (d("a"),), (Filter("x", "gt", 3), Filter("absent", "eq", 1)), title="gt")]
+    parts = execute.aggregated(df, specs)
+    key = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    for k, s in enumerate(specs):
+        got, want = execute.of_spec(parts, specs, k), execute.grouped(df, s)
+        assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.collect())), s.title
+        assert tuple(execute.coverage_of(parts, k).first()) == tuple(execute.coverage(df, s).first()), s.title
+    plan = execute.aggregated(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), [Spec("o_totalprice", h, (d("o_orderpriority"),)) for h in ("sum", "median", "std")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "o_comment" not in plan
+
+
+def test_profiles_read_the_table_once(spark, tmp_path):
+    rows = [(k, f"v{k % 4}" if k % 5 else "N/A", float(k % 7), f"{k % 28 + 1:02d}/03/2024", "y" * 2000 + str(k % 2)) for k in range(200)]
+    spark.createDataFrame(rows, "id int, kind string, amount double, day string, long_text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    columns, values = profile.profiled(df)
+    by = {p.name: p for p in columns}
+    assert (by["kind"].n_unique, by["kind"].n_present, by["kind"].role, by["long_text"].n_unique, by["amount"].median) == (4, 160, "categorical", 2, 3.0)
+    assert by["day"].type == "datetime" and by["long_text"].top and len(by["long_text"].top[0]) == 2001
+    assert values.groupBy("c").count().count() == 5
+    assert profile.table(df.limit(0))[0].n == 0
+
+
+def test_issue_details_and_first_rows(spark):
+    rows = [(k, "Paris" if k % 4 else "paris", -5.0 if k % 10 == 0 else 20.0 + k % 3, "annulé" if k % 8 == 0 else "livré", f"C{k % 30}") for k in range(120)]
+    df = spark.createDataFrame(rows, "no int, city string, amount double, status string, who string")
+    found = {i.id: i for i in quality.diagnose(df, {"revenue": "amount", "order_status": "status", "customer_id": "who"}, "no", "2030-01-01")}
+    assert found["M01_negative"].samples == tuple(range(0, 100, 10)) and found["M01_negative"].details == {"total": -60.0}
+    assert found["X02_cancelled_orders"].samples == tuple(range(0, 80, 8)) and found["X02_cancelled_orders"].details == {"statuses": ["annulé"]}
+    assert found["X02_cancelled_orders"].options == ("separate", "exclude", "keep")
+    assert found["C02_case_variants"].details == {"groups": {"Paris": ["Paris", "paris"]}} and found["C02_case_variants"].samples == tuple(range(0, 40, 4))
+    shown = {r.id: r for r in quality.details_frame(spark, list(found.values())).collect()}
+    assert shown["M01_negative"].samples[:2] == ["0", "10"] and json.loads(shown["C02_case_variants"].details)["groups"]
+
+
+def test_log_of_a_replay_is_that_of_its_steps(spark):
+    rows = [(k, [" Paris", "paris", "Paris", "Lyon", "Lyn"][k % 5], -1.0 if k % 11 == 0 else 0.0 if k % 13 == 0 else 1e6 if k == 77 else 10.0 + k % 4, "annulé" if k % 17 == 0 else "livré", "2024-01-01") for k in range(200)]
+    rows += [(1000 + k, *rows[k][1:]) for k in range(50)]
+    df = spark.createDataFrame(rows, "no int, city string, amount double, status string, day string")
+    choose = {"X02_cancelled_orders": "exclude", "D01_exact_duplicates": "remove", "D02_id_duplicates": "remove_duplicates", "C01_whitespace": "trim", "C02_case_variants": "merge", "C04_near_duplicates": "merge", "M03_extreme_outliers": "exclude", "M01_negative": "exclude", "M02_zero_values": "exclude", "N01_critical_missing": "exclude"}
+    c = Cleaner(df, "no", "amount", "day", "status", decisions=dict(choose))
+    got = c.entries()
+    d, want = df, []
+    for name, step in c.steps():
+        what = step(d)
+        after = c._applied(d, what)
+        a = {r.no: r for r in d.collect()}
+        b = {r.no: r for r in after.collect()}
+        want.append((name, len(a), len(b), sum(str(a[k][x]) != str(b[k][x]) for k in b for x in b[k].asDict() if not (name == "T00_parse_dates" and x == "day")) + (len(b) if name == "T00_parse_dates" else 0)))
+        d = after
+    assert [(e.issue, e.before, e.after, e.changed) for e in got] == want and len({e.mark for e in got}) > 5
+    assert sorted(r.no for r in c.result().collect()) == sorted(b)
+    with pytest.raises(ValueError, match="no step"):
+        c.set_decision("T06_insufficient_span", "exclude")
+
+
+def test_many_labels_by_brute_force(spark):
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcde") for _ in range(rnd.choice((4, 7, 8, 12, 39, 44, 60)))) for _ in range(150)]
+
+    def edited(s: str) -> str:
+        for _ in range(rnd.randrange(3)):
+            k = rnd.randrange(len(s) + 1)
+            s = rnd.choice((s[:k] + rnd.choice("abcde") + s[k:], s[:k] + s[k + 1 :], s[:k] + rnd.choice("abcde") + s[k + 1 :]))
+        return s
+
+    labels = sorted({*base, *map(edited, base), *map(edited, base)})
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :] if abs(len(a) - len(b)) <= 2 and (1 == (d := distance(a, b)) or d == 2 and min(len(a), len(b)) >= 8)}
+    got = quality.near_labels(spark.createDataFrame([(x,) for x in labels], "c string"), "c", 10**6)
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 100
