@@ -175,13 +175,17 @@ def resolved(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
     Null html is an empty payload. Among equal payloads the largest page_id is
     the response (all rows that have it, if rows repeat); null ids never are,
-    unless no other id has the payload.
+    unless no other id has the payload. Which page a row revisits is found
+    from ids and digests alone; payloads are then joined with it by id and
+    digest, so that a payload of many pages is no hot key.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= min_revisit
-    latest = p.where(large).groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    out = p.join(latest, "digest", "left")
-    return out.select("page_id", "url", "payload", "digest", F.when(large & ~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")).alias("refers_to"))
+    large = p.where(F.octet_length("payload") >= min_revisit).select("page_id", "digest")
+    each = large.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    latest = each.groupBy("digest").agg(F.max("page_id").alias("latest"), F.sum("n").alias("n")).where("n > 1 AND latest IS NOT NULL").drop("n")
+    refs = stored(each.join(latest, "digest").where(~F.col("page_id").eqNullSafe(F.col("latest"))).select(F.col("page_id").alias("own"), F.col("digest").alias("own_digest"), F.col("latest").alias("refers_to")), "warc-revisits")
+    out = p.join(refs, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("own_digest")), "left")
+    return out.select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def _binary_files(df: DataFrame, path: str, last: str) -> None:
