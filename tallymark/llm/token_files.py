@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymark.llm.common import all_open, contents, listed, mix64, new_path, opened, small_batches, stored, table, text_slices
+from tallymark.llm.ranges import range_reader
 from tallymark.llm.token_ids import encoder
 
 MAGIC = b"TALLYID1"
@@ -176,14 +177,20 @@ class Shard:
         return None if k < 0 or self.keys[k] != key else self.ids[self.offsets[k] : self.offsets[k + 1]]
 
 
+def _head(data: bytes) -> tuple[int, int, int, int, int, int, int]:
+    """shard_no, n_docs, n_ids, n_keys, n_buckets, width, seed."""
+    magic, *rest = HEADER.unpack(data)
+    if magic != MAGIC:
+        raise ValueError("not a shard")
+    return tuple(rest)
+
+
 class RemoteShard:
     """A shard file of which ``read(offset, length)`` fetches ranges."""
 
     def __init__(self, read):
         self.read = read
-        magic, self.shard_no, self.n, n_ids, self.n_keys, self.n_buckets, self.width, self.seed = HEADER.unpack(read(0, HEADER.size))
-        if magic != MAGIC:
-            raise ValueError("not a shard")
+        self.shard_no, self.n, _, self.n_keys, self.n_buckets, self.width, self.seed = _head(bytes(read(0, HEADER.size)))
         sizes = [HEADER.size, 8 * self.n, self.n, 8 * (self.n + 1), 4 * self.n_buckets, 4 * self.n_keys, 4 * self.n_keys]
         self.keys, self.null_keys, self.offsets, self.displacements, self.fingerprints, self.ordinals, self.ids = np.cumsum(sizes).tolist()
 
@@ -270,17 +277,33 @@ def write_directory(spark: SparkSession, path: str) -> None:
                 with opened(name) as f:
                     yield row(name, lambda at, n: f.read_at(n, at))  # noqa: B023
 
-    def by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                view = memoryview(content.as_buffer())
-                yield row(name, lambda at, n: view[at : at + n])  # noqa: B023
-
     files = listed(spark, path)
-    rows = files.select("path").mapInArrow(by_range, _DIRECTORY) if all_open(files) else contents(spark, path).mapInArrow(by_content, _DIRECTORY)
+    rows = files.select("path").mapInArrow(by_range, _DIRECTORY) if all_open(files) else _ranges_by_spark(spark, files)
     rows.repartitionByRange("first", "last").sortWithinPartitions("first", "last", "file").write.parquet(path + "-directory")
 
 
+def _ranges_by_spark(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The rows of the directory where only Spark opens the store: of each shard its head, then its keys, which are one range with their null marks."""
+    read = range_reader(spark)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [_head(x) for x in batch.column("head").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "n": pa.array([h[1] for h in heads], pa.int64()), "n_keys": pa.array([h[3] for h in heads], pa.int64())})
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, n, data in zip(*(batch.column(c).to_pylist() for c in ("path", "n", "data")), strict=True):
+                keys, nulls = np.frombuffer(data, "<i8", n), int(np.frombuffer(data, np.uint8, n, 8 * n).sum())
+                rows.append((int(keys[nulls]), int(keys[-1]), name))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["first", "last", "file"])
+
+    heads = files.select("path", read(F.col("path"), F.lit(0).cast("long"), F.lit(HEADER.size).cast("long")).alias("head"))
+    known = heads.mapInArrow(places, "path string, n long, n_keys long").where("n_keys > 0")
+    return known.select("path", "n", read(F.col("path"), F.lit(HEADER.size).cast("long"), F.col("n") * 9).alias("data")).mapInArrow(ends, _DIRECTORY)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the shards under ``path``: doc_id, start, n_tokens, ids_crc32.
 
@@ -328,7 +351,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndar
 
     The directory's statistics lead to the shards that can hold a key, one
     unless an id's repeats go over several; of each shard only ranges are
-    read. Where Python can't open the store, Spark reads those shards whole.
+    read, by a small Spark job each where Python can't open the store.
     """
     out: dict[int, np.ndarray | None] = dict.fromkeys(keys)
     if not out:
@@ -336,8 +359,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndar
     can_hold = reduce(or_, [(F.col("first") <= k) & (F.col("last") >= k) for k in out])
     for r in spark.read.schema(_DIRECTORY).parquet(path + "-directory").where(can_hold).orderBy("first", "last", "file").collect():
         f = opened(r.file)
-        content = None if f else contents(spark, r.file).first().content
-        shard = RemoteShard((lambda at, n: f.read_at(n, at)) if f else (lambda at, n: content[at : at + n]))  # noqa: B023
+        shard = RemoteShard((lambda at, n: f.read_at(n, at)) if f else _reader(spark, r.file))  # noqa: B023
         for k in out:
             if out[k] is None and r.first <= k <= r.last:
                 out[k] = shard.get(k)
@@ -346,6 +368,12 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndar
     return out
 
 
+def _reader(spark: SparkSession, file: str):
+    """``read(offset, length)`` of a file, each a job of one row."""
+    read = range_reader(spark)
+    return lambda at, n: spark.range(1).select(read(F.lit(file), F.lit(int(at)).cast("long"), F.lit(int(n)).cast("long"))).first()[0]
+
+
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path)
