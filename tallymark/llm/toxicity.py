@@ -360,17 +360,22 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS, m
     """Learns from a bounded sample of labelled documents, whose texts come to the driver.
 
     Null texts count as empty, null labels and ids are left out, and repeated
-    ids bring each of their rows. A text that would pass ``max_bytes`` is left
-    out, as are those after it in the order of hashes. Without labels every
-    score is one half.
+    ids bring each of their rows. Documents are taken in the order of hashes
+    until ``max_bytes`` are full; ids whose texts hold more than an eighth of
+    that are passed over, so that one long text doesn't keep all others out.
+    Without labels every score is one half.
     """
     sample = labelled_sample(docs, labels, "toxic", learn, max_rows)
     # Two numbers of at most ``max_rows`` documents, then the texts that fit.
     sizes = sample.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.first(F.xxhash64("doc_id")).alias("h")).toArrow()
+    n = sizes.column("n").to_numpy()
     order = np.lexsort((sizes.column("doc_id").to_numpy(), sizes.column("h").to_numpy()))
-    total = np.cumsum(sizes.column("n").to_numpy()[order])
-    last = order[np.searchsorted(total, max_bytes, side="right") - 1] if len(order) and total[0] <= max_bytes else None
-    fits = F.lit(False) if last is None else F.xxhash64("doc_id") <= F.lit(sizes.column("h")[int(last)].as_py())
+    order = order[n[order] <= max_bytes // 8]
+    kept = order[: np.searchsorted(np.cumsum(n[order]), max_bytes, side="right")]
+    long_ones = sizes.filter(pa.array(n > max_bytes // 8)).column("doc_id").to_pylist()
+    fits = F.xxhash64("doc_id") <= F.lit(sizes.column("h")[int(kept[-1])].as_py()) if len(kept) else F.lit(False)
+    if long_ones:
+        fits = fits & ~F.col("doc_id").isin(long_ones)
     got = sample.where(fits).select("doc_id", "y", "text").toArrow()
     got = got.take(np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy())))
     toxic, texts = got.column("y").to_numpy().astype(np.int64), [x or "" for x in got.column("text").to_pylist()]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import merkle, weighted_kmeans, winnowing
+from tallymark.llm import merkle, token_files, toxicity, warc, weighted_kmeans, winnowing
 from tallymark.llm.common import mix64
 
 SF = "/root/testdata/sf0.001"
@@ -254,3 +254,45 @@ def test_levels_are_kept_in_order(spark):
     for x in t.levels[1:]:
         for rows in x.select("at", F.spark_partition_id().alias("p")).toPandas().groupby("p")["at"]:
             assert rows[1].is_monotonic_increasing
+
+
+# Stores that only Spark reads, hot payloads and long texts
+
+
+def test_lookups_of_ids_on_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    """Directory and lookups go by ranges there too: no shard is read as a whole."""
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 40)
+    monkeypatch.setattr(token_files, "contents", None)  # whole files
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tallyids.link./ids", f"file://{tmp_path}")
+    rows = [(k * 3, f"text number {k} " * (k % 5)) for k in range(200)] + [(None, "lost"), (30, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = "viewfs://tallyids/ids/shards"
+    token_files.write_ids(docs, path)
+    assert not token_files.all_open(token_files.listed(spark, path)) and token_files.listed(spark, path).count() > 4
+    got = token_files.lookup(spark, path, [0, 30, 597, 31, -5])
+    token_files.write_ids(docs, f"file://{tmp_path}/own")
+    want = token_files.lookup(spark, f"file://{tmp_path}/own", [0, 30, 597, 31, -5])
+    assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or (got[k] == want[k]).all()) for k in got)
+    assert [k for k, x in got.items() if x is None] == [31, -5]
+    ends = lambda p: sorted((r.first, r.last) for r in spark.read.schema(token_files._DIRECTORY).parquet(p + "-directory").collect())
+    assert ends(path) == ends(f"file://{tmp_path}/own")
+
+
+def test_payloads_of_many_pages(spark):
+    rows = [(k, "u", "x" * 1500 if k % 3 else f"{k}" * 1500) for k in range(300)] + [(None, "u", "x" * 1500), (299, "u", "x" * 1500), (298, "u", "x" * 1500), (7, "u", None), (500, "u", "y" * 20), (501, "u", "y" * 20)]
+    got = sorted((r.page_id if r.page_id is not None else -1, len(r.payload), r.refers_to) for r in warc.resolved(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    latest = max(k for k, _, t in rows if k is not None and t == "x" * 1500)
+    assert got == sorted((-1 if k is None else k, len(t or ""), latest if t == "x" * 1500 and k != latest else None) for k, _, t in rows)
+
+
+def test_one_long_text_keeps_no_other_out(spark):
+    """The first text in the order of hashes is larger than the sample may be; the others are learned from."""
+    ids = [r.k for r in spark.range(200).select(F.col("id").alias("k")).orderBy(F.xxhash64("id")).collect()]
+    bad, good = "you utter zorgblat go away now zorgblat", "the harvest was good this year and all were glad"
+    rows = [(k, bad if k % 4 == 0 else good) for k in ids]
+    rows[0] = (ids[0], good * 20_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels, lambda k: F.lit(True), max_bytes=100_000)
+    got = {r.doc_id: r.score for r in toxicity.tag(docs.where(F.length("text") < 1000), model).collect()}
+    assert all((s >= 0.5) == (k % 4 == 0) for k, s in got.items())
