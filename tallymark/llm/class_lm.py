@@ -48,8 +48,6 @@ HELD_WORDS = 1 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = xxhash.xxh3_64_intdigest(b"")
-END_UNIT = FORMS + HEAD_WORDS
-UNITS = END_UNIT + 1
 #: In place of a class: the word has that of its form.
 BY_FORM = 255
 
@@ -161,8 +159,8 @@ class _Sums:
         self.parts, self.held = [], 0
 
 
-def counted(tokens: DataFrame, n_buckets: int) -> DataFrame:
-    """A row for each bucket with learning words: hashes, totals, sums, and its most frequent words of ``MIN_COUNT`` or more."""
+def counted(tokens: DataFrame, n_buckets: int, head_words: int, min_count: int) -> DataFrame:
+    """A row for each bucket with learning words: hashes, totals, sums, and its most frequent words of ``min_count`` or more."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
@@ -173,9 +171,9 @@ def counted(tokens: DataFrame, n_buckets: int) -> DataFrame:
 
     def out(bucket: int, s: _Sums) -> pa.RecordBatch:
         s.merge()
-        top = np.flatnonzero((s.totals >= MIN_COUNT) & (s.hashes != np.uint64(END)))
-        top = top[np.lexsort((s.hashes[top], -s.totals[top]))[:HEAD_WORDS]]
-        rare = np.bincount(s.forms[(s.totals < MIN_COUNT) & (s.hashes != np.uint64(END))], minlength=FORMS)
+        top = np.flatnonzero((s.totals >= min_count) & (s.hashes != np.uint64(END)))
+        top = top[np.lexsort((s.hashes[top], -s.totals[top]))[:head_words]]
+        rare = np.bincount(s.forms[(s.totals < min_count) & (s.hashes != np.uint64(END))], minlength=FORMS)
         values = [bucket, s.hashes.astype("<u8").tobytes(), s.totals.astype("<u8").tobytes(), int(s.totals.sum()), len(s.hashes), rare.tolist(), s.hashes[top].view(np.int64).tolist(), s.totals[top].tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
@@ -201,7 +199,8 @@ class Head:
 
     def __init__(self, hashes: np.ndarray):
         """``hashes``: the head words by falling frequency."""
-        units = np.append(FORMS + np.arange(len(hashes)), END_UNIT)
+        self.end = FORMS + len(hashes)
+        units = np.append(FORMS + np.arange(len(hashes)), self.end)
         hashes = np.append(hashes, np.uint64(END)).astype(np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.units = hashes[order], units[order]
@@ -217,22 +216,23 @@ class Head:
 
 def unit_bigrams(tokens: DataFrame, head: Head) -> np.ndarray:
     """Counts [before, unit] over all learning texts; each text follows an end mark."""
+    units = head.end + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(UNITS * UNITS, np.int64)
+        sums = np.zeros(units * units, np.int64)
         for r in _rows(batches):
             u = head.of(_u64(r["hashes"]), np.frombuffer(r["forms"], np.uint8))[_from_planes(r["codes"])]
-            before = np.concatenate([[END_UNIT], u[:-1]])
+            before = np.concatenate([[head.end], u[:-1]])
             keep = np.repeat(~np.array(r["held"], bool), r["sizes"])
-            sums += np.bincount((before * UNITS + u)[keep], minlength=UNITS * UNITS)
+            sums += np.bincount((before * units + u)[keep], minlength=units * units)
         some = np.flatnonzero(sums)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
 
     rows = tokens.select("codes", "hashes", "forms", "sizes", "held").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(UNITS * UNITS)
+    out = np.zeros(units * units)
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
-    return out.reshape(UNITS, UNITS)
+    return out.reshape(units, units)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -306,16 +306,16 @@ def favoured(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> np.ndar
     return gain.argmax(1)
 
 
-def assigned(tokens: DataFrame, counts: DataFrame, n_buckets: int, head: Head, cls: np.ndarray, bigrams: np.ndarray) -> DataFrame:
+def assigned(tokens: DataFrame, counts: DataFrame, n_buckets: int, head: Head, cls: np.ndarray, bigrams: np.ndarray, min_count: int) -> DataFrame:
     """A row for each bucket: hashes, totals and classes of its learning words, and how many words each class took.
 
     Words of the head have the class that exchange gave them, words of fewer
-    than ``MIN_COUNT`` tokens ``BY_FORM``, all others that of their neighbours.
+    than ``min_count`` tokens ``BY_FORM``, all others that of their neighbours.
     """
-    hot = np.zeros((UNITS, CLASSES))
-    hot[np.arange(UNITS), cls] = 1
+    hot = np.zeros((len(cls), CLASSES))
+    hot[np.arange(len(cls)), cls] = 1
     matrix = hot.T @ bigrams @ hot
-    end = int(cls[END_UNIT])
+    end = int(cls[head.end])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
@@ -347,7 +347,7 @@ def assigned(tokens: DataFrame, counts: DataFrame, n_buckets: int, head: Head, c
                 if state:
                     yield out(*state)
                 h, totals = _u64(r["hashes"]), _u64(r["counts"]).astype(np.int64)
-                some = np.flatnonzero((totals >= MIN_COUNT) & ~head.own(h))
+                some = np.flatnonzero((totals >= min_count) & ~head.own(h))
                 state = (r["bucket"], h, totals, some, np.zeros((len(some), 2 * CLASSES)))
                 continue
             _, h, _, some, sums = state
@@ -470,10 +470,12 @@ class ClassModel:
         return self.transition[before, cls] - self.total[cls]
 
 
-def score(docs: DataFrame, held) -> DataFrame:
+def score(docs: DataFrame, held, head_words: int = HEAD_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
-    Learns from rows where ``held(doc_id)`` is false. Null and empty texts are
+    Learns from rows where ``held(doc_id)`` is false. ``head_words`` are
+    clustered by exchange on the driver, which holds their bigrams as a square
+    table; words of ``min_count`` tokens or more then get a class of their own. Null and empty texts are
     the end mark alone; very long texts are one row like any other. Repeated
     rows count and are scored as often as they occur; a null id counts as held
     out. Without learning rows all counts are zero and the priors decide. An
@@ -485,23 +487,23 @@ def score(docs: DataFrame, held) -> DataFrame:
     tokens = tokenised(given)
     n_words, n_batches = tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
     n_buckets = max(LEAST_BUCKETS, -(-(n_words or 0) // BUCKET_WORDS))
-    counts = counted(tokens, n_buckets)
+    counts = counted(tokens, n_buckets, head_words, min_count)
     total, vocabulary = (int(x or 0) for x in counts.agg(F.sum("n_tokens"), F.sum("n_words")).first())
     rare = np.zeros(FORMS, np.int64)
     by_form = counts.select(F.posexplode("rare")).groupBy("pos").agg(F.sum("col").alias("n")).toArrow()
     rare[by_form.column("pos").to_numpy()] = by_form.column("n").to_numpy()
-    top = counts.select(F.inline(F.arrays_zip("top", "top_n"))).orderBy(F.desc("top_n"), "top").limit(HEAD_WORDS).toArrow()
+    top = counts.select(F.inline(F.arrays_zip("top", "top_n"))).orderBy(F.desc("top_n"), "top").limit(head_words).toArrow()
     head = Head(top.column("top").to_numpy().view(np.uint64))
     bigrams = unit_bigrams(tokens, head)
     cls = exchange(bigrams)
-    known = assigned(tokens, counts, n_buckets, head, cls, bigrams)
+    known = assigned(tokens, counts, n_buckets, head, cls, bigrams, min_count)
     dropped(counts)
     distinct = np.bincount(cls[:FORMS], rare, CLASSES)
     for r in known.select(F.posexplode("took")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         distinct[r.pos] += r.n
     texts = classed(tokens, answered(tokens, known, n_buckets, cls[:FORMS]), n_batches, total, vocabulary)
     dropped(tokens, known)
-    end = int(cls[END_UNIT])
+    end = int(cls[head.end])
     model = ClassModel(class_bigrams(texts, end), distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

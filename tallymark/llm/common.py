@@ -59,6 +59,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def removed_at_end(spark: SparkSession, *paths: str) -> None:
+    """Has files that a result is read from go when the program ends, while the session still runs then."""
+    _LEFT.update(dict.fromkeys(paths, spark))
+
+
 def dropped(*frames: DataFrame) -> None:
     """Removes the files of ``stored`` frames that nothing reads any more."""
     for df in frames:

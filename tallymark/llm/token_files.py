@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallymark.llm.common import all_open, contents, listed, mix64, new_path, opened, small_batches, stored, table, text_slices
+from tallymark.llm.common import all_open, contents, listed, mix64, new_path, opened, removed_at_end, small_batches, stored, table, text_slices
 from tallymark.llm.ranges import range_reader
 from tallymark.llm.token_ids import encoder
 
@@ -376,5 +376,6 @@ def _reader(spark: SparkSession, file: str):
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
+    removed_at_end(spark, path, path + "-directory")
     write_ids(table(spark, sf_dir, "documents"), path)
     return read_ids(spark, path)

@@ -94,19 +94,23 @@ class _Texts:
 
 
 def marked_words(names: list[str], t: _Texts, toxic: np.ndarray) -> np.ndarray:
-    """Which words have themselves or a start of them almost only in toxic documents; names are by code."""
+    """Which words have themselves or a start of them almost only in toxic documents, or twice or more almost only there; names are by code."""
     counts = np.fromiter((len(_starts(w)) for w in names), np.int64, len(names))
     _, start_no = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s.encode()) for w in names for s in _starts(w)), np.uint64, int(counts.sum())), return_inverse=True)
     first = np.cumsum(counts) - counts
     ends = np.searchsorted(t.doc, np.arange(len(toxic) + 1))
-    seen = np.zeros((2, start_no.max(initial=-1) + 1), np.int64)
+    seen = np.zeros((2, 2, start_no.max(initial=-1) + 1), np.int64)  # [once or more, twice or more][clean, toxic]
     for y, a, b in zip(toxic.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        own = np.unique(t.codes[a:b])
-        seen[y, np.unique(start_no[ragged(first[own], counts[own])])] += 1
+        own, n = np.unique(t.codes[a:b], return_counts=True)
+        starts = start_no[ragged(first[own], counts[own])]
+        here, place = np.unique(starts, return_inverse=True)
+        total = np.bincount(place, np.repeat(n, counts[own]), len(here))
+        seen[0, y, here] += 1
+        seen[1, y, here[total >= 2]] += 1
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-    by_chance = np.log(20 * max(1, int((seen[1] > 0).sum()))) / -np.log(share)
+    by_chance = np.log(20 * max(1, int((seen[0, 1] > 0).sum()))) / -np.log(share)
     for least in (max(MIN_TOXIC, by_chance), MIN_TOXIC):  # the second for few labels
-        found = (seen[1] >= least) & (seen[1] >= MIN_SHARE * seen.sum(0))
+        found = ((seen[:, 1] >= least) & (seen[:, 1] >= MIN_SHARE * seen.sum(1))).any(0)
         if found.any():
             break
     return np.add.reduceat(found[start_no], first) > 0 if len(names) else np.zeros(0, bool)

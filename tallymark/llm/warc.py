@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import all_open, contents, let, listed, new_path, opened, small_batches, sorted_groups, stored, table, text_slices
+from tallymark.llm.common import all_open, contents, let, listed, new_path, opened, removed_at_end, small_batches, sorted_groups, stored, table, text_slices
 from tallymark.llm.ranges import range_reader
 
 MIN_REVISIT = 1000
@@ -596,6 +596,7 @@ def url_keys(pages: DataFrame) -> DataFrame:
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archives, index = new_path(spark, "warc"), new_path(spark, "cdx")
+    removed_at_end(spark, archives, index, index + "-top")
     write_archives(pages, archives)
     write_index(captures(spark, archives), index)
     found = stored(lookup(spark, index, url_keys(pages)), "warc-captures")

@@ -355,14 +355,11 @@ def test_class_lm_score_by_brute_force(spark, monkeypatch):
     words = [f"w{i}" for i in range(120)]
     texts = {k: " ".join(rng.choice(words[: 40 if k % 2 else 120], 60)) for k in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    monkeypatch.setattr(class_lm, "HEAD_WORDS", 30)
-    monkeypatch.setattr(class_lm, "END_UNIT", class_lm.FORMS + 30)
-    monkeypatch.setattr(class_lm, "UNITS", class_lm.FORMS + 31)
     seen = {}
     classed = class_lm.classed
     monkeypatch.setattr(class_lm, "classed", lambda *a: seen.setdefault("texts", classed(*a)))
     held = lambda k: k % 5 == 0
-    got = {r.doc_id: r for r in class_lm.score(df, held).collect()}
+    got = {r.doc_id: r for r in class_lm.score(df, held, head_words=30, min_count=4).collect()}
     tokens = {k: [*class_lm.words(t), b""] for k, t in texts.items()}
     classes = {}
     for r in seen["texts"].collect():
