@@ -79,8 +79,13 @@ def basket_erosion(agg: DataFrame) -> DataFrame:
     return _found(d, "basket_erosion", 0.8, change_pct=F.col("change_pct"), first=F.col("first_value"), last=F.col("last_value"))
 
 
+def orders_per_customer(df: DataFrame, order: str, customer: str) -> DataFrame:
+    """One row: distinct orders, distinct customers, and orders over customers (null without customers)."""
+    return df.agg(F.count_distinct(order).alias("orders"), F.count_distinct(customer).alias("customers")).withColumn("ratio", F.try_divide("orders", "customers"))
+
+
 def single_purchase(df: DataFrame, order: str, customer: str, below: float = 1.3) -> DataFrame:
-    d = df.agg(F.count_distinct(order).alias("orders"), F.count_distinct(customer).alias("customers")).withColumn("ratio", F.try_divide("orders", "customers"))
+    d = orders_per_customer(df, order, customer)
     return _found(d.where(F.col("ratio") < below), "single_purchase_dominance", 0.85, orders=F.col("orders"), customers=F.col("customers"), orders_per_customer=F.round("ratio", 2))
 
 

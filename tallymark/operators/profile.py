@@ -307,6 +307,21 @@ def simple_role(n: int, n_unique: int) -> str:
     return "identifier" if n and n_unique / n > 0.9 else "categorical" if n_unique <= 200 else "high_cardinality"
 
 
+def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, n_unique, n): distinct values that aren't null, and rows, of columns of any type, from one scan and one shuffle."""
+    place = {k: f for k, f in enumerate(df.select(*[f"`{c}`" for c in names]).schema)}
+    d = value_counts(df, [_as_text(f) for f in place.values()])
+    d = d.groupBy("c").agg(F.count_if(F.col("v").isNotNull() | F.col("long").isNotNull()).alias("n_unique"), F.sum("n").alias("n"))
+    return d.select(F.element_at(F.array(*map(F.lit, names)), F.col("c") + 1).alias("column"), "n_unique", "n")
+
+
+def simple_roles(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, n_unique, role) by the number of distinct values alone."""
+    u = F.col("n_unique")
+    role_ = F.when(F.try_divide(u, F.col("n")) > 0.9, "identifier").when(u <= 200, "categorical").otherwise("high_cardinality")
+    return distinct_counts(df, names).select("column", "n_unique", role_.alias("role"))
+
+
 def sampling_error(df: DataFrame, names: list[str], fraction: float, seed: int = 0) -> DataFrame:
     """column, distinct share and null share over all rows and over a sample of them, and their distances: what sampling would do to roles."""
     def shares(d: DataFrame, what: str) -> DataFrame:
@@ -323,8 +338,8 @@ def strategies(df: DataFrame, names: list[str], order: str, head: int = 20_000)
     The head is the feature that is judged here; nothing else reads it.
     """
     def roles_of(d: DataFrame) -> dict[str, str]:
-        r = d.agg(F.count(F.lit(1)), *[F.count_distinct(c) for c in names]).first()
-        return {c: simple_role(r[0], k) for c, k in zip(names, r[1:], strict=True)}
+        found = {r.column: r.role for r in simple_roles(d, names).collect()}
+        return {c: found.get(c, simple_role(0, 0)) for c in names}
 
     true, part = roles_of(df), roles_of(df.orderBy(order).limit(head))
     rows = []
@@ -332,3 +347,49 @@ def strategies(df: DataFrame, names: list[str], order: str, head: int = 20_000)
         wrong = [c for c in names if found[c] != true[c]]
         rows.append((strategy, len(names) - len(wrong), (len(names) - len(wrong)) / len(names), ",".join(wrong)))
     return df.sparkSession.createDataFrame(rows, "strategy string, n_right int, accuracy double, wrong string")
+
+
+def benchmark(spark, volumes: list[int], seed: int = 0) -> DataFrame:
+    """(operation, n_rows, seconds, n_out, peak_mb) of reading, profiling and aggregating a generated sales file of each volume.
+
+    Each operation runs once, after the garbage of the one before is gone. The
+    peak is the largest that any of the session's machines has used of its heap
+    so far, from Spark's own figures, and null where its interface is off.
+    """
+    import gc
+    import time
+
+    from tallymark.operators.execute import grouped
+    from tallymark.plans.spec import Dimension, Spec
+    from tallymark.sources.scan import sample_sales, scan, scratch_folder, write_csv
+
+    spec = Spec("montant", "sum", (Dimension("date", "temporal", "month"), Dimension("categorie")))
+    rows = []
+    for n in volumes:
+        path = f"{scratch_folder(spark)}/sales"
+        write_csv(sample_sales(spark, n, seed), path)
+        text = scan(spark, path)[0]
+        typed = text.withColumns({"date": F.col("date").cast("date"), "montant": F.col("montant").cast("double")})
+        for name, run in (
+            ("read", lambda: scan(spark, path)[0].count()),  # noqa: B023
+            ("profile", lambda: distinct_counts(text, text.columns).count()),  # noqa: B023
+            ("aggregate", lambda: grouped(typed, spec).count()),  # noqa: B023
+        ):
+            gc.collect()
+            start = time.perf_counter()
+            out = run()
+            rows.append((name, n, time.perf_counter() - start, out, _peak_mb(spark)))
+    return spark.createDataFrame(rows, "operation string, n_rows long, seconds double, n_out long, peak_mb double")
+
+
+def _peak_mb(spark) -> float | None:
+    """The largest heap of a machine of the session, by its monitoring interface."""
+    import json
+    from urllib.request import urlopen
+
+    base = spark.sparkContext.uiWebUrl
+    if not base:
+        return None
+    with urlopen(f"{base}/api/v1/applications/{spark.sparkContext.applicationId}/executors", timeout=10) as r:
+        used = [x.get("peakMemoryMetrics", {}).get("JVMHeapMemory", 0) for x in json.load(r)]
+    return max(used, default=0) / (1 << 20) or None

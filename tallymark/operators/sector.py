@@ -42,16 +42,26 @@ def labels(df: DataFrame, c: str, most: int = 60) -> DataFrame:
     return top.where(is_label(F.col("label"))).select("label")
 
 
-def scores(names: DataFrame, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(sector, score, words): how often words that begin with a keyword occur, where any does."""
-    words = [(s, w) for s, ws in (lexicon or LEXICON).items() for w in ws]
+def scores(names: DataFrame, lexicon: dict[str, tuple[str, ...]] | DataFrame | None = None) -> DataFrame:
+    """(sector, score, words): how often words that begin with a keyword occur, where any does.
+
+    A lexicon of any size comes as a table (sector, word): keywords are single
+    words, and meet the beginnings of the labels' words by a join.
+    """
     t = strip_accents(F.lower("label"))
+    if isinstance(lexicon, DataFrame):
+        known = lexicon.select("sector", strip_accents(F.lower(F.trim("word"))).alias("word")).where("word <> ''").distinct()
+        w = names.select(F.explode(F.regexp_extract_all(t, F.lit(r"(?U)(\w+)"))).alias("w"))
+        starts = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("word"))
+        d = starts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(known, "word")
+        return d.groupBy("sector").agg(F.sum("n").alias("score"), F.array_sort(F.collect_set("word")).alias("words"))
+    words = [(s, w) for s, ws in (lexicon or LEXICON).items() for w in ws]
     hits = F.array(*[F.struct(F.lit(s).alias("sector"), F.lit(w).alias("word"), F.regexp_count(t, F.lit(r"\b" + re.escape(w))).alias("n")) for s, w in words])
     d = names.select(F.explode(F.filter(hits, lambda x: x["n"] > 0)).alias("h"))
     return d.groupBy("h.sector").agg(F.sum("h.n").alias("score"), F.array_sort(F.collect_set("h.word")).alias("words"))
 
 
-def sector(names: DataFrame, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def sector(names: DataFrame, lexicon: dict[str, tuple[str, ...]] | DataFrame | None = None) -> DataFrame:
     """The leading sector, its confidence (how far it leads the second), and whether it needs a check.
 
     Under 0.35 the shop sells several kinds of goods and the sector is null. No row where no word is found.

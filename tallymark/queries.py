@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators import facts, report, stats
+from tallymark.operators import facts, patterns, report, stats
 from tallymark.operators.execute import WEEKDAYS, aggregated, coverage, coverage_of, execute, filtered, grouped, with_totals
 from tallymark.plans.spec import Dimension, Filter, Spec, guaranteed
 from tallymark.sources import sales as S
-from tallymark.sources.scan import written
+from tallymark.sources.scan import view, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -152,11 +152,12 @@ WHERE n <= {most} OR place = 1 OR place = n OR ((place - 2) % step = 0 AND place
 _put("downsample_points", lambda s, d: _round(facts.sampled_points(_monthly(s, d), 12).select("dim0", "value"), "value", digits=2), sampled_sql(12))
 
 # The benchmark's operations.
-_put("bench_month_category", lambda s, d: S.sales(s, d, ("o_orderdate", "p_type")).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("p_type").alias("category")).agg(F.round(F.sum("l_extendedprice"), 2).alias("amount")), f"SELECT strftime(o_orderdate, '%Y-%m') AS month, p_type AS category, round(sum(l_extendedprice), 2) AS amount FROM {S.SQL} GROUP BY ALL")
+_MONTH_CATEGORY = Spec("l_extendedprice", "sum", (_DATE, Dimension("p_type")))
+_put("bench_month_category", lambda s, d: grouped(S.sales(s, d, ("o_orderdate", "p_type", "l_extendedprice")), _MONTH_CATEGORY).select(F.col("dim0").alias("month"), F.col("dim1").alias("category"), F.round("value", 2).alias("amount")), f"SELECT strftime(o_orderdate, '%Y-%m') AS month, p_type AS category, round(sum(l_extendedprice), 2) AS amount FROM {S.SQL} GROUP BY ALL")
 _COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
 _put("cardinality_all_columns", lambda s, d: S.table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(c) for c in _COLS]), "SELECT count(*) AS n, " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in _COLS) + " FROM lineitem")
-_put("view_count", lambda s, d: S.table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem")
-_put("left_join_group_sizes", lambda s, d: grouped(S.table(s, d, "orders"), Spec("o_totalprice", "max", (PRIORITY,))).select("dim0", "value").join(S.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("dim0")).agg(F.count(F.lit(1)).alias("n_rows")), "dim0", "left"), "SELECT o_orderpriority AS dim0, max(o_totalprice) AS value, count(*) AS n_rows FROM orders GROUP BY 1")
+_put("view_count", lambda s, d: view(S.table(s, d, "lineitem"), "tallymark_lines").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem")
+_put("left_join_group_sizes", lambda s, d: grouped(S.table(s, d, "orders"), Spec("o_totalprice", "max", (PRIORITY,))), "SELECT o_orderpriority AS dim0, max(o_totalprice) AS value, count(*) AS n_rows FROM orders GROUP BY 1")
 _put("perimeter", lambda s, d: _round(report.perimeter(S.table(s, d, "orders"), "o_totalprice", "o_orderdate").drop("n_without_amount"), "amount", digits=2), "SELECT count(*) AS n_rows, round(sum(o_totalprice), 2) AS amount, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, date_diff('day', min(o_orderdate), max(o_orderdate))::BIGINT AS days FROM orders")
 _PLAN = guaranteed({"order_date": "o_orderdate", "revenue": "l_extendedprice", "product_category": "p_type", "region": "n_name", "customer_id": "o_custkey"})
 _PLAN_COLUMNS = tuple(sorted({c for x in _PLAN for c in (x.column, *[y.column for y in (*x.dimensions, *x.filters)])}))
@@ -177,5 +178,5 @@ def _plan_coverage(s, d):
 
 
 _put("run_plan_coverage", _plan_coverage, " UNION ALL ".join(f"SELECT '{x.title}' AS spec, count(*) AS n_rows, count(*) FILTER ({_WHERE.get(x.title, 'true')}) AS n_filtered, count(*) FILTER (({_WHERE.get(x.title, 'true')}) AND {x.dimensions[0].column} IS NULL) AS n_rows_excluded FROM orders" for x in _KINDS))
-_put("orders_per_customer", lambda s, d: S.table(s, d, "orders").agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.round(F.count_distinct("o_orderkey") / F.count_distinct("o_custkey"), 6).alias("ratio")), "SELECT count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers, round(count(DISTINCT o_orderkey) / count(DISTINCT o_custkey), 6) AS ratio FROM orders")
+_put("orders_per_customer", lambda s, d: _round(patterns.orders_per_customer(S.table(s, d, "orders"), "o_orderkey", "o_custkey"), "ratio", digits=6), "SELECT count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers, round(count(DISTINCT o_orderkey) / count(DISTINCT o_custkey), 6) AS ratio FROM orders")
 _put("applied_filters", lambda s, d: filtered(S.table(s, d, "orders"), (Filter("o_totalprice", "gt", 1000), Filter("absent", "eq", 1)))[0].agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000")

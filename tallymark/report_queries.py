@@ -98,6 +98,9 @@ _put("label_filter", lambda s, d: S.table(s, d, "part").select("p_partkey", sect
     for c, a in (("p_name", "name_ok"), ("p_brand", "brand_ok"))) + " FROM part")
 _LEX = {"metals": ("brass", "steel", "tin", "copper", "nickel"), "sizes": ("small", "large", "medium", "economy")}
 _put("sector_lexicon", lambda s, d: sector.scores(S.table(s, d, "part").select(F.col("p_type").alias("label")), _LEX).select("sector", "score"), " UNION ALL ".join(f"SELECT '{k}' AS sector, sum(" + " + ".join(f"len(regexp_extract_all(lower(p_type), '\\b{w}'))" for w in ws) + f")::BIGINT AS score FROM part HAVING sum(" + " + ".join(f"len(regexp_extract_all(lower(p_type), '\\b{w}'))" for w in ws) + ") > 0" for k, ws in _LEX.items()))
+# A lexicon that is a table: the last words of product names, by their first letter.
+_WORDS = "SELECT DISTINCT concat('kind ', substr(element_at(split(p_name, ' '), -1), 1, 1)) AS sector, element_at(split(p_name, ' '), -1) AS word FROM {p}"
+_put("sector_lexicon_table", lambda s, d: sector.scores(S.table(s, d, "part").select(F.col("p_name").alias("label")), s.sql(_WORDS, p=S.table(s, d, "part"))).select("sector", "score"), "WITH l AS (SELECT DISTINCT 'kind ' || substr(w, 1, 1) AS sector, w FROM (SELECT list_extract(string_split(p_name, ' '), -1) AS w FROM part)), t AS (SELECT unnest(string_split(lower(p_name), ' ')) AS token FROM part) SELECT sector, count(*) AS score FROM t JOIN l ON starts_with(token, lower(w)) GROUP BY 1")
 _TOP = "(SELECT p_type FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 60) WHERE length(trim(p_type)) > 2 AND len(regexp_extract_all(p_type, '\\p{L}')) >= 3)"
 _HITS = " UNION ALL ".join(f"SELECT '{k}' AS sector, sum(" + " + ".join(f"len(regexp_extract_all(lower(p_type), '\\b{w}'))" for w in ws) + f")::DOUBLE AS n FROM {_TOP}" for k, ws in _LEX.items())
 _put("sector", lambda s, d: sector.sector(sector.labels(S.table(s, d, "part"), "p_type"), _LEX).drop("words"), f"SELECT CASE WHEN confidence >= 0.35 THEN sector END AS sector, confidence, confidence < 0.7 AS to_confirm FROM (SELECT sector, round(CASE WHEN second IS NULL THEN CASE WHEN n >= 3 THEN 0.95 ELSE 0.6 END ELSE least(0.95, greatest(0, (n / (n + second) - 0.5) * 2.4) * CASE WHEN n < 3 THEN 0.6 ELSE 1 END) END, 2)::DOUBLE AS confidence FROM (SELECT *, lead(n) OVER (ORDER BY n DESC, sector) AS second, row_number() OVER (ORDER BY n DESC, sector) AS place FROM ({_HITS}) WHERE n > 0) WHERE place = 1)")
@@ -115,15 +118,7 @@ def _strategies_sql():
     return f"WITH w AS (SELECT list_filter([{', '.join(wrong)}], lambda x: x IS NOT NULL) AS l) SELECT 'head' AS strategy, (3 - len(l))::INT AS n_right, (3 - len(l)) / 3 AS accuracy, array_to_string(l, ',') AS wrong FROM w UNION ALL SELECT s, 3::INT, 1.0::DOUBLE, '' FROM (VALUES ('full'), ('hybrid')) t(s)"
 
 
-_put("cardinality_roles", lambda s, d: _roles(s, d), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, CASE WHEN count(DISTINCT {c}) / count(*) > 0.9 THEN 'identifier' WHEN count(DISTINCT {c}) <= 200 THEN 'categorical' ELSE 'high_cardinality' END AS role FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
-
-
-def _roles(s, d):
-    names = ("o_orderkey", "o_custkey", "o_orderstatus")
-    one = _orders(s, d).agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(c) for c in names])
-    u = F.col("n_unique")
-    long = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_unique"), F.col("n")) for c in names])))
-    return long.select("column", "n_unique", F.when(F.try_divide(u, "n") > 0.9, "identifier").when(u <= 200, "categorical").otherwise("high_cardinality").alias("role"))
+_put("cardinality_roles", lambda s, d: profile.simple_roles(_orders(s, d), ["o_orderkey", "o_custkey", "o_orderstatus"]), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, CASE WHEN count(DISTINCT {c}) / count(*) > 0.9 THEN 'identifier' WHEN count(DISTINCT {c}) <= 200 THEN 'categorical' ELSE 'high_cardinality' END AS role FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
 
 
 _put("sampling_error", lambda s, d: profile.sampling_error(_orders(s, d), ["o_orderkey", "o_custkey", "o_orderstatus"], 0.1))
@@ -150,12 +145,13 @@ def _scanned(s, d):
 _put("scan_csv", _scanned, "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 
 
-def _streamed(s, d):
+def _streamed(s, d, mode="complete"):
     from tallymark.sources.scan import scratch_folder
 
-    return run_daily_rollup(s, f"{d}/events.parquet", scratch_folder(s)).select("day", "event_type", "n", F.round("value", 4).alias("value"))
+    return run_daily_rollup(s, f"{d}/events.parquet", scratch_folder(s), mode).select("day", "event_type", "n", F.round("value", 4).alias("value"))
 
 
 _DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL"
 _put("events_daily", lambda s, d: daily_rollup(S.table(s, d, "events")).select("day", "event_type", "n", F.round("value", 4).alias("value")), _DAILY)
 _put("stream_events_daily", _streamed, _DAILY)
+_put("stream_events_updates", lambda s, d: _streamed(s, d, "update"), _DAILY)

@@ -18,22 +18,33 @@ def daily_rollup(events: DataFrame, late: str = "7 days") -> DataFrame:
     return out.select(F.date_format(F.to_utc_timestamp("w.start", zone), "yyyy-MM-dd").alias("day"), "event_type", "n", "value")
 
 
-def run_daily_rollup(spark: SparkSession, path: str, folder: str) -> DataFrame:
+def run_daily_rollup(spark: SparkSession, path: str, folder: str, mode: str = "complete", files_per_batch: int | None = None) -> DataFrame:
     """Reads all files there are as a stream, keeps state and progress under ``folder``, and returns the last result.
 
-    Each batch writes the whole rollup to a path of its own, so a repeated batch replaces what it wrote.
+    In ``complete`` mode each batch writes the whole rollup, in ``update`` mode
+    only days whose sums changed leave the state, and are merged with those
+    written before; events later than the watermark are dropped there. Each
+    batch writes to a path of its own, so a repeated batch replaces what it
+    wrote.
     """
     base = f"{folder.rstrip('/')}/rollup-{uuid.uuid4().hex}"
     head, name = path.rstrip("/").rsplit("/", 1)
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{head}/{{{name}}}")  # as a pattern it may be one file
-    last: list[int] = []
+    read = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        read = read.option("maxFilesPerTrigger", files_per_batch)
+    events = read.parquet(f"{head}/{{{name}}}")  # as a pattern it may be one file
+    done: list[int] = []
 
     def put(df: DataFrame, batch: int) -> None:
+        before = [k for k in done if k < batch]
+        if mode == "update" and before:
+            old = spark.read.parquet(f"{base}/batch={before[-1]}")
+            df = old.join(df.select("day", "event_type"), ["day", "event_type"], "left_anti").select(*df.columns).unionByName(df)
         df.write.mode("overwrite").parquet(f"{base}/batch={batch}")
-        last.append(batch)
+        done.append(batch)
 
-    query = daily_rollup(events).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(put).start()
+    query = daily_rollup(events).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    if not last:
+    if not done:
         return daily_rollup(spark.read.parquet(path)).limit(0)
-    return spark.read.parquet(f"{base}/batch={last[-1]}")
+    return spark.read.parquet(f"{base}/batch={done[-1]}")

@@ -163,6 +163,15 @@ def test_single_purchase_reads_all_orders(spark, tmp_path):
     assert json.loads(patterns.single_purchase(d, "o", "c").first().evidence) == {"orders": 5, "customers": 4, "orders_per_customer": 1.25}
 
 
+def test_facts_of_many_groups_are_bounded(spark):
+    """Month by customer: every month kept is one of the last, and the customers are the largest."""
+    d = spark.range(20_000).select(F.date_add(F.lit("2015-01-01").cast("date"), (F.col("id") % 3000).cast("int")).alias("day"), (F.col("id") % 700).cast("string").alias("who"), (F.col("id") % 700 + 1.0).alias("x"))
+    row = facts.facts(d, Spec("x", "sum", (Dimension("day", "temporal", "month"), Dimension("who")), title="t")).first()
+    points = json.loads(row.facts)["data_points"]
+    assert row.n_groups > 5000 and len({p["dim0"] for p in points}) <= facts.SHOWN[0] and len({p["dim1"] for p in points}) <= facts.SHOWN[1]
+    assert max(p["dim0"] for p in points) == "2023-03" and len(points) <= facts.SHOWN[0] * facts.SHOWN[1]
+
+
 def test_facts(spark):
     d = spark.createDataFrame([(m, float(k + 1)) for k, m in enumerate("abcab")], "k string, x double")
     row = facts.facts(d, Spec("x", "sum", (Dimension("k"),), title="t")).first()
@@ -216,3 +225,23 @@ def test_table_score(spark):
     assert quality.table_score(d, []) == 93.75
     issue = quality.Issue("D01_exact_duplicates", "high", "ASK", (), 2)
     assert quality.table_score(d, [issue]) == 93.75 - 12.5 - 9 and quality.label(72.25) == "fair"
+
+
+def test_updates_of_a_stream_are_merged(spark, tmp_path):
+    """Files that come one a batch, with days that several of them touch, give what one read gives."""
+    from tallymark.sources.scan import scratch_folder
+    from tallymark.streaming import daily_rollup, run_daily_rollup
+
+    rows = spark.range(300).select(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 5 AS INT), cast(id % 24 AS INT))").alias("ts"), (F.col("id") % 3).cast("string").alias("event_type"), F.col("id").cast("double").alias("value"))
+    rows.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    got = run_daily_rollup(spark, f"{tmp_path}/events.parquet", scratch_folder(spark), "update", 1)
+    want = daily_rollup(spark.read.parquet(f"{tmp_path}/events.parquet"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
+
+
+def test_lexicon_as_a_table(spark):
+    names = spark.createDataFrame([("Robe d'été rouge",), ("robes longues",), ("Lampe",), ("",), (None,)], "label string")
+    words = {"mode": ("robe", "jupe"), "maison": ("lampe",), "accent": ("ete",)}
+    table = spark.createDataFrame([(s, w) for s, ws in words.items() for w in ws] + [("mode", "ROBE "), ("none", "")], "sector string, word string")
+    of = lambda lexicon: {(r.sector, r.score, tuple(r.words)) for r in sector.scores(names, lexicon).collect()}
+    assert of(table) == of(words) == {("mode", 2, ("robe",)), ("maison", 1, ("lampe",)), ("accent", 1, ("ete",))}

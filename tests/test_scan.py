@@ -113,3 +113,11 @@ def test_workbook(spark):
     assert sorted(map(tuple, df.collect())) == [("2023-10-04 00:00:00", "12.5", None, "True"), ("2023-10-05 12:00:00", "7", None, "x & y")]
     with pytest.raises(ValueError, match="zipped XML"):
         workbook.rows(b"no zip")
+
+
+def test_benchmark_over_volumes(spark):
+    from tallymark.operators.profile import benchmark
+
+    got = benchmark(spark, [200, 500]).collect()
+    assert [(r.operation, r.n_rows) for r in got] == [(o, n) for n in (200, 500) for o in ("read", "profile", "aggregate")]
+    assert all(r.seconds > 0 for r in got) and [r.n_out for r in got if r.operation == "read"] == [200, 500] and [r.n_out for r in got if r.operation == "profile"] == [8, 8]
