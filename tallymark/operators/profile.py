@@ -369,7 +369,7 @@ def benchmark(spark, volumes: list[int], seed: int = 0) -> DataFrame:
         path = f"{scratch_folder(spark)}/sales"
         write_csv(sample_sales(spark, n, seed), path)
         text = scan(spark, path)[0]
-        typed = text.withColumns({"date": F.col("date").cast("date"), "montant": F.col("montant").cast("double")})
+        typed = text.withColumns({"date": F.col("date").try_cast("date"), "montant": F.col("montant").try_cast("double")})
         for name, run in (
             ("read", lambda: scan(spark, path)[0].count()),  # noqa: B023
             ("profile", lambda: distinct_counts(text, text.columns).count()),  # noqa: B023

@@ -64,30 +64,20 @@ def magnitude(c: Column, steps: int) -> Column:
     return (F.signum(c) * F.floor(F.log2(F.abs(c) + 1) * steps)).cast("long")
 
 
-def quantile_class(c: Column, bounds: Column, step: int = 16) -> Column:
-    """How many of the rising ``bounds`` are at ``c`` or below it; looked up among every ``step``-th, then among those from there."""
-    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= c))
-    coarse = F.filter(bounds, lambda b, i: (i % step == 0) & (b <= c))
-    start = F.greatest(F.size(coarse) - 1, F.lit(0)) * step
-    return start + upto(F.slice(bounds, start + 1, F.lit(step)))
-
-
-def running(values: DataFrame, classes: int = 256) -> DataFrame:
+def running(values: DataFrame) -> DataFrame:
     """Adds to (value, k) of distinct values: k0 and s0, the rows and the sum of all larger values, n and total.
 
-    Values are dealt to classes of about as many distinct values each, cut at
-    their quantiles whatever these are; sums run within a class, on top of
-    those of the classes above it.
+    Sums run within a class of magnitude, a fraction of a per cent wide, on top
+    of those of the classes above it. Equal values are one row, so a class holds
+    as many rows as there are different values in its range.
     """
-    cuts = values.agg(F.array_distinct(F.percentile_approx("value", [k / classes for k in range(1, classes)]))).scalar()
-    d = values.withColumn("bounds", F.coalesce(cuts, F.array().cast("array<double>")))
-    d = d.select("value", "k", quantile_class(F.col("value"), F.col("bounds")).alias("class"))
+    d = values.withColumn("class", magnitude(F.col("value"), 1024))
     above = _all().orderBy(F.desc("class")).rowsBetween(W.unboundedPreceding, -1)  # one row a class
     sums = d.groupBy("class").agg(F.sum("k").alias("k"), F.sum(F.col("value") * F.col("k")).alias("s"))
     sums = sums.select("class", F.coalesce(F.sum("k").over(above), F.lit(0)).alias("ck"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("cs"), F.sum("k").over(_all()).alias("n"), F.sum("s").over(_all()).alias("total"))
     within = W.partitionBy("class").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, -1)
     over = lambda x: F.coalesce(F.sum(x).over(within), F.lit(0))
-    d = d.join(F.broadcast(sums), "class")  # at most ``classes`` rows
+    d = d.join(sums, "class")
     return d.select("value", "k", (F.col("ck") + over(F.col("k"))).alias("k0"), (F.col("cs") + over(F.col("value") * F.col("k"))).alias("s0"), "n", "total")
 
 

@@ -169,7 +169,7 @@ def test_facts_of_many_groups_are_bounded(spark):
     row = facts.facts(d, Spec("x", "sum", (Dimension("day", "temporal", "month"), Dimension("who")), title="t")).first()
     points = json.loads(row.facts)["data_points"]
     assert row.n_groups > 5000 and len({p["dim0"] for p in points}) <= facts.SHOWN[0] and len({p["dim1"] for p in points}) <= facts.SHOWN[1]
-    assert max(p["dim0"] for p in points) == "2023-03" and len(points) <= facts.SHOWN[0] * facts.SHOWN[1]
+    assert min(p["dim0"] for p in points) >= "2019-02" and {p["dim1"] for p in points} <= {str(k) for k in range(680, 700)}  # the last fifty months
 
 
 def test_facts(spark):
